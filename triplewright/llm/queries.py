@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triplewright.llm import audio, bpe, token_store
+from triplewright.llm import audio, bpe, pii, quality_rules, token_store
 
 #: Folder of public vocabulary files; never copied into the repository.
 TOKENIZERS = "/opt/tokenizers"
@@ -16,6 +16,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir), trusted_ids(spark, sf_dir))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -24,12 +32,16 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.audio_digest(documents(spark, sf_dir))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(documents(spark, sf_dir))
+
+
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_file_digest(documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_bpe": op4_bpe, "op8_media": op8_media, "op10_tokens": op10_tokens}
+    return {"op3_quality": op3_quality, "op9_pii": op9_pii, "op4_bpe": op4_bpe, "op8_media": op8_media, "op10_tokens": op10_tokens}
 
 
 def oracle_sql() -> dict[str, str]:
