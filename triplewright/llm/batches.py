@@ -26,14 +26,14 @@ def map_batches(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.mapInArrow(kernel, schema)
 
 
-def text_steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Slices of at most ``CHARS_PER_STEP`` characters (one text at least), with their texts."""
+def text_steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHARS_PER_STEP) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of at most ``most`` characters (one text at least), with their texts."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
         begin = chars = 0
         for at, value in enumerate(texts):
             size = len(value or "")
-            if at > begin and chars + size > CHARS_PER_STEP:
+            if at > begin and chars + size > most:
                 yield batch.slice(begin, at - begin), texts[begin:at]
                 begin, chars = at, 0
             chars += size

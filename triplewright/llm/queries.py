@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triplewright.llm import audio, bpe, classifier, language, pii, quality_rules, token_store
+from triplewright.llm import audio, bpe, classifier, language, minhash, pii, quality_rules, token_store
 
 #: Folder of public vocabulary files; never copied into the repository.
 TOKENIZERS = "/opt/tokenizers"
@@ -28,6 +28,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op6_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -49,7 +53,7 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_quality": op3_quality, "op6_classifier": op6_classifier, "op7_language": op7_language, "op9_pii": op9_pii, "op4_bpe": op4_bpe, "op8_media": op8_media, "op10_tokens": op10_tokens}
+    return {"op3_quality": op3_quality, "op5_minhash": op5_minhash, "op6_classifier": op6_classifier, "op7_language": op7_language, "op9_pii": op9_pii, "op4_bpe": op4_bpe, "op8_media": op8_media, "op10_tokens": op10_tokens}
 
 
 def oracle_sql() -> dict[str, str]:
