@@ -61,9 +61,8 @@ def repeat_words(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(counted)
 
 
-def base_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, words and the counts of the base rules."""
-    source = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def _counted(source: DataFrame) -> DataFrame:
+    """Columns doc_id, text and held, with the counts of the base rules and the grams."""
     source = source.withColumn("words", words_of(F.col("text")))
     text, words = F.col("text"), F.col("words")
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
@@ -74,7 +73,8 @@ def base_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     source = source.withColumns({"lines": lines, "windows": windows})
     return source.select(
         "doc_id",
-        "words",
+        "held",
+        grams_of(words).alias("grams"),
         size.cast("long").alias("n_words"),
         F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SIGNS, ""))).cast("long").alias("n_symbols"),
@@ -104,18 +104,28 @@ def weights(counts: list[tuple[int, int, int]], buckets: int = BUCKETS) -> list[
     return [round(UNIT * (math.log(t + 1) - math.log(n + 1) + shift)) for t, n in zip(trusted, raw, strict=True)]
 
 
-def judge(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, the base counts, base_failed, llr (mean log ratio; null without words) and kept, for each input row.
-
-    ``trusted`` has the ids of the target rows in ``id_col``.
-    """
+def _judged(df: DataFrame, held: Column, trusted: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:
     model = weights(bucket_counts(df, trusted, id_col, text_col))
     table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<int>")  # folded into one constant by the optimizer
-    out = base_columns(df, id_col, text_col).withColumn("grams", grams_of(F.col("words")))
-    total = F.aggregate("grams", F.lit(0).cast("long"), lambda acc, b: acc + F.get(table, b))
-    out = out.withColumn("weight", total).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+    out = _counted(df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), held.alias("held")))
+    out = out.withColumn("weight", F.aggregate("grams", F.lit(0).cast("long"), lambda acc, b: acc + F.get(table, b)))
+    out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "doc_id", "held", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (F.col("weight") / (UNIT * F.nullif(F.size("grams"), F.lit(0)))).alias("llr"),
         (~F.col("base_failed") & (F.col("weight") >= threshold * F.size("grams"))).alias("kept"),
     )
+
+
+def judge(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, the base counts, base_failed, llr (mean log ratio; null without words) and kept, for each input row.
+
+    ``trusted`` has the ids of the target rows in ``id_col``.
+    """
+    return _judged(df, F.lit(None).cast("int"), trusted, id_col, text_col, threshold).drop("held")
+
+
+def keep_good(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of ``df``, all columns, that ``judge`` keeps; no join: the row travels with its verdict."""
+    held = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return _judged(df, held, trusted, id_col, text_col, threshold).where("kept").select("held.*")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triplewright.llm import audio, bpe, classifier, language, minhash, pii, quality_rules, token_store
+from triplewright.llm import audio, bpe, classifier, language, licenses, minhash, packing, pii, quality_rules, token_store
 
 #: Folder of public vocabulary files; never copied into the repository.
 TOKENIZERS = "/opt/tokenizers"
@@ -20,6 +20,14 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir), trusted_ids(spark, sf_dir))
 
@@ -53,8 +61,9 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_quality": op3_quality, "op5_minhash": op5_minhash, "op6_classifier": op6_classifier, "op7_language": op7_language, "op9_pii": op9_pii, "op4_bpe": op4_bpe, "op8_media": op8_media, "op10_tokens": op10_tokens}
+    made = [op1_licenses, op2_packing, op3_quality, op4_bpe, op5_minhash, op6_classifier, op7_language, op8_media, op9_pii, op10_tokens]
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_licenses": licenses.oracle()}
