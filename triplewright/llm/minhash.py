@@ -4,14 +4,14 @@ and then on whole shingle sets; components by alternating stars.
 1. One pass writes, for each row, the number of its shingles, a digest of its
    words, its band keys and a byte of each minimum. Texts with equal words form
    a class, of which the least id stands for all.
-2. Each bucket (rows with a band key in common) proposes its least id against
-   every other member: as many pairs as members, however large the bucket.
+2. Each bucket (rows with a band key in common) proposes its least id, the hub,
+   against every other member: as many pairs as members, however large the bucket.
 3. Proposed pairs pass if enough signature bytes agree, then if the Jaccard
    similarity of the whole sets reaches the threshold. Their components follow.
-4. Buckets that still span components propose another member, chosen by hash,
-   against the members outside its component; components are joined.
-5. Buckets that span components even then are compared wholly, in blocks of
-   bounded size, across components only: no link between components is lost.
+4. What a hub was proposed to, and isn't in its component after that, is held
+   against all else that the hub was proposed to, whole set against whole set, in
+   blocks of bounded size that give only true links. So no proposed bucket keeps
+   a link between two components; components are joined by what is found.
 
 Null or empty texts, and texts without a word, have no shingle and no link. Rows
 with a null id are not linked: their component is null and they are kept. Rows
@@ -39,7 +39,7 @@ BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 #: Signature bytes out of MINIMA that must agree: 4.5 standard deviations below what a similarity of 0.75 gives.
 LEAST_BYTES = 74
-#: Members of a block when a whole bucket is compared, and members that one copy of a set is held against.
+#: Members of a block, on either side, and members that one copy of a hub's set is held against.
 BLOCK, FAN = 64, 64
 #: Characters hashed at once.
 CHARS_AT_ONCE = 1_000_000
@@ -139,21 +139,27 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one list that lie in different components and agree in enough bytes."""
+    """Links (u, v) between the strays of a list and its other members, across components, by exact counts."""
     for batch in batches:
-        a, b = [], []
+        u, v = [], []
         for members in batch.column(0).to_pylist():
-            doc = np.array([m["doc_id"] for m in members])
-            comp = np.array([m["comp"] for m in members])
-            side = np.array([m["side"] for m in members])
-            sig = np.frombuffer(b"".join(m["sig"] for m in members), np.uint8).reshape(-1, MINIMA)
-            for k in range(len(members) - 1):
-                rest = slice(k + 1, None)
-                hit = (comp[rest] != comp[k]) & ((side[rest] != side[k]) | (side[k] == 2))
-                hit[hit] = (sig[rest][hit] == sig[k]).sum(axis=1) >= LEAST_BYTES
-                b += doc[rest][hit].tolist()
-                a += [int(doc[k])] * int(hit.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            strays, others = ([m for m in members if m["stray"] == k] for k in (True, False))
+            if not strays or not others:
+                continue
+            doc, comp = (np.array([m[k] for m in others]) for k in ("doc_id", "comp"))
+            sets = [np.frombuffer(m["shingles"], np.uint64) for m in others]
+            size = np.array([len(x) for x in sets])
+            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+            for m in strays:
+                mine = np.frombuffer(m["shingles"], np.uint64)
+                if not len(mine):
+                    continue
+                at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+                shared = np.bincount(owner[mine[at] == flat], minlength=len(sets))
+                hit = (100 * shared >= PERCENT * (size + len(mine) - shared)) & (comp != m["comp"]) & (doc != m["doc_id"])
+                u += [m["doc_id"]] * int(hit.sum())
+                v += doc[hit].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,24 +199,23 @@ class _Run:
         stands = known.join(self.classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
         self.signs = self.scratch.keep(stands.select("doc_id", "keys", "sig").dropDuplicates(["doc_id", "sig"]), "signs")
 
-    def buckets(self) -> DataFrame:
-        """(key, doc_id, lead, n): members of buckets with two documents or more."""
+    def stars(self) -> DataFrame:
+        """(a, b): the least id of each bucket, and every other id in it."""
         bands = self.signs.select("doc_id", F.explode("keys").alias("key"))
-        full = bands.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
-        full = self.scratch.keep(full.where("lead <> last").select("key", "lead", "n"), "full")
-        return self.scratch.keep(bands.join(full, "key"), "members")
+        full = bands.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last"))
+        full = self.scratch.keep(full.where("a <> last").select("key", "a"), "full")
+        return self.scratch.keep(bands.join(full, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "stars")
 
     def agreeing(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) with their signatures fetched and compared. One a may have very many b: its signature goes to each salt."""
         signs = self.signs.select("doc_id", "sig")
-        pairs = pairs.select("a", "b").distinct()
         with_b = pairs.join(signs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
         both = with_b.join(signs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").select("a", "b", "sig_a", "sig_b")
         return map_batches(both, _agreeing, "a long, b long")
 
     def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
         """Pairs (u, v) whose whole sets are similar enough. An ``a`` with many partners is copied, once for FAN of them."""
-        pairs = self.scratch.keep(pairs.distinct(), f"{name}-pairs")
+        pairs = self.scratch.keep(pairs, f"{name}-pairs")
         fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("fans"))
         fans = self.scratch.keep(fans, f"{name}-fans")
         salt = F.pmod(F.xxhash64("b"), F.col("fans")).cast("int")
@@ -218,8 +223,7 @@ class _Run:
         leads = fans.select(F.col("a").alias("doc_id"), F.struct("a", F.lit(0).alias("low"), (F.col("fans") - 1).alias("high"), F.lit(True).alias("leads")).alias("group"))
         # Each needed text moves once, with the groups that it is in (a range of salts for a leading text); sets move to their groups after that.
         wanted = dealt.unionByName(leads).groupBy("doc_id").agg(F.collect_list("group").alias("groups"))
-        texts = self.source.where("doc_id is not null").join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "groups", "text")
-        sets = map_batches(texts, _sets, "doc_id long, groups array<struct<a:long,low:int,high:int,leads:boolean>>, shingles binary")
+        sets = self.sets(wanted, "array<struct<a:long,low:int,high:int,leads:boolean>>")
         dealt = sets.select("doc_id", F.explode("groups").alias("g"), "shingles")
         dealt = dealt.select("g.a", F.explode(F.sequence("g.low", "g.high")).alias("salt"), "g.leads", "doc_id", "shingles")
         groups = dealt.groupBy("a", "salt").agg(
@@ -228,39 +232,45 @@ class _Run:
         )
         return self.scratch.keep(map_batches(groups.select("a", "lead", "members"), _linked, "u long, v long"), f"{name}-links")
 
-    def labelled(self, buckets: DataFrame, labels: DataFrame) -> DataFrame:
-        """Members of buckets that span components, with their components."""
-        named = buckets.join(labels.select(F.col("u").alias("doc_id"), F.col("v").alias("comp")), "doc_id", "left")
-        named = self.scratch.keep(named.select("key", "n", "doc_id", F.coalesce("comp", "doc_id").alias("comp")), "named")
-        spans = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("doc_id", F.xxhash64("doc_id", "key")).alias("pick"), F.min_by("comp", F.xxhash64("doc_id", "key")).alias("pick_comp"))
-        spans = self.scratch.keep(spans.where("low <> high").select("key", "pick", "pick_comp"), "spans")
-        return self.scratch.keep(named.join(spans, "key"), "open")
+    def across(self, stars: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links (u, v) among what one hub was proposed to, between strays (not in the hub's component) and all others."""
+
+        def comp(name: str) -> DataFrame:
+            return labels.select(F.col("u").alias(name), F.col("v").alias(f"{name}_comp"))
+
+        named = stars.join(comp("b"), "b", "left").join(comp("a"), "a", "left")
+        named = named.select("a", F.col("b").alias("doc_id"), F.coalesce("b_comp", "b").alias("comp"), F.coalesce("a_comp", "a").alias("hub_comp"))
+        named = self.scratch.keep(named.withColumn("stray", F.col("comp") != F.col("hub_comp")), "named")
+        hubs = named.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("stray"), 1)).alias("m"))
+        hubs = hubs.where("m > 0 and n > 1").select("a", F.ceil(F.col("n") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("m") / BLOCK).cast("int").alias("cols"))
+        open_ = named.join(self.scratch.keep(hubs, "hubs"), "a")
+
+        def role(df: DataFrame, stray: bool) -> DataFrame:
+            mine = F.pmod(F.xxhash64("doc_id", F.lit(stray)), F.col("cols" if stray else "rows")).cast("int")
+            ends = [F.lit(0), F.col("rows") - 1, mine, mine] if stray else [mine, mine, F.lit(0), F.col("cols") - 1]
+            names = ("i0", "i1", "j0", "j1")
+            return df.select("doc_id", F.struct("a", F.lit(stray).alias("stray"), "comp", *[e.alias(n) for e, n in zip(ends, names, strict=True)]).alias("group"))
+
+        roles = role(open_, False).unionAll(role(open_.where("stray"), True))
+        wanted = roles.groupBy("doc_id").agg(F.collect_list("group").alias("groups"))
+        kind = "array<struct<a:long,stray:boolean,comp:long,i0:int,i1:int,j0:int,j1:int>>"
+        sets = self.sets(wanted, kind).select("doc_id", F.explode("groups").alias("g"), "shingles")
+        spread = sets.select("g.a", "g.stray", "g.comp", "doc_id", "shingles", F.explode(F.sequence("g.i0", "g.i1")).alias("i"), "g.j0", "g.j1")
+        spread = spread.select("a", "stray", "comp", "doc_id", "shingles", "i", F.explode(F.sequence("j0", "j1")).alias("j"))
+        lists = spread.groupBy("a", "i", "j").agg(F.collect_list(F.struct("stray", "doc_id", "comp", "shingles")).alias("members"))
+        return self.scratch.keep(map_batches(lists.select("members"), _across, "u long, v long").distinct(), "across")
+
+    def sets(self, wanted: DataFrame, kind: str) -> DataFrame:
+        """doc_id, groups and shingle sets of the wanted documents: each text moves once."""
+        texts = self.source.where("doc_id is not null").join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "groups", "text")
+        return map_batches(texts, _sets, f"doc_id long, groups {kind}, shingles binary")
 
     def links(self) -> DataFrame:
         """(u, v): nodes other than the least of their component, with that least node."""
-        buckets = self.buckets()
-        edges = self.confirmed(self.agreeing(buckets.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))), "first")
-        labels = components(edges, self.scratch)
-        wide = buckets.where("n > 2").select("key", "n", "doc_id")  # the pair of a bucket of two has been proposed
-        open_ = self.labelled(wide, labels)
-        picked = open_.where("comp <> pick_comp").select(F.col("pick").alias("a"), F.col("doc_id").alias("b"))
-        labels = components(labels.unionByName(self.confirmed(self.agreeing(picked), "second")), self.scratch)
-        open_ = self.labelled(open_.select("key", "n", "doc_id"), labels)
-        labels = components(labels.unionByName(self.confirmed(self.whole(open_), "third")), self.scratch)
-        return labels
-
-    def whole(self, open_: DataFrame) -> DataFrame:
-        """All pairs across components in buckets that still span some, block against block."""
-        sizes = open_.select("key", "doc_id", "comp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-        mine = sizes.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        spread = mine.select("key", "doc_id", "comp", "block", other.alias("other")).select(
-            "key", "doc_id", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-            F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
-        )
-        signed = spread.join(self.signs.select("doc_id", "sig"), "doc_id")
-        lists = signed.groupBy("key", "i", "j").agg(F.collect_list(F.struct("doc_id", "comp", "side", "sig")).alias("members"))
-        return map_batches(lists.select("members"), _across, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        stars = self.stars()
+        labels = components(self.confirmed(self.agreeing(stars), "first"), self.scratch)
+        more = self.across(stars, labels)
+        return labels if more.isEmpty() else components(labels.unionByName(more), self.scratch)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
