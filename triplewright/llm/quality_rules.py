@@ -27,7 +27,7 @@ UNIT = 10_000
 THRESHOLD = -800
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 WORD = r"[^\x20\x09-\x0D]+"
-SPACES, SIGNS = " \t\n\x0b\x0c\r", "#*$%&|<>"
+SIGN = "[#*$%&|<>]"
 
 
 def words_of(text: Column) -> Column:
@@ -35,14 +35,14 @@ def words_of(text: Column) -> Column:
 
 
 def grams_of(words: Column) -> Column:
-    """Buckets of all one- and two-word grams, repeats included."""
-    size = F.size(words)
-    low = F.transform(words, F.lower)
-    ones = F.transform(low, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
-    left = F.slice(low, 1, F.greatest(size - 1, F.lit(0)))
-    right = F.slice(low, 2, F.greatest(size - 1, F.lit(0)))
-    twos = F.zip_with(left, right, lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(BUCKETS)).cast("int"))
-    return F.concat(ones, twos)
+    """Buckets of all one- and two-word grams, repeats included. ``words`` is a column, not an expression: it is read at each place."""
+
+    def grams(low: Column) -> Column:
+        ones = F.transform(low, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+        twos = F.transform(low, lambda w, i: F.pmod(F.xxhash64(w, F.get(low, i + 1)), F.lit(BUCKETS)).cast("int"))
+        return F.concat(ones, F.slice(twos, 1, F.greatest(F.size(low) - 1, F.lit(0))))
+
+    return F.transform(F.array(F.transform(words, F.lower)), grams)[0]
 
 
 def repeat_words(windows: Column) -> Column:
@@ -65,19 +65,19 @@ def _counted(source: DataFrame) -> DataFrame:
     """Columns doc_id, text and held, with the counts of the base rules and the grams."""
     source = source.withColumn("words", words_of(F.col("text")))
     text, words = F.col("text"), F.col("words")
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     size = F.size(words)
-    # Three shifted views of the words; windows are compared by a 64-bit hash of all three.
-    shifted = [F.slice(words, k, F.greatest(size - 2, F.lit(0))) for k in (1, 2, 3)]
-    windows = F.zip_with(F.zip_with(shifted[0], shifted[1], lambda a, b: F.struct(a.alias("a"), b.alias("b"))), shifted[2], lambda p, c: F.xxhash64(p["a"], p["b"], c))
+    # Windows of three words are compared by a 64-bit hash of all three.
+    windows = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+    windows = F.slice(windows, 1, F.greatest(size - 2, F.lit(0)))
     source = source.withColumns({"lines": lines, "windows": windows})
     return source.select(
         "doc_id",
         "held",
         grams_of(words).alias("grams"),
         size.cast("long").alias("n_words"),
-        F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SIGNS, ""))).cast("long").alias("n_symbols"),
+        F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc + F.length(w)).alias("word_chars"),
+        F.regexp_count(text, F.lit(SIGN)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("windows")).cast("long").alias("n_repeat_words"),
     )
