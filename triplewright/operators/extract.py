@@ -112,6 +112,24 @@ def one_direction(tokens: DataFrame, means: DataFrame, relations: DataFrame, w:
     return {"entity": first.drop("emb"), "slots": slots, "contexts": contexts, "conditioned": entity_heads(fused, *w["conditioned"]).drop("emb")}
 
 
+def both_directions(tokens: DataFrame, means: DataFrame, semantic: DataFrame, graph: DataFrame, forward: dict, backward: dict, threshold: float = 0.5, most: int = 10) -> dict[str, dict[str, DataFrame]]:
+    """The whole forward pass: heads then tails under semantic relations, tails then heads under graph relations."""
+    return {
+        "forward": one_direction(tokens, means, semantic, forward, threshold, most),
+        "backward": one_direction(tokens, means, graph, backward, threshold, most),
+    }
+
+
+def projected(relations: DataFrame, weight: list[list[float]], bias: list[float]) -> DataFrame:
+    """Relation vectors taken to another size first, as an older attention does."""
+    return relations.select("relation_id", V.linear(V.double(F.col("emb")), weight, bias).alias("emb"))
+
+
+def items(tokens: DataFrame, means: DataFrame) -> DataFrame:
+    """(entity_id, pos, emb, mean): what a model reads of a description."""
+    return tokens.join(means.select("entity_id", F.col("emb").alias("mean")), "entity_id").select("entity_id", "pos", "emb", "mean")
+
+
 def likely_relations(means: DataFrame, relations: DataFrame, k: int) -> DataFrame:
     """(entity_id, relation_id, cosine, rank): the k relations most like a description; of ties the first by id."""
     both = means.select("entity_id", V.double(F.col("emb")).alias("a")).crossJoin(F.broadcast(relations.select("relation_id", V.double(F.col("emb")).alias("b"))))

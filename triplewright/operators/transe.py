@@ -39,6 +39,11 @@ def negatives(encoded: DataFrame, n_entities: int, epoch: int = 0, seed: int = 0
     return encoded.withColumns({"nh_idx": F.when(coin == 1, other).otherwise(F.col("h_idx")), "nr_idx": F.col("r_idx"), "nt_idx": F.when(coin == 0, other).otherwise(F.col("t_idx"))})
 
 
+def dealt(encoded: DataFrame, epoch: int, shards: int) -> DataFrame:
+    """Add ``shard``: each epoch deals the triples anew, by hash."""
+    return encoded.withColumn("shard", portable_hash(F.concat_ws("#", "h_idx", "r_idx", "t_idx", F.lit(str(epoch)))) % shards)
+
+
 def initial(ids: DataFrame, n: int, dims: int = DIM, seed: int = 0) -> DataFrame:
     """Add ``emb``: uniform within sqrt(6 / (n + dims)), from hashes of id and position."""
     edge = (6.0 / (n + dims)) ** 0.5

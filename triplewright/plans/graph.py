@@ -79,8 +79,9 @@ UNION ALL SELECT 'O' || l_orderkey, 'has_part', 'P' || l_partkey FROM lineitem""
 _T = sql_text(TOKEN)
 SQL_GRAPH = f"""WITH descriptions AS MATERIALIZED ({SQL_DESCRIPTIONS}), triples AS ({SQL_TRIPLES}), aliases AS ({SQL_ALIASES})"""
 SQL_SPANS = f"""{SQL_GRAPH}, pairs AS (SELECT h, h AS entity FROM triples UNION SELECT h, t FROM triples
+), clipped AS MATERIALIZED (SELECT entity_id, regexp_extract(text, '(?s)^(?:\\s*(?:\\w+|[^\\w\\s])){{0,128}}\\s?.?') AS text FROM descriptions
 ), rows_ AS (
-  SELECT p.h, p.entity, a.pos, a.alias, d.text, length(a.alias) AS n FROM pairs p JOIN aliases a ON a.entity_id = p.entity JOIN descriptions d ON d.entity_id = p.h WHERE contains(d.text, a.alias)
+  SELECT p.h, p.entity, a.pos, a.alias, d.text, length(a.alias) AS n FROM pairs p JOIN aliases a ON a.entity_id = p.entity JOIN clipped d ON d.entity_id = p.h WHERE contains(d.text, a.alias)
 ), hits AS (
   SELECT *, list_filter(range(1, length(text) - n + 2), lambda i: substr(text, i, n) = alias
     AND (i = 1 OR NOT regexp_matches(substr(text, greatest(i - 1, 1), 1), '\\w')) AND NOT regexp_matches(substr(text, i + n, 1), '^\\w')) AS hit FROM rows_

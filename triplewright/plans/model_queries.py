@@ -13,8 +13,11 @@ from triplewright.operators import extract as X
 from triplewright.operators import losses as L
 from triplewright.operators import minimize as M
 from triplewright.operators import spans as S
+from triplewright.operators import training as TR
 from triplewright.operators import transe as TE
 from triplewright.plans import graph as G
+from triplewright.sources.lines import Graph, read_or_make
+from triplewright.storage import Scratch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -237,6 +240,23 @@ def transe_train(spark: SparkSession, d: str) -> DataFrame:
     return TE.train(enc, e, r, e.count(), r.count(), dims=DIMS, epochs=2)[1]
 
 
+@query(f"{_IDS} SELECT shard, count(*)::BIGINT AS n FROM (SELECT {_HASH.format('h_idx || $$#$$ || r_idx || $$#$$ || t_idx || $$#2$$').replace('$$', chr(39))} % 4 AS shard FROM enc) GROUP BY 1")
+def transe_shards(spark: SparkSession, d: str) -> DataFrame:
+    return TE.dealt(_encoded(spark, d)[0], 2, 4).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+
+
+_DIST2 = "sqrt(list_sum(list_transform(range(1, {n}), lambda k: (({h})[k] + (r.v)[k] - ({t})[k]) ** 2)))"
+_SCORED2 = _SCORED.replace(_DIST.format(n=DIMS + 1, h="a.v", t="b.v"), _DIST2.format(n=DIMS + 1, h="a.v", t="b.v")).replace(_DIST.format(n=DIMS + 1, h="c.v", t="d.v"), _DIST2.format(n=DIMS + 1, h="c.v", t="d.v"))
+
+
+@query(f"{_IDS}, {_negative(0)}, {_EMB}, {_SCORED2} SELECT h_idx, r_idx, t_idx, round(pos, 6) AS pos, round(neg, 6) AS neg FROM scored")
+def transe_scores_legacy(spark: SparkSession, d: str) -> DataFrame:
+    enc, e, r = _encoded(spark, d)
+    n, m = e.count(), r.count()
+    rows = TE.scores(TE.negatives(enc, n), TE.initial(e, n, DIMS), TE.initial(r, m, DIMS), p=2)
+    return rows.select("h_idx", "r_idx", "t_idx", F.round("pos", 6).alias("pos"), F.round("neg", 6).alias("neg"))
+
+
 # --- encoders ------------------------------------------------------------------------
 
 
@@ -354,6 +374,57 @@ def fuse_by_position(spark: SparkSession, d: str) -> DataFrame:
     return X.fuse(tokens, contexts, slots, W["fuse"], by_position=True).select("entity_id", "relation_id", "slot", "pos", F.round(F.get("emb", F.lit(0)), 5).alias("x"))
 
 
+_REL_GRAPH = f"rel AS MATERIALIZED (SELECT label AS relation_id, v[{DIMS + 1}:{2 * DIMS}] AS v FROM ({_MEANS}))"
+
+
+def _graph_relations(spark: SparkSession, d: str) -> DataFrame:
+    return _relations(spark, d).select("relation_id", F.slice("emb", DIMS + 1, DIMS).alias("emb"))
+
+
+@query(f"WITH {_TOK}, {_HEADS}, {_GREEDY}, {_REPS}, {_REL_GRAPH}, {_ATT}, {_FUSE} SELECT entity_id, relation_id, slot, pos, round({_dot('h', W['conditioned'][0])}, 5) AS start_logit, round({_dot('h', W['conditioned'][1])}, 5) AS end_logit FROM fused")
+def span_model_backward(spark: SparkSession, d: str) -> DataFrame:
+    tokens = _tokens(spark, d)
+    out = X.both_directions(tokens, _mean(tokens), _relations(spark, d, DIMS), _graph_relations(spark, d), W, W, most=3)["backward"]["conditioned"]
+    return out.select("entity_id", "relation_id", "slot", "pos", F.round("start_logit", 5).alias("start_logit"), F.round("end_logit", 5).alias("end_logit"))
+
+
+PROJECT = weight(DIMS, DIMS, 11), bias(DIMS, 11)
+_REL_PROJECTED = f"rel AS MATERIALIZED (SELECT relation_id, {sql_linear('v', *PROJECT)} AS v FROM (SELECT label AS relation_id, v[1:{DIMS}] AS v FROM ({_MEANS})))"
+
+
+@query(f"WITH {_TOK}, {_REL_PROJECTED}, {_ATT} SELECT entity_id, relation_id, (generate_subscripts(c, 1) - 1)::INT AS k, round(unnest(c), 6) AS x FROM ctx")
+def relation_attention_projected(spark: SparkSession, d: str) -> DataFrame:
+    tokens = _tokens(spark, d)
+    rows = X.relation_attention(tokens, X.projected(_relations(spark, d, DIMS), *PROJECT), _mean(tokens), W["attention"])
+    return rows.select("entity_id", "relation_id", F.posexplode("context").alias("k", "x")).select("entity_id", "relation_id", "k", F.round("x", 6).alias("x"))
+
+
+@query(f"WITH {_TOK}, m AS (SELECT entity_id, avg(x[1]) AS g FROM tok GROUP BY 1) SELECT tok.entity_id, pos, round(x[1], 6) AS x, round(g, 6) AS mean FROM tok JOIN m ON m.entity_id = tok.entity_id")
+def dataset_items(spark: SparkSession, d: str) -> DataFrame:
+    tokens = _tokens(spark, d)
+    return X.items(tokens, _mean(tokens)).select("entity_id", "pos", F.round(F.get("emb", F.lit(0)), 6).alias("x"), F.round(F.get("mean", F.lit(0)), 6).alias("mean"))
+
+
+@query()
+def train_heads(spark: SparkSession, d: str) -> DataFrame:
+    labels = G.table(spark, d, "documents").select(F.col("doc_id").alias("entity_id"), F.lit("h_s").alias("kind"), (F.col("doc_id") % TOKENS).cast("int").alias("pos"))
+    return TR.train_heads(_tokens(spark, d), labels, DIMS, Scratch(spark, "heads").root, epochs=2)
+
+
+@query("SELECT r_name FROM region")
+def cached_table(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{Scratch(spark, 'cache').root}/region"
+    read_or_make(spark, path, lambda: G.table(spark, d, "region").select("r_name"))
+    return read_or_make(spark, path, lambda: None)
+
+
+@query("SELECT unnest(['triples_train', 'triples_valid', 'triples_test', 'descriptions', 'aliases', 'relations', 'silver_spans']) AS name")
+def preflight(spark: SparkSession, d: str) -> DataFrame:
+    """Tables missing from a folder that has none."""
+    g = Graph(spark, Scratch(spark, "preflight").root)
+    return spark.createDataFrame([(p.rsplit("/", 1)[1],) for p in g.missing()], "name string")
+
+
 # --- losses and measures ---------------------------------------------------------------
 
 _BCE0 = "(greatest(z, 0) + ln(1 + exp(-abs(z))))"
