@@ -63,7 +63,9 @@ def repeat_words(windows: Column) -> Column:
 
 def _counted(source: DataFrame) -> DataFrame:
     """Columns doc_id, text and held, with the counts of the base rules and the grams."""
-    source = source.withColumn("words", words_of(F.col("text")))
+    # A filter on the verdict would be pushed below this step and split the text anew at each place that mentions the
+    # words, inside lambdas at each element. It stops at a column that isn't deterministic, so the verdict mentions one.
+    source = source.select("doc_id", "held", "text", words_of(F.col("text")).alias("words"), F.monotonically_increasing_id().alias("mark"))
     text, words = F.col("text"), F.col("words")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     size = F.size(words)
@@ -74,6 +76,7 @@ def _counted(source: DataFrame) -> DataFrame:
     return source.select(
         "doc_id",
         "held",
+        "mark",
         grams_of(words).alias("grams"),
         size.cast("long").alias("n_words"),
         F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc + F.length(w)).alias("word_chars"),
@@ -109,7 +112,7 @@ def _judged(df: DataFrame, held: Column, trusted: DataFrame, id_col: str, text_c
     table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<int>")  # folded into one constant by the optimizer
     out = _counted(df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), held.alias("held")))
     out = out.withColumn("weight", F.aggregate("grams", F.lit(0).cast("long"), lambda acc, b: acc + F.get(table, b)))
-    out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+    out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")) | (F.col("mark") < 0))
     return out.select(
         "doc_id", "held", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (F.col("weight") / (UNIT * F.nullif(F.size("grams"), F.lit(0)))).alias("llr"),
