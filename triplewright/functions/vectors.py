@@ -34,9 +34,13 @@ def norm(a: Column, p: int = 1) -> Column:
     return total(F.transform(a, F.abs)) if p == 1 else F.sqrt(total(F.transform(a, lambda x: x * x)))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: lambdas compute what they mention at each element, but not their own variable."""
+    return F.transform(F.array(value), use)[0]
+
+
 def unit(a: Column, p: int = 2) -> Column:
-    length = F.greatest(norm(a, p), F.lit(1e-12))
-    return F.transform(a, lambda x: x / length)
+    return bound(F.greatest(norm(a, p), F.lit(1e-12)), lambda length: F.transform(a, lambda x: x / length))
 
 
 def middle(a: Column, b: Column) -> Column:
@@ -53,9 +57,8 @@ def sigmoid(x: Column) -> Column:
 
 
 def softmax(a: Column) -> Column:
-    top = F.array_max(a)
-    raised = F.transform(a, lambda x: F.exp(x - top))
-    return F.transform(raised, lambda x: x / total(raised))
+    raised = bound(a, lambda v: bound(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top))))
+    return bound(raised, lambda r: bound(total(r), lambda s: F.transform(r, lambda x: x / s)))
 
 
 def linear(x: Column, weight: list[list[float]], bias: list[float]) -> Column:

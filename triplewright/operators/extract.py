@@ -80,7 +80,7 @@ def relation_attention(tokens: DataFrame, relations: DataFrame, means: DataFrame
     rows = tok.join(mean, "entity_id").crossJoin(F.broadcast(rel))  # a row for each description and relation is the result's own size
     v = F.array(*[F.lit(float(x)) for x in w["v"]])
     scores = F.transform("toks", lambda t: V.dot(v, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.tanh(F.get(t["px"], k) + F.get(F.col("pr"), k) + F.get(F.col("pg"), k)))))
-    rows = rows.withColumn("weights", V.softmax(scores))
+    rows = rows.withColumn("scores", scores).withColumn("weights", V.softmax(F.col("scores")))
     size = F.size(F.col("toks")[0]["emb"])
     context = F.aggregate(
         F.zip_with("toks", "weights", lambda t, a: F.transform(t["emb"], lambda x: x * a)),
