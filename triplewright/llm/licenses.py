@@ -49,12 +49,12 @@ SENTENCES = [
     ("ALLRIGHTS", "all rights reserved"),
 ]
 
-# Licence rules over identifiers, tried in this order.
+# Licence rules over identifiers, tried in this order. 'All rights reserved' in the heading of a licence belongs to that licence.
 RULES = [
-    ("MIT", "<MITGRANT>(?:<NOTICE>)?(?:<ASIS>)?(?:<LIABLE>)?"),
-    ("BSD-3-Clause", "<BSDGRANT><BSDSOURCE><BSDBINARY><BSDENDORSE>(?:<BSDASIS>)?(?:<LIABLE>)?"),
-    ("BSD-2-Clause", "<BSDGRANT><BSDSOURCE><BSDBINARY>(?:<BSDASIS>)?(?:<LIABLE>)?"),
-    ("Apache-2.0", "<APACHEREF>(?:<APACHEFILE>)?(?:<APACHECOPY>)?(?:<APACHEASIS>)?"),
+    ("MIT", "(?:<ALLRIGHTS>)?<MITGRANT>(?:<NOTICE>)?(?:<ASIS>)?(?:<LIABLE>)?"),
+    ("BSD-3-Clause", "(?:<ALLRIGHTS>)?<BSDGRANT><BSDSOURCE><BSDBINARY><BSDENDORSE>(?:<BSDASIS>)?(?:<LIABLE>)?"),
+    ("BSD-2-Clause", "(?:<ALLRIGHTS>)?<BSDGRANT><BSDSOURCE><BSDBINARY>(?:<BSDASIS>)?(?:<LIABLE>)?"),
+    ("Apache-2.0", "(?:<ALLRIGHTS>)?<APACHEREF>(?:<APACHEFILE>)?(?:<APACHECOPY>)?(?:<APACHEASIS>)?"),
     ("GPL-3.0-or-later", "<GPLFREE3>"),
     ("GPL-2.0-or-later", "<GPLFREE2>"),
     ("GPL-3.0", "<GPLREF3>"),
@@ -67,7 +67,7 @@ RULES = [
     ("CC0-1.0", "<CC0>"),
     ("MIT", "<MITREF>"),
     ("BSD", "<BSDREF>"),
-    ("Proprietary", "<COPYRIGHT>?<ALLRIGHTS>"),
+    ("Proprietary", "(?:<COPYRIGHT>)?<ALLRIGHTS>"),
 ]
 
 #: Every known sentence has one of these; others needn't be normalised.
