@@ -1,11 +1,28 @@
 """Licence texts with the licences they carry, worked out by hand."""
 
+import textwrap
+
 import pytest
 
 from triplewright.llm import licenses
 
 BSD = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation.\n"
 
+BSD3 = f"{BSD}3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+BSD_END = '\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"\nAND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\nIMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\nDISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE\nFOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL\nDAMAGES.'
+BSD_NAMED = f"{BSD}3. Neither the name of Writers Inc. nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission."
+MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY.'
+APACHE = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
+GPL2 = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version."
+GPL3 = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+LGPL = "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."
+
+
+def wrapped(text, width):
+    return textwrap.fill(" ".join(text.split()), width)
+
+
 #: Text, licences, sentences that no licence took.
 CASES = {
     "rights alone": ("All rights reserved.", "Proprietary", 0),
@@ -13,6 +30,42 @@ CASES = {
     "rights and year": ("Copyright (c) 2020 A. Writer. All rights reserved.", "Proprietary", 0),
     "year alone": ("Copyright 2020 A Writer.", "", 1),
     "rights in a BSD heading": (f"Copyright (c) 2020, The Writers\nAll rights reserved.\n\n{BSD}", "BSD-2-Clause", 1),
+    "BSD 2": (BSD + BSD_END, "BSD-2-Clause", 0),
+    "BSD 3": (BSD3 + BSD_END, "BSD-3-Clause", 0),
+    "BSD 3 with Inc.": (BSD_NAMED + BSD_END, "BSD-3-Clause", 0),
+    "MIT in full": (MIT, "MIT", 0),
+    "Apache in full": (APACHE, "Apache-2.0", 0),
+    "GPL 2": (GPL2, "GPL-2.0-or-later", 0),
+    "GPL 3": (GPL3, "GPL-3.0-or-later", 0),
+    "GPL 3 in comments": ("# " + GPL3.replace("\n", "\n# "), "GPL-3.0-or-later", 0),
+    **{f"GPL 2 at {w}": (wrapped(GPL2, w), "GPL-2.0-or-later", 0) for w in (60, 66, 72, 76, 80)},
+    **{f"GPL 3 at {w}": (wrapped(GPL3, w), "GPL-3.0-or-later", 0) for w in (60, 66, 72, 76, 80)},
+    "LGPL in full": (LGPL, "LGPL", 0),
+    **{f"LGPL at {w}": (wrapped(LGPL, w), "LGPL", 0) for w in (60, 66, 72, 76, 80)},
+    "MPL": (MPL, "MPL-2.0", 0),
+    "MPL in comments": ("/* " + MPL.replace("\n", "\n * "), "MPL-2.0", 0),
+    "MPL on one line": (" ".join(MPL.split()), "MPL-2.0", 0),
+    "Affero is no GPL": (GPL3.replace("GNU General", "GNU Affero General"), "", 2),
+    "headings": ("License\nGNU\nLibrary\nGeneral public\nMIT Press wrote it.\nMIT!!\n", "", 0),
+    "German is no tag": ("Mit der Lizenz geht es weiter.", "", 0),
+    "tag of two licences": ("SPDX-License-Identifier: MIT OR Apache-2.0", "", 1),
+    "tag before code": ("// SPDX-License-Identifier: MIT\n\n#include <stdio.h>", "MIT", 0),
+    "tag in a comment": ("/* SPDX-License-Identifier: GPL-2.0 */", "GPL-2.0", 0),
+    "tag MIT": ("SPDX-License-Identifier: MIT\n", "MIT", 0),
+    "tag BSD-3-Clause": ("SPDX-License-Identifier: BSD-3-Clause\n", "BSD-3-Clause", 0),
+    "tag BSD-2-Clause": ("SPDX-License-Identifier: BSD-2-Clause\n", "BSD-2-Clause", 0),
+    "tag Apache-2.0": ("SPDX-License-Identifier: Apache-2.0\n", "Apache-2.0", 0),
+    "tag GPL-3.0-or-later": ("SPDX-License-Identifier: GPL-3.0-or-later\n", "GPL-3.0-or-later", 0),
+    "tag GPL-2.0-or-later": ("SPDX-License-Identifier: GPL-2.0-or-later\n", "GPL-2.0-or-later", 0),
+    "tag GPL-2.0+": ("SPDX-License-Identifier: GPL-2.0+\n", "GPL-2.0-or-later", 0),
+    "tag GPL-3.0-only": ("SPDX-License-Identifier: GPL-3.0-only\n", "GPL-3.0", 0),
+    "tag GPL-2.0-only": ("SPDX-License-Identifier: GPL-2.0-only\n", "GPL-2.0", 0),
+    "tag LGPL-2.1-or-later": ("SPDX-License-Identifier: LGPL-2.1-or-later\n", "LGPL", 0),
+    "tag MPL-2.0": ("SPDX-License-Identifier: MPL-2.0\n", "MPL-2.0", 0),
+    "tag CC-BY-NC-4.0": ("SPDX-License-Identifier: CC-BY-NC-4.0\n", "CC-BY-NC-4.0", 0),
+    "tag CC-BY-SA-4.0": ("SPDX-License-Identifier: CC-BY-SA-4.0\n", "CC-BY-SA-4.0", 0),
+    "tag CC-BY-4.0": ("SPDX-License-Identifier: CC-BY-4.0\n", "CC-BY-4.0", 0),
+    "tag CC0-1.0": ("SPDX-License-Identifier: CC0-1.0\n", "CC0-1.0", 0),
     "MIT by name": ("This project is licensed under the MIT License.", "MIT", 0),
     "BSD by name": ("Released under the 3-clause BSD license.", "BSD", 0),
     "Apache by name": ("Licensed under the Apache License, Version 2.0.", "Apache-2.0", 0),

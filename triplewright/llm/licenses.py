@@ -8,43 +8,79 @@ sentence has lower-case ASCII letters, digits, ``.`` and ``+`` between single
 spaces. All column expressions; ``oracle`` states the same as DuckDB SQL.
 
 Null text counts as empty: no sentence, no licence. A sentence that matches two
-identifiers takes the first listed. Repeated rows give equal results. Only the
+identifiers takes the first listed. Closing signs also cut inside the usual wording
+of some licences ("free software; you can", "v. 2.0", an SPDX tag before its value),
+and a wrapped line may begin with a capital; their sentences are therefore listed as
+the pieces that come out, and rules put the pieces together. An SPDX tag whose value
+is an expression of several licences, or another licence, stays unmatched. Repeated rows give equal results. Only the
 named columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Licences and their SPDX identifiers, normalised. What stands on the lines after a tag may follow, if it isn't more of an expression.
+TAGS = [
+    ("MIT", "mit"),
+    ("BSD-3-Clause", "bsd 3 clause"),
+    ("BSD-2-Clause", "bsd 2 clause"),
+    ("Apache-2.0", "apache 2.0"),
+    ("GPL-3.0-or-later", "gpl 3.0(?: or later|[+])"),
+    ("GPL-2.0-or-later", "gpl 2.0(?: or later|[+])"),
+    ("GPL-3.0", "gpl 3.0(?: only)?"),
+    ("GPL-2.0", "gpl 2.0(?: only)?"),
+    ("LGPL", "lgpl [23].[01](?: only| or later|[+])?"),
+    ("MPL-2.0", "mpl 2.0"),
+    ("CC-BY-NC-4.0", "cc by nc 4.0"),
+    ("CC-BY-SA-4.0", "cc by sa 4.0"),
+    ("CC-BY-4.0", "cc by 4.0"),
+    ("CC0-1.0", "cc0 1.0"),
+]
+AFTER = "(?: (?:include|import|package|pragma|module|use|using|const|var|let|def|class|from|ifndef|define|export|fn|pub|static|set) .*)?"
+
+# Pieces of the GNU heading, which is cut at closing signs and where a line begins with a capital.
+YOU = "you can redistribute it and or modify it under the terms of the "
+GNU, AS = "(?:(?:(?:gnu )?general )?public )?", " as published by the"
+
 # Openings or whole wordings of known licence sentences, normalised, as patterns.
 SENTENCES = [
     ("MITGRANT", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files.*"),
     ("NOTICE", "(?:subject to the following conditions )?the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    ("ASIS", "the software is provided as is without warranty of any kind.*"),
-    ("LIABLE", "in no event shall the (?:authors|copyright).* be liable for any .*"),
+    ("ASIS", "the software is provided as is(?: without.*)?"),
+    ("LIABLE", "(?:in no event shall the (?:authors?|copyright|regents).*|authors or copyright holders|copyright (?:holders?|owners?) (?:or|and) contributors) be liable(?: for.*)?"),
     ("MITREF", "(?:this (?:work|software|file|project) is )?(?:released|licensed|distributed|available) under the (?:terms of the )?mit license"),
     ("BSDGRANT", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("BSDSOURCE", "(?:1. |1 )?redistributions of source code must retain the above copyright notice.*"),
     ("BSDBINARY", "(?:2. |2 )?redistributions in binary form must reproduce the above copyright notice.*"),
-    ("BSDENDORSE", "(?:3. |3 )?neither the name of .* may be used to endorse or promote products.*"),
-    ("BSDASIS", "this software is provided by the .* as is and any express or implied warranties.* are disclaimed"),
+    ("BSDENDORSE", "(?:3. |3 )?(?:neither the name of|nor the names? of) .* may be used to endorse or promote products.*"),
+    ("BSDASIS", "this software is provided by the .*"),
     ("BSDREF", "(?:this (?:work|software|file|project) is )?(?:released|licensed|distributed) under (?:the|a) (?:3 clause |2 clause |new |simplified )?bsd (?:style )?license"),
     ("APACHEREF", "(?:this (?:work|software|file|project) is )?(?:released|licensed|distributed) under the apache license(?: version)? 2.0(?: the license)?"),
     ("APACHEFILE", "you may not use this file except in compliance with the license"),
     ("APACHECOPY", "you may obtain a copy of the license at.*"),
     ("APACHEASIS", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis.*"),
-    ("GPLFREE3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3.*"),
-    ("GPLFREE2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2.*"),
+    ("FREE", "this (?:program|software|file|package|work|library) is free software"),
+    ("LGPLNAME", f"(?:{YOU}(?:gnu )?(?:lesser|library)|gnu (?:lesser|library)|(?:lesser|library) general public)(?: .*)?"),
+    ("AGPLNAME", f"(?:{YOU}(?:gnu )?|gnu )?affero(?: general.*)?"),
+    ("GPLNAME3", f"(?:{YOU})?{GNU}license{AS} (?:free software foundation )?either version 3.*"),
+    ("GPLNAME2", f"(?:{YOU})?{GNU}license{AS} (?:free software foundation )?either version 2.*"),
+    ("GPLNAME", f"(?:{YOU}gnu(?: general(?: public(?: license)?)?)?|gnu general(?: public(?: license)?)?|(?:{YOU})?{GNU}license{AS}(?: free(?: software(?: foundation)?)?)?)"),
+    ("LATER3", "(?:(?:(?:free )?software )?foundation )?either version 3.*"),
+    ("LATER2", "(?:(?:(?:free )?software )?foundation )?either version 2.*"),
     ("GPLREF3", "(?:this (?:work|software|file|project|program) is )?(?:released|licensed|distributed) under the gnu general public license version 3(?:.0)?"),
     ("GPLREF2", "(?:this (?:work|software|file|project|program) is )?(?:released|licensed|distributed) under the gnu general public license version 2(?:.0)?"),
     ("LGPLREF", "(?:this (?:work|software|file|project|library) is )?(?:released|licensed|distributed) under the gnu lesser general public license.*"),
-    ("MPLREF", "this source code form is subject to the terms of the mozilla public license v. 2.0"),
+    ("MPLREF", "this source code form is subject to the terms of the(?: mozilla(?: public(?: license(?: v|(?: version| v.)? ?2.0)?)?)?)?"),
     ("CCBYNC4", "(?:this (?:work|text|file) is )?licensed under (?:a )?(?:cc by nc|creative commons attribution noncommercial) 4.0(?: international license)?"),
     ("CCBYSA4", "(?:this (?:work|text|file) is )?licensed under (?:a )?(?:cc by sa|creative commons attribution sharealike) 4.0(?: international license)?"),
     ("CCBY4", "(?:this (?:work|text|file) is )?licensed under (?:a )?(?:cc by|creative commons attribution) 4.0(?: international license)?"),
     ("CC0", "(?:this (?:work|text|file) is )?(?:released|dedicated|licensed) (?:under|to) (?:cc0|the public domain).*"),
-    ("SPDX", "spdx license identifier .*"),
+    ("SPDX", "spdx license identifier(?: .*)?"),
+    *[(f"SPDX{k}", f"{tag}{AFTER}") for k, (_, tag) in enumerate(TAGS)],
     ("COPYRIGHT", "copyright (?:c )?[0-9]{4}.*"),
     ("ALLRIGHTS", "all rights reserved"),
 ]
@@ -55,11 +91,12 @@ RULES = [
     ("BSD-3-Clause", "(?:<ALLRIGHTS>)?<BSDGRANT><BSDSOURCE><BSDBINARY><BSDENDORSE>(?:<BSDASIS>)?(?:<LIABLE>)?"),
     ("BSD-2-Clause", "(?:<ALLRIGHTS>)?<BSDGRANT><BSDSOURCE><BSDBINARY>(?:<BSDASIS>)?(?:<LIABLE>)?"),
     ("Apache-2.0", "(?:<ALLRIGHTS>)?<APACHEREF>(?:<APACHEFILE>)?(?:<APACHECOPY>)?(?:<APACHEASIS>)?"),
-    ("GPL-3.0-or-later", "<GPLFREE3>"),
-    ("GPL-2.0-or-later", "<GPLFREE2>"),
+    ("GPL-3.0-or-later", "<FREE>(?:<GPLNAME>)*(?:<GPLNAME3>|<GPLNAME><LATER3>)"),
+    ("GPL-2.0-or-later", "<FREE>(?:<GPLNAME>)*(?:<GPLNAME2>|<GPLNAME><LATER2>)"),
     ("GPL-3.0", "<GPLREF3>"),
     ("GPL-2.0", "<GPLREF2>"),
     ("LGPL", "<LGPLREF>"),
+    ("LGPL", "<FREE>(?:<GPLNAME>)?<LGPLNAME>(?:<GPLNAME>)*(?:<GPLNAME[23]>|<LATER[23]>)?"),
     ("MPL-2.0", "<MPLREF>"),
     ("CC-BY-NC-4.0", "<CCBYNC4>"),
     ("CC-BY-SA-4.0", "<CCBYSA4>"),
@@ -67,11 +104,12 @@ RULES = [
     ("CC0-1.0", "<CC0>"),
     ("MIT", "<MITREF>"),
     ("BSD", "<BSDREF>"),
+    *[(name, f"<SPDX><SPDX{k}>") for k, (name, _) in enumerate(TAGS)],
     ("Proprietary", "(?:<COPYRIGHT>)?<ALLRIGHTS>"),
 ]
 
 #: Every known sentence has one of these; others needn't be normalised.
-CLUE = "(?i)licen|permission|redistribut|warrant|copyright|liable|spdx|free software|public domain|rights|endorse|cc0"
+CLUE = "(?i)licen|permission|redistribut|warrant|copyright|liable|spdx|free software|public domain|rights|endorse|cc0|source code form|provided by the|software foundation|either version|general public|^gnu|lesser|affero|^[al]?gpl-|^(?:apache|bsd|mpl|cc)-[0-9b]|(?-i:^MIT[.]?[ \\t\\r\\n]*(?:[*]/|-->|\\n|$))"
 CLOSE, CAPITAL = r"([.!?;:])[ \t\r\n]+", r"\n[ \t/*#-]*([A-Z])"
 CUT = "\x01"
 
@@ -107,7 +145,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # One mention of each licence, where its first rule stands.
     names = list(dict.fromkeys(name for name, _ in RULES))
     hits = {n: [F.col(f"hit{k}") for k, (name, _) in enumerate(RULES) if name == n] for n in names}
-    any_hit = {n: h[0] if len(h) == 1 else h[0] | h[1] for n, h in hits.items()}
+    any_hit = {n: reduce(Column.__or__, h) for n, h in hits.items()}
     return rows.select(
         "doc_id",
         "n_sentences",
