@@ -75,6 +75,9 @@ CASES = {
     "CC BY-NC": ("This work is licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0", 0),
     "CC BY-SA": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0", 0),
     "CC BY": ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0", 0),
+    "CC0 over two lines": ("Dedicated to the public\ndomain.", "CC0-1.0", 0),
+    "CC0 in comments": ("# Dedicated to the public\n# domain.", "CC0-1.0", 0),
+    "CC0 with two spaces": ("Dedicated to the public  domain.", "CC0-1.0", 0),
     "CC0": ("This work is dedicated to the public domain.", "CC0-1.0", 0),
 }
 

@@ -108,8 +108,8 @@ RULES = [
     ("Proprietary", "(?:<COPYRIGHT>)?<ALLRIGHTS>"),
 ]
 
-#: Every known sentence has one of these; others needn't be normalised.
-CLUE = "(?i)licen|permission|redistribut|warrant|copyright|liable|spdx|free software|public domain|rights|endorse|cc0|source code form|provided by the|software foundation|either version|general public|^gnu|lesser|affero|^[al]?gpl-|^(?:apache|bsd|mpl|cc)-[0-9b]|(?-i:^MIT[.]?[ \\t\\r\\n]*(?:[*]/|-->|\\n|$))"
+#: Every known sentence has one of these before it is normalised; others needn't be. Between words stands what becomes a space.
+CLUE = "(?i)licen|permission|redistribut|warrant|copyright|liable|spdx|free[^a-z0-9.+]+software|public[^a-z0-9.+]+domain|rights|endorse|cc0|source[^a-z0-9.+]+code[^a-z0-9.+]+form|provided[^a-z0-9.+]+by[^a-z0-9.+]+the|software[^a-z0-9.+]+foundation|either[^a-z0-9.+]+version|general[^a-z0-9.+]+public|^gnu|lesser|affero|^[al]?gpl-|^(?:apache|bsd|mpl|cc)-[0-9b]|(?-i:^MIT[.]?[ \\t\\r\\n]*(?:[*]/|-->|\\n|$))"
 CLOSE, CAPITAL = r"([.!?;:])[ \t\r\n]+", r"\n[ \t/*#-]*([A-Z])"
 CUT = "\x01"
 
