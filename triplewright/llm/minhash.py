@@ -120,13 +120,13 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = [len(s) > 0 for s in sets]
         yield pa.RecordBatch.from_arrays(
             [
-                rows.column(0),
+                *rows.columns[:-1],
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(x, digest_size=16).digest() if k else None for x, k in zip(plain, some, strict=True)], pa.binary()),
                 pa.array([x if k else None for x, k in zip(keys, some, strict=True)], pa.list_(pa.int64())),
                 pa.array([x.astype(np.uint8).tobytes() if k else None for x, k in zip(best & np.uint64(255), some, strict=True)], pa.binary()),
             ],
-            ["doc_id", "n_shingles", "digest", "keys", "sig"],
+            [*rows.schema.names[:-1], "n_shingles", "digest", "keys", "sig"],
         )
 
 
@@ -190,10 +190,11 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Run:
     """Tables of one call."""
 
-    def __init__(self, df: DataFrame, id_col: str, text_col: str):
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()):
         self.scratch = Scratch(df.sparkSession, "minhash")
-        self.source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        self.rows = self.scratch.keep(map_batches(self.source, _signatures, "doc_id long, n_shingles long, digest binary, keys array<long>, sig binary"), "rows")
+        self.source = df.select(F.col(id_col).cast("long").alias("doc_id"), *carry, F.col(text_col).cast("string").alias("text"))
+        names = ", ".join(f"{c} {kind}" for c, kind in self.source.dtypes[:-1])
+        self.rows = self.scratch.keep(map_batches(self.source, _signatures, f"{names}, n_shingles long, digest binary, keys array<long>, sig binary"), "rows")
         known = self.rows.where("doc_id is not null and digest is not null")
         self.classes = self.scratch.keep(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
         stands = known.join(self.classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
@@ -272,14 +273,20 @@ class _Run:
         more = self.across(stars, labels)
         return labels if more.isEmpty() else components(labels.unionByName(more), self.scratch)
 
+    def labelled(self) -> DataFrame:
+        """The rows, with the component of their text as ``comp``: null where no row with an id has a word of it."""
+        named = self.classes.join(self.links().select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("comp"))
+        return self.rows.drop("keys", "sig").join(self.scratch.keep(named, "named-classes"), "digest", "left")
+
+
+def clusters(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
+    """doc_id, the carried columns and comp, for each input row; a row with a null id has the component of the others with its text."""
+    return _Run(df, id_col, text_col, carry).labelled().select("doc_id", *carry, "comp")
+
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each input row."""
-    run = _Run(df, id_col, text_col)
-    labels = run.links()
-    named = run.classes.join(labels.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("comp"))
-    named = run.scratch.keep(named, "named-classes")
-    out = run.rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
+    out = _Run(df, id_col, text_col).labelled().withColumn("comp", F.when(F.col("doc_id").isNotNull(), F.col("comp")))
     component = F.coalesce("comp", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

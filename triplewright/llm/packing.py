@@ -12,7 +12,8 @@ never span shards, so a conflict can't either.
 
 Longer texts fill whole bins of their own and leave a rest, which is packed as a
 text. Texts without a word (null ones too) take no bin: null bin_id, one row. A
-null source or cluster conflicts with nothing. Repeated rows are packed as often
+null source or cluster conflicts with nothing. Near copies of rows without an id
+are no cluster; equal texts are. Repeated rows are packed as often
 as they occur, and conflict with each other where a cluster is given.
 """
 
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triplewright.llm import minhash
 from triplewright.llm.batches import portable
 
 #: Words in a bin, and rows in a shard, about.
@@ -62,8 +64,8 @@ def best_fit(items: list[tuple[int, object, object]], capacity: int) -> list[tup
     return out
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", cluster: Column | None = None, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """doc_id, piece, first_word, n_words, bin_id, bin_offset: the pieces of every row. ``cluster`` is a column expression over ``df``; by default equal texts are a cluster."""
+def pack(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", cluster: Column | None = None, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, near: bool = False) -> DataFrame:
+    """doc_id, piece, first_word, n_words, bin_id, bin_offset: the pieces of every row. ``cluster`` is a column expression over ``df``; by default equal texts are a cluster, with ``near`` also near-duplicate ones (components of ``minhash``)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.xxhash64(F.col(text_col)) if cluster is None else cluster.cast("long")
     rows = df.select(
@@ -72,7 +74,11 @@ def pack(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text
         key.alias("cluster"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         F.xxhash64(id_col, text_col).alias("tie"),
+        *([text.alias("text")] if near else []),
     )
+    if near:
+        found = minhash.clusters(rows, "doc_id", "text", ("source", "cluster", "size", "tie"))
+        rows = found.withColumn("cluster", F.coalesce("comp", "cluster")).drop("comp")
     shards = max(1, -(-df.count() // shard_rows))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(shards)))
 

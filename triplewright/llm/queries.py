@@ -25,7 +25,7 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir))
+    return packing.pack(documents(spark, sf_dir), near=True)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
