@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -12,11 +13,12 @@ from tokenizers import Tokenizer
 
 from tests.conftest import DATA
 from tests.llm import brute
-from triplewright.llm import bpe, token_store
+from triplewright.llm import batches, bpe, token_store
 
-BYTE, WORD = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/word_bpe_49k.json"
+BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = [
     "a\n\nb", "  x  y ", "İstanbul ΣΑΣ", "<|endoftext|> hi<|startoftext|>x", "tab\there\r\nnew", "don't we'll 's ''s", "é ́x ½²x 12 3", "aaaa aaaaaaa", " nb  x\u0085z\x1cq", "\x02 x \x02", "x\n", "\nx", "‍zero​ w", "word.,!! a.b ...",
+    "İ, DEĞERLİ. İ.", "क़. ,क़", "שׁ.x", "².½, Ⅳ.", "a̧. é,", "ﬁ.ſ,ŉ.",
 ]
 
 
@@ -27,6 +29,9 @@ def library(path):
     return t
 
 
+LIBRARY = {path: library(path) for path in (BYTE, WORD)}
+
+
 @pytest.fixture(scope="module")
 def texts():
     return brute.EDGE + ODD + pq.read_table(f"{DATA}/sf0.001/documents.parquet").column("text").to_pylist()
@@ -78,3 +83,38 @@ def test_simple8b_round_trip(values):
     assert (token_store.unpack(words, blocks, len(ids)) == ids).all()
     data, lengths = token_store.read_segment(token_store.segment(ids, np.array([len(ids)])))
     assert (data == ids).all() and lengths.tolist() == [len(ids)]
+
+
+#: Letters of many scripts, marks that compose and that don't, signs, digits and white space of all kinds.
+ALPHABETS = [
+    "abcXYZ", "éàüßñçÉÀÜ", "İıIiŞşĞğ", "ſŉŀ", "ЖжяЯ", "ΣσςΑα", "אבשׁוֹ", "قلم", "कख़क़नि", "漢字カナ", "가각", " \n\t\r", "..,,", "!?;:'\"()-_`~@#", "0123²½Ⅳ٣",
+    "\u0327\u0301\u0307\u0308\u0344", "ẞÅΩﬁ", "😀👍🏽\u200d", "'s't're've'm'll'd", "Ɪᲀགྷ⫝̸יִ", "\u3000\u00a0\u0085\x1c",
+]
+MIXED = st.lists(st.one_of(*[st.text(a, min_size=1, max_size=6) for a in ALPHABETS], st.sampled_from(["<|endoftext|>", "İ.", "don't", "word.", "é,", ". ,"])), max_size=12).map("".join)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(MIXED, min_size=1, max_size=8))
+def test_encoders_equal_the_library_on_mixed_alphabets(texts):
+    word, byte = token_store.word_encoder(open(WORD).read()), bpe.worker_encoder(open(BYTE).read())
+    for path, encode in ((WORD, word), (BYTE, byte.encode)):
+        ids, sizes = encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [x.ids for x in LIBRARY[path].encode_batch(texts, add_special_tokens=False)]
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    texts = ["word, İ. x" * 300_000, "a" * 50_000, "", None]
+    df = spark.createDataFrame([(i, t, 7, "p", [1]) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens long, payload string, ids array<int>")
+    rows = {r["doc_id"]: r for r in token_store.token_file_digest(df, WORD).collect()}
+    bytes_ = {r["doc_id"]: r for r in bpe.bpe_digest(df, BYTE).collect()}
+    for i, text in enumerate(texts):
+        assert rows[i]["n_tokens"] == len(LIBRARY[WORD].encode(text or "", add_special_tokens=False).ids) + 1
+        ids = LIBRARY[BYTE].encode(text or "", add_special_tokens=False).ids
+        assert bytes_[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert bytes_[i]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def test_range_partitions_follow_the_size(spark):
+    source = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    assert batches.partitions_for(source) == batches.partitions_for(spark.createDataFrame([(1,)], "a int")) == 4
+    assert batches.partitions_for(source.crossJoin(spark.range(100_000))) > 1000

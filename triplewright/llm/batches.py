@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
-#: Rows that cross to a Python worker at once. Texts of a few kB make a batch of a few MB.
-ROWS_PER_BATCH = 400
+#: Rows that a kernel works on at once: Spark's own Arrow batches hold 10,000 rows or 64 MB.
+ROWS_PER_STEP = 400
 #: Characters that a kernel works on at once, so that a run of very long texts stays small in memory.
 CHARS_PER_STEP = 4_000_000
+#: Bytes of a table, as the optimizer estimates it, for each range partition; estimates over the last bound are no estimates.
+BYTES_PER_RANGE, NO_ESTIMATE = 64 << 20, 1 << 60
 
 
 def portable(name: str) -> None:
@@ -21,24 +23,38 @@ def portable(name: str) -> None:
 
 
 def map_batches(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``df.mapInArrow`` with batches small enough for whole long texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
+    """``df.mapInArrow`` with batches as the session makes them, at most 64 MB unless it says otherwise."""
     return df.mapInArrow(kernel, schema)
 
 
+def partitions_for(df: DataFrame) -> int:
+    """Range partitions that grow with the table: its estimated size over BYTES_PER_RANGE, the session's shuffle partitions at least."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(least, -(-size // BYTES_PER_RANGE)) if size < NO_ESTIMATE else least
+
+
 def text_steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHARS_PER_STEP) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Slices of at most ``most`` characters (one text at least), with their texts."""
-    for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-        begin = chars = 0
-        for at, value in enumerate(texts):
-            size = len(value or "")
-            if at > begin and chars + size > most:
-                yield batch.slice(begin, at - begin), texts[begin:at]
-                begin, chars = at, 0
-            chars += size
-        if begin < len(texts):
+    """Slices of at most ``most`` characters (one text at least) and ROWS_PER_STEP rows, with their texts."""
+    for whole in batches:
+        for first in range(0, whole.num_rows, ROWS_PER_STEP):
+            batch = whole.slice(first, ROWS_PER_STEP)
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            begin = chars = 0
+            for at, value in enumerate(texts):
+                size = len(value or "")
+                if at > begin and chars + size > most:
+                    yield batch.slice(begin, at - begin), texts[begin:at]
+                    begin, chars = at, 0
+                chars += size
             yield batch.slice(begin), texts[begin:]
 
 
+def row_steps(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_STEP) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 portable(__name__)

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from triplewright.llm import audio, bpe, classifier, language, licenses, minhash, packing, pii, quality_rules, token_store
 
-#: Folder of public vocabulary files; never copied into the repository.
-TOKENIZERS = "/opt/tokenizers"
-
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -33,7 +31,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.bpe_digest(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.bpe_digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +55,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.token_file_digest(documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json")
+    return token_store.token_file_digest(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

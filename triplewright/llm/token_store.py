@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from triplewright.llm.batches import map_batches, portable, text_steps
+from triplewright.llm.batches import map_batches, partitions_for, portable, text_steps
 from triplewright.llm.chunks import ChunkTable, byte_letters, worker_cache
 from triplewright.storage import Scratch
 
@@ -31,6 +31,8 @@ BLOCK_IDS = 512
 #: Ids of a segment, reached before it is closed; also what a task holds at once.
 SEGMENT_IDS = 1_000_000
 END_ID = 1
+#: Body of a character class: letters that stay one letter under composition and lower-casing.
+SETTLED = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f"
 
 # Ids in a word by selector 1 to 14 of Simple-8b; their width is 60 // ids.
 PER_WORD = [60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
@@ -141,9 +143,16 @@ def word_encoder(tokenizer_json: str) -> Callable[[list[str | None]], tuple[np.n
 
     The vocabulary drops white space and neither its normalisation nor its
     splitting rule looks across a space or a line feed, so each stretch between
-    them is encoded once and a table holds what it gave. A stretch of plain
-    letters and then plain signs is two words for the library's model; any other
+    them is encoded once and a table holds what it gave. A stretch of settled
+    letters and then ASCII signs is two words for the library's model; any other
     stretch goes through the whole library.
+
+    Settled letters are those that the library's normalisation keeps as one
+    letter: canonical composition leaves every Latin letter up to U+017F as it
+    is, and lower-casing gives one letter for each but U+0130, which becomes a
+    letter and a combining mark. Marks count as signs for the splitting rule, so
+    only beside settled letters, digits and white space is a full stop or a comma
+    sure to stand alone, whatever the normalisation does to the text.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -155,9 +164,9 @@ def word_encoder(tokenizer_json: str) -> Callable[[list[str | None]], tuple[np.n
     library.no_truncation()
     library.no_padding()
     model, letters = library.model, byte_letters()
-    plain = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]*)([!-/:-@\[-`{-~]*)")
+    plain = re.compile(rf"([{SETTLED}]*)([!-/:-@\[-`{{-~]*)")
     added = [x.content for x in library.get_added_tokens_decoder().values()]
-    beside = re.compile(r"(?:[^\w \n]|_)[.,]|[.,](?:[^\w \n]|_)")
+    beside = re.compile(rf"[^{SETTLED}0-9 \n][.,]|[.,][^{SETTLED}0-9 \n]")
 
     def of_word(word: str) -> list[int]:
         return [t.id for t in model.tokenize(word if word.isascii() else "".join([letters[b] for b in word.encode("utf-8")]))]
@@ -179,7 +188,7 @@ def word_encoder(tokenizer_json: str) -> Callable[[list[str | None]], tuple[np.n
     table = ChunkTable(learn)
 
     def chunks(text: str) -> list[str]:
-        """Full stops and commas stand alone where no other sign touches them, so that words are met more often."""
+        """Full stops and commas stand alone where nothing but settled letters, digits and white space touches any, so that words are met more often."""
         if beside.search(text) is None:
             text = text.replace(".", " .").replace(",", " ,")
         return text.replace("\n", " ").split(" ")
@@ -233,7 +242,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, path: str, id_col: str = "d
 
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     order = ["doc_id", F.xxhash64("text")]
-    ordered = source.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    ordered = source.repartitionByRange(partitions_for(df), *order).sortWithinPartitions(*order)
     map_batches(ordered, kernel, "part int, seg int, skip long, doc_ids array<long>, n_ids long, payload binary").write.option("compression", "none").parquet(path)
 
 
