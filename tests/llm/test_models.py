@@ -53,12 +53,3 @@ def test_language(spark):
     held = [r for r in rows if r["held_out"]]
     assert all(r["held_out"] == fold(r["doc_id"]) for r in rows)
     assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) / len(held) > 0.98
-
-
-def test_language_on_odd_input(spark):
-    rows = [(i, t, None) for i, t in enumerate(brute.EDGE)] + [(100 + i, "the cat and the dog " * 3, "en") for i in range(8)] + [(200 + i, "der hund und die katze " * 3, "de") for i in range(8)]
-    df = spark.createDataFrame(rows + [(300, "the cat and the dog sat on the cat " * 4 + "der hund und die katze und der hund " * 6, None), (301, "漢字", None)], "doc_id long, text string, lang string")
-    got = {r["doc_id"]: r for r in language.identify(df).collect()}
-    assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (0, 1, 2, 3))
-    assert got[300]["lang_pred"] == "de" and got[300]["spans"].startswith("en:") and " de:" in got[300]["spans"] and got[301]["lang_pred"] in ("de", "en")
-    assert {r["lang_pred"] for r in language.identify(df.where("lang is null")).collect()} == {"und"}

@@ -3,12 +3,19 @@
 The script of a word narrows its candidate languages; hashed character n-grams
 score it under each of them; Viterbi with a penalty for each switch labels the
 words, so that runs of one language come out as spans. A text's language is the
-one whose spans hold most letters, its score their share.
-
-Null texts and texts without a letter are ``und`` with score 0 and no spans. A
-word whose script no learned language writes scores the same under all. Of equal
-languages the first by name wins. Rows with a null or empty lang teach nothing.
-Repeated rows give equal results; without any teaching row all is ``und``.
+one whose spans hold most letters. Its score is their share, each span weighed by
+how sure its words make its label against the other languages: a text in a script
+that no learned language writes scores one over the number of languages.
+
+Letters are characters of the Unicode categories L; numbers and marks are none.
+Null texts and texts without a letter are ``und`` with score 0 and no spans. Of
+equal languages the first by name wins. Every lang value but null is learned, the
+empty string too. Repeated rows give equal results; without any teaching row, and
+for an empty table, nothing is learned and all is ``und``.
+
+The model has BUCKETS floats for each language (256 kB). Word scores held at once
+are bounded by ``CELLS``, words times languages: texts too long for that are
+scored in segments, twice, with the exact same result.
 """
 
 from __future__ import annotations
@@ -16,21 +23,20 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triplewright.llm.batches import map_batches, portable, text_steps
+from triplewright.llm.batches import CHARS_PER_STEP, map_batches, portable, text_steps
 from triplewright.llm.chunks import ChunkTable, worker_cache
 
 #: Teaching rows for each language, about, chosen by hashed id; the model is fitted on them alone.
 SAMPLE = 1500
-#: Languages that are learned: those with most rows.
-MOST_LANGS = 200
 #: Buckets of hashed character n-grams, and the lengths of the n-grams.
 BUCKETS, LENGTHS = 1 << 16, (1, 2, 3, 4)
 SMOOTH = 0.5
@@ -40,8 +46,8 @@ SWITCH, MOST = 12.0, 6.0
 LEAST_SHARE = 0.02
 FOLDS = 5
 UNKNOWN = "und"
-#: Words whose scores a worker holds.
-MOST_WORDS = 1_000_000
+#: Word scores (words times languages) that a worker holds, words of a table, words of a segment of a long text, and characters taught at once.
+CELLS, MOST_WORDS, SEGMENT, TEACH_CHARS = 16_000_000, 1_000_000, 50_000, 1_000_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -57,6 +63,14 @@ N_SCRIPTS = 24
 _FROM, _IS = [a for a, _ in SCRIPTS], [b for _, b in SCRIPTS]
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters of the lower-cased text."""
+    found = WORD.findall(text.lower())
+    if "".join(found).isalpha():
+        return found
+    return ["".join(run) for w in found for letters, run in groupby(w, str.isalpha) if letters]
+
+
 def script_of(word: str) -> int:
     return _IS[bisect_right(_FROM, ord(word[0])) - 1]
 
@@ -115,7 +129,7 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
     begin = 0
     while begin < len(hard):  # texts of like length go step by step together
         longest = len(scores[hard[begin]])
-        end = begin + max(1, min(64, 4_000_000 // max(longest, 1)))
+        end = begin + max(1, min(64, CELLS // max(longest * scores[hard[begin]].shape[1], 1)))
         group = hard[begin:end]
         for k, path in zip(group, lockstep([scores[k] for k in group], switch), strict=True):
             out[k] = path
@@ -163,11 +177,77 @@ def lockstep(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
     return out
 
 
+def walk(total: np.ndarray, s: np.ndarray, switch: float, back: np.ndarray | None = None) -> np.ndarray:
+    """Carry the best totals of each language over the words of ``s``; ``back`` takes the language that each step came from."""
+    here = np.arange(len(total), dtype=np.int16)
+    for t in range(len(s)):
+        top = total.argmax()
+        come = total[top] - switch
+        moved = come > total
+        if back is not None:
+            back[t] = np.where(moved, top, here)
+        total = np.where(moved, come, total) + s[t]
+    return total
+
+
+def long_viterbi(segment: Callable[[int], np.ndarray], n: int, langs: int, switch: float = SWITCH) -> np.ndarray:
+    """The best path over n segments, of which one is in memory at a time: totals are kept where segments begin, and each is walked again from there."""
+    starts, now = [], np.zeros(langs)
+    for k in range(n):
+        starts.append(now)
+        now = walk(now, segment(k), switch)
+    parts, label = [], int(now.argmax())
+    for k in range(n - 1, -1, -1):
+        s = segment(k)
+        back = np.empty(s.shape, np.int16)
+        walk(starts[k], s, switch, back)
+        path = np.empty(len(s), np.int16)
+        for t in range(len(s) - 1, -1, -1):
+            path[t] = label
+            label = back[t, label]
+        parts.append(path)
+    return np.concatenate(parts[::-1])
+
+
+@dataclass
+class Runs:
+    """Runs of words of one language: the language, words and letters of each, and how sure its words make the language."""
+
+    lang: np.ndarray
+    words: np.ndarray
+    letters: np.ndarray
+    sure: np.ndarray
+
+
+NO_RUNS = Runs(*[np.empty(0, np.int64)] * 3, np.empty(0))
+
+
+def runs_of(path: np.ndarray, sizes: np.ndarray, segments: Iterable[np.ndarray]) -> Runs:
+    """The runs of a path; ``segments`` are the scores of its words, in order."""
+    first = np.flatnonzero(np.diff(path, prepend=-1))
+    number = np.cumsum(np.diff(path, prepend=-1) != 0) - 1
+    sure, at, rest, open_ = np.empty(len(first)), 0, 0.0, 0
+    for s in segments:
+        mine = number[at : at + len(s)]
+        sums = np.add.reduceat(s, np.flatnonzero(np.diff(mine, prepend=-1)), axis=0, dtype=np.float64)
+        if mine[0] == open_:
+            sums[0] += rest
+        odds = np.exp(sums - sums.max(axis=1, keepdims=True))
+        runs = np.arange(mine[0], mine[-1] + 1)
+        sure[runs] = odds[np.arange(len(runs)), path[first[runs]]] / odds.sum(axis=1)  # the last one again if it goes on
+        rest, open_, at = sums[-1], mine[-1], at + len(s)
+    return Runs(path[first].astype(np.int64), np.diff(first, append=len(path)), np.add.reduceat(sizes, first, dtype=np.int64), sure)
+
+
 class Labeller:
     """Words of texts, with their scores held between texts."""
 
     def __init__(self, model: Model):
         self.model = model
+        self.langs = max(len(model.langs), 1)
+        self.most_words = max(1, min(MOST_WORDS, CELLS // self.langs))
+        #: Characters of the texts that are labelled at once: their words fit into CELLS.
+        self.step = max(1, min(CHARS_PER_STEP, CELLS // self.langs))
         self.reset()
 
     def reset(self) -> None:
@@ -177,7 +257,7 @@ class Labeller:
         self.table = ChunkTable(self.learn)
 
     def learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [WORD.findall(c.lower()) for c in chunks]
+        found = [words_of(c) for c in chunks]
         new = list({w: None for f in found for w in f if w not in self.number})
         if new:
             have = len(self.number)
@@ -191,24 +271,42 @@ class Labeller:
         ids = [self.number[w] for f in found for w in f]
         return np.array(ids, np.uint32), np.array([len(f) for f in found], np.int64)
 
-    def label(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(language of each word, letters of each word) of each text."""
-        if len(self.number) > MOST_WORDS:
+    def label(self, texts: list[str | None]) -> list[Runs]:
+        """The runs of each text; texts in one call have at most ``step`` characters together, or are one text."""
+        if not self.model.langs:
+            return [NO_RUNS] * len(texts)
+        if len(texts) == 1 and len(texts[0] or "") > self.step:
+            return [self.label_long(texts[0])]
+        if len(self.number) > self.most_words:
             self.reset()
         ids, lengths, _ = self.table.encode([(t or "").replace("\n", " ").split(" ") for t in texts])
         each = np.split(ids, np.cumsum(lengths)[:-1])
         some = [k for k, x in enumerate(each) if len(x)]
         paths = iter(viterbi([self.scores[each[k]] for k in some]))
-        empty = np.empty(0, np.int16), np.empty(0, np.int32)
-        return [(next(paths), self.sizes[x]) if len(x) else empty for x in each]
+        return [runs_of(next(paths), self.sizes[x], [self.scores[x]]) if len(x) else NO_RUNS for x in each]
+
+    def label_long(self, text: str, size: int = SEGMENT) -> Runs:
+        words = words_of(text)
+        if not words:
+            return NO_RUNS
+        size = max(1, min(size, CELLS // self.langs))
+        n = -(-len(words) // size)
+
+        def segment(k: int) -> np.ndarray:
+            mine = words[k * size : (k + 1) * size]
+            number = {w: i for i, w in enumerate(dict.fromkeys(mine))}
+            return self.model.word_scores(list(number))[[number[w] for w in mine]]
+
+        path = long_viterbi(segment, n, len(self.model.langs))
+        return runs_of(path, np.array([len(w) for w in words]), map(segment, range(n)))
 
-    def language(self, text: tuple[np.ndarray, np.ndarray]) -> tuple[str, float]:
-        path, sizes = text
-        if not len(path) or not self.model.langs:
+    def language(self, runs: Runs) -> tuple[str, float]:
+        if not len(runs.lang):
             return UNKNOWN, 0.0
-        letters = np.bincount(path, sizes, len(self.model.langs))
+        letters = np.bincount(runs.lang, runs.letters, len(self.model.langs))
         best = int(letters.argmax())
-        return self.model.langs[best], float(letters[best] / letters.sum())
+        mine = runs.lang == best
+        return self.model.langs[best], float((runs.letters[mine] * runs.sure[mine]).sum() / runs.letters.sum())
 
 
 def worker_labeller(model: Model) -> Labeller:
@@ -226,19 +324,19 @@ def held_out(id_col: str):
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Counts of n-grams and scripts by language, over a bounded sample of rows outside the held-out fold."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where(F.col("text").isNotNull() & (F.length("lang") > 0) & ~held_out("doc_id"))
-    there = sorted(((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()))
+    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id"))
+    there = sorted((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each language
     langs = [lang for lang, _ in there]
     if not langs:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros((N_SCRIPTS, 0), bool))
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1 << 30, (sample << 30) // n))) for lang, n in there])
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((N_SCRIPTS, 0), bool))
+    shares = F.create_map(*[x for lang, n in there for x in (F.lit(lang), F.lit(min(1 << 30, (sample << 30) // n)))])
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.element_at(shares, F.col("lang")))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_steps(batches):
+        for batch, texts in text_steps(batches, most=TEACH_CHARS):
             names = batch.column(2).to_pylist()
             for lang in sorted(set(names)):
-                words = [w for t, x in zip(texts, names, strict=True) if x == lang for w in WORD.findall(t.lower())]
+                words = [w for t, x in zip(texts, names, strict=True) if x == lang for w in words_of(t)]
                 if words:
                     _, bucket = word_grams(words)
                     count = np.bincount(bucket, minlength=BUCKETS + N_SCRIPTS)
@@ -250,7 +348,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     counts = np.zeros((BUCKETS + N_SCRIPTS, len(langs)))
     counts[counted["bucket"].to_numpy(), counted["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy()] = counted["n"].to_numpy()
     grams, scripts = counts[:BUCKETS] + SMOOTH, counts[BUCKETS:]
-    return Model(langs, np.log(grams / grams.sum(axis=0)), scripts >= np.maximum(scripts.sum(axis=0) * LEAST_SHARE, 1))
+    return Model(langs, np.log(grams / grams.sum(axis=0)).astype(np.float32), scripts >= np.maximum(scripts.sum(axis=0) * LEAST_SHARE, 1))
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
@@ -259,13 +357,10 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = worker_labeller(model.value)
-        for batch, texts in text_steps(batches):
-            labels = labeller.label(texts) if labeller.model.langs else [(np.empty(0, np.int16), np.empty(0, np.int32))] * len(texts)
+        for batch, texts in text_steps(batches, most=labeller.step):
+            labels = labeller.label(texts)
             found = [labeller.language(x) for x in labels]
-            spans = []
-            for path, _ in labels:
-                first = np.flatnonzero(np.diff(path, prepend=-1))
-                spans.append(" ".join(f"{labeller.model.langs[path[a]]}:{n}" for a, n in zip(first.tolist(), np.diff(first, append=len(path)).tolist(), strict=True)))
+            spans = [" ".join(f"{labeller.model.langs[k]}:{n}" for k, n in zip(x.lang.tolist(), x.words.tolist(), strict=True)) for x in labels]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found]), pa.array([x[1] for x in found]), pa.array(spans)], ["doc_id", "lang_pred", "score", "spans"])
 
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
