@@ -8,15 +8,22 @@ and then on whole shingle sets; components by alternating stars.
    against every other member: as many pairs as members, however large the bucket.
 3. Proposed pairs pass if enough signature bytes agree, then if the Jaccard
    similarity of the whole sets reaches the threshold. Their components follow.
-4. What a hub was proposed to, and isn't in its component after that, is held
-   against all else that the hub was proposed to, whole set against whole set, in
-   blocks of bounded size that give only true links. So no proposed bucket keeps
-   a link between two components; components are joined by what is found.
+4. What a hub was proposed to, and isn't in its component after that, may still
+   be linked with something else that the hub was proposed to. Those texts are
+   held against each other by their rarest shingles: ordered by how often they
+   occur, a quarter of each set (and one more) must overlap in linked texts, and
+   by enough. Only pairs that pass are proposed; they take the way of step 3. No
+   link between components that a bucket proposes is lost, and a passage that a
+   hot bucket shares costs nothing: it is what no text begins its order with.
+
+Lists of rarest shingles are dealt in blocks of bounded bytes, so a bucket of n
+texts copies each n * 1 kB / BLOCK_BYTES times. Pairs just under the similarity
+asked for, of more than 0.73 about, may pass and are then told apart on whole sets.
 
 Null or empty texts, and texts without a word, have no shingle and no link. Rows
 with a null id are not linked: their component is null and they are kept. Rows
 that repeat an id and a text get the same component; an id that comes with
-different texts is linked through each of them.
+different texts is linked through each of them. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triplewright.llm.batches import map_batches, portable, text_steps
+from triplewright.llm.batches import map_batches, portable, row_steps, text_steps
 from triplewright.llm.components import components
 from triplewright.storage import Scratch
 
@@ -39,8 +46,12 @@ BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 #: Signature bytes out of MINIMA that must agree: 4.5 standard deviations below what a similarity of 0.75 gives.
 LEAST_BYTES = 74
-#: Members of a block, on either side, and members that one copy of a hub's set is held against.
-BLOCK, FAN = 64, 64
+#: Members that one copy of a hub's set is held against.
+FAN = 64
+#: Bytes of rarest shingles on either side of a block; bits of the hash by which shingles are counted, so that the driver holds one count for each.
+BLOCK_BYTES, COUNT_BITS = 4_000_000, 20
+#: Pairs of a block that are counted at once.
+PAIRS_AT_ONCE = 4_000_000
 #: Characters hashed at once.
 CHARS_AT_ONCE = 1_000_000
 
@@ -138,28 +149,77 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(enough))
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (u, v) between the strays of a list and its other members, across components, by exact counts."""
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, n): how many shingles hash to each bucket, once for each task."""
+    counts = np.zeros(1 << COUNT_BITS, np.int64)
     for batch in batches:
-        u, v = [], []
-        for members in batch.column(0).to_pylist():
+        flat = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+        counts += np.bincount(flat >> np.uint64(64 - COUNT_BITS), minlength=len(counts))
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["bucket", "n"])
+
+
+def rarest(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles by count, then hash: as many as a linked text can't miss all of."""
+    order = np.lexsort((shingles, counts[shingles >> np.uint64(64 - COUNT_BITS)]))
+    return shingles[order[: len(shingles) - -(-PERCENT * len(shingles) // 100) + 1]]
+
+
+def possible(strays: list[dict], others: list[dict]) -> tuple[list[int], list[int]]:
+    """Pairs of different components whose rarest shingles overlap by as much as a link asks for.
+
+    Of what two texts share, all that stands before the end of the shorter order is
+    counted here; past that end is no more than the rest of one of the texts.
+    """
+    sides = []
+    for members in (strays, others):
+        lists = [np.frombuffer(m["rare"], np.uint64) for m in members]
+        owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        doc, comp, size = (np.array([m[k] for m in members], np.int64) for k in ("doc_id", "comp", "size"))
+        sides.append((np.concatenate(lists), owner, doc, comp, size, size - np.array([len(x) for x in lists])))
+    (flat, owner, doc, comp, size, rest), (flat2, owner2, doc2, comp2, size2, rest2) = sides
+    # A shingle that one component alone has can't tell two apart.
+    both, label = np.concatenate([flat, flat2]), np.concatenate([comp[owner], comp2[owner2]])
+    order = np.argsort(both, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], both[order][1:] != both[order][:-1]]))
+    mixed_ = np.minimum.reduceat(label[order], first) != np.maximum.reduceat(label[order], first)
+    use = np.empty(len(both), bool)
+    use[order] = np.repeat(mixed_, np.diff(first, append=len(both)))
+    flat, owner, flat2, owner2 = flat[use[: len(flat)]], owner[use[: len(flat)]], flat2[use[len(flat) :]], owner2[use[len(flat) :]]
+    order = np.argsort(flat2, kind="stable")
+    flat2, owner2 = flat2[order], owner2[order]
+    low, high = np.searchsorted(flat2, flat, "left"), np.searchsorted(flat2, flat, "right")
+    u, v = [], []
+    step = max(1, PAIRS_AT_ONCE // len(doc2))
+    for begin in range(0, len(doc), step):
+        a, b = np.searchsorted(owner, [begin, begin + step])
+        n = high[a:b] - low[a:b]
+        if not n.sum():
+            continue
+        shared = np.zeros((min(step, len(doc) - begin), len(doc2)), np.int32)
+        for c in range(a, b, 4096):  # hits of a few shingles at a time
+            k = n[c - a : min(c + 4096, b) - a]
+            at = np.cumsum(k) - k
+            hit = owner2[np.repeat(low[c : c + len(k)] - at, k) + np.arange(int(k.sum()))]
+            shared += np.bincount((np.repeat(owner[c : c + len(k)], k) - begin) * len(doc2) + hit, minlength=shared.size).reshape(shared.shape).astype(np.int32)
+        x, y = np.nonzero(shared)
+        most = shared[x, y] + np.maximum(rest[begin + x], rest2[y])
+        fits = (100 + PERCENT) * most >= PERCENT * (size[begin + x] + size2[y])
+        fits &= (comp[begin + x] != comp2[y]) & (doc[begin + x] != doc2[y])
+        u += doc[begin + x[fits]].tolist()
+        v += doc2[y[fits]].tolist()
+    return u, v
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b), the lesser first, of each block of strays and other members."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            members = batch.column(0)[at].as_py()
             strays, others = ([m for m in members if m["stray"] == k] for k in (True, False))
-            if not strays or not others:
-                continue
-            doc, comp = (np.array([m[k] for m in others]) for k in ("doc_id", "comp"))
-            sets = [np.frombuffer(m["shingles"], np.uint64) for m in others]
-            size = np.array([len(x) for x in sets])
-            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-            for m in strays:
-                mine = np.frombuffer(m["shingles"], np.uint64)
-                if not len(mine):
-                    continue
-                at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
-                shared = np.bincount(owner[mine[at] == flat], minlength=len(sets))
-                hit = (100 * shared >= PERCENT * (size + len(mine) - shared)) & (comp != m["comp"]) & (doc != m["doc_id"])
-                u += [m["doc_id"]] * int(hit.sum())
-                v += doc[hit].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            u, v = possible(strays, others) if strays and others else ([], [])
+            pairs = sorted({(min(x), max(x)) for x in zip(u, v, strict=True)})
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,22 +255,22 @@ class _Run:
         self.source = df.select(F.col(id_col).cast("long").alias("doc_id"), *carry, F.col(text_col).cast("string").alias("text"))
         names = ", ".join(f"{c} {kind}" for c, kind in self.source.dtypes[:-1])
         self.rows = self.scratch.keep(map_batches(self.source, _signatures, f"{names}, n_shingles long, digest binary, keys array<long>, sig binary"), "rows")
-        known = self.rows.where("doc_id is not null and digest is not null")
+        known = self.rows.where("doc_id is not null and digest is not null").select("doc_id", "n_shingles", "digest", "keys", "sig")
         self.classes = self.scratch.keep(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
         stands = known.join(self.classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-        self.signs = self.scratch.keep(stands.select("doc_id", "keys", "sig").dropDuplicates(["doc_id", "sig"]), "signs")
+        self.signs = self.scratch.keep(stands.select("doc_id", "n_shingles", "keys", "sig").dropDuplicates(["doc_id", "n_shingles", "sig"]), "signs")
 
     def stars(self) -> DataFrame:
-        """(a, b): the least id of each bucket, and every other id in it."""
-        bands = self.signs.select("doc_id", F.explode("keys").alias("key"))
+        """(a, b, n): the least id of each bucket, every other id in it, and the other's number of shingles."""
+        bands = self.signs.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
         full = bands.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last"))
         full = self.scratch.keep(full.where("a <> last").select("key", "a"), "full")
-        return self.scratch.keep(bands.join(full, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "stars")
+        return self.scratch.keep(bands.join(full, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n")).distinct(), "stars")
 
     def agreeing(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) with their signatures fetched and compared. One a may have very many b: its signature goes to each salt."""
+        """Pairs (a, b) with their signatures fetched and compared. Both sides of each join are plain exchanges of 128 bytes a row, so that a hot ``a`` is split over tasks."""
         signs = self.signs.select("doc_id", "sig")
-        with_b = pairs.join(signs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
+        with_b = pairs.select("a", "b").join(signs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
         both = with_b.join(signs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").select("a", "b", "sig_a", "sig_b")
         return map_batches(both, _agreeing, "a long, b long")
 
@@ -233,33 +293,51 @@ class _Run:
         )
         return self.scratch.keep(map_batches(groups.select("a", "lead", "members"), _linked, "u long, v long"), f"{name}-links")
 
-    def across(self, stars: DataFrame, labels: DataFrame) -> DataFrame:
-        """Links (u, v) among what one hub was proposed to, between strays (not in the hub's component) and all others."""
+    def across(self, stars: DataFrame, labels: DataFrame) -> DataFrame | None:
+        """Links (u, v) among what one hub was proposed to, between strays (not in the hub's component) and all others; None if there is no stray."""
 
         def comp(name: str) -> DataFrame:
             return labels.select(F.col("u").alias(name), F.col("v").alias(f"{name}_comp"))
 
         named = stars.join(comp("b"), "b", "left").join(comp("a"), "a", "left")
-        named = named.select("a", F.col("b").alias("doc_id"), F.coalesce("b_comp", "b").alias("comp"), F.coalesce("a_comp", "a").alias("hub_comp"))
+        named = named.select("a", F.col("b").alias("doc_id"), (64 + 2 * F.col("n")).alias("bytes"), F.coalesce("b_comp", "b").alias("comp"), F.coalesce("a_comp", "a").alias("hub_comp"))
         named = self.scratch.keep(named.withColumn("stray", F.col("comp") != F.col("hub_comp")), "named")
-        hubs = named.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("stray"), 1)).alias("m"))
-        hubs = hubs.where("m > 0 and n > 1").select("a", F.ceil(F.col("n") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("m") / BLOCK).cast("int").alias("cols"))
-        open_ = named.join(self.scratch.keep(hubs, "hubs"), "a")
+        hubs = named.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("all"), F.sum(F.when(F.col("stray"), F.col("bytes"))).alias("out"))
+        hubs = hubs.where("out > 0 and n > 1").select("a", F.ceil(F.col("all") / BLOCK_BYTES).cast("int").alias("rows"), F.ceil(F.col("out") / BLOCK_BYTES).cast("int").alias("cols"))
+        hubs = self.scratch.keep(hubs, "hubs")
+        if hubs.isEmpty():
+            return None
+        open_ = named.join(hubs, "a")
 
         def role(df: DataFrame, stray: bool) -> DataFrame:
             mine = F.pmod(F.xxhash64("doc_id", F.lit(stray)), F.col("cols" if stray else "rows")).cast("int")
             ends = [F.lit(0), F.col("rows") - 1, mine, mine] if stray else [mine, mine, F.lit(0), F.col("cols") - 1]
             names = ("i0", "i1", "j0", "j1")
-            return df.select("doc_id", F.struct("a", F.lit(stray).alias("stray"), "comp", *[e.alias(n) for e, n in zip(ends, names, strict=True)]).alias("group"))
+            return df.select("doc_id", "comp", F.struct("a", F.lit(stray).alias("stray"), *[e.alias(n) for e, n in zip(ends, names, strict=True)]).alias("group"))
 
         roles = role(open_, False).unionAll(role(open_.where("stray"), True))
-        wanted = roles.groupBy("doc_id").agg(F.collect_list("group").alias("groups"))
-        kind = "array<struct<a:long,stray:boolean,comp:long,i0:int,i1:int,j0:int,j1:int>>"
-        sets = self.sets(wanted, kind).select("doc_id", F.explode("groups").alias("g"), "shingles")
-        spread = sets.select("g.a", "g.stray", "g.comp", "doc_id", "shingles", F.explode(F.sequence("g.i0", "g.i1")).alias("i"), "g.j0", "g.j1")
-        spread = spread.select("a", "stray", "comp", "doc_id", "shingles", "i", F.explode(F.sequence("j0", "j1")).alias("j"))
-        lists = spread.groupBy("a", "i", "j").agg(F.collect_list(F.struct("stray", "doc_id", "comp", "shingles")).alias("members"))
-        return self.scratch.keep(map_batches(lists.select("members"), _across, "u long, v long").distinct(), "across")
+        # A text is in as many buckets as there are bands at most.
+        wanted = roles.groupBy("doc_id").agg(F.struct(F.first("comp").alias("comp"), F.collect_list("group").alias("in")).alias("groups"))
+        kind = "struct<comp:long,in:array<struct<a:long,stray:boolean,i0:int,i1:int,j0:int,j1:int>>>"
+        sets = self.scratch.keep(self.sets(wanted, kind), "open-sets")
+        found = map_batches(sets.select("shingles"), _frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.zeros(1 << COUNT_BITS, np.int64)
+        counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+        held = self.scratch.spark.sparkContext.broadcast(counts)  # one number for each bucket
+
+        def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in row_steps(batches):
+                lists = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+                sizes, rare = pa.array([len(x) for x in lists], pa.int64()), pa.array([rarest(x, held.value).tobytes() for x in lists], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, rare], ["doc_id", "groups", "size", "rare"])
+
+        rare = map_batches(sets, ordered, f"doc_id long, groups {kind}, size long, rare binary")
+        dealt = rare.select("doc_id", F.col("groups.comp").alias("comp"), "size", "rare", F.explode("groups.in").alias("g"))
+        dealt = dealt.select("doc_id", "comp", "size", "rare", "g.a", "g.stray", F.explode(F.sequence("g.i0", "g.i1")).alias("i"), "g.j0", "g.j1")
+        dealt = dealt.select("doc_id", "comp", "size", "rare", "a", "stray", "i", F.explode(F.sequence("j0", "j1")).alias("j"))
+        blocks = dealt.groupBy("a", "i", "j").agg(F.collect_list(F.struct("stray", "doc_id", "comp", "size", "rare")).alias("members"))
+        pairs = self.scratch.keep(map_batches(blocks.select("members"), _possible, "a long, b long").distinct(), "possible")
+        return self.confirmed(self.agreeing(pairs), "second")
 
     def sets(self, wanted: DataFrame, kind: str) -> DataFrame:
         """doc_id, groups and shingle sets of the wanted documents: each text moves once."""
@@ -271,12 +349,15 @@ class _Run:
         stars = self.stars()
         labels = components(self.confirmed(self.agreeing(stars), "first"), self.scratch)
         more = self.across(stars, labels)
-        return labels if more.isEmpty() else components(labels.unionByName(more), self.scratch)
+        return labels if more is None or more.isEmpty() else components(labels.unionByName(more), self.scratch)
 
     def labelled(self) -> DataFrame:
         """The rows, with the component of their text as ``comp``: null where no row with an id has a word of it."""
         named = self.classes.join(self.links().select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("comp"))
-        return self.rows.drop("keys", "sig").join(self.scratch.keep(named, "named-classes"), "digest", "left")
+        named = self.scratch.keep(named, "named-classes").withColumnRenamed("digest", "key")
+        # Texts without a word have no digest; a hash of the id, shorter than any digest, spreads them and meets nothing.
+        key = F.coalesce("digest", F.unhex(F.hex(F.xxhash64("doc_id"))))
+        return self.rows.drop("keys", "sig").withColumn("key", key).join(named, "key", "left").drop("key")
 
 
 def clusters(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
@@ -292,9 +373,31 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns, without those that repeat a row kept in their component."""
-    gone = near_duplicates(df, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return df.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    """The rows of ``df``, all columns, one for each component: that of its least id.
+
+    Rows go by id and text. Of rows that repeat both, one stays, whatever their
+    other columns hold. An id that comes with different texts keeps each text that
+    isn't linked with a smaller id; of those with the same words one stays. Rows
+    with a null id all stay, and so does one row of each id without a word.
+    """
+    tie, words = F.xxhash64(F.col(f"`{text_col}`").cast("string")), F.coalesce("digest", F.lit(b""))
+    narrow = df.select(F.col(f"`{id_col}`").alias("doc_id"), tie.alias("tie"), F.col(f"`{text_col}`").alias("text"))
+    run = _Run(narrow, "doc_id", "text", ("tie",))
+    rows = run.labelled().where("doc_id is not null").groupBy("doc_id", words.alias("words"), "tie").agg(F.first("comp").alias("comp"), F.count(F.lit(1)).alias("n"))
+    rows = run.scratch.keep(rows, "by-text")
+    stay = rows.where(F.coalesce("comp", "doc_id") == F.col("doc_id"))
+    best = stay.groupBy("doc_id", "words").agg(F.min("tie").alias("best"))
+    worse = stay.join(best, ["doc_id", "words"]).where(F.col("tie") != F.col("best"))
+    gone = rows.where(F.coalesce("comp", "doc_id") != F.col("doc_id")).select("doc_id", "tie").unionAll(worse.select("doc_id", "tie"))
+    name = "__tie"
+    while name in df.columns:
+        name += "_"
+    gone = run.scratch.keep(gone, "gone").select(F.col("doc_id").alias("__gone_id"), F.col("tie").alias("__gone_tie"))
+    marked = df.withColumn(name, tie)
+    kept = marked.join(gone, (F.col(f"`{id_col}`") == F.col("__gone_id")) & (F.col(name) == F.col("__gone_tie")), "left_anti")
+    if not stay.where("n > 1").isEmpty():  # repeated rows: only those with an id are looked at
+        kept = kept.where(F.col(f"`{id_col}`").isNotNull()).dropDuplicates([id_col, name]).unionByName(kept.where(F.col(f"`{id_col}`").isNull()))
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 portable(__name__)
