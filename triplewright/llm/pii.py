@@ -5,19 +5,27 @@ code points, ends are exclusive. Patterns are rewritten so that the regex engine
 neither recurses nor retries: possessive loops, and look-behinds that start a
 match only where the leftmost match of the plain pattern could start.
 
-Null text counts as empty and has no spans. Repeated rows give equal results.
+Time grows with a text's length plus its matches: positions come from the lengths
+of matches and of the pieces between them, context from the ends of those pieces,
+and lists that grow by one item a step do so in chunks.
+
+Null text counts as empty and has no spans. Repeated rows give equal results, an
+empty table an empty one.
 Only the named columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters before and after a span in which context words are looked for.
+#: Characters before and after a span in which context words are looked for, up to the next match of its kind.
 NEAR = 40
+#: Items of a chunk of a list, and characters of a block of text.
+CHUNK, BLOCK = 256, 4096
 #: Proposals of kinds outside the base that score less are no spans.
 LEAST_SCORE = 60
 
@@ -70,32 +78,53 @@ def confirmed(kind: Kind, match: Column) -> Column:
     return F.lit(True)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: lambdas compute what they mention at each element, but not their own variable."""
+    return F.transform(F.array(value), use)[0]
+
+
+def in_chunks(items: Column) -> Column:
+    """The list in pieces of CHUNK items."""
+    return bound(items, lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - 1, F.lit(0)), F.lit(CHUNK)), lambda i: F.slice(x, i + 1, CHUNK)))
+
+
+def carried(chunks: Column, after: Callable[[Column, Column], Column]) -> Column:
+    """The number that each chunk begins with: 0, then ``after`` it and the chunk, and so on."""
+    begin = F.struct(F.lit(0).alias("now"), F.array().cast("array<int>").alias("list"))
+    return F.aggregate(chunks, begin, lambda acc, c: F.struct(after(acc["now"], c).alias("now"), F.concat(acc["list"], F.array(acc["now"])).alias("list")))["list"]
+
+
 def spans_of(kind: Kind, text: Column) -> Column:
     """array<SPAN> of one kind. Matches and the pieces between them alternate, so their lengths give the positions."""
     none = F.array().cast(f"array<{SPAN}>")
-    pattern = F.lit(kind.pattern)
-    matches = F.regexp_extract_all(text, pattern, 0)
-    gaps = F.slice(F.split(text, kind.pattern, -1), 1, F.size(matches))
     context = rf"(?i)\b(?:{kind.context})"
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["match"])
-        near = F.substring(text, F.greatest(start + 1 - NEAR, F.lit(1)), end - start + 2 * NEAR)
+    def end_of(at: Column, x: Column) -> Column:
+        return at + F.length(x["gap"]) + F.length(x["match"])
+
+    def step(acc: Column, x: Column) -> Column:
+        end = end_of(acc["at"], x)
+        near = F.concat(F.right(x["gap"], F.lit(NEAR)), x["match"], F.left(x["rest"], F.lit(NEAR)))
         score = F.lit(kind.score) + F.when(near.rlike(context), 20).otherwise(0)
-        fits = confirmed(kind, pair["match"]) & (F.lit(kind.base) | (score >= LEAST_SCORE))
-        span = F.struct(start.alias("start"), F.lit(RANK[kind.name]).alias("rank"), F.lit(kind.name).alias("kind"), end.alias("end"), score.alias("score")).cast(SPAN)
+        fits = confirmed(kind, x["match"]) & (F.lit(kind.base) | (score >= LEAST_SCORE))
+        span = F.struct((acc["at"] + F.length(x["gap"])).alias("start"), F.lit(RANK[kind.name]).alias("rank"), F.lit(kind.name).alias("kind"), end.alias("end"), score.alias("score")).cast(SPAN)
         return F.struct(end.alias("at"), F.when(fits, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
 
-    begin = F.struct(F.lit(0).alias("at"), none.alias("found"))
-    folded = F.aggregate(F.arrays_zip(gaps.alias("gap"), matches.alias("match")), begin, step)
+    def folded(chunks: Column) -> Column:
+        starts = carried(chunks, lambda now, c: F.aggregate(c, now, end_of))
+        return F.flatten(F.zip_with(chunks, starts, lambda c, at: F.aggregate(c, F.struct(at.alias("at"), none.alias("found")), step)["found"]))
+
+    def triples(pieces: Column, matches: Column) -> Column:
+        return F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("gap"), matches.alias("match"), F.slice(pieces, 2, F.size(matches)).alias("rest"))
+
+    found = bound(F.regexp_extract_all(text, F.lit(kind.pattern), 0), lambda matches: bound(F.split(text, kind.pattern, -1), lambda pieces: bound(in_chunks(triples(pieces, matches)), folded)))
     hit = F.contains(text, F.lit("@")) if kind.hint == "@" else text.rlike(kind.hint)
-    return F.when(hit, folded["found"]).otherwise(none)
+    return F.when(hit, found).otherwise(none)
 
 
 def with_spans(df: DataFrame, text_col: str, into: str) -> DataFrame:
     """Add the sorted spans of all kinds."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     return df.withColumn(into, F.array_sort(F.concat(*[spans_of(k, text) for k in KINDS])))
 
 
@@ -127,14 +156,27 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     name = "__pii_spans"
     while name in df.columns:
         name += "_"
-    text, spans = F.col(text_col), F.col(name)
+    text, spans = F.col(f"`{text_col}`"), F.col(name)
+
+    def piece(blocks: Column, start: Column, end: Column) -> Column:
+        """The characters from start to end, from the blocks that hold them."""
+        first = F.floor(start / BLOCK).cast("int")
+        held = F.slice(blocks, first + 1, F.floor((end - 1) / BLOCK).cast("int") - first + 1)
+        return F.when(end > start, F.array_join(held, "").substr(start % BLOCK + 1, end - start)).otherwise("")
+
+    def marked(blocks: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            mark = F.concat(piece(blocks, acc["at"], s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+            parts = F.when(s["start"] >= acc["at"], F.concat(acc["parts"], F.array(mark))).otherwise(acc["parts"])
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), parts.alias("parts"))
+
+        def folded(chunks: Column) -> Column:
+            starts = carried(chunks, lambda now, c: F.greatest(now, F.array_max(F.transform(c, lambda s: s["end"]))))
+            return F.flatten(F.zip_with(chunks, starts, lambda c, at: F.aggregate(c, F.struct(at.alias("at"), F.array().cast("array<string>").alias("parts")), step)["parts"]))
 
-    def step(acc: Column, s: Column) -> Column:
-        mark = F.concat(text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        parts = F.when(s["start"] >= acc["at"], F.concat(acc["parts"], F.array(mark))).otherwise(acc["parts"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), parts.alias("parts"))
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(bound(in_chunks(spans), folded), ""), bound(last, lambda at: piece(blocks, at, F.length(text))))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    done = F.aggregate(spans, begin, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), text.substr(acc["at"] + 1, F.length(text))))
+    done = bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}+"), F.lit(0)), marked)
     out = with_spans(df, text_col, name)
     return out.withColumn(text_col, F.when(F.size(spans) > 0, done).otherwise(text)).select(*[F.col(f"`{c}`") for c in df.columns])
