@@ -1,4 +1,5 @@
 import hashlib
+import struct
 import zlib
 
 import numpy as np
@@ -53,6 +54,48 @@ def test_digest(spark):
     assert {k: v for k, v in rows[len(brute.EDGE)].asDict().items() if k != "doc_id"} == {k: v for k, v in rows[5].asDict().items() if k != "doc_id"}
 
 
+def plain_feature(data):
+    """The feature string of a payload, one sample at a time."""
+
+    def mulaw(b):
+        b = ~b & 255
+        size = (((b & 15) * 8 + 132) << (b >> 4 & 7)) - 132
+        return -size if b & 128 else size
+
+    def alaw(b):
+        b ^= 0x55
+        low, segment = (b & 15) * 16, b >> 4 & 7
+        size = low + 8 if segment == 0 else (low + 264) << (segment - 1)
+        return size if b & 128 else -size
+
+    mu, law = [mulaw(b) for b in data], [alaw(b) for b in data]
+    turns = sum((a < 0) != (b < 0) for a, b in zip(mu, mu[1:]))
+    adpcm = [x for at in range(0, len(data), 64) for x in slow_adpcm(data[at : at + 64])]
+    pcm = [y for a, b in zip(mu, mu[1:] + mu[-1:]) for y in (a, (a + b) // 2)]
+    crc = [zlib.crc32(struct.pack(f"<{len(x)}h", *x)) for x in (adpcm, pcm)]
+    return f"mulaw:{max(map(abs, mu))}:{sum(x * x for x in mu)}:{turns};alaw:{sum(x * x for x in law)};adpcm:{len(adpcm)}:{crc[0]:08x};pcm16000:{len(pcm)}:{crc[1]:08x}"
+
+
+def test_features_and_stored_form_equal_a_plain_version(spark):
+    texts = [t for t in brute.EDGE if len(t or "") < 3000] + ["tail " * 700, "ü" * 64]
+    df = spark.createDataFrame([(i, t, "x", 3) for i, t in enumerate(texts)], "doc_id long, text string, media string, n_bytes int")
+    for r in audio.audio_digest(df).collect():
+        data = (texts[r["doc_id"]] or "").encode()
+        payload = data + b"\0" * (-len(data) % 64 if data else 64)
+        head = b"WAVEfmt " + bytes.fromhex("12000000 0700 0100 401f0000 401f0000 0100 0800 0000") + b"fact" + struct.pack("<II", 4, len(payload))
+        media = b"RIFF" + struct.pack("<I", len(head) + 8 + len(payload)) + head + b"data" + struct.pack("<I", len(payload)) + payload
+        assert r["media_bytes"] == len(media) and r["media_sha256"] == hashlib.sha256(media).hexdigest()
+        assert r["feature"] == plain_feature(payload)
+
+
+def test_empty_table_and_very_long_text(spark):
+    df = spark.createDataFrame([(1, "long ü " * 600_000), (2, "short")], "doc_id long, text string")
+    assert audio.audio_digest(df.limit(0)).count() == 0
+    rows = {r["doc_id"]: r for r in audio.audio_digest(df).collect()}
+    data = ("long ü " * 600_000).encode()
+    assert rows[1]["payload_sha256"] == hashlib.sha256(data + b"\0" * (-len(data) % 64)).hexdigest()
+
+
 def test_stored_files_decode(spark):
     df = spark.createDataFrame([(1, "abc"), (2, None)], "doc_id long, text string")
     for tag in (audio.MULAW_TAG, audio.ALAW_TAG, audio.ADPCM_TAG):

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triplewright.llm.batches import map_batches, portable, text_steps
+from triplewright.llm.batches import byte_steps, map_batches, portable, text_steps
+from triplewright.storage import Scratch
 
 #: Bytes of an ADPCM block: 4 of header and 60 that hold two samples each.
 BLOCK = 64
@@ -139,13 +140,14 @@ def pcm_of(media: bytes, target: int = TARGET_RATE) -> tuple[int, bytes]:
 
 
 def store_audio(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: int = MULAW_TAG) -> DataFrame:
-    """id, media (the stored file): each text's padded UTF-8 bytes as telephony samples. Null or empty text: 64 zero bytes."""
+    """doc_id, n_bytes, media (the stored file): each text's UTF-8 bytes, how many, and padded as telephony samples. Null or empty text: 64 zero bytes."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_steps(batches):
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([wav_pack(padded(t)[1], tag) for t in texts], pa.binary())], ["doc_id", "media"])
+            lengths, payloads = zip(*map(padded, texts), strict=True)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(lengths, pa.int64()), pa.array([wav_pack(x, tag) for x in payloads], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return map_batches(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), kernel, "doc_id long, media binary")
+    return map_batches(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), kernel, "doc_id long, n_bytes long, media binary")
 
 
 def decode_audio(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", target: int = TARGET_RATE) -> DataFrame:
@@ -188,25 +190,17 @@ def features(datas: list[bytes]) -> list[str]:
     return out
 
 
-def audio_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every text as a mu-law file, read the file back and describe what came back.
-
-    One row for each input row: doc_id, n_bytes, payload_bytes, payload_sha256,
-    tail_crc32, media_bytes, media_sha256, feature. A null text is an empty one.
-    """
+def digest_media(stored: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of stored files (doc_id, n_bytes, media)."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in text_steps(batches):
-            lengths, medias = [], []
-            for text in texts:
-                n, payload = padded(text)
-                lengths.append(n)
-                medias.append(wav_pack(payload))
+        for batch in byte_steps(batches, "media"):
+            medias = batch.column(2).to_pylist()
             back = [wav_unpack(m)[2] for m in medias]
             yield pa.RecordBatch.from_arrays(
                 [
-                    rows.column(0),
-                    pa.array(lengths, pa.int64()),
+                    batch.column(0),
+                    batch.column(1),
                     pa.array([len(x) for x in back], pa.int64()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in back]),
                     pa.array([zlib.crc32(x[-BLOCK:]) for x in back], pa.int64()),
@@ -217,8 +211,15 @@ def audio_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
             )
 
-    source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(source, kernel, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_batches(stored.select("doc_id", "n_bytes", "media"), kernel, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def audio_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write every text as a mu-law file into a media column in the shared folder, read the files back and describe what came back.
+
+    One row for each input row, as ``digest_media`` gives them. A null text is an empty one.
+    """
+    return digest_media(Scratch(df.sparkSession, "audio").keep(store_audio(df, id_col, text_col), "media"))
 
 
 portable(__name__)

@@ -6,6 +6,7 @@ import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
@@ -50,6 +51,18 @@ def text_steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int
             yield batch.slice(begin), texts[begin:]
 
 
+def byte_steps(batches: Iterator[pa.RecordBatch], column: str, most: int = CHARS_PER_STEP) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``most`` bytes of a binary column (one value at least) and ROWS_PER_STEP rows."""
+    for whole in row_steps(batches):
+        begin = held = 0
+        for at, size in enumerate(pc.binary_length(whole.column(whole.schema.get_field_index(column))).to_pylist()):
+            if at > begin and held + (size or 0) > most:
+                yield whole.slice(begin, at - begin)
+                begin, held = at, 0
+            held += size or 0
+        yield whole.slice(begin)
+
+
 def row_steps(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_STEP) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most ``rows`` rows."""
     for batch in batches:

@@ -2,12 +2,13 @@
 
 Indicators of hashed one- and two-token grams are scaled by the log-count ratio
 of the two classes; a linear hinge-loss model is fitted to them by dual
-coordinate descent. Fitting takes a bounded sample of labelled rows (``SAMPLE``);
-every row is scored, whole text.
+coordinate descent. Fitting takes a sample of labelled rows that is bounded in
+rows and characters (``SAMPLE``, ``SAMPLE_CHARS``); every row is scored, whole text.
 
 Null text counts as empty and gets the score of the intercept. Of repeated or
 contradicting labels of an id the highest counts; null labels don't count.
-Without labels of both classes every score is 0.5. Repeated rows score equally.
+Without labels of both classes every score is 0.5. Repeated rows score equally and
+teach once. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from triplewright.llm.chunks import ChunkTable, worker_cache
 
 #: Labelled rows that the model is fitted on, about: rows whose hashed id falls below the matching share.
 SAMPLE = 5000
+#: Characters of those rows, about; a sample with more is thinned out by hash.
+SAMPLE_CHARS = 100_000_000
 #: Hashed grams; what is sent to executors is one float for each.
 DIMS = 1 << 18
 #: A row is predicted 1 from this score on.
@@ -142,6 +145,10 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """(weights, squared log-count ratios, intercept) from a bounded sample of labelled rows."""
     chosen = sample_of(labels, id_col, label_col, sample)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.withColumn("tie", F.xxhash64("doc_id", "text")).dropDuplicates(["doc_id", "tie"])
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    if chars > SAMPLE_CHARS:
+        rows = rows.where(F.pmod("tie", F.lit(1 << 30)) < (SAMPLE_CHARS << 30) // chars)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_steps(batches):
