@@ -27,3 +27,9 @@ def test_ties_nulls_and_no_trusted_rows(spark):
     out = quality_rules.judge(df, spark.createDataFrame([], "doc_id long")).collect()
     assert len(out) == 4 and not any(r["kept"] for r in out) and {r["llr"] for r in out} == {0.0, None}
     assert quality_rules.judge(df.limit(0), df.select("doc_id")).count() == 0
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{k % 70_001} #" for k in range(250_000)) + "\nline\nline"
+    row = quality_rules.judge(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1,)], "doc_id long")).first()
+    assert (row["n_words"], row["word_chars"], row["n_symbols"], row["n_dup_lines"], row["n_repeat_words"], row["base_failed"]) == brute.op3(text)

@@ -115,8 +115,8 @@ def _judged(df: DataFrame, held: Column, trusted: DataFrame, id_col: str, text_c
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")) | (F.col("mark") < 0))
     return out.select(
         "doc_id", "held", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (F.col("weight") / (UNIT * F.nullif(F.size("grams"), F.lit(0)))).alias("llr"),
-        (~F.col("base_failed") & (F.col("weight") >= threshold * F.size("grams"))).alias("kept"),
+        (F.col("weight") / (UNIT * F.nullif(F.size("grams").cast("long"), F.lit(0).cast("long")))).alias("llr"),
+        (~F.col("base_failed") & (F.col("weight") >= threshold * F.size("grams").cast("long"))).alias("kept"),
     )
 
 
