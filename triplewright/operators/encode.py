@@ -5,29 +5,41 @@ hash encoder; its vectors are not those of any language model.
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: texts -> for each the list of its token vectors, one or more hidden layers each: arrays (layers, tokens, dims)
+from triplewright.functions.aggregates import mean_by
+
+#: Tokens whose vectors a worker keeps; and texts -> for each the list of its token vectors, one or more hidden layers each: arrays (layers, tokens, dims)
+MOST_TOKENS = 200_000
 Encoder = Callable[[list[str]], list[np.ndarray]]
 
 
 def hash_encoder(dims: int, most: int = 128) -> Callable[[], Encoder]:
-    """A maker of encoders: called once in each worker, where a real model would be loaded."""
+    """A maker of encoders: called once in each worker, where a real model would be loaded.
+
+    Each layer's vector of a token has a number from -1 to 1 for each dimension, from
+    the md5 of layer, dimension and token, so that any engine can state it.
+    """
 
     def make() -> Encoder:
-        def vector(token: str, layer: int) -> np.ndarray:
-            return np.random.default_rng(zlib.crc32(f"{layer}#{token}".encode())).standard_normal(dims)
+        @cache
+        def vector(token: str) -> np.ndarray:
+            heads = [[int(hashlib.md5(f"{layer}#{k}#{token}".encode()).hexdigest()[:8], 16) for k in range(dims)] for layer in (0, 1)]
+            return np.array(heads) / float(1 << 32) * 2 - 1
 
         def encode(texts: list[str]) -> list[np.ndarray]:
             found = [re.findall(r"\w+|[^\w\s]", t)[:most] for t in texts]
-            return [np.array([[vector(x, layer) for x in f] for layer in (0, 1)]).reshape(2, len(f), dims) for f in found]
+            if vector.cache_info().currsize > MOST_TOKENS:
+                vector.cache_clear()
+            return [np.array([vector(x) for x in f]).reshape(len(f), 2, dims).swapaxes(0, 1) for f in found]
 
         return encode
 
@@ -50,9 +62,7 @@ def _mean_vectors(df: DataFrame, key: str, text: str, make: Callable[[], Encoder
 def relation_embeddings(relations: DataFrame, make: Callable[[], Encoder]) -> DataFrame:
     """(relation_id, emb): the mean over aliases (the id where there is none) of the means of the last two hidden layers."""
     names = relations.select("relation_id", F.explode(F.when(F.size("aliases") > 0, F.col("aliases")).otherwise(F.array("relation_id"))).alias("alias"))
-    parts = _mean_vectors(names, "relation_id", "alias", make, 2).select("relation_id", F.posexplode("emb").alias("d", "x"))
-    means = parts.groupBy("relation_id", "d").agg(F.avg("x").alias("x"))
-    return means.groupBy("relation_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda p: p["x"]).alias("emb"))
+    return mean_by(_mean_vectors(names, "relation_id", "alias", make, 2), "relation_id")
 
 
 def description_embeddings(descriptions: DataFrame, make: Callable[[], Encoder]) -> DataFrame:

@@ -9,8 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triplewright.functions import vectors as V
+from triplewright.functions.aggregates import vector_mean
 
 PAIRS = "array<struct<s:int,e:int>>"
+#: Relations up to which their table is broadcast; more are met by a plain product, whose size is the result's own.
+MOST_RELATIONS = 50_000
+
+
+def with_each(rows: DataFrame, relations: DataFrame) -> DataFrame:
+    """Every row with every relation."""
+    few = relations.limit(MOST_RELATIONS + 1).count() <= MOST_RELATIONS
+    return rows.crossJoin(F.broadcast(relations) if few else relations)
 
 
 def greedy_pairs(starts: Column, ends: Column, most: int | None) -> Column:
@@ -43,9 +52,7 @@ def span_vectors(spans: DataFrame, tokens: DataFrame, whole: bool = False, compa
     """
     if whole:
         inside = spans.select("entity_id", "slot", "s", "e", F.explode(F.sequence("s", "e")).alias("pos")).join(tokens, ["entity_id", "pos"])
-        parts = inside.select("entity_id", "slot", "s", "e", F.posexplode(V.double(F.col("emb"))).alias("d", "x"))
-        means = parts.groupBy("entity_id", "slot", "s", "e", "d").agg(F.avg("x").alias("x"))
-        out = means.groupBy("entity_id", "slot", "s", "e").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda p: p["x"]).alias("emb"))
+        out = inside.groupBy("entity_id", "slot", "s", "e").agg(vector_mean(F.col("emb")).alias("emb"))
     else:
         one = tokens.select("entity_id", F.col("pos").alias("s"), V.double(F.col("emb")).alias("a"))
         two = tokens.select("entity_id", F.col("pos").alias("e"), V.double(F.col("emb")).alias("b"))
@@ -64,20 +71,24 @@ def entity_heads(df: DataFrame, start: tuple[list[float], float], end: tuple[lis
     return out.withColumns({"start_prob": V.sigmoid(F.col("start_logit")), "end_prob": V.sigmoid(F.col("end_logit"))})
 
 
-def relation_attention(tokens: DataFrame, relations: DataFrame, means: DataFrame, w: dict, masked: bool = True) -> DataFrame:
+def relation_attention(tokens: DataFrame, relations: DataFrame, means: DataFrame, w: dict, padded_to: int | None = None) -> DataFrame:
     """(entity_id, relation_id, context, weights): tokens attended to under each relation.
 
     ``w`` has x, r and g (each a weight matrix and bias) and v (a vector). Tokens
-    of a description are at most a model's length, so they are held as one array;
-    relations are few and meet every description, so their projections are broadcast.
+    of a description are at most a model's length, so they are held as one array.
+    Rows exist for real tokens only; ``padded_to`` lets zero vectors up to that length
+    take their share of the softmax, as in a padded batch without a mask.
     """
     dims = len(w["v"])
-    del masked  # rows exist only for real tokens: nothing is there to mask
     rel = relations.select("relation_id", V.linear(V.double(F.col("emb")), *w["r"]).alias("pr"))
     tok = tokens.select("entity_id", F.struct("pos", V.double(F.col("emb")).alias("emb"), V.linear(V.double(F.col("emb")), *w["x"]).alias("px")).alias("tok"))
     tok = tok.groupBy("entity_id").agg(F.array_sort(F.collect_list("tok")).alias("toks"))
     mean = means.select("entity_id", V.linear(V.double(F.col("emb")), *w["g"]).alias("pg"))
-    rows = tok.join(mean, "entity_id").crossJoin(F.broadcast(rel))  # a row for each description and relation is the result's own size
+    if padded_to:
+        size = F.size(F.col("toks")[0]["emb"])
+        pad = F.struct(F.lit(-1).alias("pos"), F.array_repeat(F.lit(0.0), size).alias("emb"), F.array(*[F.lit(float(b)) for b in w["x"][1]]).alias("px"))
+        tok = tok.withColumn("toks", F.concat("toks", F.array_repeat(pad, F.greatest(padded_to - F.size("toks"), F.lit(0)))))
+    rows = with_each(tok.join(mean, "entity_id"), rel)
     v = F.array(*[F.lit(float(x)) for x in w["v"]])
     scores = F.transform("toks", lambda t: V.dot(v, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.tanh(F.get(t["px"], k) + F.get(F.col("pr"), k) + F.get(F.col("pg"), k)))))
     rows = rows.withColumn("scores", scores).withColumn("weights", V.softmax(F.col("scores")))
@@ -101,6 +112,27 @@ def fuse(tokens: DataFrame, contexts: DataFrame, slots: DataFrame, w: dict, by_p
     return left.join(contexts, "entity_id").select("entity_id", "relation_id", "slot", "pos", V.plus(F.col("p"), F.col("context")).alias("emb"))
 
 
+def conditioned_heads(tokens: DataFrame, contexts: DataFrame, slots: DataFrame, w: dict, start: tuple[list[float], float], end: tuple[list[float], float]) -> DataFrame:
+    """(entity_id, relation_id, slot, pos, logits, probabilities): ``entity_heads`` of ``fuse``, without its vectors.
+
+    Heads are linear and fusion is a sum, so each part is taken to its two numbers before the join, which then adds numbers.
+    """
+
+    weights = {side: F.array(*[F.lit(float(k)) for k in h[0]]) for side, h in (("s", start), ("e", end))}
+
+    def parts(v: Column, name: str) -> list[Column]:
+        both = V.bound(v, lambda x: F.struct(*[V.dot(x, w).alias(side) for side, w in weights.items()]))
+        return [both[side].alias(f"{name}_{side}") for side in weights]
+
+    subject = slots.select("entity_id", "slot", *parts(V.linear(V.double(F.col("emb")), *w["s"]), "a"))
+    token = tokens.select("entity_id", "pos", *parts(V.plus(V.linear(V.double(F.col("emb")), *w["x"]), V.double(F.col("emb"))), "b"))
+    under = contexts.select("entity_id", "relation_id", *parts(F.col("context"), "c"))
+    rows = subject.join(under, "entity_id").join(token, "entity_id")
+    logits = {f"{name}_logit": F.col(f"a_{k}") + F.col(f"b_{k}") + F.col(f"c_{k}") + F.lit(float(h[1])) for name, k, h in (("start", "s", start), ("end", "e", end))}
+    rows = rows.select("entity_id", "relation_id", "slot", "pos", *[x.alias(n) for n, x in logits.items()])
+    return rows.withColumns({"start_prob": V.sigmoid(F.col("start_logit")), "end_prob": V.sigmoid(F.col("end_logit"))})
+
+
 def one_direction(tokens: DataFrame, means: DataFrame, relations: DataFrame, w: dict, threshold: float = 0.5, most: int = 10) -> dict[str, DataFrame]:
     """Entity heads → greedy spans → attention → fusion → conditioned heads; semantic relations forward, graph relations backward."""
     first = entity_heads(tokens, *w["entity"])
@@ -108,8 +140,7 @@ def one_direction(tokens: DataFrame, means: DataFrame, relations: DataFrame, w:
     arrays = arrays.select("entity_id", F.transform("p", lambda x: x["start_prob"]).alias("start_prob"), F.transform("p", lambda x: x["end_prob"]).alias("end_prob"))
     slots = span_vectors(extract_spans(arrays, threshold=threshold, most=most), tokens)
     contexts = relation_attention(tokens, relations, means, w["attention"])
-    fused = fuse(tokens, contexts, slots, w["fuse"])
-    return {"entity": first.drop("emb"), "slots": slots, "contexts": contexts, "conditioned": entity_heads(fused, *w["conditioned"]).drop("emb")}
+    return {"entity": first.drop("emb"), "slots": slots, "contexts": contexts, "conditioned": conditioned_heads(tokens, contexts, slots, w["fuse"], *w["conditioned"])}
 
 
 def both_directions(tokens: DataFrame, means: DataFrame, semantic: DataFrame, graph: DataFrame, forward: dict, backward: dict, threshold: float = 0.5, most: int = 10) -> dict[str, dict[str, DataFrame]]:
@@ -125,20 +156,44 @@ def projected(relations: DataFrame, weight: list[list[float]], bias: list[float]
     return relations.select("relation_id", V.linear(V.double(F.col("emb")), weight, bias).alias("emb"))
 
 
-def items(tokens: DataFrame, means: DataFrame) -> DataFrame:
-    """(entity_id, pos, emb, mean): what a model reads of a description."""
-    return tokens.join(means.select("entity_id", F.col("emb").alias("mean")), "entity_id").select("entity_id", "pos", "emb", "mean")
+def items(tokens: DataFrame, means: DataFrame, labels: DataFrame | None = None, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """(entity_id, pos, emb, mean): what a model reads of a description; with sparse ``labels`` (entity_id, kind, pos) also a 0 or 1 for each kind."""
+    out = tokens.join(means.select("entity_id", F.col("emb").alias("mean")), "entity_id").select("entity_id", "pos", "emb", "mean")
+    if labels is None:
+        return out
+    marks = labels.groupBy("entity_id", "pos").agg(*[F.max((F.col("kind") == k).cast("int")).alias(k) for k in kinds])
+    return out.join(marks, ["entity_id", "pos"], "left").fillna(0, list(kinds))
+
 
+def likely_relations(means: DataFrame, relations: DataFrame, k: int, gold: DataFrame | None = None) -> DataFrame:
+    """(entity_id, relation_id, cosine, rank): the k relations most like a description; of ties the first by id.
 
-def likely_relations(means: DataFrame, relations: DataFrame, k: int) -> DataFrame:
-    """(entity_id, relation_id, cosine, rank): the k relations most like a description; of ties the first by id."""
-    both = means.select("entity_id", V.double(F.col("emb")).alias("a")).crossJoin(F.broadcast(relations.select("relation_id", V.double(F.col("emb")).alias("b"))))
+    Relations that ``gold`` (entity_id, relation_id) has for a description are there too, with their rank if it is over k.
+    """
+    both = with_each(means.select("entity_id", V.double(F.col("emb")).alias("a")), relations.select("relation_id", V.double(F.col("emb")).alias("b")))
     scored = both.select("entity_id", F.struct((-V.cosine(F.col("a"), F.col("b"))).alias("c"), "relation_id").alias("x"))
     # The list of a description has as many entries as there are relations.
-    best = scored.groupBy("entity_id").agg(F.slice(F.array_sort(F.collect_list("x")), 1, k).alias("best"))
-    return best.select("entity_id", F.posexplode("best").alias("rank", "x")).select("entity_id", "x.relation_id", (-F.col("x.c")).alias("cosine"), (F.col("rank") + 1).alias("rank"))
+    best = scored.groupBy("entity_id").agg(F.array_sort(F.collect_list("x")).alias("best"))
+    if gold is None:
+        best = best.select("entity_id", F.posexplode(F.slice("best", 1, k)).alias("rank", "x"))
+    else:
+        held = gold.groupBy("entity_id").agg(F.collect_set("relation_id").alias("gold"))
+        best = best.join(held, "entity_id", "left").select("entity_id", "gold", F.posexplode("best").alias("rank", "x"))
+        best = best.where((F.col("rank") < k) | F.coalesce(F.array_contains("gold", F.col("x.relation_id")), F.lit(False)))
+    return best.select("entity_id", "x.relation_id", (-F.col("x.c")).alias("cosine"), (F.col("rank") + 1).alias("rank"))
 
 
 def on_alias_spans(predicted: DataFrame, spans: DataFrame) -> DataFrame:
     """Predicted (entity_id, s, e) that some alias of the entity's graph also has."""
     return predicted.join(spans.select(F.col("h").alias("entity_id"), "s", "e"), ["entity_id", "s", "e"], "left_semi")
+
+
+def without_overlaps(predicted: DataFrame) -> DataFrame:
+    """Predicted (entity_id, s, e) without those that share a token with one kept before: longer ones first, then those further left."""
+    held = predicted.groupBy("entity_id").agg(F.array_sort(F.collect_set(F.struct((F.col("s") - F.col("e")).alias("n"), "s", "e"))).alias("x"))  # a description's tokens bound the list
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.when(F.exists(acc, lambda y: (y["s"] <= x["e"]) & (x["s"] <= y["e"])), acc).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))))
+
+    kept = F.aggregate("x", F.array().cast(PAIRS), step)
+    return held.select("entity_id", F.explode(kept).alias("y")).select("entity_id", "y.s", "y.e")

@@ -35,6 +35,52 @@ def triple_loss(logits: DataFrame, gold: DataFrame) -> DataFrame:
     return rows.agg((F.sum((F.col("base") - at) / (F.col("n") + 1e-8)) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("loss"))
 
 
+def slot_triple_loss(heads: DataFrame, tails: DataFrame, slots: DataFrame, gold: DataFrame) -> DataFrame:
+    """(loss): the draft loss for each gold triple: head terms, and tail terms under its relation and the slot of its head span, if there is one.
+
+    ``heads``: (entity_id, pos, start_logit, end_logit). ``tails``: the same under (relation_id, slot). ``slots``: (entity_id, slot, s, e).
+    """
+
+    def base(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        terms = F.sum(bce(F.col("start_logit"), F.lit(0.0)) + bce(F.col("end_logit"), F.lit(0.0)))
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{name}_n"), terms.alias(f"{name}_base"))
+
+    def at(rows: DataFrame, df: DataFrame, keys: list[str], pos: str, logit: str, into: str) -> DataFrame:
+        return rows.join(df.select(*keys, F.col("pos").alias(pos), F.col(logit).alias(into)), [*keys, pos], "left")
+
+    under = ["entity_id", "relation_id", "slot"]
+    rows = gold.select(F.col("h").alias("entity_id"), F.col("r").alias("relation_id"), "hs", "he", "ts", "te").join(base(heads, ["entity_id"], "h"), "entity_id")
+    first = slots.groupBy("entity_id", F.col("s").alias("hs"), F.col("e").alias("he")).agg(F.min("slot").alias("slot"))
+    rows = rows.join(first, ["entity_id", "hs", "he"], "left").join(base(tails, under, "t"), under, "left")
+    for pos, logit, into in (("hs", "start_logit", "z1"), ("he", "end_logit", "z2")):
+        rows = at(rows, heads, ["entity_id"], pos, logit, into)
+    for pos, logit, into in (("ts", "start_logit", "z3"), ("te", "end_logit", "z4")):
+        rows = at(rows, tails, under, pos, logit, into)
+    zero = F.lit(0.0)
+    head = (F.col("h_base") - F.coalesce("z1", zero) - F.coalesce("z2", zero)) / (F.col("h_n") + 1e-8)
+    tail = F.coalesce((F.col("t_base") - F.coalesce("z3", zero) - F.coalesce("z4", zero)) / (F.col("t_n") + 1e-8), zero)
+    return rows.agg((F.coalesce(F.sum(head + tail), zero) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("loss"))
+
+
+def entity_loss(rows: DataFrame, name: str) -> DataFrame:
+    """(name): mean cross-entropy of start plus that of end probabilities; rows (start_prob, end_prob, start, end) exist for real tokens only."""
+
+    def term(p: str, y: str) -> Column:
+        return F.sum(-(F.col(y) * F.log(F.col(p) + 1e-8) + (1 - F.col(y)) * F.log(1 - F.col(p) + 1e-8)))
+
+    return rows.agg(F.coalesce((term("start_prob", "start") + term("end_prob", "end")) / (F.count(F.lit(1)) + 1e-8), F.lit(0.0)).alias(name))
+
+
+def total_loss(forward: tuple[DataFrame, DataFrame], backward: tuple[DataFrame, DataFrame], alpha: float = 1.0) -> DataFrame:
+    """(subject, object, object_back, subject_back, loss): forward subject and object losses plus ``alpha`` times the backward ones."""
+    names = ("subject", "object", "object_back", "subject_back")
+    out = None
+    for df, name in zip((*forward, *backward), names, strict=True):
+        one = entity_loss(df, name)
+        out = one if out is None else out.crossJoin(one)  # one row each
+    return out.withColumn("loss", F.col("subject") + F.col("object") + alpha * (F.col("object_back") + F.col("subject_back")))
+
+
 def weighted_loss(rows: DataFrame, weights: DataFrame) -> DataFrame:
     """(loss): (kind, direction, z, y) rows; the mean weighted BCE of each kind and direction, averaged over all of them."""
     held = rows.join(F.broadcast(weights), "kind")  # a row for each label kind

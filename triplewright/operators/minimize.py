@@ -2,22 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from triplewright.storage import Scratch
+
+#: Distinct rows that are put in order at the border of a sample; hash digits by which a border range is cut down.
+BORDER_ROWS, DIGITS = 100_000, 4
+
 
 def portable_hash(c: Column) -> Column:
     """The first 32 bits of md5 as a number: the same in any SQL engine."""
     return F.conv(F.substring(F.md5(c.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+def seeded_rank(cols: list[str], seed: int) -> Column:
+    return F.md5(F.concat_ws("#", *cols, F.lit(str(seed))).cast("binary"))
+
+
+def first_by_hash(df: DataFrame, cols: list[str], n: int, seed: int = 0) -> DataFrame:
+    """Distinct ``cols`` of the n rows that are first by a seeded hash, then by ``cols``: a sample without replacement, repeatable.
+
+    No task sorts them. Rows counted by ranges of the hash tell the range in which
+    the n-th row lies; that one is cut into finer ranges until few rows are left, and
+    only those are put in order. A range's counts, at most 16**DIGITS, reach the driver.
+    """
+    rows = df.select(*cols, seeded_rank(cols, seed).alias("__rank"))
+    prefix, left = "", n
+    while len(prefix) < 32:
+        inside = rows.where(F.col("__rank").startswith(prefix)) if prefix else rows
+        held = inside.groupBy(F.substring("__rank", len(prefix) + 1, DIGITS).alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect()
+        at = 0
+        while at < len(held) and left > held[at]["n"]:
+            left -= held[at]["n"]
+            at += 1
+        if at == len(held):  # fewer rows than asked for
+            return rows.select(*cols).distinct()
+        prefix += held[at]["d"]
+        if held[at]["n"] <= BORDER_ROWS:
+            break
+    whole = rows.where(F.substring("__rank", 1, len(prefix)) < prefix)
+    border = rows.where(F.col("__rank").startswith(prefix)).groupBy("__rank", *cols).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__rank", *cols)) - F.col("__n")  # one task, few rows: see above
+    border = border.withColumn("__before", before).where(F.col("__before") < left)
+    return whole.select(*cols).unionAll(border.select(*cols)).distinct()
+
+
 def sample_heads(triples: DataFrame, factor: float, seed: int = 0) -> DataFrame:
-    """Distinct heads of n = max(1, int(rows * factor)) triples, those first by a seeded hash: without replacement and repeatable."""
+    """Distinct heads of n = max(1, int(rows * factor)) triples, those first by a seeded hash. Written, so that each use reads the same rows."""
     if not 0 < factor <= 1:
         raise ValueError("factor must be over 0 and at most 1")
     n = max(1, int(triples.count() * factor))
-    rank = F.md5(F.concat_ws("#", "h", "r", "t", F.lit(str(seed))).cast("binary"))
-    return triples.orderBy(rank, "h", "r", "t").limit(n).select("h").distinct()
+    return Scratch(triples.sparkSession, "heads").keep(first_by_hash(triples, ["h", "r", "t"], n, seed).select("h").distinct(), "heads")
 
 
 def minimize(triples: DataFrame, aliases: DataFrame, relations: DataFrame, descriptions: DataFrame, heads: DataFrame) -> dict[str, DataFrame]:
@@ -34,11 +70,13 @@ def minimize(triples: DataFrame, aliases: DataFrame, relations: DataFrame, descr
 
 def minimize_two_hops(triples: DataFrame, aliases: DataFrame, relations: DataFrame, descriptions: DataFrame, share: float, seed: int = 0) -> dict[str, DataFrame]:
     """Sampled described heads and their tails; triples and descriptions of both; aliases one hop further; relations of the first hop."""
+    scratch = Scratch(triples.sparkSession, "hops")
     eligible = triples.select(F.col("h").alias("entity_id")).distinct().join(descriptions.select("entity_id"), "entity_id", "left_semi")
+    eligible = scratch.keep(eligible, "eligible")
     n = -(-int(eligible.count() * share * 1_000_000) // 1_000_000)
-    first = eligible.orderBy(F.md5(F.concat_ws("#", "entity_id", F.lit(str(seed))).cast("binary")), "entity_id").limit(n)
+    first = scratch.keep(first_by_hash(eligible, ["entity_id"], n, seed), "first")
     hop = triples.join(first.withColumnRenamed("entity_id", "h"), "h", "left_semi")
-    wide = first.union(hop.select("t")).distinct()
+    wide = scratch.keep(first.union(hop.select("t")).distinct(), "wide")
     kept = triples.join(wide.withColumnRenamed("entity_id", "h"), "h", "left_semi")
     ends = wide.union(kept.select("t")).distinct()
     return {

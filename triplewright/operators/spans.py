@@ -3,14 +3,22 @@
 Spans are found once for each distinct (description, entity), whatever the
 number of triples; triples join back by key, as a bag. Texts are normalised and
 lower-cased before, so aliases are literals.
+
+A whole-word match begins and ends with a token, so the stretches of a description
+that have as many tokens as some alias are joined with the aliases of its entities
+by their text: no text is copied to an alias, and a head with very many tails moves
+aliases, not texts. The join's key is description and text, so a common alias is no
+hot key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triplewright.functions.text import MAX_TOKENS, literal_spans, token_at, tokens
+from triplewright.functions.text import MAX_TOKENS, TOKEN, tokens
+from triplewright.functions.vectors import bound
+from triplewright.sources.lines import write_lines
 
 KINDS = ("h_s", "h_e", "t_s", "t_e")
 
@@ -21,17 +29,65 @@ def clipped(text: Column, most: int = MAX_TOKENS) -> Column:
     return F.when(F.length(text) > most, kept).otherwise(text)
 
 
+def token_offsets(text: Column, most: int = MAX_TOKENS) -> Column:
+    """array<struct<start, end>> of the first tokens, in characters. Tokens and the pieces between them alternate."""
+
+    def folded(toks: Column, gaps: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + F.length(x["gap"])
+            end = start + F.length(x["tok"])
+            return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("found"))
+
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
+        return F.aggregate(F.arrays_zip(toks.alias("tok"), F.slice(gaps, 1, F.size(toks)).alias("gap")), begin, step)["found"]
+
+    return bound(tokens(text, most), lambda toks: bound(F.split(text, TOKEN, -1), lambda gaps: folded(toks, gaps)))
+
+
+def stretches(descriptions: DataFrame, sizes: list[int], most: int = MAX_TOKENS) -> DataFrame:
+    """(h, gram, start, end, s, e): every stretch of so many tokens that stands alone: no word character touches its ends."""
+    rows = descriptions.select(F.col("entity_id").alias("h"), clipped(F.col("text"), most).alias("text"))
+    rows = rows.withColumn("offs", token_offsets(F.col("text"), most))
+
+    def of(size: int) -> Column:
+        def one(i: Column) -> Column:
+            start, end = F.get("offs", i)["start"], F.get("offs", i + size - 1)["end"]
+            return F.struct(F.substring("text", start + 1, end - start).alias("gram"), F.substring("text", start, F.when(start > 0, 1).otherwise(0)).alias("before"), F.substring("text", end + 1, F.lit(1)).alias("after"), start.alias("start"), end.alias("end"), i.alias("s"), (i + size - 1).alias("e"))
+
+        return F.when(F.size("offs") >= size, F.transform(F.sequence(F.lit(0), F.size("offs") - size), one))
+
+    found = F.flatten(F.array_compact(F.array(*[of(n) for n in sizes])))
+    rows = rows.select("h", F.explode(found).alias("x")).select("h", "x.*")
+    word = r"^\w"
+    return rows.where(~F.col("before").rlike(word) & ~F.col("after").rlike(word)).drop("before", "after")
+
+
 def alias_spans(pairs: DataFrame, descriptions: DataFrame, aliases: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
     """(h, entity, alias, pos, start, end, s, e): every match of every alias of ``entity`` in the description of ``h``.
 
-    ``pairs`` has distinct (h, entity); start and end are characters, s and e inclusive tokens. Matches past the last token fall away.
+    ``pairs`` has distinct (h, entity); start and end are characters, s and e inclusive
+    tokens. Matches past the last token fall away, and so do matches that begin before
+    the one before them ends. Empty aliases match nothing.
     """
-    names = aliases.select(F.col("entity_id").alias("entity"), F.posexplode("aliases").alias("pos", "alias"))
-    rows = pairs.join(names, "entity").join(descriptions.select(F.col("entity_id").alias("h"), clipped(F.col("text"), most).alias("text")), "h")
-    rows = rows.where((F.col("alias") != "") & F.contains("text", F.col("alias")))
-    found = rows.select("h", "entity", "alias", "pos", "text", F.explode(literal_spans(F.col("text"), F.col("alias"))).alias("span"))
-    found = found.select("h", "entity", "alias", "pos", "span.start", "span.end", token_at(F.col("text"), F.col("span.start"), most).alias("s"), token_at(F.col("text"), F.col("span.end") - 1, most).alias("e"))
-    return found.where(F.col("s").isNotNull() & F.col("e").isNotNull())
+    names = aliases.select(F.col("entity_id").alias("entity"), F.posexplode("aliases").alias("pos", "alias")).where("alias <> ''")
+    names = names.withColumn("toks", F.regexp_extract_all("alias", F.lit(TOKEN), 0))
+    sizes = sorted(r["n"] for r in names.select(F.size("toks").alias("n")).where(F.col("n").between(1, most)).distinct().collect())  # at most ``most`` numbers
+    # A text can overlap itself only where it begins as it ends.
+    again = F.exists(F.sequence(F.lit(1), F.greatest(F.size("toks") - 1, F.lit(1))), lambda k: (k < F.size("toks")) & (F.slice("toks", 1, k) == F.slice("toks", F.size("toks") - k + 1, k)))
+    wanted = pairs.join(names.withColumn("again", again).drop("toks"), "entity")
+    if not sizes:
+        return wanted.select("h", "entity", "alias", "pos", *[F.lit(0).alias(c) for c in ("start", "end", "s", "e")]).limit(0)
+    found = wanted.join(stretches(descriptions, sizes, most).withColumnRenamed("gram", "alias"), ["h", "alias"])
+    columns = ["h", "entity", "alias", "pos", "start", "end", "s", "e"]
+    once = found.where(~F.col("again")).select(*columns)
+    held = found.where("again").groupBy("h", "entity", "alias", "pos").agg(F.array_sort(F.collect_list(F.struct("start", "end", "s", "e"))).alias("x"))  # a text's tokens at most
+
+    def step(acc: Column, x: Column) -> Column:
+        free = (F.size(acc) == 0) | (F.try_element_at(acc, F.lit(-1))["end"] <= x["start"])
+        return F.when(free, F.concat(acc, F.array(x))).otherwise(acc)
+
+    kept = F.aggregate("x", F.array().cast("array<struct<start:int,end:int,s:int,e:int>>"), step)
+    return once.unionByName(held.select("h", "entity", "alias", "pos", F.explode(kept).alias("y")).select("h", "entity", "alias", "pos", "y.*"))
 
 
 def entity_spans(triples: DataFrame, descriptions: DataFrame, aliases: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
@@ -53,6 +109,15 @@ def gold_by_head(gold: DataFrame) -> DataFrame:
     return gold.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("r", "t", "hs", "he", "ts", "te"))).alias("triples"))
 
 
+def strict_gold_triples(triples: DataFrame, descriptions: DataFrame, aliases: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
+    """``gold_triples``; the query fails, and names the entity, where an end of a triple with a described head has no aliases."""
+    described = triples.join(descriptions.select(F.col("entity_id").alias("h")), "h", "left_semi")
+    bad = without_aliases(described, aliases).agg(F.min("entity_id").alias("bad"))  # one row
+    checked = triples.crossJoin(F.broadcast(bad))
+    h = F.when(F.col("bad").isNotNull(), F.raise_error(F.concat(F.lit("no aliases: "), F.col("bad")))).otherwise(F.col("h"))
+    return gold_triples(checked.select(h.cast("string").alias("h"), "r", "t"), descriptions, aliases, most)
+
+
 def without_aliases(triples: DataFrame, aliases: DataFrame) -> DataFrame:
     """Entities of triples that have no aliases: what a strict run would stop at."""
     ends = triples.select(F.col("h").alias("entity_id")).union(triples.select("t")).distinct()
@@ -80,6 +145,16 @@ def ends_aliases(descriptions: DataFrame, triples: DataFrame, aliases: DataFrame
     return rows.join(tails, "entity_id", "left").select("entity_id", "head_aliases", F.coalesce("tail_aliases", F.array().cast("array<string>")).alias("tail_aliases"))
 
 
+def ends_alias_lists(descriptions: DataFrame, triples: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(entity_id, head_lists, tail_lists) of every description, as an older model keeps them: lists of lists, empty where there are no aliases or triples."""
+    own = aliases.select("entity_id", F.array("aliases").alias("head_lists"))
+    tails = triples.join(aliases.select(F.col("entity_id").alias("t"), F.col("aliases").alias("names")), "t")
+    tails = tails.groupBy(F.col("h").alias("entity_id")).agg(F.array_sort(F.collect_list("names")).alias("tail_lists"))
+    none = F.array().cast("array<array<string>>")
+    rows = descriptions.select("entity_id").join(own, "entity_id", "left").join(tails, "entity_id", "left")
+    return rows.select("entity_id", F.coalesce("head_lists", none).alias("head_lists"), F.coalesce("tail_lists", none).alias("tail_lists"))
+
+
 def silver_labels(triples: DataFrame, descriptions: DataFrame, aliases: DataFrame) -> DataFrame:
     """Distinct (entity_id, kind, pos): first and last tokens of head and tail matches; sparse, a missing row is a 0."""
     spans = entity_spans(triples, descriptions, aliases)
@@ -139,6 +214,11 @@ def gold_log(descriptions: DataFrame, triples: DataFrame, gold: DataFrame) -> Da
     return rows.select("entity_id", F.posexplode(lines).alias("line_no", "line"))
 
 
+def write_gold_log(descriptions: DataFrame, triples: DataFrame, gold: DataFrame, path: str) -> None:
+    """The report as text files, the lines of a description together and in order."""
+    write_lines(gold_log(descriptions, triples, gold), path, "line", "entity_id", "line_no")
+
+
 def paired_ends(labels: DataFrame, start: str, end: str) -> DataFrame:
     """(entity_id, s, e): each labelled start with its next unused end, from left to right."""
     from triplewright.operators.extract import greedy_pairs
@@ -148,12 +228,3 @@ def paired_ends(labels: DataFrame, start: str, end: str) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("kind") == end, F.col("pos")))).alias("ends"),
     )
     return held.select("entity_id", F.explode(greedy_pairs(F.col("starts"), F.col("ends"), None)).alias("x")).select("entity_id", "x.s", "x.e")
-
-
-def ranked(df: DataFrame, by: str, into: str = "idx") -> DataFrame:
-    """Dense ids from 0 in the order of a distinct key: counts of ranges first, so that no task sees all keys."""
-    held = df.repartitionByRange(by).sortWithinPartitions(by).withColumn("__p", F.spark_partition_id())
-    sizes = held.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    base = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    row = F.row_number().over(Window.partitionBy("__p").orderBy(by))
-    return held.withColumn("__r", row).join(F.broadcast(base), "__p").withColumn(into, (F.col("__b") + F.col("__r") - 1).cast("long")).drop("__p", "__r", "__b")

@@ -1,8 +1,8 @@
 """Training of the span model's linear heads, a checkpoint for each epoch.
 
-The gradient of an epoch is one aggregation over all tokens; its size is the
-number of weights, so that is what reaches the driver, where Adam takes a step.
-The state of each epoch is written, and a run goes on from the latest it finds.
+The gradient of an epoch is one aggregation over all tokens, a vector sum for each
+kind; that is what reaches the driver, where Adam takes a step. The state of each
+epoch is written, and a run goes on from the latest it finds.
 """
 
 from __future__ import annotations
@@ -13,15 +13,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triplewright.functions import vectors as V
-from triplewright.sources.lines import exists
+from triplewright.functions.aggregates import vector_sum
+from triplewright.sources.lines import exists, read_strict
+from triplewright.storage import Scratch
 
 STATE = "epoch int, kind string, dim int, weight double, m double, v double"
 
 
+def epoch_path(folder: str, epoch: int) -> str:
+    return f"{folder}/epoch-{epoch:04d}"
+
+
 def latest_epoch(spark, folder: str) -> int:
     """The last epoch with a whole checkpoint, or -1. Part files of a broken write don't count: Spark marks a finished one."""
     last = -1
-    while exists(spark, f"{folder}/epoch-{last + 1:04d}/_SUCCESS"):
+    while exists(spark, f"{epoch_path(folder, last + 1)}/_SUCCESS"):
         last += 1
     return last
 
@@ -33,29 +39,30 @@ def train_heads(tokens: DataFrame, labels: DataFrame, dims: int, folder: str, ep
     """
     spark = tokens.sparkSession
     kinds = sorted(r["kind"] for r in labels.select("kind").distinct().collect())  # a handful of label kinds
-    rows = tokens.select("entity_id", "pos", F.concat(V.double(F.col("emb")), F.array(F.lit(1.0))).alias("x"))
-    for k in kinds:
-        mark = labels.where(F.col("kind") == k).select("entity_id", "pos").distinct().withColumn(f"y_{k}", F.lit(1.0))
-        rows = rows.join(mark, ["entity_id", "pos"], "left")
-    rows = rows.fillna(0.0, [f"y_{k}" for k in kinds])
+    marks = labels.groupBy("entity_id", "pos").agg(F.collect_set("kind").alias("kinds"))
+    rows = tokens.join(marks, ["entity_id", "pos"], "left").select(F.concat(V.double(F.col("emb")), F.array(F.lit(1.0))).alias("x"), F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"))
+    rows = Scratch(spark, "heads").keep(rows, "tokens")
+    n = max(rows.count(), 1)
     last = latest_epoch(spark, folder)
     state = {(k, d): (0.0, 0.0, 0.0) for k in kinds for d in range(dims + 1)}
     if last >= 0:
-        held = spark.read.schema(STATE).parquet(f"{folder}/epoch-{last:04d}")
-        state |= {(r["kind"], r["dim"]): (r["weight"], r["m"], r["v"]) for r in held.collect()}
+        held = read_strict(spark, epoch_path(folder, last))
+        state |= {(r["kind"], r["dim"]): (r["weight"], r["m"], r["v"]) for r in held.collect()}  # the model's own size
     for epoch in range(last + 1, epochs):
-        slopes = []
+        pulls = []
         for k in kinds:
+            y = F.array_contains("kinds", k).cast("double")
             p = V.sigmoid(V.dot(F.col("x"), F.array(*[F.lit(state[k, d][0]) for d in range(dims + 1)])))
-            pull = (1 - F.col(f"y_{k}")) * p - F.col(f"y_{k}") * pos_weight * (1 - p)
-            slopes += [F.avg(pull * F.get("x", F.lit(d))).alias(f"{k}_{d}") for d in range(dims + 1)]
-        got = rows.agg(*slopes).first()
+            pulls.append(((1 - y) * p - y * pos_weight * (1 - p)).alias(f"pull_{k}"))
+        pulled = rows.select("x", *pulls)
+        sums = [vector_sum(V.scale(F.col("x"), F.col(f"`pull_{k}`"))).alias(k) for k in kinds]
+        got = pulled.agg(*sums).first()
         after = []
         for (k, d), (w, m, v) in state.items():
-            g = got[f"{k}_{d}"] or 0.0
+            g = got[k][d] / n if got[k] is not None and len(got[k]) else 0.0
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             w -= rate * (m / (1 - 0.9 ** (epoch + 1))) / (math.sqrt(v / (1 - 0.999 ** (epoch + 1))) + 1e-8)
             state[k, d] = w, m, v
             after.append((epoch, k, d, w, m, v))
-        spark.createDataFrame(after, STATE).coalesce(1).write.mode("overwrite").parquet(f"{folder}/epoch-{epoch:04d}")
-    return spark.read.schema(STATE).parquet(f"{folder}/epoch-{max(last, epochs - 1):04d}")
+        spark.createDataFrame(after, STATE).coalesce(1).write.mode("overwrite").parquet(epoch_path(folder, epoch))
+    return spark.read.schema(STATE).parquet(epoch_path(folder, max(last, epochs - 1)))

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triplewright.functions import vectors as V
+from triplewright.functions.aggregates import vector_sum
 from triplewright.operators.minimize import portable_hash
-from triplewright.operators.spans import ranked
+from triplewright.operators.ordering import ranked
+from triplewright.operators.training import epoch_path, latest_epoch
+from triplewright.sources.lines import read_strict, vector_table, write_table
 from triplewright.storage import Scratch
 
-DIM, MARGIN, RATE, EPOCHS, BATCH = 100, 1.0, 1e-3, 90, 256
+#: Batches of an epoch: large ones, as each is a pass of the cluster.
+STEPS = 8
+DIM, MARGIN, RATE, EPOCHS = 100, 1.0, 1e-3, 90
 
 
 def id_maps(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,58 +74,82 @@ def hinge(scored: DataFrame, batches: int = 1, margin: float = MARGIN) -> DataFr
     return held.agg(F.sum("loss").alias("loss"))
 
 
-def train(encoded: DataFrame, entities: DataFrame, relations: DataFrame, n_entities: int, n_relations: int, dims: int = DIM, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, margin: float = MARGIN, seed: int = 0, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+def start_state(entities: DataFrame, relations: DataFrame, n_entities: int, n_relations: int, dims: int = DIM, seed: int = 0) -> DataFrame:
+    """(kind, idx, emb, m, v): initial vectors of entities ("e") and relations ("r"), and Adam's moments."""
+    none = F.array_repeat(F.lit(0.0), dims)
+    parts = [initial(ids.select("idx"), n, dims, s).select(F.lit(kind).alias("kind"), "idx", "emb") for kind, ids, n, s in (("e", entities, n_entities, seed), ("r", relations, n_relations, seed + 1))]
+    return parts[0].unionByName(parts[1]).withColumns({"m": none, "v": none})
+
+
+def slopes(pairs: DataFrame, state: DataFrame, margin: float = MARGIN, p: int = 1) -> DataFrame:
+    """(kind, idx, g): the summed slopes of the hinge of every pair, by the vectors that it moves; all JVM-side.
+
+    Each vector's sum is one aggregation buffer, merged before the shuffle, so that a
+    relation of all triples costs no more than one of a few.
+    """
+    out = pairs
+    for column, kind in (("h_idx", "e"), ("t_idx", "e"), ("nh_idx", "e"), ("nt_idx", "e"), ("r_idx", "r")):
+        out = out.join(state.where(F.col("kind") == kind).select(F.col("idx").alias(column), F.col("emb").alias(f"v_{column}")), column)
+    keys = ["h_idx", "r_idx", "t_idx", "nh_idx", "nt_idx"]
+    out = out.select(*keys, V.minus(V.plus(F.col("v_h_idx"), F.col("v_r_idx")), F.col("v_t_idx")).alias("good"), V.minus(V.plus(F.col("v_nh_idx"), F.col("v_r_idx")), F.col("v_nt_idx")).alias("bad"))
+    out = out.where(margin + V.norm(F.col("good"), p) - V.norm(F.col("bad"), p) > 0)
+    way = (lambda x: F.transform(x, F.signum)) if p == 1 else V.unit
+    out = out.select(*keys, way(F.col("good")).alias("up"), way(F.col("bad")).alias("down"))
+    up, down = F.col("up"), F.col("down")
+    moves = [("e", "h_idx", up), ("e", "t_idx", V.scale(up, -1.0)), ("r", "r_idx", V.minus(up, down)), ("e", "nh_idx", V.scale(down, -1.0)), ("e", "nt_idx", down)]
+    rows = out.select(F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(idx).alias("idx"), g.alias("g")) for kind, idx, g in moves])).alias("x"))
+    return rows.select("x.*").groupBy("kind", "idx").agg(vector_sum(F.col("g")).alias("g"))
+
+
+def adam(state: DataFrame, sums: DataFrame, n: int, turn: int, rate: float, unit: dict[str, int]) -> DataFrame:
+    """One step over all vectors, those without a slope too, as a dense optimiser takes it; then rows of the kinds in ``unit`` get length 1 by that norm."""
+    joined = state.join(sums, ["kind", "idx"], "left")
+    g = F.coalesce(F.col("g"), F.array_repeat(F.lit(0.0), F.size("emb")))
+    out = joined.select("kind", "idx", "emb", F.zip_with("m", g, lambda m, x: 0.9 * m + 0.1 * (x / n)).alias("m"), F.zip_with("v", g, lambda v, x: 0.999 * v + 0.001 * (x / n) * (x / n)).alias("v"))
+    moves = F.zip_with("m", "v", lambda m, v: rate * (m / (1 - 0.9**turn)) / (F.sqrt(v / (1 - 0.999**turn)) + 1e-8))
+    out = out.withColumn("emb", V.minus(F.col("emb"), moves))
+    sized = F.col("emb")
+    for kind, p in unit.items():
+        sized = F.when(F.col("kind") == kind, V.unit(F.col("emb"), p)).otherwise(sized)
+    return out.withColumn("emb", sized)
+
+
+def train(encoded: DataFrame, entities: DataFrame, relations: DataFrame, n_entities: int, n_relations: int, dims: int = DIM, epochs: int = EPOCHS, steps: int = STEPS, rate: float = RATE, margin: float = MARGIN, seed: int = 0, folder: str | None = None, p: int = 1, unit: dict[str, int] | None = None, until: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Embeddings (idx, emb) of entities and relations.
 
-    Adam with cosine annealing; each epoch every partition walks its own batches
-    from the epoch's tables and the results are averaged over the partitions that
-    met an id. Both tables of an epoch are written, so a lost executor costs an
-    epoch's partition, and a stopped run goes on from the last whole epoch.
-    Entity vectors are scaled to unit length after each epoch.
+    Each epoch deals the triples anew into ``steps`` batches, with new negatives; each
+    batch is one Adam step of its mean hinge over all vectors, the rate annealed by a
+    cosine over ``epochs``. Entities are scaled to unit length after each step. The
+    state of each epoch, moments included, is written under ``folder``; a call with the
+    same folder goes on after the last whole epoch and ends as if it had never stopped.
+    ``until`` stops before that epoch.
     """
     spark = encoded.sparkSession
     scratch = Scratch(spark, "transe")
-    root = folder or scratch.root
-    now = {"e": initial(entities.select("idx"), n_entities, dims, seed), "r": initial(relations.select("idx"), n_relations, dims, seed + 1)}
-    for epoch in range(epochs):
-        path = f"{root}/epoch={epoch:04d}"
-        lr = rate * 0.5 * (1 + float(np.cos(np.pi * epoch / max(epochs, 1))))
-        pairs = negatives(encoded, n_entities, epoch, seed)
-        joined = pairs
-        for column, table in (("h_idx", now["e"]), ("t_idx", now["e"]), ("nh_idx", now["e"]), ("nt_idx", now["e"]), ("r_idx", now["r"])):
-            joined = joined.join(table.select(F.col("idx").alias(column), F.col("emb").alias(f"v_{column}")), column)
-
-        def steps(frames: Iterator[pd.DataFrame], lr: float = lr) -> Iterator[pd.DataFrame]:
-            table: dict[tuple[str, int], np.ndarray] = {}
-            moment: dict[tuple[str, int], list] = {}
-            for frame in frames:
-                for at in range(0, len(frame), batch):
-                    part = frame.iloc[at : at + batch]
-                    names = [("e", "h_idx", 1), ("e", "t_idx", -1), ("r", "r_idx", 1), ("e", "nh_idx", 1), ("e", "nt_idx", -1)]
-                    held = {}
-                    for kind, column, _ in names:
-                        for i, v in zip(part[column], part[f"v_{column}"], strict=True):
-                            table.setdefault((kind, int(i)), np.array(v, float))
-                        held[column] = np.stack([table[kind, int(i)] for i in part[column]])
-                    good, bad = held["h_idx"] + held["r_idx"] - held["t_idx"], held["nh_idx"] + held["r_idx"] - held["nt_idx"]
-                    live = (margin + np.abs(good).sum(1) - np.abs(bad).sum(1) > 0)[:, None] / len(part)
-                    up, down = np.sign(good) * live, -np.sign(bad) * live
-                    slope: dict[tuple[str, int], np.ndarray] = {}
-                    for (kind, column, sign), moves in zip(names, ([up], [up], [up, down], [down], [down]), strict=True):
-                        for k, i in enumerate(part[column]):
-                            key = kind, int(i)
-                            slope[key] = slope.get(key, 0) + sign * sum(m[k] for m in moves)
-                    for key, g in slope.items():
-                        m = moment.setdefault(key, [0, 0.0, 0.0])
-                        m[0], m[1], m[2] = m[0] + 1, 0.9 * m[1] + 0.1 * g, 0.999 * m[2] + 0.001 * g * g
-                        table[key] = table[key] - lr * (m[1] / (1 - 0.9 ** m[0])) / (np.sqrt(m[2] / (1 - 0.999 ** m[0])) + 1e-8)
-            if table:
-                yield pd.DataFrame({"kind": [k for k, _ in table], "idx": [i for _, i in table], "emb": [v.tolist() for v in table.values()]})
-
-        moved = joined.mapInPandas(steps, "kind string, idx long, emb array<double>")
-        parts = moved.select("kind", "idx", F.posexplode("emb").alias("d", "x")).groupBy("kind", "idx", "d").agg(F.avg("x").alias("x"))
-        mean = parts.groupBy("kind", "idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda p: p["x"]).alias("emb"))
-        mean.withColumn("emb", F.when(F.col("kind") == "e", V.unit(F.col("emb"))).otherwise(F.col("emb"))).write.mode("overwrite").parquet(path)
-        written = spark.read.parquet(path)
-        now = {k: written.where(F.col("kind") == k).select("idx", "emb") for k in ("e", "r")}
-    return now["e"], now["r"]
+    root = folder or f"{scratch.root}/epochs"
+    unit = {"e": 2} if unit is None else unit
+    last = latest_epoch(spark, root)
+    state = read_strict(spark, epoch_path(root, last)) if last >= 0 else scratch.keep(start_state(entities, relations, n_entities, n_relations, dims, seed), "start")
+    encoded = scratch.keep(encoded, "encoded")
+    for epoch in range(last + 1, min(epochs, epochs if until is None else until)):
+        lr = rate * 0.5 * (1 + math.cos(math.pi * epoch / max(epochs, 1)))
+        pairs = scratch.keep(dealt(negatives(encoded, n_entities, epoch, seed), epoch, steps), "pairs")
+        sizes = {r["shard"]: r["n"] for r in pairs.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # ``steps`` rows
+        for step in range(steps):
+            batch = pairs.where(F.col("shard") == step)
+            after = adam(state, slopes(batch, state, margin, p), max(sizes.get(step, 0), 1), epoch * steps + step + 1, lr, unit)
+            if step < steps - 1:
+                state = scratch.keep(after, "step")
+        after.write.mode("overwrite").parquet(epoch_path(root, epoch))
+        state = spark.read.parquet(epoch_path(root, epoch))
+    return tuple(state.where(F.col("kind") == k).select("idx", "emb") for k in ("e", "r"))
+
+
+def train_legacy(encoded: DataFrame, entities: DataFrame, relations: DataFrame, n_entities: int, n_relations: int, **options) -> tuple[DataFrame, DataFrame]:
+    """The older loop: 120 epochs, Euclidean distances, both tables scaled to unit length by their absolute sums."""
+    return train(encoded, entities, relations, n_entities, n_relations, **({"epochs": 120, "p": 2, "unit": {"e": 1, "r": 1}} | options))
+
+
+def save_relations(relations: DataFrame, ids: DataFrame, path: str) -> DataFrame:
+    """Write (relation_id, emb) with single-precision vectors, and read it."""
+    return write_table(vector_table(ids.join(relations, "idx").select("relation_id", "emb")), path, "overwrite")

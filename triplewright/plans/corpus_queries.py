@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triplewright.functions import aggregates as A
 from triplewright.functions import text as T
 from triplewright.operators import minimize as M
+from triplewright.operators import ordering as O
 from triplewright.operators import spans as S
 from triplewright.plans import graph as G
 from triplewright.sources import lines as L
@@ -61,9 +63,13 @@ def norm_aliases_legacy(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def stop_words(spark: SparkSession, d: str) -> DataFrame:
     """The library's own English list; other lists are arguments of the alias normaliser."""
-    from pyspark.ml.feature import StopWordsRemover
+    return A.stop_words(spark)
 
-    return spark.createDataFrame([(w,) for w in sorted(set(StopWordsRemover.loadDefaultStopWords("english")))], "word string")
+
+@query("SELECT sum(CASE WHEN name = '' THEN 0 ELSE len(string_split(name, ' ')) END)::BIGINT AS items FROM (SELECT p_name AS name FROM part)")
+def alias_items(spark: SparkSession, d: str) -> DataFrame:
+    """Items of all alias lists together."""
+    return A.list_items(G.table(spark, d, "part").select(F.split("p_name", " ", -1).alias("aliases")), "aliases")
 
 
 # --- sources: lines are built from tables and parsed again ---------------------
@@ -90,6 +96,16 @@ def scan_descriptions(spark: SparkSession, d: str) -> DataFrame:
     return L.parse_descriptions(_lines(spark, d, "descriptions"))
 
 
+@query("""WITH l AS (SELECT *, event_id % 700 = 0 AND event_id > 0 AS bad FROM events), b AS (SELECT min(event_id) AS first FROM l WHERE bad)
+SELECT 'U' || user_id AS entity_id, arg_max(event_type || ' ' || event_id, event_id) AS text FROM l, b WHERE first IS NULL OR event_id < first GROUP BY user_id""")
+def scan_descriptions_stop(spark: SparkSession, d: str) -> DataFrame:
+    """The older reader: lines up to the first without a text."""
+    i = F.col("event_id")
+    text = F.when((i % 700 == 0) & (i > 0), F.lit("")).otherwise(F.concat_ws(" ", "event_type", i.cast("string")))
+    rows = G.table(spark, d, "events").select(i.alias("line"), F.concat_ws("\t", F.concat(F.lit("U"), F.col("user_id").cast("string")), text).alias("value"))
+    return L.parse_descriptions(rows, stop=True)
+
+
 _NAMES = "CASE WHEN event_id % 7 = 0 THEN '' ELSE event_type || ' ' || event_id END || '|n' || (event_id % 3)"
 
 
@@ -115,7 +131,7 @@ def scan_line_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_custkey, floor((row_number() OVER (ORDER BY c_custkey) - 1) / ceil(count(*) OVER () / 7.0))::BIGINT AS chunk FROM customer")
 def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
-    return L.chunked(G.table(spark, d, "customer").select("c_custkey"), "c_custkey", 7)
+    return O.chunked(G.table(spark, d, "customer").select("c_custkey"), "c_custkey", 7)
 
 
 # --- minimisation --------------------------------------------------------------
@@ -173,19 +189,26 @@ def minimize_descriptions(spark: SparkSession, d: str) -> DataFrame:
     return _cut(spark, d)[1]["descriptions"]
 
 
-_TWO = f"""WITH triples AS MATERIALIZED ({G.SQL_TRIPLES}), eligible AS (SELECT DISTINCT h AS id FROM triples), first AS (
+_TWO = f"""{G.SQL_GRAPH}, eligible AS (SELECT DISTINCT h AS id FROM triples), first AS (
   SELECT id FROM eligible ORDER BY md5(id || '#0'), id LIMIT (SELECT ceil(count(*) * 0.05)::BIGINT FROM eligible)), hop AS (SELECT * FROM triples WHERE h IN (SELECT id FROM first)),
 wide AS (SELECT id FROM first UNION SELECT t FROM hop), kept AS (SELECT * FROM triples WHERE h IN (SELECT id FROM wide)), ends AS (SELECT id FROM wide UNION SELECT t FROM kept)"""
 
 
-@query(f"""{_TWO} SELECT 'aliases' AS name, count(*)::BIGINT AS n FROM ends UNION ALL SELECT 'descriptions', count(*) FROM wide
-UNION ALL SELECT 'relations', count(DISTINCT r) FROM hop UNION ALL SELECT 'triples', count(*) FROM kept""")
+@query(f"""{_TWO} SELECT 'aliases' AS name, e.id AS id, array_to_string(list(a.alias ORDER BY a.pos), '|') AS row FROM ends e JOIN descriptions d ON d.entity_id = e.id LEFT JOIN aliases a ON a.entity_id = e.id GROUP BY e.id
+UNION ALL SELECT 'descriptions', entity_id, text FROM descriptions WHERE entity_id IN (SELECT id FROM wide)
+UNION ALL SELECT 'relations', r, CASE r WHEN 'rel_a' THEN 'is next to|adjoins' ELSE 'points at' END FROM (SELECT DISTINCT r FROM hop)
+UNION ALL SELECT 'triples', h, r || '|' || t FROM kept""")
 def minimize_two_hops(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of the four tables."""
     g = G.TextGraph(spark, d)
     cut = M.minimize_two_hops(g.triples, g.aliases, g.relations, g.descriptions, 0.05)
+    parts = {
+        "aliases": ("entity_id", F.array_join("aliases", "|")), "descriptions": ("entity_id", F.col("text")),
+        "relations": ("relation_id", F.array_join("aliases", "|")), "triples": ("h", F.concat_ws("|", "r", "t")),
+    }
     out = None
-    for name, df in sorted(cut.items()):
-        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+    for name, (key, row) in parts.items():
+        one = cut[name].select(F.lit(name).alias("name"), F.col(key).alias("id"), row.alias("row"))
         out = one if out is None else out.unionAll(one)
     return out
 
@@ -250,6 +273,17 @@ def alias_spans(spark: SparkSession, d: str) -> DataFrame:
     return _spans(spark, d).select("h", "entity", "alias", F.col("start").alias("c_start"), F.col("end").alias("c_end"), "s", "e")
 
 
+@query(f"{G.SQL_SPANS} SELECT h, alias, c_start, c_end, s, e FROM spans WHERE entity = h")
+def literal_matches(spark: SparkSession, d: str) -> DataFrame:
+    """A description's own aliases by splitting its text at each of them, and the tokens that hold their ends."""
+    g = G.TextGraph(spark, d)
+    names = g.aliases.select("entity_id", F.explode("aliases").alias("alias"))
+    rows = g.descriptions.select("entity_id", S.clipped(F.col("text")).alias("text")).join(names, "entity_id")
+    rows = rows.select(F.col("entity_id").alias("h"), "alias", "text", F.explode(T.literal_spans(F.col("text"), F.col("alias"))).alias("x"))
+    ends = rows.select("h", "alias", F.col("x.start").alias("c_start"), F.col("x.end").alias("c_end"), T.token_at(F.col("text"), F.col("x.start")).alias("s"), T.token_at(F.col("text"), F.col("x.end") - 1).alias("e"))
+    return ends.where("s is not null and e is not null")
+
+
 @query(f"{G.SQL_SPANS} SELECT h, entity, s, e FROM entity_spans")
 def entity_spans(spark: SparkSession, d: str) -> DataFrame:
     g = G.TextGraph(spark, d)
@@ -298,6 +332,18 @@ def ends_aliases(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("entity_id", F.array_join("head_aliases", "|").alias("head_aliases"), F.array_join("tail_aliases", "|").alias("tail_aliases"))
 
 
+@query(f"""{G.SQL_GRAPH}, a AS (SELECT entity_id, list(alias ORDER BY pos) AS names FROM aliases GROUP BY 1), own AS (SELECT entity_id, CASE WHEN w = '' THEN '' ELSE array_to_string(coalesce(names, []), '|') END AS names FROM (SELECT entity_id, text AS w FROM descriptions) LEFT JOIN a USING (entity_id))
+SELECT d.entity_id, '[' || any_value(x.names) || ']' AS head_lists, string_agg('[' || y.names || ']', '' ORDER BY string_split(y.names, '|')) AS tail_lists
+FROM descriptions d JOIN own x ON x.entity_id = d.entity_id LEFT JOIN triples t ON t.h = d.entity_id LEFT JOIN own y ON y.entity_id = t.t GROUP BY d.entity_id""")
+def ends_alias_lists(spark: SparkSession, d: str) -> DataFrame:
+    g = G.TextGraph(spark, d)
+
+    def shown(c: str):
+        return F.array_join(F.transform(c, lambda x: F.concat(F.lit("["), F.array_join(x, "|"), F.lit("]"))), "").alias(c)
+
+    return S.ends_alias_lists(g.descriptions, g.triples, g.aliases).select("entity_id", shown("head_lists"), shown("tail_lists"))
+
+
 @query(f"{G.SQL_LABELS} SELECT entity_id, kind, pos FROM labels_")
 def silver_labels(spark: SparkSession, d: str) -> DataFrame:
     return _silver(spark, d)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplewright.functions.text import DELETED, DELETED_LEGACY, SPACE, TOKEN, WORD_OK, normalize, substitution
+from triplewright.storage import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +26,12 @@ class TextGraph:
 
         ids = docs.select("doc_id")
         self.triples = ids.select(ident.alias("h"), F.lit("rel_a").alias("r"), other(7, 3).alias("t")).union(ids.select(ident.alias("h"), F.lit("rel_b").alias("r"), other(13, 5).alias("t")))
-        self.descriptions = docs.select(ident.alias("entity_id"), normalize(F.col("text"), lower=True).alias("text"))
+        # Normalised texts are tables of their own in a prepared graph: written once, read by every use.
+        self.descriptions = Scratch(spark, "graph").keep(docs.select(ident.alias("entity_id"), normalize(F.col("text"), lower=True).alias("text")), "descriptions")
         start = self.descriptions.select("entity_id", F.split("text", " ", 3).alias("w"))
         names = F.filter(F.array(F.get("w", F.lit(0)), F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1)))), lambda a: a.isNotNull() & (a != ""))
         self.aliases = start.select("entity_id", F.array_distinct(names).alias("aliases"))
-        self.relations = spark.createDataFrame([("rel_a", ["is next to", "adjoins"]), ("rel_b", ["points at"]), ("rel_c", ["is unused"])], "relation_id string, aliases array<string>")
+        self.relations = spark.createDataFrame([("rel_a", ["is next to", "adjoins"]), ("rel_b", ["points at"]), ("rel_c", ["is unused"]), ("rel_d", [])], "relation_id string, aliases array<string>")
 
 
 def structural(spark: SparkSession, sf_dir: str) -> DataFrame:

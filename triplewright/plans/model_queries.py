@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triplewright.functions import aggregates as A
+from triplewright.functions import text as T
 from triplewright.functions import vectors as V
 from triplewright.operators import encode as E
 from triplewright.operators import extract as X
@@ -21,7 +23,8 @@ from triplewright.storage import Scratch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-DIMS, TOKENS = 8, 8
+#: Size of the encoder's vectors, which are whole here, and of the graph's.
+DIMS = 8
 
 
 def plain_zero(sql: str) -> str:
@@ -68,8 +71,8 @@ def sql_plus(*lists: str) -> str:
 
 @query("""SELECT label, d::INT AS d, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings) GROUP BY 1, 2""")
 def relation_mean(spark: SparkSession, d: str) -> DataFrame:
-    rows = G.table(spark, d, "embeddings").select("label", F.posexplode(V.double(F.col("embedding"))).alias("d", "x"))
-    return rows.groupBy("label", "d").agg(F.round(F.avg("x"), 6).alias("x"))
+    means = A.mean_by(G.table(spark, d, "embeddings"), "label", "embedding")
+    return A.flattened(means, "label", "emb", "x").select("label", F.col("pos").alias("d"), F.round("x", 6).alias("x"))
 
 
 def _label_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -87,9 +90,8 @@ def positive_weights(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_returnflag, round(sum(CASE WHEN l_discount > 0.05 THEN l_quantity ELSE 0 END) / greatest(sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END), 1), 6) AS mean, bool_or(l_tax > 0.07)::INT AS any_tax FROM lineitem GROUP BY 1")
 def masked_mean(spark: SparkSession, d: str) -> DataFrame:
-    m = (F.col("l_discount") > 0.05).cast("double")
     rows = G.table(spark, d, "lineitem").groupBy("l_returnflag")
-    return rows.agg(F.round(F.sum(F.col("l_quantity") * m) / F.greatest(F.sum(m), F.lit(1.0)), 6).alias("mean"), F.bool_or(F.col("l_tax") > 0.07).cast("int").alias("any_tax"))
+    return rows.agg(F.round(A.masked_mean(F.col("l_quantity"), F.col("l_discount") > 0.05), 6).alias("mean"), A.any_of(F.col("l_tax") > 0.07).cast("int").alias("any_tax"))
 
 
 @query(f"""WITH t AS ({G.SQL_STRUCTURAL}), e AS (SELECT h AS id FROM t UNION SELECT t FROM t), r AS (SELECT DISTINCT r AS id FROM t)
@@ -101,19 +103,18 @@ def dense_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, user_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 4) AS running FROM events")
 def prefix_sum(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return G.table(spark, d, "events").select("event_id", "user_id", F.round(F.sum("value").over(w), 4).alias("running"))
+    rows = A.running_sum(G.table(spark, d, "events"), "user_id", "event_id", "value", "running")
+    return rows.select("event_id", "user_id", F.round("running", 4).alias("running"))
 
 
 @query("""SELECT c_nationkey, string_agg(c_mktsegment, ',' ORDER BY c_custkey) AS segments, array_to_string(list_sort(list_distinct(list(c_mktsegment))), ',') AS kinds, count(*)::BIGINT AS n,
   array_to_string(list_concat(list(c_custkey ORDER BY c_custkey)[1:8], [0, 0, 0, 0, 0, 0, 0, 0])[1:8], ',') AS padded FROM customer GROUP BY 1""")
 def grouped_lists(spark: SparkSession, d: str) -> DataFrame:
-    rows = G.table(spark, d, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_mktsegment"))).alias("l"))
-    ids = F.transform("l", lambda x: x["c_custkey"])
+    customers = G.table(spark, d, "customer")
+    rows = A.listed(customers, "c_nationkey", "c_custkey", "c_mktsegment", "l").join(A.listed(customers, "c_nationkey", "c_custkey", "c_custkey", "ids"), "c_nationkey")
     return rows.select(
-        "c_nationkey", F.array_join(F.transform("l", lambda x: x["c_mktsegment"]), ",").alias("segments"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform("l", lambda x: x["c_mktsegment"]))), ",").alias("kinds"), F.size("l").cast("long").alias("n"),
-        F.array_join(F.transform(F.slice(F.concat(ids, F.array_repeat(F.lit(0).cast("long"), 8)), 1, 8), lambda x: x.cast("string")), ",").alias("padded"),
+        "c_nationkey", F.array_join("l", ",").alias("segments"), F.array_join(A.sorted_set(F.col("l")), ",").alias("kinds"), F.size("l").cast("long").alias("n"),
+        F.array_join(A.padded_list(F.col("ids"), 8, F.lit(0).cast("long")).cast("array<string>"), ",").alias("padded"),
     )
 
 
@@ -122,7 +123,7 @@ UNION ALL SELECT 'difference', k FROM (SELECT DISTINCT c_nationkey AS k FROM cus
 UNION ALL SELECT 'bag', s_nationkey FROM supplier UNION ALL SELECT 'bag', s_nationkey FROM supplier""")
 def set_operations(spark: SparkSession, d: str) -> DataFrame:
     c, s = G.table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), G.table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
-    parts = [("union", c.union(s).distinct()), ("difference", c.distinct().join(s, "k", "left_anti")), ("bag", s.unionAll(s))]
+    parts = [("union", A.union_of(c, s)), ("difference", A.difference(c, s, "k")), ("bag", s.unionAll(s))]
     out = None
     for name, df in parts:
         one = df.select(F.lit(name).alias("op"), "k")
@@ -132,7 +133,7 @@ def set_operations(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey, (generate_subscripts(w, 1) - 1)::INT AS pos, unnest(w) AS word FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)")
 def exploded_aliases(spark: SparkSession, d: str) -> DataFrame:
-    return G.table(spark, d, "part").select("p_partkey", F.posexplode(F.split("p_name", " ", -1)).alias("pos", "word"))
+    return A.flattened(G.table(spark, d, "part").select("p_partkey", F.split("p_name", " ", -1).alias("names")), "p_partkey", "names", "word")
 
 
 @query("SELECT label, d::INT AS d, max(x) AS z FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings) GROUP BY 1, 2")
@@ -169,18 +170,24 @@ def vector_functions(spark: SparkSession, d: str) -> DataFrame:
 _MEANS = "SELECT label, list(x ORDER BY d) AS v FROM (SELECT label, d, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings) GROUP BY 1, 2) GROUP BY 1"
 
 
-def _relations(spark: SparkSession, d: str, dims: int | None = None) -> DataFrame:
-    rows = G.table(spark, d, "embeddings").select("label", F.posexplode(V.double(F.col("embedding"))).alias("d", "x"))
-    rows = rows.where(F.col("d") < dims) if dims else rows
-    means = rows.groupBy("label", "d").agg(F.avg("x").alias("x")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda p: p["x"]).alias("emb"))
-    return means.select(F.col("label").alias("relation_id"), "emb")
+def _label_means(spark: SparkSession, d: str) -> DataFrame:
+    return A.mean_by(G.table(spark, d, "embeddings"), "label", "embedding").select(F.col("label").alias("relation_id"), "emb")
 
 
 @query(f"""WITH m AS ({_MEANS}), s AS (SELECT e.vec_id, m.label, list_dot_product(e.embedding::DOUBLE[], m.v) / greatest(sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(m.v, m.v)), 1e-12) AS c FROM embeddings e, m)
 SELECT vec_id, label, round(c, 6) AS cosine, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, label) AS rank FROM s) WHERE rank <= 3""")
 def likely_relations(spark: SparkSession, d: str) -> DataFrame:
     means = G.table(spark, d, "embeddings").select(F.col("vec_id").alias("entity_id"), F.col("embedding").alias("emb"))
-    return X.likely_relations(means, _relations(spark, d), 3).select(F.col("entity_id").alias("vec_id"), F.col("relation_id").alias("label"), F.round("cosine", 6).alias("cosine"), "rank")
+    return X.likely_relations(means, _label_means(spark, d), 3).select(F.col("entity_id").alias("vec_id"), F.col("relation_id").alias("label"), F.round("cosine", 6).alias("cosine"), "rank")
+
+
+@query(f"""WITH m AS ({_MEANS}), s AS (SELECT e.vec_id, e.vec_id % 10 = m.label AS g, m.label, list_dot_product(e.embedding::DOUBLE[], m.v) / greatest(sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(m.v, m.v)), 1e-12) AS c FROM embeddings e, m)
+SELECT vec_id, label, round(c, 6) AS cosine, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, label) AS rank FROM s) WHERE rank <= 3 OR g""")
+def likely_relations_and_gold(spark: SparkSession, d: str) -> DataFrame:
+    e = G.table(spark, d, "embeddings")
+    gold = e.select(F.col("vec_id").alias("entity_id"), (F.col("vec_id") % 10).cast("int").alias("relation_id"))
+    rows = X.likely_relations(e.select(F.col("vec_id").alias("entity_id"), F.col("embedding").alias("emb")), _label_means(spark, d), 3, gold)
+    return rows.select(F.col("entity_id").alias("vec_id"), F.col("relation_id").alias("label"), F.round("cosine", 6).alias("cosine"), "rank")
 
 
 # --- graph embeddings ----------------------------------------------------------------
@@ -247,10 +254,51 @@ def transe_hinge(spark: SparkSession, d: str) -> DataFrame:
     return TE.hinge(_scored(spark, d), 4).select(F.round("loss", 6).alias("loss"))
 
 
-@query()
+TRAIN_DIMS, TRAIN_EPOCHS = 16, 2
+
+
+def _trained(p: int, unit: dict[str, int]) -> str:
+    """State after TRAIN_EPOCHS epochs of one batch each, a number a row."""
+
+    def start(kind: str, table: str, seed: int) -> str:
+        value = _HASH.format(f"idx || '#' || k || '#{seed}'")
+        return f"SELECT '{kind}' AS kind, idx, k, ({value} / 4294967296.0 * 2 - 1) * sqrt(6.0 / ((SELECT count(*) FROM {table}) + {TRAIN_DIMS})) AS x, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM {table}, (SELECT unnest(range(0, {TRAIN_DIMS})) AS k)"
+
+    out = f"s0 AS MATERIALIZED ({start('e', 'e', 0)} UNION ALL {start('r', 'r', 1)})"
+    length = {1: "sum(abs({}))", 2: "sqrt(sum(({}) ** 2))"}
+    way = {1: "sign({0})", 2: "{0} / greatest(sqrt(sum({0} ** 2) OVER (PARTITION BY id)), 1e-12)"}[p]
+    for n in range(TRAIN_EPOCHS):
+        rate, turn = 1e-3 * 0.5 * (1 + math.cos(math.pi * n / TRAIN_EPOCHS)), n + 1
+        joins = " ".join(f"JOIN s{n} {a} ON {a}.kind = '{kind}' AND {a}.idx = p.{c} AND {a}.k = a.k" for a, kind, c in (("b", "e", "t_idx"), ("c", "e", "nh_idx"), ("d", "e", "nt_idx"), ("q", "r", "r_idx")))
+        sized = "CASE " + " ".join(f"WHEN kind = '{kind}' THEN x / greatest({length[norm].format('x')} OVER (PARTITION BY kind, idx), 1e-12)" for kind, norm in unit.items()) + " ELSE x END"
+        sized = sized.replace("sqrt(sum((x) ** 2)) OVER (PARTITION BY kind, idx)", "sqrt(sum((x) ** 2) OVER (PARTITION BY kind, idx))")
+        out += f""", {_negative(n).replace('neg AS (SELECT *', f'neg{n} AS (SELECT row_number() OVER () AS id, *')}, p{n} AS MATERIALIZED (
+  SELECT p.*, a.k, a.x + q.x - b.x AS good, c.x + q.x - d.x AS bad FROM neg{n} p JOIN s{n} a ON a.kind = 'e' AND a.idx = p.h_idx {joins}),
+live{n} AS MATERIALIZED (SELECT *, {way.format('good')} AS up, {way.format('bad')} AS down FROM p{n} WHERE id IN (SELECT id FROM p{n} GROUP BY id HAVING 1.0 + {length[p].format('good')} - {length[p].format('bad')} > 0)),
+g{n} AS (SELECT kind, idx, k, sum(g) / (SELECT count(*) FROM enc) AS g FROM (SELECT 'e' AS kind, h_idx AS idx, k, up AS g FROM live{n} UNION ALL SELECT 'e', t_idx, k, -up FROM live{n} UNION ALL SELECT 'r', r_idx, k, up - down FROM live{n}
+  UNION ALL SELECT 'e', nh_idx, k, -down FROM live{n} UNION ALL SELECT 'e', nt_idx, k, down FROM live{n}) GROUP BY ALL),
+t{n} AS (SELECT s.kind, s.idx, s.k, s.x, 0.9 * m + 0.1 * coalesce(g, 0) AS m, 0.999 * v + 0.001 * coalesce(g, 0) * coalesce(g, 0) AS v FROM s{n} s LEFT JOIN g{n} g ON g.kind = s.kind AND g.idx = s.idx AND g.k = s.k),
+u{n} AS (SELECT kind, idx, k, m, v, x - {rate!r} * (m / (1 - 0.9 ** {turn})) / (sqrt(v / (1 - 0.999 ** {turn})) + 1e-8) AS x FROM t{n}),
+s{turn} AS MATERIALIZED (SELECT kind, idx, k, m, v, {sized} AS x FROM u{n})"""
+    return f"{_IDS}, {out} SELECT kind, idx, k::INT AS k, round(x, 6) AS x FROM s{TRAIN_EPOCHS}"
+
+
+def _long(trained: tuple[DataFrame, DataFrame]) -> DataFrame:
+    rows = [df.select(F.lit(kind).alias("kind"), "idx", F.posexplode("emb").alias("k", "x")) for kind, df in zip("er", trained, strict=True)]
+    return rows[0].unionAll(rows[1]).select("kind", "idx", "k", F.round("x", 6).alias("x"))
+
+
+@query(_trained(1, {"e": 2}))
 def transe_train(spark: SparkSession, d: str) -> DataFrame:
+    """All vectors after two epochs; the production number of epochs is the operator's default."""
     enc, e, r = _encoded(spark, d)
-    return TE.train(enc, e, r, e.count(), r.count(), dims=DIMS, epochs=2)[1]
+    return _long(TE.train(enc, e, r, e.count(), r.count(), dims=TRAIN_DIMS, epochs=TRAIN_EPOCHS, steps=1))
+
+
+@query(_trained(2, {"e": 1, "r": 1}))
+def transe_train_legacy(spark: SparkSession, d: str) -> DataFrame:
+    enc, e, r = _encoded(spark, d)
+    return _long(TE.train_legacy(enc, e, r, e.count(), r.count(), dims=TRAIN_DIMS, epochs=TRAIN_EPOCHS, steps=1))
 
 
 @query(f"{_IDS} SELECT shard, count(*)::BIGINT AS n FROM (SELECT {_HASH.format('h_idx || $$#$$ || r_idx || $$#$$ || t_idx || $$#2$$').replace('$$', chr(39))} % 4 AS shard FROM enc) GROUP BY 1")
@@ -273,21 +321,38 @@ def transe_scores_legacy(spark: SparkSession, d: str) -> DataFrame:
 # --- encoders ------------------------------------------------------------------------
 
 
-@query()
+ENCODED = 16
+_DOCS = f"descriptions AS MATERIALIZED ({G.SQL_DESCRIPTIONS}), words AS MATERIALIZED (SELECT entity_id, unnest(toks) AS w, generate_subscripts(toks, 1) AS place FROM (SELECT entity_id, regexp_extract_all(text, {G.sql_text(T.TOKEN)})[1:{T.MAX_TOKENS}] AS toks FROM descriptions))"
+
+
+def _value(layer: int, k: str, w: str) -> str:
+    return f"({_HASH.format(f"'{layer}#' || {k} || '#' || {w}")} / 4294967296.0 * 2 - 1)"
+
+
+def _sql_relations(dims: int, ids_only: bool = False) -> str:
+    """(relation_id, v): the mean over aliases, or ids, of the means over tokens of both layers."""
+    names = "SELECT relation_id, relation_id AS alias FROM (VALUES ('rel_a'), ('rel_b'), ('rel_c'), ('rel_d')) x(relation_id)" if ids_only else "SELECT * FROM (VALUES ('rel_a', 'is next to'), ('rel_a', 'adjoins'), ('rel_b', 'points at'), ('rel_c', 'is unused'), ('rel_d', 'rel_d')) x(relation_id, alias)"
+    return f"""SELECT relation_id, list(x ORDER BY k) AS v FROM (SELECT relation_id, k, avg(x) AS x FROM (SELECT relation_id, alias, k, avg(({_value(0, 'k', 'w')} + {_value(1, 'k', 'w')}) / 2) AS x
+  FROM (SELECT relation_id, alias, unnest(regexp_extract_all(alias, {G.sql_text(T.TOKEN)})) AS w FROM ({names})), (SELECT unnest(range(0, {dims})) AS k) GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1"""
+
+
+@query(f"SELECT relation_id, (generate_subscripts(v, 1) - 1)::INT AS k, round(unnest(v), 6) AS x FROM ({_sql_relations(ENCODED)})")
 def encode_relations(spark: SparkSession, d: str) -> DataFrame:
-    return E.relation_embeddings(G.TextGraph(spark, d).relations, E.hash_encoder(16))
+    rows = E.relation_embeddings(G.TextGraph(spark, d).relations, E.hash_encoder(ENCODED))
+    return A.flattened(rows, "relation_id", "emb", "x").select("relation_id", F.col("pos").alias("k"), F.round("x", 6).alias("x"))
 
 
-@query()
+@query(f"WITH {_DOCS} SELECT entity_id, k::INT AS k, round(avg({_value(1, 'k', 'w')}), 6) AS x FROM words, (SELECT unnest(range(0, {ENCODED})) AS k) GROUP BY 1, 2")
 def encode_descriptions(spark: SparkSession, d: str) -> DataFrame:
-    return E.description_embeddings(G.TextGraph(spark, d).descriptions, E.hash_encoder(16))
+    rows = E.description_embeddings(G.TextGraph(spark, d).descriptions, E.hash_encoder(ENCODED))
+    return A.flattened(rows, "entity_id", "emb", "x").select("entity_id", F.col("pos").alias("k"), F.round("x", 6).alias("x"))
 
 
 # --- span model ----------------------------------------------------------------------
+# Over the tokens of whole descriptions, up to the model's length, with whole vectors of the encoder.
 
-_TOK = f"""tok AS MATERIALIZED (SELECT d.doc_id AS entity_id, p.pos::INT AS pos, e.embedding[1:{DIMS}]::DOUBLE[] AS x FROM documents d CROSS JOIN (SELECT unnest(range(0, {TOKENS})) AS pos) p
-  JOIN embeddings e ON e.vec_id = (d.doc_id * 31 + p.pos) % (SELECT count(*) FROM embeddings))"""
-HEAD = (weight(1, DIMS, 1)[0], 0.3), (weight(1, DIMS, 2)[0], 0.3)
+_TOK = f"{_DOCS}, tok AS MATERIALIZED (SELECT entity_id, (place - 1)::INT AS pos, list_transform(range(0, {DIMS}), lambda k: {_value(1, 'k', 'w')}) AS x FROM words)"
+HEAD = (weight(1, DIMS, 1)[0], -2.0), (weight(1, DIMS, 2)[0], -1.5)
 W = {
     "entity": HEAD,
     "attention": {"x": (weight(DIMS, DIMS, 3), bias(DIMS, 3)), "r": (weight(DIMS, DIMS, 4), bias(DIMS, 4)), "g": (weight(DIMS, DIMS, 5), bias(DIMS, 5)), "v": weight(1, DIMS, 6)[0]},
@@ -308,7 +373,7 @@ slots AS (SELECT entity_id, (slot - 2)::INT AS slot, p[1]::INT AS s, p[2]::INT A
 _GREEDY = _PAIRING.format(cmp=">=", cut=0.5, far="e < q[1][1] + 3")
 _LEGACY = _PAIRING.format(cmp=">", cut=0.6, far="TRUE")
 _REPS = f"reps AS (SELECT l.entity_id, l.slot, l.s, l.e, list_transform(range(1, {DIMS + 1}), lambda k: (a.x[k] + b.x[k]) / 2) AS v FROM slots l JOIN tok a ON a.entity_id = l.entity_id AND a.pos = l.s JOIN tok b ON b.entity_id = l.entity_id AND b.pos = l.e)"
-_REL = f"rel AS MATERIALIZED (SELECT label AS relation_id, v[1:{DIMS}] AS v FROM ({_MEANS}))"
+_REL = f"rel AS MATERIALIZED ({_sql_relations(DIMS)})"
 _ATT = f"""mean AS (SELECT entity_id, list(x ORDER BY d) AS g FROM (SELECT entity_id, d, avg(v) AS x FROM (SELECT entity_id, unnest(x) AS v, generate_subscripts(x, 1) AS d FROM tok) GROUP BY 1, 2) GROUP BY 1),
 px AS MATERIALIZED (SELECT entity_id, pos, x, {sql_linear('x', *W['attention']['x'])} AS p FROM tok), pr AS MATERIALIZED (SELECT relation_id, {sql_linear('v', *W['attention']['r'])} AS p FROM rel), pg AS MATERIALIZED (SELECT entity_id, {sql_linear('g', *W['attention']['g'])} AS p FROM mean),
 sc AS (SELECT px.entity_id, relation_id, pos, x, list_dot_product(list_transform(range(1, {DIMS + 1}), lambda k: tanh(px.p[k] + pr.p[k] + pg.p[k])), {W['attention']['v']}::DOUBLE[]) AS z FROM px JOIN pg ON pg.entity_id = px.entity_id CROSS JOIN pr),
@@ -319,15 +384,15 @@ fused AS (SELECT ps.entity_id, ctx.relation_id, slot, pos, {sql_plus('ps.p', 'pt
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    e = G.table(spark, d, "embeddings").select("vec_id", F.slice(V.double(F.col("embedding")), 1, DIMS).alias("emb"))
-    n = e.count()
-    rows = G.table(spark, d, "documents").select(F.col("doc_id").alias("entity_id"), F.explode(F.sequence(F.lit(0), F.lit(TOKENS - 1))).alias("pos"))
-    return rows.withColumn("vec_id", (F.col("entity_id") * 31 + F.col("pos")) % n).join(e, "vec_id").select("entity_id", "pos", "emb")
+    return Scratch(spark, "tokens").keep(E.token_embeddings(G.TextGraph(spark, d).descriptions, E.hash_encoder(DIMS)), "tokens")
+
+
+def _relations(spark: SparkSession, d: str) -> DataFrame:
+    return E.relation_embeddings(G.TextGraph(spark, d).relations, E.hash_encoder(DIMS))
 
 
 def _mean(tokens: DataFrame) -> DataFrame:
-    parts = tokens.select("entity_id", F.posexplode("emb").alias("d", "x")).groupBy("entity_id", "d").agg(F.avg("x").alias("x"))
-    return parts.groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda p: p["x"]).alias("emb"))
+    return A.mean_by(tokens, "entity_id")
 
 
 def _prob_arrays(tokens: DataFrame) -> DataFrame:
@@ -368,60 +433,105 @@ def span_vectors_whole(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_TOK}, {_REL}, {_ATT} SELECT entity_id, relation_id, (generate_subscripts(c, 1) - 1)::INT AS k, round(unnest(c), 6) AS x FROM ctx")
 def relation_attention(spark: SparkSession, d: str) -> DataFrame:
     tokens = _tokens(spark, d)
-    rows = X.relation_attention(tokens, _relations(spark, d, DIMS), _mean(tokens), W["attention"])
+    rows = X.relation_attention(tokens, _relations(spark, d), _mean(tokens), W["attention"])
     return rows.select("entity_id", "relation_id", F.posexplode("context").alias("k", "x")).select("entity_id", "relation_id", "k", F.round("x", 6).alias("x"))
 
 
 @query(f"WITH {_TOK}, {_HEADS}, {_GREEDY}, {_REPS}, {_REL}, {_ATT}, {_FUSE} SELECT entity_id, relation_id, slot, pos, round({_dot('h', W['conditioned'][0])}, 5) AS start_logit, round({_dot('h', W['conditioned'][1])}, 5) AS end_logit FROM fused")
 def span_model_forward(spark: SparkSession, d: str) -> DataFrame:
     tokens = _tokens(spark, d)
-    out = X.one_direction(tokens, _mean(tokens), _relations(spark, d, DIMS), W, most=3)["conditioned"]
+    out = X.one_direction(tokens, _mean(tokens), _relations(spark, d), W, most=3)["conditioned"]
     return out.select("entity_id", "relation_id", "slot", "pos", F.round("start_logit", 5).alias("start_logit"), F.round("end_logit", 5).alias("end_logit"))
 
 
-@query(f"WITH {_TOK}, {_HEADS}, {_GREEDY}, {_REPS}, {_REL}, {_ATT}, {_FUSE} SELECT entity_id, relation_id, slot, pos, round(h[1], 5) AS x FROM fused WHERE slot = pos")
+@query(f"WITH {_TOK}, {_HEADS}, {_GREEDY}, {_REPS}, {_REL}, {_ATT}, {_FUSE} SELECT entity_id, relation_id, slot, pos, (generate_subscripts(h, 1) - 1)::INT AS k, round(unnest(h), 5) AS x FROM fused WHERE slot = pos")
 def fuse_by_position(spark: SparkSession, d: str) -> DataFrame:
     tokens = _tokens(spark, d)
     slots = X.span_vectors(X.extract_spans(_prob_arrays(tokens), most=3), tokens)
-    contexts = X.relation_attention(tokens, _relations(spark, d, DIMS), _mean(tokens), W["attention"])
-    return X.fuse(tokens, contexts, slots, W["fuse"], by_position=True).select("entity_id", "relation_id", "slot", "pos", F.round(F.get("emb", F.lit(0)), 5).alias("x"))
+    contexts = X.relation_attention(tokens, _relations(spark, d), _mean(tokens), W["attention"])
+    rows = X.fuse(tokens, contexts, slots, W["fuse"], by_position=True).select("entity_id", "relation_id", "slot", "pos", F.posexplode("emb").alias("k", "x"))
+    return rows.withColumn("x", F.round("x", 5))
 
 
-_REL_GRAPH = f"rel AS MATERIALIZED (SELECT label AS relation_id, v[{DIMS + 1}:{2 * DIMS}] AS v FROM ({_MEANS}))"
+_REL_GRAPH = f"rel AS MATERIALIZED ({_sql_relations(DIMS, ids_only=True)})"
 
 
 def _graph_relations(spark: SparkSession, d: str) -> DataFrame:
-    return _relations(spark, d).select("relation_id", F.slice("emb", DIMS + 1, DIMS).alias("emb"))
+    """Other vectors of the same relations: those of their ids."""
+    ids = G.TextGraph(spark, d).relations.select("relation_id", F.array().cast("array<string>").alias("aliases"))
+    return E.relation_embeddings(ids, E.hash_encoder(DIMS))
 
 
 @query(f"WITH {_TOK}, {_HEADS}, {_GREEDY}, {_REPS}, {_REL_GRAPH}, {_ATT}, {_FUSE} SELECT entity_id, relation_id, slot, pos, round({_dot('h', W['conditioned'][0])}, 5) AS start_logit, round({_dot('h', W['conditioned'][1])}, 5) AS end_logit FROM fused")
 def span_model_backward(spark: SparkSession, d: str) -> DataFrame:
     tokens = _tokens(spark, d)
-    out = X.both_directions(tokens, _mean(tokens), _relations(spark, d, DIMS), _graph_relations(spark, d), W, W, most=3)["backward"]["conditioned"]
+    out = X.both_directions(tokens, _mean(tokens), _relations(spark, d), _graph_relations(spark, d), W, W, most=3)["backward"]["conditioned"]
     return out.select("entity_id", "relation_id", "slot", "pos", F.round("start_logit", 5).alias("start_logit"), F.round("end_logit", 5).alias("end_logit"))
 
 
 PROJECT = weight(DIMS, DIMS, 11), bias(DIMS, 11)
-_REL_PROJECTED = f"rel AS MATERIALIZED (SELECT relation_id, {sql_linear('v', *PROJECT)} AS v FROM (SELECT label AS relation_id, v[1:{DIMS}] AS v FROM ({_MEANS})))"
+_REL_PROJECTED = f"rel AS MATERIALIZED (SELECT relation_id, {sql_linear('v', *PROJECT)} AS v FROM ({_sql_relations(DIMS)}))"
 
 
 @query(f"WITH {_TOK}, {_REL_PROJECTED}, {_ATT} SELECT entity_id, relation_id, (generate_subscripts(c, 1) - 1)::INT AS k, round(unnest(c), 6) AS x FROM ctx")
 def relation_attention_projected(spark: SparkSession, d: str) -> DataFrame:
     tokens = _tokens(spark, d)
-    rows = X.relation_attention(tokens, X.projected(_relations(spark, d, DIMS), *PROJECT), _mean(tokens), W["attention"])
+    rows = X.relation_attention(tokens, X.projected(_relations(spark, d), *PROJECT), _mean(tokens), W["attention"])
     return rows.select("entity_id", "relation_id", F.posexplode("context").alias("k", "x")).select("entity_id", "relation_id", "k", F.round("x", 6).alias("x"))
 
 
-@query(f"WITH {_TOK}, m AS (SELECT entity_id, avg(x[1]) AS g FROM tok GROUP BY 1) SELECT tok.entity_id, pos, round(x[1], 6) AS x, round(g, 6) AS mean FROM tok JOIN m ON m.entity_id = tok.entity_id")
+_LABELLED = "SELECT entity_id, 'h_s' AS kind, min(pos) AS pos FROM tok WHERE x[1] > 0.5 GROUP BY 1 UNION ALL SELECT entity_id, 't_e', max(pos) FROM tok WHERE x[2] > 0.5 GROUP BY 1"
+
+
+def _token_labels(tokens: DataFrame) -> DataFrame:
+    """The first token of a description with one property, the last with another."""
+    first = tokens.where(F.get("emb", F.lit(0)) > 0.5).groupBy("entity_id").agg(F.min("pos").alias("pos")).select("entity_id", F.lit("h_s").alias("kind"), "pos")
+    last = tokens.where(F.get("emb", F.lit(1)) > 0.5).groupBy("entity_id").agg(F.max("pos").alias("pos")).select("entity_id", F.lit("t_e").alias("kind"), "pos")
+    return first.unionAll(last)
+
+
+@query(f"""WITH {_TOK}, l AS ({_LABELLED}), f AS (SELECT entity_id, pos, unnest(x) AS x, generate_subscripts(x, 1) - 1 AS k FROM tok), m AS (SELECT entity_id, k, avg(x) AS g FROM f GROUP BY 1, 2)
+SELECT f.entity_id, f.pos, f.k::INT AS k, round(x, 6) AS x, round(g, 6) AS mean, (a.pos IS NOT NULL)::INT AS h_s, (b.pos IS NOT NULL)::INT AS t_e FROM f JOIN m ON m.entity_id = f.entity_id AND m.k = f.k
+  LEFT JOIN l a ON a.entity_id = f.entity_id AND a.pos = f.pos AND a.kind = 'h_s' LEFT JOIN l b ON b.entity_id = f.entity_id AND b.pos = f.pos AND b.kind = 't_e'""")
 def dataset_items(spark: SparkSession, d: str) -> DataFrame:
     tokens = _tokens(spark, d)
-    return X.items(tokens, _mean(tokens)).select("entity_id", "pos", F.round(F.get("emb", F.lit(0)), 6).alias("x"), F.round(F.get("mean", F.lit(0)), 6).alias("mean"))
+    rows = X.items(tokens, _mean(tokens), _token_labels(tokens), ("h_s", "t_e"))
+    rows = rows.select("entity_id", "pos", "h_s", "t_e", "mean", F.posexplode("emb").alias("k", "x"))
+    return rows.select("entity_id", "pos", "k", F.round("x", 6).alias("x"), F.round(F.get("mean", F.col("k")), 6).alias("mean"), "h_s", "t_e")
+
+
+_PADDED = _ATT.replace("exp(z) / sum(exp(z)) OVER (PARTITION BY entity_id, relation_id) AS a", f"exp(z) / (sum(exp(z)) OVER (PARTITION BY entity_id, relation_id) + ({T.MAX_TOKENS} - count(*) OVER (PARTITION BY entity_id, relation_id)) * exp((SELECT list_dot_product(list_transform(range(1, {DIMS + 1}), lambda k: tanh({W['attention']['x'][1]}[k] + r.p[k] + g.p[k])), {W['attention']['v']}::DOUBLE[]) FROM pr r, pg g WHERE r.relation_id = sc.relation_id AND g.entity_id = sc.entity_id))) AS a")
+
+
+@query(f"WITH {_TOK}, {_REL}, {_PADDED} SELECT entity_id, relation_id, (generate_subscripts(c, 1) - 1)::INT AS k, round(unnest(c), 6) AS x FROM ctx")
+def relation_attention_padded(spark: SparkSession, d: str) -> DataFrame:
+    """Padding up to the model's length takes its share, as in a batch without a mask."""
+    tokens = _tokens(spark, d)
+    rows = X.relation_attention(tokens, _relations(spark, d), _mean(tokens), W["attention"], padded_to=T.MAX_TOKENS)
+    return rows.select("entity_id", "relation_id", F.posexplode("context").alias("k", "x")).select("entity_id", "relation_id", "k", F.round("x", 6).alias("x"))
+
+
+HEAD_EPOCHS, HEAD_RATE = 2, 0.01
+
 
+def _heads_trained() -> str:
+    out = f"x AS MATERIALIZED (SELECT t.entity_id, t.pos, q.kind, list_append(t.x, 1.0::DOUBLE) AS x, (l.pos IS NOT NULL)::INT AS y FROM tok t CROSS JOIN (SELECT unnest(['h_s', 't_e']) AS kind) q LEFT JOIN l ON l.entity_id = t.entity_id AND l.pos = t.pos AND l.kind = q.kind)"
+    out += f", w0 AS (SELECT kind, list_transform(range(0, {DIMS + 1}), lambda k: 0.0::DOUBLE) AS w, w AS m, w AS v FROM (SELECT unnest(['h_s', 't_e']) AS kind))"
+    for n in range(HEAD_EPOCHS):
+        turn = n + 1
+        out += f""", p{n} AS (SELECT x.kind, x.x, 1 / (1 + exp(-list_dot_product(x.x, w.w))) - y AS pull FROM x JOIN w{n} w ON w.kind = x.kind),
+g{n} AS (SELECT kind, list(g ORDER BY k) AS g FROM (SELECT kind, k, avg(g) AS g FROM (SELECT kind, unnest(list_transform(x, lambda a: a * pull)) AS g, generate_subscripts(x, 1) AS k FROM p{n}) GROUP BY 1, 2) GROUP BY 1),
+n{n} AS (SELECT w.kind, w.w, list_transform(range(1, {DIMS + 2}), lambda k: 0.9 * w.m[k] + 0.1 * g.g[k]) AS m, list_transform(range(1, {DIMS + 2}), lambda k: 0.999 * w.v[k] + 0.001 * g.g[k] * g.g[k]) AS v FROM w{n} w JOIN g{n} g ON g.kind = w.kind),
+w{turn} AS (SELECT kind, list_transform(range(1, {DIMS + 2}), lambda k: w[k] - {HEAD_RATE} * (m[k] / (1 - 0.9 ** {turn})) / (sqrt(v[k] / (1 - 0.999 ** {turn})) + 1e-8)) AS w, m, v FROM n{n})"""
+    return f"WITH {_TOK}, l AS ({_LABELLED}), {out} SELECT {HEAD_EPOCHS - 1} AS epoch, kind, (generate_subscripts(w, 1) - 1)::INT AS dim, round(unnest(w), 6) AS weight FROM w{HEAD_EPOCHS}"
 
-@query()
+
+@query(_heads_trained())
 def train_heads(spark: SparkSession, d: str) -> DataFrame:
-    labels = G.table(spark, d, "documents").select(F.col("doc_id").alias("entity_id"), F.lit("h_s").alias("kind"), (F.col("doc_id") % TOKENS).cast("int").alias("pos"))
-    return TR.train_heads(_tokens(spark, d), labels, DIMS, Scratch(spark, "heads").root, epochs=2)
+    """Weights after two epochs; the production number of epochs is the operator's default."""
+    tokens = _tokens(spark, d)
+    rows = TR.train_heads(tokens, _token_labels(tokens), DIMS, Scratch(spark, "checkpoints").root, epochs=HEAD_EPOCHS, rate=HEAD_RATE)
+    return rows.select("epoch", "kind", "dim", F.round("weight", 6).alias("weight"))
 
 
 @query("SELECT r_name FROM region")
@@ -443,16 +553,47 @@ def preflight(spark: SparkSession, d: str) -> DataFrame:
 _BCE0 = "(greatest(z, 0) + ln(1 + exp(-abs(z))))"
 
 
-@query(f"""WITH {_TOK}, {_HEADS}, z AS (SELECT entity_id, pos, sl AS hs, el AS he, sl - 0.2 AS ts, el + 0.1 AS te FROM heads), g AS (SELECT doc_id AS entity_id, doc_id % 3 AS hs, doc_id % 3 + 1 AS he, doc_id % 5 AS ts, doc_id % 5 + 2 AS te FROM documents WHERE doc_id % 2 = 0),
+_GOLD = "SELECT 'D' || doc_id AS entity_id, doc_id % 3 AS hs, doc_id % 3 + 1 AS he, doc_id % 5 AS ts, doc_id % 5 + 2 AS te FROM documents"
+
+
+@query(f"""WITH {_TOK}, {_HEADS}, z AS (SELECT entity_id, pos, sl AS hs, el AS he, sl - 0.2 AS ts, el + 0.1 AS te FROM heads), g AS ({_GOLD}),
 l AS (SELECT entity_id, pos, k, CASE k WHEN 'hs' THEN hs WHEN 'he' THEN he WHEN 'ts' THEN ts ELSE te END AS z FROM z, (SELECT unnest(['hs', 'he', 'ts', 'te']) AS k)),
 t AS (SELECT g.entity_id, l.k, avg({_BCE0} - CASE WHEN l.pos = CASE l.k WHEN 'hs' THEN g.hs WHEN 'he' THEN g.he WHEN 'ts' THEN g.ts ELSE g.te END THEN z ELSE 0 END) AS m FROM g JOIN l ON l.entity_id = g.entity_id GROUP BY 1, 2)
 SELECT round(sum(m) / greatest(count(DISTINCT entity_id), 1), 5) AS loss FROM t""")
 def triple_loss(spark: SparkSession, d: str) -> DataFrame:
     rows = X.entity_heads(_tokens(spark, d), *HEAD)
     logits = rows.select("entity_id", "pos", F.col("start_logit").alias("hs_logit"), F.col("end_logit").alias("he_logit"), (F.col("start_logit") - 0.2).alias("ts_logit"), (F.col("end_logit") + 0.1).alias("te_logit"))
-    i = F.col("doc_id")
-    gold = G.table(spark, d, "documents").where(i % 2 == 0).select(i.alias("h"), F.lit("r").alias("r"), i.alias("t"), (i % 3).alias("hs"), (i % 3 + 1).alias("he"), (i % 5).alias("ts"), (i % 5 + 2).alias("te"))
-    return L.triple_loss(logits, gold).select(F.round("loss", 5).alias("loss"))
+    return L.triple_loss(logits, _gold(spark, d)).select(F.round("loss", 5).alias("loss"))
+
+
+def _gold(spark: SparkSession, d: str) -> DataFrame:
+    i, ident = F.col("doc_id"), F.concat(F.lit("D"), F.col("doc_id").cast("string"))
+    return G.table(spark, d, "documents").select(ident.alias("h"), F.lit("rel_a").alias("r"), ident.alias("t"), (i % 3).alias("hs"), (i % 3 + 1).alias("he"), (i % 5).alias("ts"), (i % 5 + 2).alias("te"))
+
+
+@query(f"""WITH {_TOK}, {_HEADS}, g AS ({_GOLD}), n AS (SELECT entity_id, count(*) AS n FROM heads GROUP BY 1), b AS (SELECT h.entity_id, sum({_BCE0.replace('z', 'sl')} + {_BCE0.replace('z', 'el')}) AS b FROM heads h GROUP BY 1),
+y AS (SELECT g.*, n.n, b.b, (SELECT sum(sl) FROM heads h WHERE h.entity_id = g.entity_id AND h.pos = g.hs) AS z1, (SELECT sum(el) FROM heads h WHERE h.entity_id = g.entity_id AND h.pos = g.he) AS z2,
+  (SELECT sum(sl) FROM heads h WHERE h.entity_id = g.entity_id AND h.pos = g.ts) AS z3, (SELECT sum(el) FROM heads h WHERE h.entity_id = g.entity_id AND h.pos = g.te) AS z4 FROM g JOIN n ON n.entity_id = g.entity_id JOIN b ON b.entity_id = g.entity_id)
+SELECT round(sum((b - coalesce(z1, 0) - coalesce(z2, 0)) / n + CASE WHEN hs = 1 THEN (b - coalesce(z3, 0) - coalesce(z4, 0)) / n ELSE 0 END) / count(*), 5) AS loss FROM y""")
+def slot_triple_loss(spark: SparkSession, d: str) -> DataFrame:
+    """Tail logits stand under one relation and the slot of the span (1, 2); heads elsewhere have no slot."""
+    heads = X.entity_heads(_tokens(spark, d), *HEAD).select("entity_id", "pos", "start_logit", "end_logit")
+    tails = heads.select("entity_id", F.lit("rel_a").alias("relation_id"), F.lit(0).alias("slot"), "pos", "start_logit", "end_logit")
+    slots = heads.select("entity_id").distinct().select("entity_id", F.lit(0).alias("slot"), F.lit(1).cast("long").alias("s"), F.lit(2).cast("long").alias("e"))
+    return L.slot_triple_loss(heads, tails, slots, _gold(spark, d)).select(F.round("loss", 5).alias("loss"))
+
+
+@query(f"""WITH {_TOK}, {_HEADS}, l AS ({_LABELLED}), y AS (SELECT h.*, (a.pos IS NOT NULL)::INT AS s, (b.pos IS NOT NULL)::INT AS e, 1 / (1 + exp(-sl)) AS sp, 1 / (1 + exp(-el)) AS ep FROM heads h
+  LEFT JOIN l a ON a.entity_id = h.entity_id AND a.pos = h.pos AND a.kind = 'h_s' LEFT JOIN l b ON b.entity_id = h.entity_id AND b.pos = h.pos AND b.kind = 't_e'),
+f AS (SELECT -avg(s * ln(sp + 1e-8) + (1 - s) * ln(1 - sp + 1e-8)) - avg(e * ln(ep + 1e-8) + (1 - e) * ln(1 - ep + 1e-8)) AS one, -avg(e * ln(sp + 1e-8) + (1 - e) * ln(1 - sp + 1e-8)) - avg(s * ln(ep + 1e-8) + (1 - s) * ln(1 - ep + 1e-8)) AS two FROM y)
+SELECT round(one, 5) AS subject, round(two, 5) AS object, round(two, 5) AS object_back, round(one, 5) AS subject_back, round(one + two + 0.5 * (two + one), 5) AS loss FROM f""")
+def total_loss(spark: SparkSession, d: str) -> DataFrame:
+    tokens = _tokens(spark, d)
+    rows = X.items(X.entity_heads(tokens, *HEAD).select("entity_id", "pos", F.struct("start_prob", "end_prob").alias("emb")), tokens.select("entity_id", "emb").dropDuplicates(["entity_id"]), _token_labels(tokens), ("h_s", "t_e"))
+    one = rows.select("emb.*", F.col("h_s").alias("start"), F.col("t_e").alias("end"))
+    two = rows.select("emb.*", F.col("t_e").alias("start"), F.col("h_s").alias("end"))
+    out = L.total_loss((one, two), (two, one), 0.5)
+    return out.select(*[F.round(c, 5).alias(c) for c in out.columns])
 
 
 @query(f"""WITH x AS ({_LABELS}), w AS (SELECT kind, CASE WHEN sum(y) > 0 THEN (count(*) - sum(y)) / sum(y)::DOUBLE ELSE 1.0 END AS weight FROM x GROUP BY kind),
@@ -487,14 +628,15 @@ def classification_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id FROM labels ORDER BY md5(doc_id || '#0'), doc_id LIMIT 100")
 def evaluation_sample(spark: SparkSession, d: str) -> DataFrame:
-    return G.table(spark, d, "labels").orderBy(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("#0")).cast("binary")), "doc_id").limit(100).select("doc_id")
+    return A.evaluation_sample(G.table(spark, d, "labels"), "doc_id", 100)
 
 
-@query(f"{G.SQL_SPANS} SELECT DISTINCT h AS entity_id, s, e FROM entity_spans WHERE s % 2 = 0")
+@query(f"{G.SQL_SPANS} SELECT DISTINCT h AS entity_id, s, e FROM entity_spans")
 def on_alias_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Every span as a prediction, and as many that no alias has."""
     g = G.TextGraph(spark, d)
     spans = S.entity_spans(g.triples, g.descriptions, g.aliases)
-    guesses = spans.select(F.col("h").alias("entity_id"), "s", "e").distinct().where("s % 2 = 0")
+    guesses = spans.select(F.col("h").alias("entity_id"), "s", "e").distinct()
     return X.on_alias_spans(guesses.unionAll(guesses.withColumn("e", F.col("e") + 1000)), spans)
 
 

@@ -8,10 +8,13 @@ has such a column, else from a monotonic id, which follows file order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplewright.functions.text import strip
+from triplewright.storage import partitions_for
 
 
 def fields(df: DataFrame) -> DataFrame:
@@ -28,9 +31,13 @@ def parse_triples(df: DataFrame, strict: bool = False) -> DataFrame:
     return rows.where(F.size("p") == 3).select(F.col("p")[0].alias("h"), F.col("p")[1].alias("r"), F.col("p")[2].alias("t"))
 
 
-def parse_descriptions(df: DataFrame) -> DataFrame:
-    """(entity_id, text): the second field of the last line of each id."""
-    rows = fields(df).where(F.size("parts") >= 2)
+def parse_descriptions(df: DataFrame, stop: bool = False) -> DataFrame:
+    """(entity_id, text): the second field of the last line of each id. ``stop`` reads up to the first line with too few fields, as an older reader does."""
+    rows = fields(df)
+    if stop:
+        bad = rows.where(F.size("parts") < 2).agg(F.min("line").alias("bad"))  # one row
+        rows = rows.crossJoin(F.broadcast(bad)).where(F.col("bad").isNull() | (F.col("line") < F.col("bad")))
+    rows = rows.where(F.size("parts") >= 2)
     return rows.groupBy(F.col("parts")[0].alias("entity_id")).agg(F.max_by(F.col("parts")[1], "line").alias("text"))
 
 
@@ -48,27 +55,38 @@ def line_stats(df: DataFrame) -> DataFrame:
     return fields(df).agg(F.count(F.lit(1)).alias("lines"), F.countDistinct(F.col("parts")[0]).alias("heads"))
 
 
-def chunked(df: DataFrame, order: Column | str, chunks: int) -> DataFrame:
-    """Add ``chunk``: contiguous pieces of ceil(n / chunks) rows in the given order, perhaps fewer pieces than asked for.
-
-    Ranks come from a range partitioning and the counts of its partitions, so no task sees all rows.
-    """
-    col = F.col(order) if isinstance(order, str) else order
-    held = df.withColumn("__o", col).repartitionByRange("__o").sortWithinPartitions("__o").withColumn("__p", F.spark_partition_id())
-    sizes = held.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    base = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"), F.sum("__n").over(Window.partitionBy(F.lit(0))).alias("__all"))
-    ranked = held.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy("__o"))).join(F.broadcast(base), "__p")
-    size = F.ceil(F.col("__all") / chunks)
-    return ranked.withColumn("chunk", F.floor((F.col("__base") + F.col("__r") - 1) / size).cast("long")).drop("__o", "__p", "__r", "__base", "__all")
+def write_table(df: DataFrame, path: str, mode: str = "skip") -> DataFrame:
+    """Write ``df`` to ``path`` and read it: ``skip`` leaves a table that is there, ``overwrite`` replaces it, ``error`` raises."""
+    if mode not in ("skip", "overwrite", "error"):
+        raise ValueError(mode)
+    if mode != "skip" or not exists(df.sparkSession, path):
+        df.write.mode({"overwrite": "overwrite"}.get(mode, "errorifexists")).parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
-def read_or_make(spark: SparkSession, path: str, make) -> DataFrame:
+def read_or_make(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The table at ``path``; ``make()`` is written there first if there is none."""
+    return spark.read.parquet(path) if exists(spark, path) else write_table(make(), path)
+
+
+def read_strict(spark: SparkSession, path: str) -> DataFrame:
+    """The table at ``path``; an error names the path if there is none."""
     if not exists(spark, path):
-        make().write.mode("errorifexists").parquet(path)
+        raise FileNotFoundError(path)
     return spark.read.parquet(path)
 
 
+def write_lines(df: DataFrame, path: str, column: str, *order: str) -> None:
+    """A text sink: one column as lines, in ``order`` within and across files."""
+    ranged = df.repartitionByRange(partitions_for(df), *order).sortWithinPartitions(*order) if order else df
+    ranged.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
+
+
+def vector_table(df: DataFrame, vector: str = "emb") -> DataFrame:
+    """The same columns with the vector as array<float>, as tensors are kept on disk."""
+    return df.withColumn(vector, F.col(vector).cast("array<float>"))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -84,20 +102,32 @@ class Graph:
     """The tables of a prepared graph under one folder; ``minimized`` picks the cut-down copies."""
 
     NAMES = ("triples_train", "triples_valid", "triples_test", "descriptions", "aliases", "relations", "silver_spans")
+    PARSERS = {**dict.fromkeys(NAMES[:3], parse_triples), "descriptions": parse_descriptions, "aliases": parse_lists, "relations": lambda df: parse_lists(df, "relation_id")}
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def path(self, name: str, minimized: bool = False) -> str:
+        if name not in self.NAMES:
+            raise KeyError(name)
         return f"{self.folder}/{'minimized' if minimized else 'full'}/{name}"
 
     def table(self, name: str, minimized: bool = False) -> DataFrame:
-        if name not in self.NAMES:
-            raise KeyError(name)
-        return self.spark.read.parquet(self.path(name, minimized))
+        return read_strict(self.spark, self.path(name, minimized))
+
+    def put(self, name: str, df: DataFrame, minimized: bool = False, mode: str = "overwrite") -> DataFrame:
+        return write_table(df, self.path(name, minimized), mode)
+
+    def parsed(self, name: str, raw: str) -> DataFrame:
+        """The table, parsed from the lines of the file ``raw`` if it isn't there."""
+        return read_or_make(self.spark, self.path(name), lambda: self.PARSERS[name](self.spark.read.text(raw)))
 
-    def put(self, name: str, df: DataFrame, minimized: bool = False) -> None:
-        df.write.mode("overwrite").parquet(self.path(name, minimized))
+    def cache_all(self, raw: dict[str, str]) -> list[str]:
+        """Parse and write every table of ``raw`` (name to file) that isn't there; the names written."""
+        new = [name for name in raw if not exists(self.spark, self.path(name))]
+        for name in new:
+            self.parsed(name, raw[name])
+        return new
 
     def missing(self, minimized: bool = False) -> list[str]:
         return missing(self.spark, [self.path(n, minimized) for n in self.NAMES])

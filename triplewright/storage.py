@@ -3,34 +3,52 @@
 A cut is a Parquet table in the folder that the cluster names in
 ``spark.checkpoint.dir``. Every executor and the driver can reach it, so a lost
 executor costs a re-read and never a recomputation of an iterative lineage.
+Tables that a returned plan still reads go when the program ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a table, as the optimizer estimates it, for each range partition; estimates over the last bound are no estimates.
+BYTES_PER_RANGE, NO_ESTIMATE = 64 << 20, 1 << 60
+_roots: list[tuple[SparkSession, str]] = []
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a temporary one serves a local master; a cluster must name its own."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="triplewright-"))
     return context.getCheckpointDir().rstrip("/")
 
 
+def partitions_for(df: DataFrame) -> int:
+    """Range partitions that grow with the table: its estimated size over BYTES_PER_RANGE, the session's shuffle partitions at least."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(least, -(-size // BYTES_PER_RANGE)) if size < NO_ESTIMATE else least
+
+
 class Scratch:
-    """Tables written by one operator call; ``drop`` removes those no plan reads any more."""
+    """Tables written by one operator call; ``drop`` removes those no plan reads any more, the end of the program all."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.turn = 0
+        if not _roots:
+            atexit.register(_drop_roots)
+        _roots.append((spark, self.root))
 
     def keep(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         """Write ``df`` and return a reader of the written table."""
@@ -46,8 +64,19 @@ class Scratch:
         return self.spark.read.schema(like.schema).parquet(path)
 
     def drop(self, *paths: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for path in paths:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+            delete(self.spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _drop_roots() -> None:
+    """Remove what operator calls of this program left; a session that has ended can't, and its cluster's folder is for it to empty."""
+    for spark, root in _roots:
+        try:
+            delete(spark, root)
+        except Exception:  # noqa: BLE001 - the gateway to a stopped session raises whatever it was doing
+            return
