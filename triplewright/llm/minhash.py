@@ -49,7 +49,7 @@ LEAST_BYTES = 74
 #: Members that one copy of a hub's set is held against.
 FAN = 64
 #: Bytes of rarest shingles on either side of a block; bits of the hash by which shingles are counted, so that the driver holds one count for each.
-BLOCK_BYTES, COUNT_BITS = 4_000_000, 20
+BLOCK_BYTES, COUNT_BITS = 4_000_000, 18
 #: Pairs of a block that are counted at once.
 PAIRS_AT_ONCE = 4_000_000
 #: Characters hashed at once.
