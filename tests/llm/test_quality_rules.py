@@ -29,6 +29,14 @@ def test_ties_nulls_and_no_trusted_rows(spark):
     assert quality_rules.judge(df.limit(0), df.select("doc_id")).count() == 0
 
 
+def test_counts_without_a_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(i if i % 3 else None, f"w{i} w{i % 7} x " * 30, 0) for i in range(60)], "doc_id long, text string, salt int")
+    ids = spark.createDataFrame([(i,) for i in range(0, 60, 2)] * 2 + [(None,)], "doc_id long")
+    near = sorted(quality_rules.bucket_counts(df, ids, "doc_id", "text"))
+    monkeypatch.setattr(quality_rules, "MOST_BROADCAST", 3)
+    assert sorted(quality_rules.bucket_counts(df, ids, "doc_id", "text")) == near and sum(t for _, t, _ in near) > 0
+
+
 def test_very_long_text(spark):
     text = " ".join(f"w{k % 70_001} #" for k in range(250_000)) + "\nline\nline"
     row = quality_rules.judge(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1,)], "doc_id long")).first()

@@ -26,6 +26,8 @@ UNIT = 10_000
 #: A text is rejected where the sum of its weights is less than this times its grams (a mean log ratio of -0.08).
 THRESHOLD = -800
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+#: Trusted ids up to which their table (some 16 MB) is broadcast; with more, texts are shuffled to them.
+MOST_BROADCAST = 250_000
 WORD = r"[^\x20\x09-\x0D]+"
 SIGN = "[#*$%&|<>]"
 
@@ -63,8 +65,6 @@ def repeat_words(windows: Column) -> Column:
 
 def _counted(source: DataFrame) -> DataFrame:
     """Columns doc_id, text and held, with the counts of the base rules and the grams."""
-    # A filter on the verdict would be pushed below this step and split the text anew at each place that mentions the
-    # words, inside lambdas at each element. It stops at a column that isn't deterministic, so the verdict mentions one.
     source = source.select("doc_id", "held", "text", words_of(F.col("text")).alias("words"), F.monotonically_increasing_id().alias("mark"))
     text, words = F.col("text"), F.col("words")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
@@ -86,11 +86,26 @@ def _counted(source: DataFrame) -> DataFrame:
     )
 
 
+def kept_here(condition: Column, mark: str = "mark") -> Column:
+    """``condition`` itself, tied to a column that isn't deterministic, so that no filter on it moves below that column.
+
+    Pushed further down, a filter on the verdict would split the text anew at each
+    place that mentions the words, inside lambdas at each element. ``mark`` is
+    never negative.
+    """
+    return condition | (F.col(mark) < 0)
+
+
 def bucket_counts(df: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> list[tuple[int, int, int]]:
     """(bucket, grams in trusted rows, grams in all rows): at most BUCKETS rows reach the driver."""
-    labels = trusted.groupBy(F.col(id_col).alias("doc_id")).agg(F.lit(1).alias("is_trusted"))
+    labels = trusted.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.lit(1).alias("is_trusted"))
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.join(labels.hint("shuffle_hash"), "doc_id", "left").select("is_trusted", words_of(F.col("text")).alias("words"))
+    if labels.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        rows = rows.join(F.broadcast(labels), "doc_id", "left")
+    else:  # rows without an id match nothing and are spread by their text
+        rows = rows.withColumn("salt", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0))
+        rows = rows.join(labels.withColumn("salt", F.lit(0).cast("long")).hint("shuffle_hash"), ["doc_id", "salt"], "left")
+    rows = rows.select("is_trusted", words_of(F.col("text")).alias("words"))
     grams = rows.select("is_trusted", F.explode(grams_of(F.col("words"))).alias("bucket"))
     counted = grams.groupBy("bucket").agg(F.count("is_trusted").alias("t"), F.count(F.lit(1)).alias("n"))
     return [(r["bucket"], r["t"], r["n"]) for r in counted.collect()]
@@ -112,7 +127,7 @@ def _judged(df: DataFrame, held: Column, trusted: DataFrame, id_col: str, text_c
     table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<int>")  # folded into one constant by the optimizer
     out = _counted(df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), held.alias("held")))
     out = out.withColumn("weight", F.aggregate("grams", F.lit(0).cast("long"), lambda acc, b: acc + F.get(table, b)))
-    out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")) | (F.col("mark") < 0))
+    out = out.withColumn("base_failed", kept_here((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))))
     return out.select(
         "doc_id", "held", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (F.col("weight") / (UNIT * F.nullif(F.size("grams").cast("long"), F.lit(0).cast("long")))).alias("llr"),
