@@ -16,6 +16,7 @@ APACHE = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou m
 GPL2 = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version."
 GPL3 = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
 LGPL = "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."
+ISC = 'Copyright (c) 2020 A. Writer\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES\nWITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF\nMERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR\nANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES.'[30:]
 MPL = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."
 
 
@@ -45,10 +46,29 @@ CASES = {
     "MPL": (MPL, "MPL-2.0", 0),
     "MPL in comments": ("/* " + MPL.replace("\n", "\n * "), "MPL-2.0", 0),
     "MPL on one line": (" ".join(MPL.split()), "MPL-2.0", 0),
-    "Affero is no GPL": (GPL3.replace("GNU General", "GNU Affero General"), "", 2),
+    **{f"AGPL at {w}": (wrapped(GPL3.replace("GNU General", "GNU Affero General"), w), "AGPL-3.0-or-later", 0) for w in (60, 66, 72, 76, 80)},
+    "AGPL": (GPL3.replace("GNU General", "GNU Affero General"), "AGPL-3.0-or-later", 0),
+    "ISC": (ISC, "ISC", 0),
+    "MPL 1.1": ('The contents of this file are subject to the Mozilla Public License Version\n1.1 (the "License"); you may not use this file except in compliance with\nthe License.', "MPL-1.1", 0),
+    **{f"EPL {v}": (f"This program and the accompanying materials are made available under the\nterms of the Eclipse Public License {n}, which is available at\nhttps://www.eclipse.org/legal/", v, 0) for v, n in (("EPL-2.0", "2.0"), ("EPL-1.0", "v1.0"), ("EPL-2.0", "version 2.0"))},
+    "Unlicense": ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy it.", "Unlicense", 0),
+    "Zlib": ("This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n", "Zlib", 0),
+    "Perl": ("This library is free software; you can redistribute it and/or modify\nit under the same terms as Perl itself.", "Perl", 0),
+    "Artistic 2": ("This program is free software; you can redistribute it and/or modify it\nunder the terms of the the Artistic License (2.0).", "Artistic-2.0", 0),
+    "full GPL 3": ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright holders.", "GPL-3.0", 0),
+    "full GPL 2": ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n", "GPL-2.0", 0),
+    "full LGPL": ("                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n\n", "LGPL", 0),
+    "full AGPL": ("                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n", "AGPL-3.0", 0),
+    "full Apache": ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n", "Apache-2.0", 0),
+    "tag in brackets": ("SPDX-License-Identifier: (GPL-2.0-only OR BSD-3-Clause)\n", "BSD-3-Clause,GPL-2.0", 0),
+    "tag of three": ("// SPDX-License-Identifier: Apache-2.0 AND MIT OR ISC\nint x;", "MIT,Apache-2.0,ISC", 0),
+    "tag with exception": ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0\n", "GPL-2.0", 0),
+    "tag of an unknown one": ("SPDX-License-Identifier: Foo-1.0\n", "", 1),
+    "no tag": ("MIT OR Harvard\nMIT\n", "", 2),
+    **{f"tag {t}": (f"SPDX-License-Identifier: {t}\n", want, 0) for t, want in (("ISC", "ISC"), ("Zlib", "Zlib"), ("Unlicense", "Unlicense"), ("AGPL-3.0-or-later", "AGPL-3.0-or-later"), ("AGPL-3.0-only", "AGPL-3.0"), ("MPL-1.1", "MPL-1.1"), ("EPL-2.0", "EPL-2.0"), ("EPL-1.0", "EPL-1.0"), ("Artistic-2.0", "Artistic-2.0"))},
     "headings": ("License\nGNU\nLibrary\nGeneral public\nMIT Press wrote it.\nMIT!!\n", "", 0),
     "German is no tag": ("Mit der Lizenz geht es weiter.", "", 0),
-    "tag of two licences": ("SPDX-License-Identifier: MIT OR Apache-2.0", "", 1),
+    "tag of two licences": ("SPDX-License-Identifier: MIT OR Apache-2.0", "MIT,Apache-2.0", 0),
     "tag before code": ("// SPDX-License-Identifier: MIT\n\n#include <stdio.h>", "MIT", 0),
     "tag in a comment": ("/* SPDX-License-Identifier: GPL-2.0 */", "GPL-2.0", 0),
     "tag MIT": ("SPDX-License-Identifier: MIT\n", "MIT", 0),
@@ -92,3 +112,21 @@ def found(spark):
 @pytest.mark.parametrize("name", CASES)
 def test_known_texts(found, name):
     assert found[name] == CASES[name][1:]
+
+
+def test_every_rule_and_sentence_is_hit(spark):
+    """No rule and no sentence is dead: some text of the cases, or of those below, brings each of them out."""
+    more = [BSD3 + BSD_END, "Released under the MIT License.", "This software is licensed under the GNU General Public License version 3.", "Licensed under the Apache License 2.0. You may obtain a copy of the License at x", wrapped(LGPL, 30), wrapped(GPL2, 34), wrapped(GPL3, 34), " ".join(GPL2.split()).replace("Foundation;", "Foundation,")]
+    texts = [text for text, _, _ in CASES.values()] + more
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    seen = {x for r in rows for x in r["sentence_ids"].split(",")}
+    assert [name for name, _ in licenses.SENTENCES if name not in seen] == []
+    named = {x for r in rows for x in r["licenses"].split(",")}
+    assert [name for name, _ in licenses.RULES if name not in named] == []
+
+
+def test_repeated_rows_long_texts_and_clashing_columns(spark):
+    long = "word. " * 400_000 + MPL
+    df = spark.createDataFrame([(1, MIT, 5, "x"), (1, MIT, 5, "x"), (None, MIT, 5, "x"), (2, long, 5, "x")], "doc_id long, text string, hit0 int, left string")
+    rows = licenses.scan_licenses(df).collect()
+    assert sorted(r["licenses"] for r in rows) == ["MIT", "MIT", "MIT", "MPL-2.0"] and len({r[1:] for r in rows if r["licenses"] == "MIT"}) == 1

@@ -13,7 +13,8 @@ from tokenizers import Tokenizer
 
 from tests.conftest import DATA
 from tests.llm import brute
-from triplewright.llm import batches, bpe, token_store
+from triplewright import storage
+from triplewright.llm import bpe, token_store
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = [
@@ -116,5 +117,5 @@ def test_very_long_texts_and_clashing_columns(spark):
 
 def test_range_partitions_follow_the_size(spark):
     source = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
-    assert batches.partitions_for(source) == batches.partitions_for(spark.createDataFrame([(1,)], "a int")) == 4
-    assert batches.partitions_for(source.crossJoin(spark.range(100_000))) > 1000
+    assert storage.partitions_for(source) == storage.partitions_for(spark.createDataFrame([(1,)], "a int")) == 4
+    assert storage.partitions_for(source.crossJoin(spark.range(100_000))) > 1000

@@ -14,9 +14,6 @@ from pyspark.sql import DataFrame
 ROWS_PER_STEP = 400
 #: Characters that a kernel works on at once, so that a run of very long texts stays small in memory.
 CHARS_PER_STEP = 4_000_000
-#: Bytes of a table, as the optimizer estimates it, for each range partition; estimates over the last bound are no estimates.
-BYTES_PER_RANGE, NO_ESTIMATE = 64 << 20, 1 << 60
-
 
 def portable(name: str) -> None:
     """Ship a module's functions by value, so that executors need no copy of this package."""
@@ -28,13 +25,6 @@ def map_batches(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.mapInArrow(kernel, schema)
 
 
-def partitions_for(df: DataFrame) -> int:
-    """Range partitions that grow with the table: its estimated size over BYTES_PER_RANGE, the session's shuffle partitions at least."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(least, -(-size // BYTES_PER_RANGE)) if size < NO_ESTIMATE else least
-
-
 def text_steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHARS_PER_STEP) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Slices of at most ``most`` characters (one text at least) and ROWS_PER_STEP rows, with their texts."""
     for whole in batches:

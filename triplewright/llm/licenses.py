@@ -11,9 +11,10 @@ Null text counts as empty: no sentence, no licence. A sentence that matches two
 identifiers takes the first listed. Closing signs also cut inside the usual wording
 of some licences ("free software; you can", "v. 2.0", an SPDX tag before its value),
 and a wrapped line may begin with a capital; their sentences are therefore listed as
-the pieces that come out, and rules put the pieces together. An SPDX tag whose value
-is an expression of several licences, or another licence, stays unmatched. Repeated rows give equal results. Only the
-named columns are read, so other columns may have any name.
+the pieces that come out, and rules put the pieces together. The terms of an SPDX
+expression are sentences of their own, so ``MIT OR Apache-2.0`` names both; a tag of
+another licence stays unmatched. Repeated rows give equal results, an empty table an
+empty one. Only the named columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -39,8 +40,19 @@ TAGS = [
     ("CC-BY-SA-4.0", "cc by sa 4.0"),
     ("CC-BY-4.0", "cc by 4.0"),
     ("CC0-1.0", "cc0 1.0"),
+    ("ISC", "isc"),
+    ("Zlib", "zlib"),
+    ("Unlicense", "unlicense"),
+    ("AGPL-3.0-or-later", "agpl 3.0(?: or later|[+])"),
+    ("AGPL-3.0", "agpl 3.0(?: only)?"),
+    ("MPL-1.1", "mpl 1.1"),
+    ("EPL-2.0", "epl 2.0"),
+    ("EPL-1.0", "epl 1.0"),
+    ("Artistic-2.0", "artistic 2.0"),
 ]
-AFTER = "(?: (?:include|import|package|pragma|module|use|using|const|var|let|def|class|from|ifndef|define|export|fn|pub|static|set) .*)?"
+#: An exception granted with a licence, which stays that licence.
+WITH = "(?: with [a-z0-9.]+(?: [a-z0-9.]+)* exception(?: [0-9.]+)?)?"
+AFTER = "(?: (?:include|import|package|pragma|module|use|using|const|var|let|def|class|from|ifndef|define|export|fn|pub|static|set|int|void|struct|typedef|enum|func|type) .*)?"
 
 # Pieces of the GNU heading, which is cut at closing signs and where a line begins with a capital.
 YOU = "you can redistribute it and or modify it under the terms of the "
@@ -79,8 +91,24 @@ SENTENCES = [
     ("CCBYSA4", "(?:this (?:work|text|file) is )?licensed under (?:a )?(?:cc by sa|creative commons attribution sharealike) 4.0(?: international license)?"),
     ("CCBY4", "(?:this (?:work|text|file) is )?licensed under (?:a )?(?:cc by|creative commons attribution) 4.0(?: international license)?"),
     ("CC0", "(?:this (?:work|text|file) is )?(?:released|dedicated|licensed) (?:under|to) (?:cc0|the public domain).*"),
+    ("ISCGRANT", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("ISCASIS", "the software is provided as is and (?:the )?(?:author|isc|[a-z]+ disclaims).*"),
+    ("MPL11", "the contents of this file are subject to the mozilla(?: public(?: license(?: version(?: 1.1.*)?)?)?)?"),
+    ("EPL2", "this program and the accompanying materials are made available under the terms of the eclipse public license(?: version| v.?)? ?2.0.*"),
+    ("EPL1", "this program and the accompanying materials are made available under the terms of the eclipse public license(?: version| v.?)? ?1.0.*"),
+    ("UNLICENSE", "this is free and unencumbered software released into the public domain"),
+    ("ZLIBASIS", "this software is provided as is without any express or implied warranty"),
+    ("ZLIBGRANT", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("ARTISTIC2", "(?:you can redistribute it and or modify it |it is (?:licensed|distributed) |(?:released|licensed|distributed) )under the terms of the (?:the )?artistic license(?: version)? (?:v)?2.0.*"),
+    ("PERL", "you can redistribute it and or modify it under the same terms as perl itself"),
+    ("GNUV3", "version 3 29 june 2007"),
+    ("GNUV2", "version 2 june 1991"),
+    ("GNUV21", "version 2.1 february 1999"),
+    ("AGNUV3", "version 3 19 november 2007"),
+    ("APACHEV2", "(?:apache license )?version 2.0 january 2004(?: http.*)?"),
+    ("APACHENAME", "apache license"),
     ("SPDX", "spdx license identifier(?: .*)?"),
-    *[(f"SPDX{k}", f"{tag}{AFTER}") for k, (_, tag) in enumerate(TAGS)],
+    *[(f"SPDX{k}", f"{tag}{WITH}{AFTER}") for k, (_, tag) in enumerate(TAGS)],
     ("COPYRIGHT", "copyright (?:c )?[0-9]{4}.*"),
     ("ALLRIGHTS", "all rights reserved"),
 ]
@@ -91,6 +119,15 @@ RULES = [
     ("BSD-3-Clause", "(?:<ALLRIGHTS>)?<BSDGRANT><BSDSOURCE><BSDBINARY><BSDENDORSE>(?:<BSDASIS>)?(?:<LIABLE>)?"),
     ("BSD-2-Clause", "(?:<ALLRIGHTS>)?<BSDGRANT><BSDSOURCE><BSDBINARY>(?:<BSDASIS>)?(?:<LIABLE>)?"),
     ("Apache-2.0", "(?:<ALLRIGHTS>)?<APACHEREF>(?:<APACHEFILE>)?(?:<APACHECOPY>)?(?:<APACHEASIS>)?"),
+    ("Apache-2.0", "(?:<APACHENAME>)?<APACHEV2>"),
+    ("ISC", "(?:<ALLRIGHTS>)?<ISCGRANT>(?:<ISCASIS>)?(?:<LIABLE>)?"),
+    ("AGPL-3.0-or-later", "<FREE>(?:<GPLNAME>)*<AGPLNAME>(?:<GPLNAME>|<GPLNAME3>|<LATER3>)*"),
+    ("AGPL-3.0", "<AGPLNAME><AGNUV3>"),
+    ("Artistic-2.0", "(?:<FREE>)?<ARTISTIC2>"),
+    ("Perl", "(?:<FREE>)?<PERL>"),
+    ("GPL-3.0", "<GPLNAME><GNUV3>"),
+    ("GPL-2.0", "<GPLNAME><GNUV2>"),
+    ("LGPL", "<LGPLNAME>(?:<GNUV3>|<GNUV21>)"),
     ("GPL-3.0-or-later", "<FREE>(?:<GPLNAME>)*(?:<GPLNAME3>|<GPLNAME><LATER3>)"),
     ("GPL-2.0-or-later", "<FREE>(?:<GPLNAME>)*(?:<GPLNAME2>|<GPLNAME><LATER2>)"),
     ("GPL-3.0", "<GPLREF3>"),
@@ -98,25 +135,32 @@ RULES = [
     ("LGPL", "<LGPLREF>"),
     ("LGPL", "<FREE>(?:<GPLNAME>)?<LGPLNAME>(?:<GPLNAME>)*(?:<GPLNAME[23]>|<LATER[23]>)?"),
     ("MPL-2.0", "<MPLREF>"),
+    ("MPL-1.1", "<MPL11>(?:<APACHEFILE>)?"),
+    ("EPL-2.0", "<EPL2>"),
+    ("EPL-1.0", "<EPL1>"),
+    ("Unlicense", "<UNLICENSE>"),
+    ("Zlib", "(?:<ZLIBASIS>)?<ZLIBGRANT>"),
     ("CC-BY-NC-4.0", "<CCBYNC4>"),
     ("CC-BY-SA-4.0", "<CCBYSA4>"),
     ("CC-BY-4.0", "<CCBY4>"),
     ("CC0-1.0", "<CC0>"),
     ("MIT", "<MITREF>"),
     ("BSD", "<BSDREF>"),
-    *[(name, f"<SPDX><SPDX{k}>") for k, (name, _) in enumerate(TAGS)],
+    *[(name, f"(?:<SPDX>|#)((?:<SPDX[0-9]+>)*?)<SPDX{k}>") for k, (name, _) in enumerate(TAGS)],
     ("Proprietary", "(?:<COPYRIGHT>)?<ALLRIGHTS>"),
 ]
 
 #: Every known sentence has one of these before it is normalised; others needn't be. Between words stands what becomes a space.
-CLUE = "(?i)licen|permission|redistribut|warrant|copyright|liable|spdx|free[^a-z0-9.+]+software|public[^a-z0-9.+]+domain|rights|endorse|cc0|source[^a-z0-9.+]+code[^a-z0-9.+]+form|provided[^a-z0-9.+]+by[^a-z0-9.+]+the|software[^a-z0-9.+]+foundation|either[^a-z0-9.+]+version|general[^a-z0-9.+]+public|^gnu|lesser|affero|^[al]?gpl-|^(?:apache|bsd|mpl|cc)-[0-9b]|(?-i:^MIT[.]?[ \\t\\r\\n]*(?:[*]/|-->|\\n|$))"
+# Terms of an SPDX expression are cut apart where one of these identifiers stands before OR or AND.
+TERM = r"((?:MIT|ISC|Zlib|Unlicense|BSD-[23]-Clause|Apache-2[.]0|[AL]?GPL-[0-9.]+(?:-only|-or-later|[+])?|[ME]PL-[0-9.]+|CC0-1[.]0|CC-BY(?:-NC|-SA)?-4[.]0|Artistic-2[.]0)[)]?)[ \t]+(?:OR|AND)[ \t]+[(]?"
+CLUE = "(?i)licen|unencumbered|^version [123]|permission|redistribut|warrant|copyright|liable|spdx|free[^a-z0-9.+]+software|public[^a-z0-9.+]+domain|rights|endorse|cc0|source[^a-z0-9.+]+code[^a-z0-9.+]+form|provided[^a-z0-9.+]+by[^a-z0-9.+]+the|software[^a-z0-9.+]+foundation|either[^a-z0-9.+]+version|general[^a-z0-9.+]+public|^gnu|lesser|affero|perl itself|^[(]?[al]?gpl-|^[(]?(?:apache|artistic|bsd|[em]pl|cc)-[0-9b]|(?-i:^[(]?(?:MIT|ISC|Zlib|Unlicense)[.)]?[ \\t\\r\\n]*(?:[*]/|-->|\\n|$))"
 CLOSE, CAPITAL = r"([.!?;:])[ \t\r\n]+", r"\n[ \t/*#-]*([A-Z])"
 CUT = "\x01"
 
 
 def sentences(text: Column) -> Column:
     """Sentences that hold a letter or digit."""
-    marked = F.regexp_replace(F.regexp_replace(text, CLOSE, f"$1{CUT}"), CAPITAL, f"{CUT}$1")
+    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, TERM, f"$1{CUT}"), CLOSE, f"$1{CUT}"), CAPITAL, f"{CUT}$1")
     return F.filter(F.split(marked, CUT), lambda s: s.rlike("[A-Za-z0-9]"))
 
 
@@ -141,7 +185,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = rows.withColumn("ids", F.filter(F.transform("s", identifier), lambda x: x.isNotNull()))
     rows = rows.withColumn("left", F.array_join(F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), ""))
     for k, (_, rule) in enumerate(RULES):
-        rows = rows.withColumn(f"hit{k}", F.col("left").rlike(rule)).withColumn("left", F.regexp_replace("left", rule, "|"))
+        rows = rows.withColumn(f"hit{k}", F.col("left").rlike(rule)).withColumn("left", F.regexp_replace("left", rule, "#$1" if "#" in rule else "|"))
     # One mention of each licence, where its first rule stands.
     names = list(dict.fromkeys(name for name, _ in RULES))
     hits = {n: [F.col(f"hit{k}") for k, (name, _) in enumerate(RULES) if name == n] for n in names}
@@ -167,12 +211,12 @@ def oracle(table: str = "documents") -> str:
     for k, (_, rule) in enumerate(RULES):
         source = f"step{k - 1}" if k else "joined"
         columns += f", hit{k - 1}" if k else ""
-        steps.append(f"step{k} AS (SELECT doc_id, n_sentences, ids{columns}, regexp_matches(rest, {lit(rule)}) AS hit{k}, regexp_replace(rest, {lit(rule)}, '|', 'g') AS rest FROM {source})")
+        steps.append(f"step{k} AS (SELECT doc_id, n_sentences, ids{columns}, regexp_matches(rest, {lit(rule)}) AS hit{k}, regexp_replace(rest, {lit(rule)}, {lit("#" + chr(92) + "1" if "#" in rule else "|")}, 'g') AS rest FROM {source})")
     names = list(dict.fromkeys(name for name, _ in RULES))
     shown = ", ".join("CASE WHEN " + " OR ".join(f"hit{k}" for k, (m, _) in enumerate(RULES) if m == n) + f" THEN {lit(n)} END" for n in names)
     return f"""
 WITH cut AS (
-  SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?;:])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), '\\n[ \\t/*#-]*([A-Z])', chr(1) || '\\1', 'g'), chr(1)), lambda s: regexp_matches(s, '[A-Za-z0-9]')) AS s FROM {table}
+  SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), {lit(TERM)}, '\\1' || chr(1), 'g'), '([.!?;:])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), '\\n[ \\t/*#-]*([A-Z])', chr(1) || '\\1', 'g'), chr(1)), lambda s: regexp_matches(s, '[A-Za-z0-9]')) AS s FROM {table}
 ), plain AS (
   SELECT doc_id, len(s) AS n_sentences, list_transform(list_filter(s, lambda x: regexp_matches(x, {lit(CLUE)})), lambda x: regexp_replace(trim(regexp_replace(lower(x), '[^a-z0-9.+]+', ' ', 'g')), '[. ]+$', '')) AS s FROM cut
 ), named AS (
