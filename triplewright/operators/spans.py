@@ -4,11 +4,11 @@ Spans are found once for each distinct (description, entity), whatever the
 number of triples; triples join back by key, as a bag. Texts are normalised and
 lower-cased before, so aliases are literals.
 
-A whole-word match begins and ends with a token, so the stretches of a description
-that have as many tokens as some alias are joined with the aliases of its entities
-by their text: no text is copied to an alias, and a head with very many tails moves
-aliases, not texts. The join's key is description and text, so a common alias is no
-hot key.
+A whole-word match begins and ends with a token, so the tokens of a description,
+at most a model's length, are joined with the first tokens of the aliases of its
+entities. Only aliases that may stand at a place meet the text there, to be compared
+whole. A head with very many tails moves aliases, not texts, and the join's key is
+description and token, so a common alias is no hot key.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triplewright.functions.text import MAX_TOKENS, TOKEN, tokens
-from triplewright.functions.vectors import bound
 from triplewright.sources.lines import write_lines
 
 KINDS = ("h_s", "h_e", "t_s", "t_e")
@@ -29,39 +28,6 @@ def clipped(text: Column, most: int = MAX_TOKENS) -> Column:
     return F.when(F.length(text) > most, kept).otherwise(text)
 
 
-def token_offsets(text: Column, most: int = MAX_TOKENS) -> Column:
-    """array<struct<start, end>> of the first tokens, in characters. Tokens and the pieces between them alternate."""
-
-    def folded(toks: Column, gaps: Column) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.length(x["gap"])
-            end = start + F.length(x["tok"])
-            return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("found"))
-
-        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
-        return F.aggregate(F.arrays_zip(toks.alias("tok"), F.slice(gaps, 1, F.size(toks)).alias("gap")), begin, step)["found"]
-
-    return bound(tokens(text, most), lambda toks: bound(F.split(text, TOKEN, -1), lambda gaps: folded(toks, gaps)))
-
-
-def stretches(descriptions: DataFrame, sizes: list[int], most: int = MAX_TOKENS) -> DataFrame:
-    """(h, gram, start, end, s, e): every stretch of so many tokens that stands alone: no word character touches its ends."""
-    rows = descriptions.select(F.col("entity_id").alias("h"), clipped(F.col("text"), most).alias("text"))
-    rows = rows.withColumn("offs", token_offsets(F.col("text"), most))
-
-    def of(size: int) -> Column:
-        def one(i: Column) -> Column:
-            start, end = F.get("offs", i)["start"], F.get("offs", i + size - 1)["end"]
-            return F.struct(F.substring("text", start + 1, end - start).alias("gram"), F.substring("text", start, F.when(start > 0, 1).otherwise(0)).alias("before"), F.substring("text", end + 1, F.lit(1)).alias("after"), start.alias("start"), end.alias("end"), i.alias("s"), (i + size - 1).alias("e"))
-
-        return F.when(F.size("offs") >= size, F.transform(F.sequence(F.lit(0), F.size("offs") - size), one))
-
-    found = F.flatten(F.array_compact(F.array(*[of(n) for n in sizes])))
-    rows = rows.select("h", F.explode(found).alias("x")).select("h", "x.*")
-    word = r"^\w"
-    return rows.where(~F.col("before").rlike(word) & ~F.col("after").rlike(word)).drop("before", "after")
-
-
 def alias_spans(pairs: DataFrame, descriptions: DataFrame, aliases: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
     """(h, entity, alias, pos, start, end, s, e): every match of every alias of ``entity`` in the description of ``h``.
 
@@ -71,13 +37,19 @@ def alias_spans(pairs: DataFrame, descriptions: DataFrame, aliases: DataFrame, m
     """
     names = aliases.select(F.col("entity_id").alias("entity"), F.posexplode("aliases").alias("pos", "alias")).where("alias <> ''")
     names = names.withColumn("toks", F.regexp_extract_all("alias", F.lit(TOKEN), 0))
-    sizes = sorted(r["n"] for r in names.select(F.size("toks").alias("n")).where(F.col("n").between(1, most)).distinct().collect())  # at most ``most`` numbers
     # A text can overlap itself only where it begins as it ends.
     again = F.exists(F.sequence(F.lit(1), F.greatest(F.size("toks") - 1, F.lit(1))), lambda k: (k < F.size("toks")) & (F.slice("toks", 1, k) == F.slice("toks", F.size("toks") - k + 1, k)))
-    wanted = pairs.join(names.withColumn("again", again).drop("toks"), "entity")
-    if not sizes:
-        return wanted.select("h", "entity", "alias", "pos", *[F.lit(0).alias(c) for c in ("start", "end", "s", "e")]).limit(0)
-    found = wanted.join(stretches(descriptions, sizes, most).withColumnRenamed("gram", "alias"), ["h", "alias"])
+    names = names.select("entity", "pos", "alias", F.size("toks").alias("n"), F.get("toks", F.lit(0)).alias("tok"), again.alias("again")).where(F.col("n").between(1, most))
+    texts = descriptions.select(F.col("entity_id").alias("h"), clipped(F.col("text"), most).alias("text"))
+    places = texts.select("h", F.posexplode(tokens(F.col("text"), most)).alias("s", "tok"))
+    found = pairs.join(names, "entity").join(places, ["h", "tok"]).where(F.col("s") + F.col("n") <= most).drop("tok").join(texts, "h").where(F.contains("text", F.col("alias")))
+    # Tokens and the pieces between them alternate: what stands before the s-th token is s of the one and s + 1 of the other.
+    before = F.length(F.array_join(F.slice(F.split("text", TOKEN, -1), 1, F.col("s") + 1), "")) + F.length(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(TOKEN), 0), 1, F.col("s")), ""))
+    # Generated, not projected: the filters below would state it anew at each of their places, two regular expressions a time.
+    found = found.select("*", F.explode(F.array(before)).alias("start")).withColumn("end", F.col("start") + F.length("alias"))
+    found = found.where(F.substring("text", F.col("start") + 1, F.length("alias")) == F.col("alias"))
+    sides = F.concat(F.substring("text", F.col("start"), F.when(F.col("start") > 0, 1).otherwise(0)), F.lit(" "), F.substring("text", F.col("end") + 1, F.lit(1)))
+    found = found.where(~sides.rlike(r"\w")).withColumn("e", F.col("s") + F.col("n") - 1)
     columns = ["h", "entity", "alias", "pos", "start", "end", "s", "e"]
     once = found.where(~F.col("again")).select(*columns)
     held = found.where("again").groupBy("h", "entity", "alias", "pos").agg(F.array_sort(F.collect_list(F.struct("start", "end", "s", "e"))).alias("x"))  # a text's tokens at most
