@@ -1,6 +1,6 @@
 """Near copies from different sources never share a bin."""
 
-from triplewright.llm import queries
+from triplewright.llm import packing, queries
 
 
 def test_near_copies_conflict(spark, tmp_path):
@@ -13,3 +13,13 @@ def test_near_copies_conflict(spark, tmp_path):
     assert len(out) == 5 and all(r["n_words"] == 100 for r in out)
     assert len({bins[i] for i in (0, 1, 2, None)}) == 4
     assert bins[3] in {bins[i] for i in (0, 1, 2, None)}
+
+
+def test_clashing_columns(spark):
+    rows = [(i, f"w{i} " * (10 + i % 5), f"s{i % 3}", 1, 2, "t", 3, 4) for i in range(40)] + [(None, "", None, 1, 2, "t", 3, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, cluster int, tie string, shard int, comp int")
+    plain = df.select("doc_id", "text", "source")
+    for near in (False, True):
+        a, b = ({tuple(r) for r in packing.pack(x, near=near).collect()} for x in (df, plain))
+        assert a == b and len(a) == 41
+    assert packing.pack(df.limit(0), near=True).count() == 0
