@@ -219,7 +219,7 @@ def audio_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     One row for each input row, as ``digest_media`` gives them. A null text is an empty one.
     """
-    return digest_media(Scratch(df.sparkSession, "audio").keep(store_audio(df, id_col, text_col), "media"))
+    return digest_media(Scratch(df.sparkSession, "audio").keep(store_audio(df, id_col, text_col), "media", compression="zstd"))
 
 
 portable(__name__)
