@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from triplewright.llm import audio, bpe, classifier, language, licenses, minhash, packing, pii, quality_rules, token_store
+from triplewright.llm import audio, bpe, classifier, hard_negatives, language, licenses, minhash, packing, pii, quality_rules, token_store, top_k
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,10 +59,41 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_file_digest(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(embeddings(spark, sf_dir), F.col("vec_id") % 50 == 0)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(embeddings(spark, sf_dir), F.col("vec_id") % 50 == 0, moved)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_licenses, op2_packing, op3_quality, op4_bpe, op5_minhash, op6_classifier, op7_language, op8_media, op9_pii, op10_tokens]
+    made = [op1_licenses, op2_packing, op3_quality, op4_bpe, op5_minhash, op6_classifier, op7_language, op8_media, op9_pii, op10_tokens, op11_top_k, op13_hard_negatives]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": licenses.oracle()}
+    return {"op1_licenses": licenses.oracle(), "op11_top_k": TOP_K, "op13_hard_negatives": HARD_NEGATIVES}
+
+
+_WHOLE = """WITH whole AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+TOP_K = f"""{_WHOLE}, scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score FROM whole q JOIN whole c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5"""
+HARD_NEGATIVES = f"""{_WHOLE}, named AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v FROM whole WHERE label IS NOT NULL
+), scored AS MATERIALIZED (
+  SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score FROM named q JOIN named c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), found AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 3"""
