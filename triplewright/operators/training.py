@@ -7,9 +7,10 @@ epoch is written, and a run goes on from the latest it finds.
 
 from __future__ import annotations
 
+import json
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplewright.functions import vectors as V
@@ -32,6 +33,17 @@ def latest_epoch(spark, folder: str) -> int:
     return last
 
 
+def same_settings(spark: SparkSession, folder: str, settings: dict) -> None:
+    """Write the settings of a run into its folder; a folder that a run of other settings made is refused."""
+    path, text = f"{folder}/settings", json.dumps(settings, sort_keys=True)
+    if exists(spark, f"{path}/_SUCCESS"):
+        held = spark.read.text(path).first()[0]
+        if held != text:
+            raise ValueError(f"{folder} was made with {held}, not {text}")
+        return
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def train_heads(tokens: DataFrame, labels: DataFrame, dims: int, folder: str, epochs: int = 100, rate: float = 1e-4, pos_weight: float = 1.0) -> DataFrame:
     """(epoch, kind, dim, weight, m, v) after the last epoch; dim = dims is the bias.
 
