@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,24 +16,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class TextGraph:
-    """Each document names two others; its own first word and first two words are its aliases."""
+    """Each document names two others; its own first word and first two words are its aliases.
+
+    Every part is made when it is first asked for: triples and relations read no text.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        docs = table(spark, sf_dir, "documents")
-        n = docs.count()
-        ident = F.concat(F.lit("D"), F.col("doc_id").cast("string"))
+        self.spark, self.docs = spark, table(spark, sf_dir, "documents")
+        self.ident = F.concat(F.lit("D"), F.col("doc_id").cast("string"))
+
+    @cached_property
+    def triples(self) -> DataFrame:
+        n, ids = self.docs.count(), self.docs.select("doc_id")
 
         def other(times: int, plus: int):
             return F.concat(F.lit("D"), ((F.col("doc_id") * times + plus) % n).cast("string"))
 
-        ids = docs.select("doc_id")
-        self.triples = ids.select(ident.alias("h"), F.lit("rel_a").alias("r"), other(7, 3).alias("t")).union(ids.select(ident.alias("h"), F.lit("rel_b").alias("r"), other(13, 5).alias("t")))
+        return ids.select(self.ident.alias("h"), F.lit("rel_a").alias("r"), other(7, 3).alias("t")).union(ids.select(self.ident.alias("h"), F.lit("rel_b").alias("r"), other(13, 5).alias("t")))
+
+    @cached_property
+    def descriptions(self) -> DataFrame:
         # Normalised texts are tables of their own in a prepared graph: written once, read by every use.
-        self.descriptions = Scratch(spark, "graph").keep(docs.select(ident.alias("entity_id"), normalize(F.col("text"), lower=True).alias("text")), "descriptions")
+        return Scratch(self.spark, "graph").keep(self.docs.select(self.ident.alias("entity_id"), normalize(F.col("text"), lower=True).alias("text")), "descriptions")
+
+    @cached_property
+    def aliases(self) -> DataFrame:
         start = self.descriptions.select("entity_id", F.split("text", " ", 3).alias("w"))
         names = F.filter(F.array(F.get("w", F.lit(0)), F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1)))), lambda a: a.isNotNull() & (a != ""))
-        self.aliases = start.select("entity_id", F.array_distinct(names).alias("aliases"))
-        self.relations = spark.createDataFrame([("rel_a", ["is next to", "adjoins"]), ("rel_b", ["points at"]), ("rel_c", ["is unused"]), ("rel_d", [])], "relation_id string, aliases array<string>")
+        return start.select("entity_id", F.array_distinct(names).alias("aliases"))
+
+    @cached_property
+    def relations(self) -> DataFrame:
+        return self.spark.createDataFrame([("rel_a", ["is next to", "adjoins"]), ("rel_b", ["points at"]), ("rel_c", ["is unused"]), ("rel_d", [])], "relation_id string, aliases array<string>")
 
 
 def structural(spark: SparkSession, sf_dir: str) -> DataFrame:

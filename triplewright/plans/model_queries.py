@@ -329,14 +329,14 @@ def _value(layer: int, k: str, w: str) -> str:
     return f"({_HASH.format(f"'{layer}#' || {k} || '#' || {w}")} / 4294967296.0 * 2 - 1)"
 
 
-def _sql_relations(dims: int, ids_only: bool = False) -> str:
+def sql_relations(dims: int, ids_only: bool = False) -> str:
     """(relation_id, v): the mean over aliases, or ids, of the means over tokens of both layers."""
     names = "SELECT relation_id, relation_id AS alias FROM (VALUES ('rel_a'), ('rel_b'), ('rel_c'), ('rel_d')) x(relation_id)" if ids_only else "SELECT * FROM (VALUES ('rel_a', 'is next to'), ('rel_a', 'adjoins'), ('rel_b', 'points at'), ('rel_c', 'is unused'), ('rel_d', 'rel_d')) x(relation_id, alias)"
     return f"""SELECT relation_id, list(x ORDER BY k) AS v FROM (SELECT relation_id, k, avg(x) AS x FROM (SELECT relation_id, alias, k, avg(({_value(0, 'k', 'w')} + {_value(1, 'k', 'w')}) / 2) AS x
   FROM (SELECT relation_id, alias, unnest(regexp_extract_all(alias, {G.sql_text(T.TOKEN)})) AS w FROM ({names})), (SELECT unnest(range(0, {dims})) AS k) GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1"""
 
 
-@query(f"SELECT relation_id, (generate_subscripts(v, 1) - 1)::INT AS k, round(unnest(v), 6) AS x FROM ({_sql_relations(ENCODED)})")
+@query(f"SELECT relation_id, (generate_subscripts(v, 1) - 1)::INT AS k, round(unnest(v), 6) AS x FROM ({sql_relations(ENCODED)})")
 def encode_relations(spark: SparkSession, d: str) -> DataFrame:
     rows = E.relation_embeddings(G.TextGraph(spark, d).relations, E.hash_encoder(ENCODED))
     return A.flattened(rows, "relation_id", "emb", "x").select("relation_id", F.col("pos").alias("k"), F.round("x", 6).alias("x"))
@@ -351,7 +351,7 @@ def encode_descriptions(spark: SparkSession, d: str) -> DataFrame:
 # --- span model ----------------------------------------------------------------------
 # Over the tokens of whole descriptions, up to the model's length, with whole vectors of the encoder.
 
-_TOK = f"{_DOCS}, tok AS MATERIALIZED (SELECT entity_id, (place - 1)::INT AS pos, list_transform(range(0, {DIMS}), lambda k: {_value(1, 'k', 'w')}) AS x FROM words)"
+TOKEN_VECTORS = f"{_DOCS}, tok AS MATERIALIZED (SELECT entity_id, (place - 1)::INT AS pos, list_transform(range(0, {DIMS}), lambda k: {_value(1, 'k', 'w')}) AS x FROM words)"
 HEAD = (weight(1, DIMS, 1)[0], -2.0), (weight(1, DIMS, 2)[0], -1.5)
 W = {
     "entity": HEAD,
@@ -366,14 +366,14 @@ def _dot(x: str, head: tuple[list[float], float]) -> str:
 
 
 _HEADS = f"heads AS (SELECT entity_id, pos, x, {_dot('x', HEAD[0])} AS sl, {_dot('x', HEAD[1])} AS el FROM tok)"
-_PAIRING = """arr AS (SELECT entity_id, list(pos ORDER BY pos) FILTER (1 / (1 + exp(-sl)) {cmp} {cut}) AS st, list(pos ORDER BY pos) FILTER (1 / (1 + exp(-el)) {cmp} {cut}) AS en FROM heads GROUP BY 1),
+PAIRING = """arr AS (SELECT entity_id, list(pos ORDER BY pos) FILTER (1 / (1 + exp(-sl)) {cmp} {cut}) AS st, list(pos ORDER BY pos) FILTER (1 / (1 + exp(-el)) {cmp} {cut}) AS en FROM heads GROUP BY 1),
 folded AS (SELECT entity_id, list_reduce(list_concat([[[-1, -1]]], list_transform(coalesce(st, []), lambda s: [[s, -1]])), lambda acc, q: CASE WHEN len(list_filter(coalesce(en, []), lambda e: e >= q[1][1] AND {far} AND NOT list_contains(list_transform(acc, lambda z: z[2]), e))) > 0
   THEN list_concat(acc, [[q[1][1], list_filter(en, lambda e: e >= q[1][1] AND {far} AND NOT list_contains(list_transform(acc, lambda z: z[2]), e))[1]]]) ELSE acc END) AS pairs FROM arr),
 slots AS (SELECT entity_id, (slot - 2)::INT AS slot, p[1]::INT AS s, p[2]::INT AS e FROM (SELECT entity_id, unnest(pairs) AS p, generate_subscripts(pairs, 1) AS slot FROM folded) WHERE p[1] >= 0)"""
-_GREEDY = _PAIRING.format(cmp=">=", cut=0.5, far="e < q[1][1] + 3")
-_LEGACY = _PAIRING.format(cmp=">", cut=0.6, far="TRUE")
+_GREEDY = PAIRING.format(cmp=">=", cut=0.5, far="e < q[1][1] + 3")
+_LEGACY = PAIRING.format(cmp=">", cut=0.6, far="TRUE")
 _REPS = f"reps AS (SELECT l.entity_id, l.slot, l.s, l.e, list_transform(range(1, {DIMS + 1}), lambda k: (a.x[k] + b.x[k]) / 2) AS v FROM slots l JOIN tok a ON a.entity_id = l.entity_id AND a.pos = l.s JOIN tok b ON b.entity_id = l.entity_id AND b.pos = l.e)"
-_REL = f"rel AS MATERIALIZED ({_sql_relations(DIMS)})"
+_REL = f"rel AS MATERIALIZED ({sql_relations(DIMS)})"
 _ATT = f"""mean AS (SELECT entity_id, list(x ORDER BY d) AS g FROM (SELECT entity_id, d, avg(v) AS x FROM (SELECT entity_id, unnest(x) AS v, generate_subscripts(x, 1) AS d FROM tok) GROUP BY 1, 2) GROUP BY 1),
 px AS MATERIALIZED (SELECT entity_id, pos, x, {sql_linear('x', *W['attention']['x'])} AS p FROM tok), pr AS MATERIALIZED (SELECT relation_id, {sql_linear('v', *W['attention']['r'])} AS p FROM rel), pg AS MATERIALIZED (SELECT entity_id, {sql_linear('g', *W['attention']['g'])} AS p FROM mean),
 sc AS (SELECT px.entity_id, relation_id, pos, x, list_dot_product(list_transform(range(1, {DIMS + 1}), lambda k: tanh(px.p[k] + pr.p[k] + pg.p[k])), {W['attention']['v']}::DOUBLE[]) AS z FROM px JOIN pg ON pg.entity_id = px.entity_id CROSS JOIN pr),
@@ -383,100 +383,108 @@ _FUSE = f"""ps AS (SELECT entity_id, slot, {sql_linear('v', *W['fuse']['s'])} AS
 fused AS (SELECT ps.entity_id, ctx.relation_id, slot, pos, {sql_plus('ps.p', 'pt.p', 'pt.x', 'ctx.c')} AS h FROM ps JOIN pt ON pt.entity_id = ps.entity_id JOIN ctx ON ctx.entity_id = ps.entity_id)"""
 
 
-def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    return Scratch(spark, "tokens").keep(E.token_embeddings(G.TextGraph(spark, d).descriptions, E.hash_encoder(DIMS)), "tokens")
+def token_vectors(spark: SparkSession, graph: G.TextGraph) -> DataFrame:
+    return Scratch(spark, "tokens").keep(E.token_embeddings(graph.descriptions, E.hash_encoder(DIMS)), "tokens")
 
 
-def _relations(spark: SparkSession, d: str) -> DataFrame:
-    return E.relation_embeddings(G.TextGraph(spark, d).relations, E.hash_encoder(DIMS))
+def semantic_relations(graph: G.TextGraph) -> DataFrame:
+    return E.relation_embeddings(graph.relations, E.hash_encoder(DIMS))
 
 
-def _mean(tokens: DataFrame) -> DataFrame:
+def mean_vectors(tokens: DataFrame) -> DataFrame:
     return A.mean_by(tokens, "entity_id")
 
 
+def graph_relations(graph: G.TextGraph) -> DataFrame:
+    """Other vectors of the same relations: those of their ids."""
+    ids = graph.relations.select("relation_id", F.array().cast("array<string>").alias("aliases"))
+    return E.relation_embeddings(ids, E.hash_encoder(DIMS))
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    return token_vectors(spark, G.TextGraph(spark, d))
+
+
+def _relations(spark: SparkSession, d: str) -> DataFrame:
+    return semantic_relations(G.TextGraph(spark, d))
+
+
 def _prob_arrays(tokens: DataFrame) -> DataFrame:
     rows = X.entity_heads(tokens, *HEAD).groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("pos", "start_prob", "end_prob"))).alias("p"))
     return rows.select("entity_id", F.transform("p", lambda x: x["start_prob"]).alias("start_prob"), F.transform("p", lambda x: x["end_prob"]).alias("end_prob"))
 
 
-@query(f"WITH {_TOK}, {_HEADS} SELECT entity_id, pos, round(sl, 6) AS start_logit, round(el, 6) AS end_logit, round(1 / (1 + exp(-sl)), 6) AS start_prob, round(1 / (1 + exp(-el)), 6) AS end_prob FROM heads")
+@query(f"WITH {TOKEN_VECTORS}, {_HEADS} SELECT entity_id, pos, round(sl, 6) AS start_logit, round(el, 6) AS end_logit, round(1 / (1 + exp(-sl)), 6) AS start_prob, round(1 / (1 + exp(-el)), 6) AS end_prob FROM heads")
 def entity_heads(spark: SparkSession, d: str) -> DataFrame:
     rows = X.entity_heads(_tokens(spark, d), *HEAD)
     return rows.select("entity_id", "pos", *[F.round(c, 6).alias(c) for c in ("start_logit", "end_logit", "start_prob", "end_prob")])
 
 
-@query(f"WITH {_TOK}, {_HEADS}, {_GREEDY} SELECT * FROM slots")
+@query(f"WITH {TOKEN_VECTORS}, {_HEADS}, {_GREEDY} SELECT * FROM slots")
 def greedy_spans(spark: SparkSession, d: str) -> DataFrame:
     return X.extract_spans(_prob_arrays(_tokens(spark, d)), most=3)
 
 
-@query(f"WITH {_TOK}, {_HEADS}, {_LEGACY} SELECT * FROM slots")
+@query(f"WITH {TOKEN_VECTORS}, {_HEADS}, {_LEGACY} SELECT * FROM slots")
 def greedy_spans_legacy(spark: SparkSession, d: str) -> DataFrame:
     return X.extract_spans(_prob_arrays(_tokens(spark, d)), threshold=0.6, most=None, strict=True)
 
 
-@query(f"WITH {_TOK}, {_HEADS}, {_GREEDY}, {_REPS} SELECT entity_id, slot, (generate_subscripts(v, 1) - 1)::INT AS k, round(unnest(v), 6) AS x FROM reps")
+@query(f"WITH {TOKEN_VECTORS}, {_HEADS}, {_GREEDY}, {_REPS} SELECT entity_id, slot, (generate_subscripts(v, 1) - 1)::INT AS k, round(unnest(v), 6) AS x FROM reps")
 def span_vectors(spark: SparkSession, d: str) -> DataFrame:
     tokens = _tokens(spark, d)
     rows = X.span_vectors(X.extract_spans(_prob_arrays(tokens), most=3), tokens)
     return rows.select("entity_id", "slot", F.posexplode("emb").alias("k", "x")).select("entity_id", "slot", "k", F.round("x", 6).alias("x"))
 
 
-@query(f"""WITH {_TOK}, {_HEADS}, {_LEGACY} SELECT entity_id, slot, d::INT AS k, round(avg(v), 6) AS x FROM (SELECT l.entity_id, l.slot, unnest(t.x) AS v, generate_subscripts(t.x, 1) - 1 AS d FROM slots l JOIN tok t ON t.entity_id = l.entity_id AND t.pos BETWEEN l.s AND l.e) GROUP BY 1, 2, 3""")
+@query(f"""WITH {TOKEN_VECTORS}, {_HEADS}, {_LEGACY} SELECT entity_id, slot, d::INT AS k, round(avg(v), 6) AS x FROM (SELECT l.entity_id, l.slot, unnest(t.x) AS v, generate_subscripts(t.x, 1) - 1 AS d FROM slots l JOIN tok t ON t.entity_id = l.entity_id AND t.pos BETWEEN l.s AND l.e) GROUP BY 1, 2, 3""")
 def span_vectors_whole(spark: SparkSession, d: str) -> DataFrame:
     tokens = _tokens(spark, d)
     rows = X.span_vectors(X.extract_spans(_prob_arrays(tokens), threshold=0.6, most=None, strict=True), tokens, whole=True)
     return rows.select("entity_id", "slot", F.posexplode("emb").alias("k", "x")).select("entity_id", "slot", "k", F.round("x", 6).alias("x"))
 
 
-@query(f"WITH {_TOK}, {_REL}, {_ATT} SELECT entity_id, relation_id, (generate_subscripts(c, 1) - 1)::INT AS k, round(unnest(c), 6) AS x FROM ctx")
+@query(f"WITH {TOKEN_VECTORS}, {_REL}, {_ATT} SELECT entity_id, relation_id, (generate_subscripts(c, 1) - 1)::INT AS k, round(unnest(c), 6) AS x FROM ctx")
 def relation_attention(spark: SparkSession, d: str) -> DataFrame:
     tokens = _tokens(spark, d)
-    rows = X.relation_attention(tokens, _relations(spark, d), _mean(tokens), W["attention"])
+    rows = X.relation_attention(tokens, _relations(spark, d), mean_vectors(tokens), W["attention"])
     return rows.select("entity_id", "relation_id", F.posexplode("context").alias("k", "x")).select("entity_id", "relation_id", "k", F.round("x", 6).alias("x"))
 
 
-@query(f"WITH {_TOK}, {_HEADS}, {_GREEDY}, {_REPS}, {_REL}, {_ATT}, {_FUSE} SELECT entity_id, relation_id, slot, pos, round({_dot('h', W['conditioned'][0])}, 5) AS start_logit, round({_dot('h', W['conditioned'][1])}, 5) AS end_logit FROM fused")
+@query(f"WITH {TOKEN_VECTORS}, {_HEADS}, {_GREEDY}, {_REPS}, {_REL}, {_ATT}, {_FUSE} SELECT entity_id, relation_id, slot, pos, round({_dot('h', W['conditioned'][0])}, 5) AS start_logit, round({_dot('h', W['conditioned'][1])}, 5) AS end_logit FROM fused")
 def span_model_forward(spark: SparkSession, d: str) -> DataFrame:
     tokens = _tokens(spark, d)
-    out = X.one_direction(tokens, _mean(tokens), _relations(spark, d), W, most=3)["conditioned"]
+    out = X.one_direction(tokens, mean_vectors(tokens), _relations(spark, d), W, most=3)["conditioned"]
     return out.select("entity_id", "relation_id", "slot", "pos", F.round("start_logit", 5).alias("start_logit"), F.round("end_logit", 5).alias("end_logit"))
 
 
-@query(f"WITH {_TOK}, {_HEADS}, {_GREEDY}, {_REPS}, {_REL}, {_ATT}, {_FUSE} SELECT entity_id, relation_id, slot, pos, (generate_subscripts(h, 1) - 1)::INT AS k, round(unnest(h), 5) AS x FROM fused WHERE slot = pos")
+@query(f"WITH {TOKEN_VECTORS}, {_HEADS}, {_GREEDY}, {_REPS}, {_REL}, {_ATT}, {_FUSE} SELECT entity_id, relation_id, slot, pos, (generate_subscripts(h, 1) - 1)::INT AS k, round(unnest(h), 5) AS x FROM fused WHERE slot = pos")
 def fuse_by_position(spark: SparkSession, d: str) -> DataFrame:
     tokens = _tokens(spark, d)
     slots = X.span_vectors(X.extract_spans(_prob_arrays(tokens), most=3), tokens)
-    contexts = X.relation_attention(tokens, _relations(spark, d), _mean(tokens), W["attention"])
+    contexts = X.relation_attention(tokens, _relations(spark, d), mean_vectors(tokens), W["attention"])
     rows = X.fuse(tokens, contexts, slots, W["fuse"], by_position=True).select("entity_id", "relation_id", "slot", "pos", F.posexplode("emb").alias("k", "x"))
     return rows.withColumn("x", F.round("x", 5))
 
 
-_REL_GRAPH = f"rel AS MATERIALIZED ({_sql_relations(DIMS, ids_only=True)})"
-
-
-def _graph_relations(spark: SparkSession, d: str) -> DataFrame:
-    """Other vectors of the same relations: those of their ids."""
-    ids = G.TextGraph(spark, d).relations.select("relation_id", F.array().cast("array<string>").alias("aliases"))
-    return E.relation_embeddings(ids, E.hash_encoder(DIMS))
+_REL_GRAPH = f"rel AS MATERIALIZED ({sql_relations(DIMS, ids_only=True)})"
 
 
-@query(f"WITH {_TOK}, {_HEADS}, {_GREEDY}, {_REPS}, {_REL_GRAPH}, {_ATT}, {_FUSE} SELECT entity_id, relation_id, slot, pos, round({_dot('h', W['conditioned'][0])}, 5) AS start_logit, round({_dot('h', W['conditioned'][1])}, 5) AS end_logit FROM fused")
+@query(f"WITH {TOKEN_VECTORS}, {_HEADS}, {_GREEDY}, {_REPS}, {_REL_GRAPH}, {_ATT}, {_FUSE} SELECT entity_id, relation_id, slot, pos, round({_dot('h', W['conditioned'][0])}, 5) AS start_logit, round({_dot('h', W['conditioned'][1])}, 5) AS end_logit FROM fused")
 def span_model_backward(spark: SparkSession, d: str) -> DataFrame:
     tokens = _tokens(spark, d)
-    out = X.both_directions(tokens, _mean(tokens), _relations(spark, d), _graph_relations(spark, d), W, W, most=3)["backward"]["conditioned"]
+    out = X.both_directions(tokens, mean_vectors(tokens), _relations(spark, d), graph_relations(G.TextGraph(spark, d)), W, W, most=3)["backward"]["conditioned"]
     return out.select("entity_id", "relation_id", "slot", "pos", F.round("start_logit", 5).alias("start_logit"), F.round("end_logit", 5).alias("end_logit"))
 
 
 PROJECT = weight(DIMS, DIMS, 11), bias(DIMS, 11)
-_REL_PROJECTED = f"rel AS MATERIALIZED (SELECT relation_id, {sql_linear('v', *PROJECT)} AS v FROM ({_sql_relations(DIMS)}))"
+_REL_PROJECTED = f"rel AS MATERIALIZED (SELECT relation_id, {sql_linear('v', *PROJECT)} AS v FROM ({sql_relations(DIMS)}))"
 
 
-@query(f"WITH {_TOK}, {_REL_PROJECTED}, {_ATT} SELECT entity_id, relation_id, (generate_subscripts(c, 1) - 1)::INT AS k, round(unnest(c), 6) AS x FROM ctx")
+@query(f"WITH {TOKEN_VECTORS}, {_REL_PROJECTED}, {_ATT} SELECT entity_id, relation_id, (generate_subscripts(c, 1) - 1)::INT AS k, round(unnest(c), 6) AS x FROM ctx")
 def relation_attention_projected(spark: SparkSession, d: str) -> DataFrame:
     tokens = _tokens(spark, d)
-    rows = X.relation_attention(tokens, X.projected(_relations(spark, d), *PROJECT), _mean(tokens), W["attention"])
+    rows = X.relation_attention(tokens, X.projected(_relations(spark, d), *PROJECT), mean_vectors(tokens), W["attention"])
     return rows.select("entity_id", "relation_id", F.posexplode("context").alias("k", "x")).select("entity_id", "relation_id", "k", F.round("x", 6).alias("x"))
 
 
@@ -490,12 +498,12 @@ def _token_labels(tokens: DataFrame) -> DataFrame:
     return first.unionAll(last)
 
 
-@query(f"""WITH {_TOK}, l AS ({_LABELLED}), f AS (SELECT entity_id, pos, unnest(x) AS x, generate_subscripts(x, 1) - 1 AS k FROM tok), m AS (SELECT entity_id, k, avg(x) AS g FROM f GROUP BY 1, 2)
+@query(f"""WITH {TOKEN_VECTORS}, l AS ({_LABELLED}), f AS (SELECT entity_id, pos, unnest(x) AS x, generate_subscripts(x, 1) - 1 AS k FROM tok), m AS (SELECT entity_id, k, avg(x) AS g FROM f GROUP BY 1, 2)
 SELECT f.entity_id, f.pos, f.k::INT AS k, round(x, 6) AS x, round(g, 6) AS mean, (a.pos IS NOT NULL)::INT AS h_s, (b.pos IS NOT NULL)::INT AS t_e FROM f JOIN m ON m.entity_id = f.entity_id AND m.k = f.k
   LEFT JOIN l a ON a.entity_id = f.entity_id AND a.pos = f.pos AND a.kind = 'h_s' LEFT JOIN l b ON b.entity_id = f.entity_id AND b.pos = f.pos AND b.kind = 't_e'""")
 def dataset_items(spark: SparkSession, d: str) -> DataFrame:
     tokens = _tokens(spark, d)
-    rows = X.items(tokens, _mean(tokens), _token_labels(tokens), ("h_s", "t_e"))
+    rows = X.items(tokens, mean_vectors(tokens), _token_labels(tokens), ("h_s", "t_e"))
     rows = rows.select("entity_id", "pos", "h_s", "t_e", "mean", F.posexplode("emb").alias("k", "x"))
     return rows.select("entity_id", "pos", "k", F.round("x", 6).alias("x"), F.round(F.get("mean", F.col("k")), 6).alias("mean"), "h_s", "t_e")
 
@@ -503,11 +511,11 @@ def dataset_items(spark: SparkSession, d: str) -> DataFrame:
 _PADDED = _ATT.replace("exp(z) / sum(exp(z)) OVER (PARTITION BY entity_id, relation_id) AS a", f"exp(z) / (sum(exp(z)) OVER (PARTITION BY entity_id, relation_id) + ({T.MAX_TOKENS} - count(*) OVER (PARTITION BY entity_id, relation_id)) * exp((SELECT list_dot_product(list_transform(range(1, {DIMS + 1}), lambda k: tanh({W['attention']['x'][1]}[k] + r.p[k] + g.p[k])), {W['attention']['v']}::DOUBLE[]) FROM pr r, pg g WHERE r.relation_id = sc.relation_id AND g.entity_id = sc.entity_id))) AS a")
 
 
-@query(f"WITH {_TOK}, {_REL}, {_PADDED} SELECT entity_id, relation_id, (generate_subscripts(c, 1) - 1)::INT AS k, round(unnest(c), 6) AS x FROM ctx")
+@query(f"WITH {TOKEN_VECTORS}, {_REL}, {_PADDED} SELECT entity_id, relation_id, (generate_subscripts(c, 1) - 1)::INT AS k, round(unnest(c), 6) AS x FROM ctx")
 def relation_attention_padded(spark: SparkSession, d: str) -> DataFrame:
     """Padding up to the model's length takes its share, as in a batch without a mask."""
     tokens = _tokens(spark, d)
-    rows = X.relation_attention(tokens, _relations(spark, d), _mean(tokens), W["attention"], padded_to=T.MAX_TOKENS)
+    rows = X.relation_attention(tokens, _relations(spark, d), mean_vectors(tokens), W["attention"], padded_to=T.MAX_TOKENS)
     return rows.select("entity_id", "relation_id", F.posexplode("context").alias("k", "x")).select("entity_id", "relation_id", "k", F.round("x", 6).alias("x"))
 
 
@@ -523,7 +531,7 @@ def _heads_trained() -> str:
 g{n} AS (SELECT kind, list(g ORDER BY k) AS g FROM (SELECT kind, k, avg(g) AS g FROM (SELECT kind, unnest(list_transform(x, lambda a: a * pull)) AS g, generate_subscripts(x, 1) AS k FROM p{n}) GROUP BY 1, 2) GROUP BY 1),
 n{n} AS (SELECT w.kind, w.w, list_transform(range(1, {DIMS + 2}), lambda k: 0.9 * w.m[k] + 0.1 * g.g[k]) AS m, list_transform(range(1, {DIMS + 2}), lambda k: 0.999 * w.v[k] + 0.001 * g.g[k] * g.g[k]) AS v FROM w{n} w JOIN g{n} g ON g.kind = w.kind),
 w{turn} AS (SELECT kind, list_transform(range(1, {DIMS + 2}), lambda k: w[k] - {HEAD_RATE} * (m[k] / (1 - 0.9 ** {turn})) / (sqrt(v[k] / (1 - 0.999 ** {turn})) + 1e-8)) AS w, m, v FROM n{n})"""
-    return f"WITH {_TOK}, l AS ({_LABELLED}), {out} SELECT {HEAD_EPOCHS - 1} AS epoch, kind, (generate_subscripts(w, 1) - 1)::INT AS dim, round(unnest(w), 6) AS weight FROM w{HEAD_EPOCHS}"
+    return f"WITH {TOKEN_VECTORS}, l AS ({_LABELLED}), {out} SELECT {HEAD_EPOCHS - 1} AS epoch, kind, (generate_subscripts(w, 1) - 1)::INT AS dim, round(unnest(w), 6) AS weight FROM w{HEAD_EPOCHS}"
 
 
 @query(_heads_trained())
@@ -556,7 +564,7 @@ _BCE0 = "(greatest(z, 0) + ln(1 + exp(-abs(z))))"
 _GOLD = "SELECT 'D' || doc_id AS entity_id, doc_id % 3 AS hs, doc_id % 3 + 1 AS he, doc_id % 5 AS ts, doc_id % 5 + 2 AS te FROM documents"
 
 
-@query(f"""WITH {_TOK}, {_HEADS}, z AS (SELECT entity_id, pos, sl AS hs, el AS he, sl - 0.2 AS ts, el + 0.1 AS te FROM heads), g AS ({_GOLD}),
+@query(f"""WITH {TOKEN_VECTORS}, {_HEADS}, z AS (SELECT entity_id, pos, sl AS hs, el AS he, sl - 0.2 AS ts, el + 0.1 AS te FROM heads), g AS ({_GOLD}),
 l AS (SELECT entity_id, pos, k, CASE k WHEN 'hs' THEN hs WHEN 'he' THEN he WHEN 'ts' THEN ts ELSE te END AS z FROM z, (SELECT unnest(['hs', 'he', 'ts', 'te']) AS k)),
 t AS (SELECT g.entity_id, l.k, avg({_BCE0} - CASE WHEN l.pos = CASE l.k WHEN 'hs' THEN g.hs WHEN 'he' THEN g.he WHEN 'ts' THEN g.ts ELSE g.te END THEN z ELSE 0 END) AS m FROM g JOIN l ON l.entity_id = g.entity_id GROUP BY 1, 2)
 SELECT round(sum(m) / greatest(count(DISTINCT entity_id), 1), 5) AS loss FROM t""")
@@ -571,7 +579,7 @@ def _gold(spark: SparkSession, d: str) -> DataFrame:
     return G.table(spark, d, "documents").select(ident.alias("h"), F.lit("rel_a").alias("r"), ident.alias("t"), (i % 3).alias("hs"), (i % 3 + 1).alias("he"), (i % 5).alias("ts"), (i % 5 + 2).alias("te"))
 
 
-@query(f"""WITH {_TOK}, {_HEADS}, g AS ({_GOLD}), n AS (SELECT entity_id, count(*) AS n FROM heads GROUP BY 1), b AS (SELECT h.entity_id, sum({_BCE0.replace('z', 'sl')} + {_BCE0.replace('z', 'el')}) AS b FROM heads h GROUP BY 1),
+@query(f"""WITH {TOKEN_VECTORS}, {_HEADS}, g AS ({_GOLD}), n AS (SELECT entity_id, count(*) AS n FROM heads GROUP BY 1), b AS (SELECT h.entity_id, sum({_BCE0.replace('z', 'sl')} + {_BCE0.replace('z', 'el')}) AS b FROM heads h GROUP BY 1),
 y AS (SELECT g.*, n.n, b.b, (SELECT sum(sl) FROM heads h WHERE h.entity_id = g.entity_id AND h.pos = g.hs) AS z1, (SELECT sum(el) FROM heads h WHERE h.entity_id = g.entity_id AND h.pos = g.he) AS z2,
   (SELECT sum(sl) FROM heads h WHERE h.entity_id = g.entity_id AND h.pos = g.ts) AS z3, (SELECT sum(el) FROM heads h WHERE h.entity_id = g.entity_id AND h.pos = g.te) AS z4 FROM g JOIN n ON n.entity_id = g.entity_id JOIN b ON b.entity_id = g.entity_id)
 SELECT round(sum((b - coalesce(z1, 0) - coalesce(z2, 0)) / n + CASE WHEN hs = 1 THEN (b - coalesce(z3, 0) - coalesce(z4, 0)) / n ELSE 0 END) / count(*), 5) AS loss FROM y""")
@@ -583,7 +591,7 @@ def slot_triple_loss(spark: SparkSession, d: str) -> DataFrame:
     return L.slot_triple_loss(heads, tails, slots, _gold(spark, d)).select(F.round("loss", 5).alias("loss"))
 
 
-@query(f"""WITH {_TOK}, {_HEADS}, l AS ({_LABELLED}), y AS (SELECT h.*, (a.pos IS NOT NULL)::INT AS s, (b.pos IS NOT NULL)::INT AS e, 1 / (1 + exp(-sl)) AS sp, 1 / (1 + exp(-el)) AS ep FROM heads h
+@query(f"""WITH {TOKEN_VECTORS}, {_HEADS}, l AS ({_LABELLED}), y AS (SELECT h.*, (a.pos IS NOT NULL)::INT AS s, (b.pos IS NOT NULL)::INT AS e, 1 / (1 + exp(-sl)) AS sp, 1 / (1 + exp(-el)) AS ep FROM heads h
   LEFT JOIN l a ON a.entity_id = h.entity_id AND a.pos = h.pos AND a.kind = 'h_s' LEFT JOIN l b ON b.entity_id = h.entity_id AND b.pos = h.pos AND b.kind = 't_e'),
 f AS (SELECT -avg(s * ln(sp + 1e-8) + (1 - s) * ln(1 - sp + 1e-8)) - avg(e * ln(ep + 1e-8) + (1 - e) * ln(1 - ep + 1e-8)) AS one, -avg(e * ln(sp + 1e-8) + (1 - e) * ln(1 - sp + 1e-8)) - avg(s * ln(ep + 1e-8) + (1 - s) * ln(1 - ep + 1e-8)) AS two FROM y)
 SELECT round(one, 5) AS subject, round(two, 5) AS object, round(two, 5) AS object_back, round(one, 5) AS subject_back, round(one + two + 0.5 * (two + one), 5) AS loss FROM f""")
