@@ -25,23 +25,28 @@ def epoch_path(folder: str, epoch: int) -> str:
     return f"{folder}/epoch-{epoch:04d}"
 
 
-def latest_epoch(spark, folder: str) -> int:
-    """The last epoch with a whole checkpoint, or -1. Part files of a broken write don't count: Spark marks a finished one."""
-    last = -1
-    while exists(spark, f"{epoch_path(folder, last + 1)}/_SUCCESS"):
-        last += 1
-    return last
+def latest_epoch(spark: SparkSession, folder: str) -> int:
+    """The last epoch with a whole checkpoint, or -1; earlier ones may be gone. Part files of a broken write don't count: Spark marks a finished one."""
+    if not exists(spark, folder):
+        return -1
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in files.listStatus(where)]  # a run's epochs
+    found = [int(n.removeprefix("epoch-")) for n in names if n.startswith("epoch-")]
+    return max((n for n in found if exists(spark, f"{epoch_path(folder, n)}/_SUCCESS")), default=-1)
 
 
-def same_settings(spark: SparkSession, folder: str, settings: dict) -> None:
-    """Write the settings of a run into its folder; a folder that a run of other settings made is refused."""
-    path, text = f"{folder}/settings", json.dumps(settings, sort_keys=True)
+def same_settings(spark: SparkSession, folder: str, settings: dict, **first: int) -> dict:
+    """Write the settings of a run into its folder; a folder that a run of other settings made is refused. Of ``first`` the values of the run's first call are returned."""
+    path = f"{folder}/settings"
     if exists(spark, f"{path}/_SUCCESS"):
-        held = spark.read.text(path).first()[0]
-        if held != text:
-            raise ValueError(f"{folder} was made with {held}, not {text}")
-        return
+        held = json.loads(spark.read.text(path).first()[0])
+        if held["settings"] != settings:
+            raise ValueError(f"{folder} was made with {held['settings']}, not {settings}")
+        return held["first"]
+    text = json.dumps({"settings": settings, "first": first}, sort_keys=True)
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return first
 
 
 def train_heads(tokens: DataFrame, labels: DataFrame, dims: int, folder: str, epochs: int = 100, rate: float = 1e-4, pos_weight: float = 1.0) -> DataFrame:

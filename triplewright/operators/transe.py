@@ -1,4 +1,13 @@
-"""Translation embeddings of a graph: ids, negatives, scores, hinge loss, training."""
+"""Translation embeddings of a graph: ids, negatives, scores, hinge loss, training.
+
+The state of a run is one row an id, in buckets by id, and a log of later versions in
+the same buckets: the latest version is found, and met, without an exchange. A step
+reads the ids of its own batch and writes them alone. Every other vector still moves
+in a dense optimiser, by its moments; what it missed is made up for when a step meets it
+next, or at the end, turn by turn in the same arithmetic, so that the result is the dense
+one. A log as large as the state is merged into a new one, and an epoch's end always
+merges: two states and a log are on disk at most.
+"""
 
 from __future__ import annotations
 
@@ -11,13 +20,16 @@ from triplewright.functions import vectors as V
 from triplewright.functions.aggregates import vector_sum
 from triplewright.operators.minimize import portable_hash
 from triplewright.operators.ordering import ranked
-from triplewright.operators.training import epoch_path, latest_epoch
-from triplewright.sources.lines import read_strict, vector_table, write_table
-from triplewright.storage import Scratch
+from triplewright.operators.training import epoch_path, latest_epoch, same_settings
+from triplewright.sources.lines import exists, vector_table, write_table
+from triplewright.storage import Buckets, Scratch, delete
 
 #: Batches of an epoch: large ones, as each is a pass of the cluster.
 STEPS = 8
 DIM, MARGIN, RATE, EPOCHS = 100, 1.0, 1e-3, 90
+#: Rows of the state in a bucket, if that makes more buckets than shuffle partitions.
+ROWS_PER_BUCKET = 200_000
+STATE = "id long, turn int, emb array<double>, m array<double>, v array<double>"
 
 
 def id_maps(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -75,10 +87,16 @@ def hinge(scored: DataFrame, batches: int = 1, margin: float = MARGIN) -> DataFr
 
 
 def start_state(entities: DataFrame, relations: DataFrame, n_entities: int, n_relations: int, dims: int = DIM, seed: int = 0) -> DataFrame:
-    """(kind, idx, emb, m, v): initial vectors of entities ("e") and relations ("r"), and Adam's moments."""
+    """(id, turn, emb, m, v): initial vectors and Adam's moments. Entities have their index as id, relations -1 less theirs."""
     none = F.array_repeat(F.lit(0.0), dims)
-    parts = [initial(ids.select("idx"), n, dims, s).select(F.lit(kind).alias("kind"), "idx", "emb") for kind, ids, n, s in (("e", entities, n_entities, seed), ("r", relations, n_relations, seed + 1))]
-    return parts[0].unionByName(parts[1]).withColumns({"m": none, "v": none})
+    own = initial(entities.select("idx"), n_entities, dims, seed).select(F.col("idx").cast("long").alias("id"), "emb")
+    other = initial(relations.select("idx"), n_relations, dims, seed + 1).select((-1 - F.col("idx")).cast("long").alias("id"), "emb")
+    return own.unionByName(other).select("id", F.lit(0).alias("turn"), "emb", none.alias("m"), none.alias("v"))
+
+
+def named(state: DataFrame) -> DataFrame:
+    """The state with kind ("e" or "r") and idx."""
+    return state.withColumns({"kind": F.when(F.col("id") < 0, "r").otherwise("e"), "idx": F.when(F.col("id") < 0, -1 - F.col("id")).otherwise(F.col("id"))})
 
 
 def slopes(pairs: DataFrame, state: DataFrame, margin: float = MARGIN, p: int = 1) -> DataFrame:
@@ -101,17 +119,83 @@ def slopes(pairs: DataFrame, state: DataFrame, margin: float = MARGIN, p: int =
     return rows.select("x.*").groupBy("kind", "idx").agg(vector_sum(F.col("g")).alias("g"))
 
 
-def adam(state: DataFrame, sums: DataFrame, n: int, turn: int, rate: float, unit: dict[str, int]) -> DataFrame:
-    """One step over all vectors, those without a slope too, as a dense optimiser takes it; then rows of the kinds in ``unit`` get length 1 by that norm."""
-    joined = state.join(sums, ["kind", "idx"], "left")
+def moved(emb: Column, m: Column, v: Column, turn: Column, rate: Column, unit: dict[str, int]) -> Column:
+    """``emb`` after Adam's step with these moments; vectors of the kinds in ``unit`` get length 1 by that norm. Reads the column ``id``."""
+    down_m, down_v = 1 - F.pow(F.lit(0.9), turn), 1 - F.pow(F.lit(0.999), turn)
+    out = V.minus(emb, F.zip_with(m, v, lambda a, b: rate * (a / down_m) / (F.sqrt(b / down_v) + 1e-8)))
+    own = {kind: F.col("id") < 0 if kind == "r" else F.col("id") >= 0 for kind in unit}
+
+    def sized(x: Column) -> Column:
+        held = x
+        for kind, p in unit.items():
+            held = F.when(own[kind], V.unit(x, p)).otherwise(held)
+        return held
+
+    return V.bound(out, sized)
+
+
+def made_up(state: DataFrame, until: int, rates: list[float], unit: dict[str, int]) -> DataFrame:
+    """The state as a dense optimiser has it after turn ``until``: what rows missed since their own turn are steps without a slope."""
+    if until == 0:
+        return state
+    each = F.expr(f"array({', '.join(f'{float(r)!r}D' for r in rates[:until])})")
+
+    def step(acc: Column, turn: Column) -> Column:
+        return V.bound(F.transform(acc["m"], lambda x: x * 0.9), lambda m: V.bound(F.transform(acc["v"], lambda x: x * 0.999), lambda v: F.struct(moved(acc["emb"], m, v, turn, F.get(each, turn - 1), unit).alias("emb"), m.alias("m"), v.alias("v"))))
+
+    missed = F.when(F.col("turn") < until, F.sequence(F.col("turn") + 1, F.lit(until))).otherwise(F.array().cast("array<int>"))
+    return state.withColumn("__x", F.aggregate(missed, F.struct("emb", "m", "v"), step)).select("id", F.lit(until).alias("turn"), "__x.emb", "__x.m", "__x.v")
+
+
+def adam(met: DataFrame, sums: DataFrame, n: int, turn: int, rate: float, unit: dict[str, int]) -> DataFrame:
+    """One step over the rows of ``met`` (made up to the turn before), those without a slope too."""
+    joined = named(met).join(sums, ["kind", "idx"], "left")
     g = F.coalesce(F.col("g"), F.array_repeat(F.lit(0.0), F.size("emb")))
-    out = joined.select("kind", "idx", "emb", F.zip_with("m", g, lambda m, x: 0.9 * m + 0.1 * (x / n)).alias("m"), F.zip_with("v", g, lambda v, x: 0.999 * v + 0.001 * (x / n) * (x / n)).alias("v"))
-    moves = F.zip_with("m", "v", lambda m, v: rate * (m / (1 - 0.9**turn)) / (F.sqrt(v / (1 - 0.999**turn)) + 1e-8))
-    out = out.withColumn("emb", V.minus(F.col("emb"), moves))
-    sized = F.col("emb")
-    for kind, p in unit.items():
-        sized = F.when(F.col("kind") == kind, V.unit(F.col("emb"), p)).otherwise(sized)
-    return out.withColumn("emb", sized)
+    out = joined.select("id", "emb", F.zip_with("m", g, lambda m, x: 0.9 * m + 0.1 * (x / n)).alias("m"), F.zip_with("v", g, lambda v, x: 0.999 * v + 0.001 * (x / n) * (x / n)).alias("v"))
+    return out.select("id", F.lit(turn).alias("turn"), moved(F.col("emb"), F.col("m"), F.col("v"), F.lit(turn), F.lit(rate), unit).alias("emb"), "m", "v")
+
+
+class _State:
+    """One row an id in ``base``, and later versions of some in ``log``."""
+
+    def __init__(self, scratch: Scratch, base: Buckets):
+        self.scratch, self.base, self.logged, self.times = scratch, base, 0, 0
+        self.size = base.rows().count()
+        self._open()
+
+    def _open(self) -> None:
+        self.times += 1
+        self.log = Buckets(self.base.spark, f"{self.scratch.root}/log-{self.times:05d}", STATE, self.base.buckets)
+        self.logged = 0
+
+    def latest(self) -> DataFrame:
+        if not self.logged:
+            return self.base.rows()
+        new = self.log.rows().groupBy("id").agg(F.max_by(F.struct("turn", "emb", "m", "v"), "turn").alias("new"))
+        held = self.base.rows().select("id", F.struct("turn", "emb", "m", "v").alias("old")).join(new, "id", "left")
+        return held.select("id", F.coalesce("new", "old").alias("x")).select("id", "x.*")
+
+    def add(self, rows: DataFrame, n: int) -> None:
+        self.log.add(rows)
+        self.logged += n
+        if self.logged >= self.size:
+            self.merge(f"{self.scratch.root}/state-{self.times:05d}")
+
+    def merge(self, path: str) -> None:
+        if exists(self.base.spark, path):
+            delete(self.base.spark, path)
+        after = Buckets(self.base.spark, path, STATE, self.base.buckets)
+        after.add(self.latest())
+        self.log.forget()
+        self.base.forget()
+        self.base = after
+        self._open()
+
+
+def batch_ids(batch: DataFrame) -> DataFrame:
+    """(id): what a batch needs of the state."""
+    ends = F.array(*[F.col(c).cast("long") for c in ("h_idx", "t_idx", "nh_idx", "nt_idx")], (-1 - F.col("r_idx")).cast("long"))
+    return batch.select(F.explode(ends).alias("id")).distinct()
 
 
 def train(encoded: DataFrame, entities: DataFrame, relations: DataFrame, n_entities: int, n_relations: int, dims: int = DIM, epochs: int = EPOCHS, steps: int = STEPS, rate: float = RATE, margin: float = MARGIN, seed: int = 0, folder: str | None = None, p: int = 1, unit: dict[str, int] | None = None, until: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -120,29 +204,45 @@ def train(encoded: DataFrame, entities: DataFrame, relations: DataFrame, n_entit
     Each epoch deals the triples anew into ``steps`` batches, with new negatives; each
     batch is one Adam step of its mean hinge over all vectors, the rate annealed by a
     cosine over ``epochs``. Entities are scaled to unit length after each step. The
-    state of each epoch, moments included, is written under ``folder``; a call with the
-    same folder goes on after the last whole epoch and ends as if it had never stopped.
-    ``until`` stops before that epoch.
+    state after the last whole epoch, moments included, is under ``folder``; a call with
+    the same folder goes on from it and ends as if it had never stopped, and one with
+    other settings is refused. ``until`` stops before that epoch.
     """
     spark = encoded.sparkSession
     scratch = Scratch(spark, "transe")
     root = folder or f"{scratch.root}/epochs"
     unit = {"e": 2} if unit is None else unit
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    settings = {"entities": n_entities, "relations": n_relations, "dims": dims, "epochs": epochs, "steps": steps, "rate": rate, "margin": margin, "seed": seed, "p": p, "unit": unit}
+    buckets = same_settings(spark, root, settings, buckets=max(least, -(-(n_entities + n_relations) // ROWS_PER_BUCKET)))["buckets"]
+    rates = [rate * 0.5 * (1 + math.cos(math.pi * epoch / max(epochs, 1))) for epoch in range(epochs) for _ in range(steps)]
     last = latest_epoch(spark, root)
-    state = read_strict(spark, epoch_path(root, last)) if last >= 0 else scratch.keep(start_state(entities, relations, n_entities, n_relations, dims, seed), "start")
+    base = Buckets(spark, epoch_path(root, last) if last >= 0 else f"{scratch.root}/start", STATE, buckets)
+    if last < 0:
+        base.add(start_state(entities, relations, n_entities, n_relations, dims, seed))
+    state = _State(scratch, base)
     encoded = scratch.keep(encoded, "encoded")
-    for epoch in range(last + 1, min(epochs, epochs if until is None else until)):
-        lr = rate * 0.5 * (1 + math.cos(math.pi * epoch / max(epochs, 1)))
-        pairs = scratch.keep(dealt(negatives(encoded, n_entities, epoch, seed), epoch, steps), "pairs")
+    ends = min(epochs, epochs if until is None else until)
+    for epoch in range(last + 1, ends):
+        path = f"{scratch.root}/pairs-{epoch:04d}"
+        pairs = dealt(negatives(encoded, n_entities, epoch, seed), epoch, steps)
+        pairs.repartition("shard", F.pmod(F.xxhash64("h_idx", "r_idx", "t_idx"), F.lit(16))).write.partitionBy("shard").parquet(path)
+        pairs = spark.read.schema(pairs.schema).parquet(path)
         sizes = {r["shard"]: r["n"] for r in pairs.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # ``steps`` rows
         for step in range(steps):
-            batch = pairs.where(F.col("shard") == step)
-            after = adam(state, slopes(batch, state, margin, p), max(sizes.get(step, 0), 1), epoch * steps + step + 1, lr, unit)
-            if step < steps - 1:
-                state = scratch.keep(after, "step")
-        after.write.mode("overwrite").parquet(epoch_path(root, epoch))
-        state = spark.read.parquet(epoch_path(root, epoch))
-    return tuple(state.where(F.col("kind") == k).select("idx", "emb") for k in ("e", "r"))
+            if not sizes.get(step):
+                continue
+            turn, batch = epoch * steps + step + 1, pairs.where(F.col("shard") == step)
+            met_path = scratch.put(made_up(state.latest().join(batch_ids(batch), "id"), turn - 1, rates, unit), "met")
+            met = spark.read.parquet(met_path)
+            state.add(adam(met, slopes(batch, named(met), margin, p), sizes[step], turn, rates[turn - 1], unit), met.count())
+            scratch.drop(met_path)
+        state.merge(epoch_path(root, epoch))
+        scratch.drop(path)
+    state.log.forget()
+    whole = named(made_up(spark.read.schema(STATE).parquet(state.base.path), max(ends, last + 1) * steps, rates, unit))
+    state.base.forget(drop=False)
+    return tuple(whole.where(F.col("kind") == k).select("idx", "emb") for k in ("e", "r"))
 
 
 def train_legacy(encoded: DataFrame, entities: DataFrame, relations: DataFrame, n_entities: int, n_relations: int, **options) -> tuple[DataFrame, DataFrame]:

@@ -257,8 +257,8 @@ def transe_hinge(spark: SparkSession, d: str) -> DataFrame:
 TRAIN_DIMS, TRAIN_EPOCHS = 16, 2
 
 
-def _trained(p: int, unit: dict[str, int]) -> str:
-    """State after TRAIN_EPOCHS epochs of one batch each, a number a row."""
+def _trained(p: int, unit: dict[str, int], steps: int) -> str:
+    """State after TRAIN_EPOCHS epochs of ``steps`` batches each, a number a row: every vector moves in every step."""
 
     def start(kind: str, table: str, seed: int) -> str:
         value = _HASH.format(f"idx || '#' || k || '#{seed}'")
@@ -267,20 +267,22 @@ def _trained(p: int, unit: dict[str, int]) -> str:
     out = f"s0 AS MATERIALIZED ({start('e', 'e', 0)} UNION ALL {start('r', 'r', 1)})"
     length = {1: "sum(abs({}))", 2: "sqrt(sum(({}) ** 2))"}
     way = {1: "sign({0})", 2: "{0} / greatest(sqrt(sum({0} ** 2) OVER (PARTITION BY id)), 1e-12)"}[p]
-    for n in range(TRAIN_EPOCHS):
-        rate, turn = 1e-3 * 0.5 * (1 + math.cos(math.pi * n / TRAIN_EPOCHS)), n + 1
+    for n in range(TRAIN_EPOCHS * steps):
+        epoch, turn = n // steps, n + 1
+        rate = 1e-3 * 0.5 * (1 + math.cos(math.pi * epoch / TRAIN_EPOCHS))
+        shard = _HASH.format(f"h_idx || '#' || r_idx || '#' || t_idx || '#{epoch}'")
         joins = " ".join(f"JOIN s{n} {a} ON {a}.kind = '{kind}' AND {a}.idx = p.{c} AND {a}.k = a.k" for a, kind, c in (("b", "e", "t_idx"), ("c", "e", "nh_idx"), ("d", "e", "nt_idx"), ("q", "r", "r_idx")))
         sized = "CASE " + " ".join(f"WHEN kind = '{kind}' THEN x / greatest({length[norm].format('x')} OVER (PARTITION BY kind, idx), 1e-12)" for kind, norm in unit.items()) + " ELSE x END"
         sized = sized.replace("sqrt(sum((x) ** 2)) OVER (PARTITION BY kind, idx)", "sqrt(sum((x) ** 2) OVER (PARTITION BY kind, idx))")
-        out += f""", {_negative(n).replace('neg AS (SELECT *', f'neg{n} AS (SELECT row_number() OVER () AS id, *')}, p{n} AS MATERIALIZED (
+        out += f""", {_negative(epoch).replace('neg AS (SELECT *', f'neg{n} AS MATERIALIZED (SELECT row_number() OVER () AS id, *').replace('FROM enc)', f'FROM enc WHERE {shard} % {steps} = {n % steps})')}, p{n} AS MATERIALIZED (
   SELECT p.*, a.k, a.x + q.x - b.x AS good, c.x + q.x - d.x AS bad FROM neg{n} p JOIN s{n} a ON a.kind = 'e' AND a.idx = p.h_idx {joins}),
 live{n} AS MATERIALIZED (SELECT *, {way.format('good')} AS up, {way.format('bad')} AS down FROM p{n} WHERE id IN (SELECT id FROM p{n} GROUP BY id HAVING 1.0 + {length[p].format('good')} - {length[p].format('bad')} > 0)),
-g{n} AS (SELECT kind, idx, k, sum(g) / (SELECT count(*) FROM enc) AS g FROM (SELECT 'e' AS kind, h_idx AS idx, k, up AS g FROM live{n} UNION ALL SELECT 'e', t_idx, k, -up FROM live{n} UNION ALL SELECT 'r', r_idx, k, up - down FROM live{n}
+g{n} AS (SELECT kind, idx, k, sum(g) / (SELECT count(*) FROM neg{n}) AS g FROM (SELECT 'e' AS kind, h_idx AS idx, k, up AS g FROM live{n} UNION ALL SELECT 'e', t_idx, k, -up FROM live{n} UNION ALL SELECT 'r', r_idx, k, up - down FROM live{n}
   UNION ALL SELECT 'e', nh_idx, k, -down FROM live{n} UNION ALL SELECT 'e', nt_idx, k, down FROM live{n}) GROUP BY ALL),
 t{n} AS (SELECT s.kind, s.idx, s.k, s.x, 0.9 * m + 0.1 * coalesce(g, 0) AS m, 0.999 * v + 0.001 * coalesce(g, 0) * coalesce(g, 0) AS v FROM s{n} s LEFT JOIN g{n} g ON g.kind = s.kind AND g.idx = s.idx AND g.k = s.k),
 u{n} AS (SELECT kind, idx, k, m, v, x - {rate!r} * (m / (1 - 0.9 ** {turn})) / (sqrt(v / (1 - 0.999 ** {turn})) + 1e-8) AS x FROM t{n}),
 s{turn} AS MATERIALIZED (SELECT kind, idx, k, m, v, {sized} AS x FROM u{n})"""
-    return f"{_IDS}, {out} SELECT kind, idx, k::INT AS k, round(x, 6) AS x FROM s{TRAIN_EPOCHS}"
+    return f"{_IDS}, {out} SELECT kind, idx, k::INT AS k, round(x, 6) AS x FROM s{TRAIN_EPOCHS * steps}"
 
 
 def _long(trained: tuple[DataFrame, DataFrame]) -> DataFrame:
@@ -288,17 +290,17 @@ def _long(trained: tuple[DataFrame, DataFrame]) -> DataFrame:
     return rows[0].unionAll(rows[1]).select("kind", "idx", "k", F.round("x", 6).alias("x"))
 
 
-@query(_trained(1, {"e": 2}))
+@query(_trained(1, {"e": 2}, 3))
 def transe_train(spark: SparkSession, d: str) -> DataFrame:
-    """All vectors after two epochs; the production number of epochs is the operator's default."""
+    """All vectors after two epochs of three steps; the production number of epochs is the operator's default."""
     enc, e, r = _encoded(spark, d)
-    return _long(TE.train(enc, e, r, e.count(), r.count(), dims=TRAIN_DIMS, epochs=TRAIN_EPOCHS, steps=1))
+    return _long(TE.train(enc, e, r, e.count(), r.count(), dims=TRAIN_DIMS, epochs=TRAIN_EPOCHS, steps=3))
 
 
-@query(_trained(2, {"e": 1, "r": 1}))
+@query(_trained(2, {"e": 1, "r": 1}, 2))
 def transe_train_legacy(spark: SparkSession, d: str) -> DataFrame:
     enc, e, r = _encoded(spark, d)
-    return _long(TE.train_legacy(enc, e, r, e.count(), r.count(), dims=TRAIN_DIMS, epochs=TRAIN_EPOCHS, steps=1))
+    return _long(TE.train_legacy(enc, e, r, e.count(), r.count(), dims=TRAIN_DIMS, epochs=TRAIN_EPOCHS, steps=2))
 
 
 @query(f"{_IDS} SELECT shard, count(*)::BIGINT AS n FROM (SELECT {_HASH.format('h_idx || $$#$$ || r_idx || $$#$$ || t_idx || $$#2$$').replace('$$', chr(39))} % 4 AS shard FROM enc) GROUP BY 1")
