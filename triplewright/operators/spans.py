@@ -13,6 +13,8 @@ description and token, so a common alias is no hot key.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,15 +64,21 @@ def alias_spans(pairs: DataFrame, descriptions: DataFrame, aliases: DataFrame, m
     return once.unionByName(held.select("h", "entity", "alias", "pos", F.explode(kept).alias("y")).select("h", "entity", "alias", "pos", "y.*"))
 
 
-def entity_spans(triples: DataFrame, descriptions: DataFrame, aliases: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
-    """Distinct (h, entity, s, e) for the head and the tails of every described head."""
-    pairs = triples.select("h", F.col("h").alias("entity")).union(triples.select("h", F.col("t").alias("entity"))).distinct()
-    return alias_spans(pairs, descriptions, aliases, most).select("h", "entity", "s", "e").distinct()
+def entity_pairs(triples: DataFrame) -> DataFrame:
+    """Distinct (h, entity): every head with itself and its tails."""
+    return triples.select("h", F.col("h").alias("entity")).union(triples.select("h", F.col("t").alias("entity"))).distinct()
+
+
+def entity_spans(triples: DataFrame, descriptions: DataFrame, aliases: DataFrame, most: int = MAX_TOKENS, find: Callable[..., DataFrame] | None = None) -> DataFrame:
+    """Distinct (h, entity, s, e) for the head and the tails of every described head. ``find`` takes the place of ``alias_spans``, for texts that aren't normalised or other tokens."""
+    pairs = entity_pairs(triples)
+    found = find(pairs, descriptions, aliases) if find else alias_spans(pairs, descriptions, aliases, most)
+    return found.select("h", "entity", "s", "e").distinct()
 
 
-def gold_triples(triples: DataFrame, descriptions: DataFrame, aliases: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
+def gold_triples(triples: DataFrame, descriptions: DataFrame, aliases: DataFrame, most: int = MAX_TOKENS, find: Callable[..., DataFrame] | None = None) -> DataFrame:
     """(h, r, t, hs, he, ts, te): head spans times tail spans of each triple; repeated triples repeat their rows."""
-    spans = entity_spans(triples, descriptions, aliases, most)
+    spans = entity_spans(triples, descriptions, aliases, most, find)
     heads = spans.where("h = entity").select("h", F.col("s").alias("hs"), F.col("e").alias("he"))
     tails = spans.select("h", F.col("entity").alias("t"), F.col("s").alias("ts"), F.col("e").alias("te"))
     return triples.join(tails, ["h", "t"]).join(heads, "h").select("h", "r", "t", "hs", "he", "ts", "te")
@@ -127,9 +135,9 @@ def ends_alias_lists(descriptions: DataFrame, triples: DataFrame, aliases: DataF
     return rows.select("entity_id", F.coalesce("head_lists", none).alias("head_lists"), F.coalesce("tail_lists", none).alias("tail_lists"))
 
 
-def silver_labels(triples: DataFrame, descriptions: DataFrame, aliases: DataFrame) -> DataFrame:
+def silver_labels(triples: DataFrame, descriptions: DataFrame, aliases: DataFrame, find: Callable[..., DataFrame] | None = None) -> DataFrame:
     """Distinct (entity_id, kind, pos): first and last tokens of head and tail matches; sparse, a missing row is a 0."""
-    spans = entity_spans(triples, descriptions, aliases)
+    spans = entity_spans(triples, descriptions, aliases, find=find)
     return _labels(spans.join(triples.select("h", F.col("t").alias("entity")).distinct().withColumn("is_tail", F.lit(True)), ["h", "entity"], "left"))
 
 
