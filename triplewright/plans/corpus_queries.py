@@ -297,15 +297,6 @@ def first_match(spark: SparkSession, d: str) -> DataFrame:
     return S.first_match(pairs, g.descriptions, g.aliases).select("h", "entity", "alias", F.col("start").alias("c_start"), F.col("end").alias("c_end"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_transform(range(0, 12), lambda i: {'i': i, 's': i * 5, 'e': i * 5 + 4}) AS t, (doc_id % 50) AS a, (doc_id % 50) + 1 + doc_id % 13 AS b FROM documents),
-f AS (SELECT doc_id, list_filter(t, lambda x: x.s < b AND x.e > a) AS k FROM w) SELECT doc_id, k[1].i::INT AS first_token, k[-1].i::INT AS last_token FROM f""")
-def overlap_tokens(spark: SparkSession, d: str) -> DataFrame:
-    offsets = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.struct(i.alias("i"), (i * 5).alias("s"), (i * 5 + 4).alias("e")))
-    start = F.col("doc_id") % 50
-    x = S.overlapping_tokens(offsets, start, start + 1 + F.col("doc_id") % 13)
-    return G.table(spark, d, "documents").select("doc_id", x.alias("x")).select("doc_id", F.col("x.first").alias("first_token"), F.col("x.last").alias("last_token"))
-
-
 @query(f"{G.SQL_GOLD} SELECT * FROM gold")
 def gold_triples(spark: SparkSession, d: str) -> DataFrame:
     return _gold(spark, d)
