@@ -338,10 +338,12 @@ def sql_relations(dims: int, ids_only: bool = False) -> str:
   FROM (SELECT relation_id, alias, unnest(regexp_extract_all(alias, {G.sql_text(T.TOKEN)})) AS w FROM ({names})), (SELECT unnest(range(0, {dims})) AS k) GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1"""
 
 
-@query(f"SELECT relation_id, (generate_subscripts(v, 1) - 1)::INT AS k, round(unnest(v), 6) AS x FROM ({sql_relations(ENCODED)})")
+@query(f"""SELECT relation_id, k::INT AS k, round(avg(x), 6) AS x FROM (SELECT relation_id, alias, k, avg(({_value(0, 'k', 'w')} + {_value(1, 'k', 'w')}) / 2) AS x
+  FROM (SELECT 'P' || p_partkey AS relation_id, unnest([p_name, lower(p_type), p_brand]) AS alias FROM part), LATERAL (SELECT unnest(regexp_extract_all(alias, {G.sql_text(T.TOKEN)})) AS w), (SELECT unnest(range(0, {ENCODED})) AS k) GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 def encode_relations(spark: SparkSession, d: str) -> DataFrame:
-    rows = E.relation_embeddings(G.TextGraph(spark, d).relations, E.hash_encoder(ENCODED))
-    return A.flattened(rows, "relation_id", "emb", "x").select("relation_id", F.col("pos").alias("k"), F.round("x", 6).alias("x"))
+    """Parts as relations, their names, kinds and brands as aliases."""
+    parts = G.table(spark, d, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("relation_id"), F.array("p_name", F.lower("p_type"), "p_brand").alias("aliases"))
+    return A.flattened(E.relation_embeddings(parts, E.hash_encoder(ENCODED)), "relation_id", "emb", "x").select("relation_id", F.col("pos").alias("k"), F.round("x", 6).alias("x"))
 
 
 @query(f"WITH {_DOCS} SELECT entity_id, k::INT AS k, round(avg({_value(1, 'k', 'w')}), 6) AS x FROM words, (SELECT unnest(range(0, {ENCODED})) AS k) GROUP BY 1, 2")
@@ -469,6 +471,37 @@ def fuse_by_position(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("x", F.round("x", 5))
 
 
+@query(f"""WITH {TOKEN_VECTORS}, {_HEADS}, {_GREEDY}, {_REPS}, {_REL}, {_ATT}, {_FUSE} SELECT entity_id, pos, round(max({_dot('h', W['conditioned'][0])}), 5) AS start_logit, round(max({_dot('h', W['conditioned'][1])}), 5) AS end_logit FROM fused GROUP BY 1, 2""")
+def strongest_conditioned(spark: SparkSession, d: str) -> DataFrame:
+    """The largest conditioned logits of a token, over slots and relations."""
+    tokens = _tokens(spark, d)
+    slots = X.span_vectors(X.extract_spans(_prob_arrays(tokens), most=3), tokens)
+    contexts = X.relation_attention(tokens, _relations(spark, d), mean_vectors(tokens), W["attention"])
+    rows = X.strongest_conditioned(tokens, contexts, slots, W["fuse"], *W["conditioned"])
+    return rows.select("entity_id", "pos", F.round("start_logit", 5).alias("start_logit"), F.round("end_logit", 5).alias("end_logit"))
+
+
+@query(f"WITH {TOKEN_VECTORS}, {_REL}, {_ATT} SELECT entity_id, relation_id, (generate_subscripts(c, 1) - 1)::INT AS k, round(unnest(c), 6) AS x FROM ctx")
+def relation_attention_tiled(spark: SparkSession, d: str) -> DataFrame:
+    tokens = _tokens(spark, d)
+    rows = X.relation_attention_tiled(tokens, _relations(spark, d), mean_vectors(tokens), W["attention"])
+    return rows.select("entity_id", "relation_id", F.posexplode("context").alias("k", "x")).select("entity_id", "relation_id", "k", F.round("x", 6).alias("x"))
+
+
+GATE = weight(DIMS, 2 * DIMS, 12), bias(DIMS, 12)
+_GATED = f"""ps AS (SELECT entity_id, slot, {sql_linear('v', *W['fuse']['s'])} AS p FROM reps), pt AS (SELECT entity_id, pos, x, {sql_linear('x', *W['fuse']['x'])} AS p FROM tok),
+gates AS (SELECT pt.entity_id, ctx.relation_id, slot, pos, ps.p AS a, pt.p AS b, pt.x, ctx.c, {sql_linear('list_concat(pt.x, ctx.c)', *GATE)} AS g FROM ps JOIN pt ON pt.entity_id = ps.entity_id AND pt.pos = ps.slot JOIN ctx ON ctx.entity_id = ps.entity_id)"""
+
+
+@query(f"WITH {TOKEN_VECTORS}, {_HEADS}, {_GREEDY}, {_REPS}, {_REL}, {_ATT}, {_GATED} SELECT entity_id, relation_id, slot, pos, (k - 1)::INT AS k, round(a[k] + b[k] + x[k] / (1 + exp(-g[k])) + c[k] * (1 - 1 / (1 + exp(-g[k]))), 5) AS x FROM gates, (SELECT unnest(range(1, {DIMS + 1})) AS k)")
+def fuse_gated(spark: SparkSession, d: str) -> DataFrame:
+    tokens = _tokens(spark, d)
+    slots = X.span_vectors(X.extract_spans(_prob_arrays(tokens), most=3), tokens)
+    contexts = X.relation_attention(tokens, _relations(spark, d), mean_vectors(tokens), W["attention"])
+    rows = X.fuse(tokens, contexts, slots, W["fuse"] | {"gate": GATE}, by_position=True).select("entity_id", "relation_id", "slot", "pos", F.posexplode("emb").alias("k", "x"))
+    return rows.withColumn("x", F.round("x", 5))
+
+
 _REL_GRAPH = f"rel AS MATERIALIZED ({sql_relations(DIMS, ids_only=True)})"
 
 
@@ -650,6 +683,14 @@ def on_alias_spans(spark: SparkSession, d: str) -> DataFrame:
     return X.on_alias_spans(guesses.unionAll(guesses.withColumn("e", F.col("e") + 1000)), spans)
 
 
+@query(f"""{G.SQL_SPANS}, l AS (SELECT h, list([s - e, s, e] ORDER BY s - e, s, e) AS x FROM (SELECT DISTINCT h, s, e FROM entity_spans) GROUP BY h),
+k AS (SELECT h, list_reduce(list_transform(x, lambda y: [y]), lambda a, b: CASE WHEN len(list_filter(a, lambda y: y[2] <= b[1][3] AND b[1][2] <= y[3])) > 0 THEN a ELSE list_concat(a, b) END) AS x FROM l)
+SELECT h AS entity_id, y[2]::INT AS s, y[3]::INT AS e FROM (SELECT h, unnest(x) AS y FROM k)""")
+def without_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    g = G.TextGraph(spark, d)
+    return X.without_overlaps(S.entity_spans(g.triples, g.descriptions, g.aliases).select(F.col("h").alias("entity_id"), "s", "e"))
+
+
 @query("SELECT o_orderkey, ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT AS h FROM orders")
 def portable_hash(spark: SparkSession, d: str) -> DataFrame:
     return G.table(spark, d, "orders").select("o_orderkey", M.portable_hash(F.col("o_orderkey").cast("string")).alias("h"))
