@@ -1,14 +1,17 @@
-"""Embeddings of relations and descriptions. The encoder is an argument: a function
-from texts to token vectors, run on Arrow batches. The default is a deterministic
-hash encoder; its vectors are not those of any language model.
+"""Embeddings of relations and descriptions. The encoder is an argument: a maker, called
+once in each task, where a model would be loaded. The default is a deterministic hash
+encoder; its vectors are not those of any language model.
+
+Texts are taken in windows of bounded rows, put in order of their length inside a window,
+encoded in padded batches of bounded size, and put back: a batch pads few tokens, and what
+comes out doesn't depend on its size. Each window is one Arrow batch.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
-from functools import cache
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -16,68 +19,121 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triplewright.functions.aggregates import mean_by
+from triplewright.functions.tokenizers import Tokenizer, word_tokens
 
-#: Tokens whose vectors a worker keeps; and texts -> for each the list of its token vectors, one or more hidden layers each: arrays (layers, tokens, dims)
+#: Tokens whose vectors a worker keeps.
 MOST_TOKENS = 200_000
-Encoder = Callable[[list[str]], list[np.ndarray]]
+#: Rows of a window; rows and padded tokens of a batch.
+WINDOW, BATCH, CELLS = 2048, 128, 16_384
+
+
+class Encoder(Protocol):
+    """What a maker makes: a tokenizer, and hidden states of padded batches."""
+
+    def tokens(self, text: str) -> list[str]: ...
+
+    def hidden(self, batch: list[list[str]], last: int) -> np.ndarray:
+        """(last, rows, longest row, dims): the last hidden layers; what stands past a row's end is never read."""
+
+
+class HashEncoder:
+    """Each of two layers' vectors of a token has a number from -1 to 1 for each dimension, from the md5 of layer, dimension and token, so that any engine can state it."""
 
+    def __init__(self, dims: int, split: Tokenizer):
+        self.dims, self.split = dims, split
+        self.known: dict[tuple[str, int], np.ndarray] = {}
 
-def hash_encoder(dims: int, most: int = 128) -> Callable[[], Encoder]:
-    """A maker of encoders: called once in each worker, where a real model would be loaded.
+    def tokens(self, text: str) -> list[str]:
+        return self.split(text)[0]
 
-    Each layer's vector of a token has a number from -1 to 1 for each dimension, from
-    the md5 of layer, dimension and token, so that any engine can state it.
-    """
+    def _vector(self, token: str, layer: int) -> np.ndarray:
+        held = self.known.get((token, layer))
+        if held is None:
+            heads = [int(hashlib.md5(f"{layer}#{k}#{token}".encode()).hexdigest()[:8], 16) for k in range(self.dims)]
+            held = self.known[token, layer] = np.array(heads) / float(1 << 32) * 2 - 1
+        return held
 
-    def make() -> Encoder:
-        @cache
-        def vector(token: str) -> np.ndarray:
-            heads = [[int(hashlib.md5(f"{layer}#{k}#{token}".encode()).hexdigest()[:8], 16) for k in range(dims)] for layer in (0, 1)]
-            return np.array(heads) / float(1 << 32) * 2 - 1
+    def hidden(self, batch: list[list[str]], last: int) -> np.ndarray:
+        if len(self.known) > MOST_TOKENS:
+            self.known.clear()
+        number: dict[str, int] = {}
+        ids = np.zeros((len(batch), max(map(len, batch), default=0)), np.int64)
+        for row, toks in zip(ids, batch, strict=True):
+            row[: len(toks)] = [number.setdefault(t, len(number)) for t in toks]
+        table = np.array([[self._vector(t, layer) for t in number] for layer in range(2 - last, 2)]).reshape(last, len(number), self.dims)
+        return table[:, ids] if number else np.zeros((last, *ids.shape, self.dims))
 
-        def encode(texts: list[str]) -> list[np.ndarray]:
-            found = [re.findall(r"\w+|[^\w\s]", t)[:most] for t in texts]
-            if vector.cache_info().currsize > MOST_TOKENS:
-                vector.cache_clear()
-            return [np.array([vector(x) for x in f]).reshape(len(f), 2, dims).swapaxes(0, 1) for f in found]
 
-        return encode
+def hash_encoder(dims: int, most: int = 128, tokenizer: Callable[[], Tokenizer] | None = None) -> Callable[[], Encoder]:
+    """A maker of hash encoders over the first ``most`` words of a text, or over the tokens of another tokenizer."""
+    make = tokenizer or word_tokens(most)
+    return lambda: HashEncoder(dims, make())
 
-    return make
 
+def in_batches(encoder: Encoder, texts: list[str], last: int, batch: int = BATCH, cells: int = CELLS) -> list[np.ndarray]:
+    """For each text, in the order given, its hidden states (last, tokens, dims)."""
+    toks = [encoder.tokens(t) for t in texts]
+    order = sorted(range(len(toks)), key=lambda i: len(toks[i]))
+    out: list[np.ndarray] = [np.empty(0)] * len(toks)
+    begin = 0
+    while begin < len(order):
+        end = begin + 1
+        # The longest of a batch is its last: rows are in order of length.
+        while end < len(order) and end - begin < batch and (end - begin + 1) * len(toks[order[end]]) <= cells:
+            end += 1
+        states = encoder.hidden([toks[i] for i in order[begin:end]], last)
+        for row, i in enumerate(order[begin:end]):
+            out[i] = states[:, row, : len(toks[i])]
+        begin = end
+    return out
 
-def _mean_vectors(df: DataFrame, key: str, text: str, make: Callable[[], Encoder], layers: int) -> DataFrame:
-    """(key, emb): the mean over tokens of the mean of the last ``layers`` hidden layers; empty texts give zeros of no length."""
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for low in range(0, whole.num_rows, WINDOW):
+            yield whole.slice(low, WINDOW)
+
+
+def _lists(rows: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Flat numbers as lists of the given sizes."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(rows, pa.float64()))
+
+
+def _mean_vectors(df: DataFrame, key: str, text: str, make: Callable[[], Encoder], layers: int, batch: int) -> DataFrame:
+    """(key, emb): the mean over tokens of the mean of the last ``layers`` hidden layers; empty texts give a vector of no length."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = make()
-        for batch in batches:
-            vectors = encoder([t or "" for t in batch.column(1).to_pylist()])
-            means = [v[-layers:].mean(axis=0).mean(axis=0).tolist() if v.shape[1] else [] for v in vectors]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(means, pa.list_(pa.float64()))], [key, "emb"])
+        for window in _windows(batches):
+            states = in_batches(encoder, [t or "" for t in window.column(1).to_pylist()], layers, batch)
+            means = [v.mean(axis=0).mean(axis=0) if v.shape[1] else np.empty(0) for v in states]
+            yield pa.RecordBatch.from_arrays([window.column(0), _lists(np.concatenate(means), np.array([len(m) for m in means]))], [key, "emb"])
 
-    return df.select(key, text).mapInArrow(kernel, f"{key} string, emb array<double>")
+    return df.select(F.col(key).cast("string"), text).mapInArrow(kernel, f"{key} string, emb array<double>")
 
 
-def relation_embeddings(relations: DataFrame, make: Callable[[], Encoder]) -> DataFrame:
+def relation_embeddings(relations: DataFrame, make: Callable[[], Encoder], batch: int = BATCH) -> DataFrame:
     """(relation_id, emb): the mean over aliases (the id where there is none) of the means of the last two hidden layers."""
     names = relations.select("relation_id", F.explode(F.when(F.size("aliases") > 0, F.col("aliases")).otherwise(F.array("relation_id"))).alias("alias"))
-    return mean_by(_mean_vectors(names, "relation_id", "alias", make, 2), "relation_id")
+    return mean_by(_mean_vectors(names, "relation_id", "alias", make, 2, batch), "relation_id")
 
 
-def description_embeddings(descriptions: DataFrame, make: Callable[[], Encoder]) -> DataFrame:
+def description_embeddings(descriptions: DataFrame, make: Callable[[], Encoder], batch: int = BATCH) -> DataFrame:
     """(entity_id, emb): the mean over tokens of the last hidden layer."""
-    return _mean_vectors(descriptions, "entity_id", "text", make, 1)
+    return _mean_vectors(descriptions, "entity_id", "text", make, 1, batch)
 
 
-def token_embeddings(descriptions: DataFrame, make: Callable[[], Encoder]) -> DataFrame:
+def token_embeddings(descriptions: DataFrame, make: Callable[[], Encoder], batch: int = BATCH) -> DataFrame:
     """(entity_id, pos, emb): the last hidden layer of each token; no padding rows."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = make()
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for key, v in zip(ids, encoder([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([key] * v.shape[1], pa.string()), pa.array(range(v.shape[1]), pa.int32()), pa.array(v[-1].tolist(), pa.list_(pa.float64()))], ["entity_id", "pos", "emb"])
-
-    return descriptions.select("entity_id", "text").mapInArrow(kernel, "entity_id string, pos int, emb array<double>")
+        for window in _windows(batches):
+            states = [v[0] for v in in_batches(encoder, [t or "" for t in window.column(1).to_pylist()], 1, batch)]
+            sizes = np.array([len(v) for v in states])
+            whole = np.concatenate([v.reshape(len(v), -1) for v in states if len(v)]) if sizes.any() else np.zeros((0, 0))
+            who, pos = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(whole)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            emb = _lists(whole.reshape(-1), np.full(len(whole), whole.shape[1]))
+            yield pa.RecordBatch.from_arrays([window.column(0).take(pa.array(who)), pa.array(pos, pa.int32()), emb], ["entity_id", "pos", "emb"])
+
+    return descriptions.select(F.col("entity_id").cast("string"), "text").mapInArrow(kernel, "entity_id string, pos int, emb array<double>")
