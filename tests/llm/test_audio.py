@@ -1,3 +1,4 @@
+import glob
 import hashlib
 import struct
 import zlib
@@ -6,6 +7,7 @@ import numpy as np
 
 from tests.llm import brute
 from triplewright.llm import audio
+from triplewright.storage import Scratch
 
 
 def slow_adpcm(block):
@@ -103,3 +105,25 @@ def test_stored_files_decode(spark):
         assert {r["rate"] for r in rows} == {16000} and all(len(r["pcm"]) in (256, 484) for r in rows)
     bad = spark.createDataFrame([(1, bytearray(b"junk")), (2, None)], "doc_id long, media binary")
     assert [r["pcm"] for r in audio.decode_audio(bad).collect()] == [None, None]
+
+
+def test_pcm_is_stored_and_read_back(spark, monkeypatch):
+    """What is in the shared folder afterwards: PCM of every row, and no media file; rows with null ids are rows."""
+    kept = []
+    monkeypatch.setattr(audio, "Scratch", lambda *a: kept.append(Scratch(*a)) or kept[-1])
+    texts = [t for t in brute.EDGE if len(t or "") < 3000]
+    rows = [(None if i % 5 == 0 else i, t) for i, t in enumerate(texts)]
+    out = audio.audio_digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    root = kept[0].root.removeprefix("file://")
+    assert glob.glob(f"{root}/*-pcm") and not glob.glob(f"{root}/media/slice=*")
+    stored = spark.read.parquet(*glob.glob(f"{root}/*-pcm")).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in stored) == sorted((i is None, i or 0) for i, _ in rows)
+    want = {}
+    for i, t in rows:
+        payload = (t or "").encode()
+        payload += b"\0" * (-len(payload) % 64 if payload else 64)
+        mu = audio.mulaw_table()[np.frombuffer(payload, np.uint8)].tolist()
+        want.setdefault((i, hashlib.sha256(payload).hexdigest()), struct.pack(f"<{2 * len(mu)}h", *[y for a, b in zip(mu, mu[1:] + mu[-1:]) for y in (a, (a + b) // 2)]))
+    assert {(r["doc_id"], r["payload_sha256"]): bytes(r["pcm"]) for r in stored} == want
+    said = sorted(r["feature"].split("pcm16000:")[1] for r in out.collect())
+    assert said == sorted(f"{len(r['pcm']) // 2}:{zlib.crc32(r['pcm']):08x}" for r in stored)

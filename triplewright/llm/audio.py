@@ -4,8 +4,13 @@ mu-law and A-law bytes expand by one 256-entry table lookup each. ADPCM is
 sequential inside a block and independent between blocks, so the decoder steps
 once per sample position and treats all blocks of a batch in each step.
 
+``audio_digest`` stores the files in a media column, then goes over them slice by slice:
+reads them back, describes their payload, and stores them as resampled PCM. A slice's
+files go when its PCM is there, so both forms of all rows are never on disk together. What
+it says of the PCM comes from the stored column, read once more.
+
 Nulls count as an empty payload; an empty payload is one block of zero bytes.
-Repeated rows give repeated, equal results. Extra columns are not read.
+Repeated rows give repeated, equal results, rows with a null id too. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triplewright.llm.batches import byte_steps, map_batches, portable, text_steps
+from triplewright.sources.lines import exists
 from triplewright.storage import Scratch
 
 #: Bytes of an ADPCM block: 4 of header and 60 that hold two samples each.
@@ -29,6 +35,8 @@ RATE, TARGET_RATE = 8000, 16000
 MULAW_TAG, ALAW_TAG, ADPCM_TAG = 7, 6, 0x11
 #: ADPCM blocks that one numpy step treats.
 BLOCKS_PER_STEP = 16384
+#: Slices in which stored files become PCM, and how hard the PCM is packed: its samples follow few patterns.
+SLICES, PCM_LEVEL = 4, 7
 
 # Step sizes and index moves of IMA ADPCM.
 STEPS = [
@@ -153,20 +161,22 @@ def store_audio(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
 def decode_audio(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", target: int = TARGET_RATE) -> DataFrame:
     """id, rate, pcm: stored files as resampled 16-bit PCM. Null or unreadable media gives null rate and pcm."""
 
+    def decoded(media: bytes | None) -> tuple[int | None, bytes | None]:
+        try:
+            return pcm_of(media or b"", target)
+        except (ValueError, KeyError, struct.error):
+            return None, None
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                try:
-                    rate, pcm = pcm_of(batch.column(1)[at].as_py() or b"", target)
-                except (ValueError, KeyError, struct.error):
-                    rate = pcm = None
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), pa.array([rate], pa.int32()), pa.array([pcm], pa.binary())], ["doc_id", "rate", "pcm"])
+        for batch in byte_steps(batches, "media"):
+            rates, pcms = zip(*map(decoded, batch.column(1).to_pylist()), strict=True) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rates, pa.int32()), pa.array(pcms, pa.binary())], ["doc_id", "rate", "pcm"])
 
     return map_batches(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).cast("binary").alias("media")), kernel, "doc_id long, rate int, pcm binary")
 
 
-def features(datas: list[bytes]) -> list[str]:
-    """Whole-number features of read-back payloads: both companding laws, ADPCM blocks, resampled PCM."""
+def features(datas: list[bytes]) -> tuple[list[str], list[bytes]]:
+    """Whole-number features of read-back payloads (both companding laws, ADPCM blocks), and the payloads' resampled PCM."""
     codes = np.frombuffer(b"".join(datas), np.uint8)
     sizes = np.array([len(x) for x in datas])
     starts = np.cumsum(sizes) - sizes
@@ -179,47 +189,70 @@ def features(datas: list[bytes]) -> list[str]:
     turns = np.add.reduceat(turn, starts)
     blocks = codes.reshape(-1, BLOCK)
     decoded = np.concatenate([adpcm_decode(blocks[at : at + BLOCKS_PER_STEP]) for at in range(0, len(blocks), BLOCKS_PER_STEP)])
-    out = []
+    out, pcms = [], []
     for k, (start, size) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)):
-        pcm = resample(mu[start : start + size], RATE, TARGET_RATE)
+        pcms.append(resample(mu[start : start + size], RATE, TARGET_RATE).astype("<i2").tobytes())
         adpcm = decoded[start // BLOCK : (start + size) // BLOCK]
         out.append(
             f"mulaw:{peak[k]}:{power[0][k]}:{turns[k]};alaw:{power[1][k]};"
-            f"adpcm:{adpcm.size}:{zlib.crc32(np.ascontiguousarray(adpcm).data):08x};pcm{TARGET_RATE}:{len(pcm)}:{zlib.crc32(pcm.data):08x}"
+            f"adpcm:{adpcm.size}:{zlib.crc32(np.ascontiguousarray(adpcm).data):08x}"
         )
-    return out
+    return out, pcms
+
 
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-def digest_media(stored: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of stored files (doc_id, n_bytes, media)."""
+
+def to_pcm(stored: DataFrame) -> DataFrame:
+    """What ``DIGEST`` says of stored mu-law files (doc_id, n_bytes, media), and pcm: the files as resampled 16-bit PCM."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_steps(batches, "media"):
+            if not batch.num_rows:
+                continue
             medias = batch.column(2).to_pylist()
             back = [wav_unpack(m)[2] for m in medias]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([len(x) for x in back], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in back]),
-                    pa.array([zlib.crc32(x[-BLOCK:]) for x in back], pa.int64()),
-                    pa.array([len(x) for x in medias], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in medias]),
-                    pa.array(features(back)),
-                ],
-                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
-
-    return map_batches(stored.select("doc_id", "n_bytes", "media"), kernel, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            said, pcms = features(back)
+            columns = [
+                batch.column(0),
+                batch.column(1),
+                pa.array([len(x) for x in back], pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in back]),
+                pa.array([zlib.crc32(x[-BLOCK:]) for x in back], pa.int64()),
+                pa.array([len(x) for x in medias], pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in medias]),
+                pa.array(said),
+                pa.array(pcms, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [*[c.split()[0] for c in DIGEST.split(", ")], "pcm"])
+
+    return map_batches(stored.select("doc_id", "n_bytes", "media"), kernel, f"{DIGEST}, pcm binary")
+
+
+def described(stored: DataFrame) -> DataFrame:
+    """``DIGEST`` of a stored PCM column: its samples are counted and summed up from what was stored."""
+    said = F.format_string(f";pcm{TARGET_RATE}:%d:%s", (F.octet_length("pcm") / 2).cast("long"), F.lpad(F.lower(F.hex(F.crc32("pcm"))), 8, "0"))
+    return stored.withColumn("feature", F.concat("feature", said)).drop("pcm")
 
 
 def audio_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write every text as a mu-law file into a media column in the shared folder, read the files back and describe what came back.
+    """Write every text as a mu-law file into a media column in the shared folder, read the files back, store them as resampled PCM, and describe what came back.
 
-    One row for each input row, as ``digest_media`` gives them. A null text is an empty one.
+    One row for each input row: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. A null text is an empty one.
     """
-    return digest_media(Scratch(df.sparkSession, "audio").keep(store_audio(df, id_col, text_col), "media", compression="zstd"))
+    spark, scratch = df.sparkSession, Scratch(df.sparkSession, "audio")
+    media, kind = f"{scratch.root}/media", "doc_id long, n_bytes long, media binary"
+    stored = store_audio(df, id_col, text_col).withColumn("slice", F.pmod(F.xxhash64("doc_id", "n_bytes"), F.lit(SLICES)).cast("int"))
+    stored.write.partitionBy("slice").options(compression="zstd").parquet(media)
+    paths = []
+    for k in range(SLICES):
+        one = f"{media}/slice={k}"
+        if exists(spark, one):
+            paths.append(scratch.put(to_pcm(spark.read.schema(kind).parquet(one)), "pcm", **{"compression": "zstd", "parquet.compression.codec.zstd.level": str(PCM_LEVEL)}))
+            scratch.drop(one)
+    if not paths:
+        return spark.createDataFrame([], DIGEST)
+    return described(spark.read.schema(f"{DIGEST}, pcm binary").parquet(*paths))
 
 
 portable(__name__)
