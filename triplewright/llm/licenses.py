@@ -1,202 +1,290 @@
-"""Licence recognition by sentences: normalised sentences map to known sentence
-identifiers, and the sequence of identifiers of a text is matched against
-ordered licence rules, each of which consumes what it matches.
-
-Sentences end at a sign of closure before white space, and at a line that begins
-with a capital letter, so that wrapped sentences stay whole. Normalised, a
-sentence has lower-case ASCII letters, digits, ``.`` and ``+`` between single
-spaces. All column expressions; ``oracle`` states the same as DuckDB SQL.
-
-Null text counts as empty: no sentence, no licence. A sentence that matches two
-identifiers takes the first listed. Closing signs also cut inside the usual wording
-of some licences ("free software; you can", "v. 2.0", an SPDX tag before its value),
-and a wrapped line may begin with a capital; their sentences are therefore listed as
-the pieces that come out, and rules put the pieces together. The terms of an SPDX
-expression are sentences of their own, so ``MIT OR Apache-2.0`` names both; a tag of
-another licence stays unmatched. Repeated rows give equal results, an empty table an
-empty one. Only the named columns are read, so other columns may have any name.
+"""Licence recognition by sentences: normalised sentences are looked up among known licence
+sentences, and the sequence of identifiers of a text is matched against ordered rules,
+each of which consumes what it matches.
+
+1. Texts without a word that any known sentence holds have no licence; the rest goes on.
+2. Comment signs go, wrapped lines are joined, and paragraphs, list items, copyright lines
+   and SPDX tags become sentences of their own; other sentences end at a full stop that
+   isn't an abbreviation's.
+3. What varies is taken out: years, addresses, the holder's name, articles, the words
+   "version" and "license". What then follows "under", "subject to", "governed by" or
+   a tag is a list of names; each is looked up, by hash, among the licences' names. Other
+   sentences are looked up by their opening words. Tables are built from the values below.
+4. Rules go over identifiers. A name of a licence is an identifier that stands for itself.
+
+All column expressions; ``oracle`` states the same as DuckDB SQL. Null text counts as empty: no
+sentence, no licence. Of several openings the longest counts. A tag that isn't known
+stays unmatched, and so does a known sentence that no rule takes; unknown names in running
+text are no licences. Repeated rows give equal results, an empty table an empty one. Only
+the named columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Licences and their SPDX identifiers, normalised. What stands on the lines after a tag may follow, if it isn't more of an expression.
-TAGS = [
-    ("MIT", "mit"),
-    ("BSD-3-Clause", "bsd 3 clause"),
-    ("BSD-2-Clause", "bsd 2 clause"),
-    ("Apache-2.0", "apache 2.0"),
-    ("GPL-3.0-or-later", "gpl 3.0(?: or later|[+])"),
-    ("GPL-2.0-or-later", "gpl 2.0(?: or later|[+])"),
-    ("GPL-3.0", "gpl 3.0(?: only)?"),
-    ("GPL-2.0", "gpl 2.0(?: only)?"),
-    ("LGPL", "lgpl [23].[01](?: only| or later|[+])?"),
-    ("MPL-2.0", "mpl 2.0"),
-    ("CC-BY-NC-4.0", "cc by nc 4.0"),
-    ("CC-BY-SA-4.0", "cc by sa 4.0"),
-    ("CC-BY-4.0", "cc by 4.0"),
-    ("CC0-1.0", "cc0 1.0"),
-    ("ISC", "isc"),
-    ("Zlib", "zlib"),
-    ("Unlicense", "unlicense"),
-    ("AGPL-3.0-or-later", "agpl 3.0(?: or later|[+])"),
-    ("AGPL-3.0", "agpl 3.0(?: only)?"),
-    ("MPL-1.1", "mpl 1.1"),
-    ("EPL-2.0", "epl 2.0"),
-    ("EPL-1.0", "epl 1.0"),
-    ("Artistic-2.0", "artistic 2.0"),
-]
-#: An exception granted with a licence, which stays that licence.
-WITH = "(?: with [a-z0-9.]+(?: [a-z0-9.]+)* exception(?: [0-9.]+)?)?"
-AFTER = "(?: (?:include|import|package|pragma|module|use|using|const|var|let|def|class|from|ifndef|define|export|fn|pub|static|set|int|void|struct|typedef|enum|func|type) .*)?"
-
-# Pieces of the GNU heading, which is cut at closing signs and where a line begins with a capital.
-YOU = "you can redistribute it and or modify it under the terms of the "
-GNU, AS = "(?:(?:(?:gnu )?general )?public )?", " as published by the"
-
-# Openings or whole wordings of known licence sentences, normalised, as patterns.
-SENTENCES = [
-    ("MITGRANT", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files.*"),
-    ("NOTICE", "(?:subject to the following conditions )?the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    ("ASIS", "the software is provided as is(?: without.*)?"),
-    ("LIABLE", "(?:in no event shall the (?:authors?|copyright|regents).*|authors or copyright holders|copyright (?:holders?|owners?) (?:or|and) contributors) be liable(?: for.*)?"),
-    ("MITREF", "(?:this (?:work|software|file|project) is )?(?:released|licensed|distributed|available) under the (?:terms of the )?mit license"),
-    ("BSDGRANT", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("BSDSOURCE", "(?:1. |1 )?redistributions of source code must retain the above copyright notice.*"),
-    ("BSDBINARY", "(?:2. |2 )?redistributions in binary form must reproduce the above copyright notice.*"),
-    ("BSDENDORSE", "(?:3. |3 )?(?:neither the name of|nor the names? of) .* may be used to endorse or promote products.*"),
-    ("BSDASIS", "this software is provided by the .*"),
-    ("BSDREF", "(?:this (?:work|software|file|project) is )?(?:released|licensed|distributed) under (?:the|a) (?:3 clause |2 clause |new |simplified )?bsd (?:style )?license"),
-    ("APACHEREF", "(?:this (?:work|software|file|project) is )?(?:released|licensed|distributed) under the apache license(?: version)? 2.0(?: the license)?"),
-    ("APACHEFILE", "you may not use this file except in compliance with the license"),
-    ("APACHECOPY", "you may obtain a copy of the license at.*"),
-    ("APACHEASIS", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis.*"),
-    ("FREE", "this (?:program|software|file|package|work|library) is free software"),
-    ("LGPLNAME", f"(?:{YOU}(?:gnu )?(?:lesser|library)|gnu (?:lesser|library)|(?:lesser|library) general public)(?: .*)?"),
-    ("AGPLNAME", f"(?:{YOU}(?:gnu )?|gnu )?affero(?: general.*)?"),
-    ("GPLNAME3", f"(?:{YOU})?{GNU}license{AS} (?:free software foundation )?either version 3.*"),
-    ("GPLNAME2", f"(?:{YOU})?{GNU}license{AS} (?:free software foundation )?either version 2.*"),
-    ("GPLNAME", f"(?:{YOU}gnu(?: general(?: public(?: license)?)?)?|gnu general(?: public(?: license)?)?|(?:{YOU})?{GNU}license{AS}(?: free(?: software(?: foundation)?)?)?)"),
-    ("LATER3", "(?:(?:(?:free )?software )?foundation )?either version 3.*"),
-    ("LATER2", "(?:(?:(?:free )?software )?foundation )?either version 2.*"),
-    ("GPLREF3", "(?:this (?:work|software|file|project|program) is )?(?:released|licensed|distributed) under the gnu general public license version 3(?:.0)?"),
-    ("GPLREF2", "(?:this (?:work|software|file|project|program) is )?(?:released|licensed|distributed) under the gnu general public license version 2(?:.0)?"),
-    ("LGPLREF", "(?:this (?:work|software|file|project|library) is )?(?:released|licensed|distributed) under the gnu lesser general public license.*"),
-    ("MPLREF", "this source code form is subject to the terms of the(?: mozilla(?: public(?: license(?: v|(?: version| v.)? ?2.0)?)?)?)?"),
-    ("CCBYNC4", "(?:this (?:work|text|file) is )?licensed under (?:a )?(?:cc by nc|creative commons attribution noncommercial) 4.0(?: international license)?"),
-    ("CCBYSA4", "(?:this (?:work|text|file) is )?licensed under (?:a )?(?:cc by sa|creative commons attribution sharealike) 4.0(?: international license)?"),
-    ("CCBY4", "(?:this (?:work|text|file) is )?licensed under (?:a )?(?:cc by|creative commons attribution) 4.0(?: international license)?"),
-    ("CC0", "(?:this (?:work|text|file) is )?(?:released|dedicated|licensed) (?:under|to) (?:cc0|the public domain).*"),
-    ("ISCGRANT", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("ISCASIS", "the software is provided as is and (?:the )?(?:author|isc|[a-z]+ disclaims).*"),
-    ("MPL11", "the contents of this file are subject to the mozilla(?: public(?: license(?: version(?: 1.1.*)?)?)?)?"),
-    ("EPL2", "this program and the accompanying materials are made available under the terms of the eclipse public license(?: version| v.?)? ?2.0.*"),
-    ("EPL1", "this program and the accompanying materials are made available under the terms of the eclipse public license(?: version| v.?)? ?1.0.*"),
-    ("UNLICENSE", "this is free and unencumbered software released into the public domain"),
-    ("ZLIBASIS", "this software is provided as is without any express or implied warranty"),
-    ("ZLIBGRANT", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
-    ("ARTISTIC2", "(?:you can redistribute it and or modify it |it is (?:licensed|distributed) |(?:released|licensed|distributed) )under the terms of the (?:the )?artistic license(?: version)? (?:v)?2.0.*"),
-    ("PERL", "you can redistribute it and or modify it under the same terms as perl itself"),
-    ("GNUV3", "version 3 29 june 2007"),
-    ("GNUV2", "version 2 june 1991"),
-    ("GNUV21", "version 2.1 february 1999"),
-    ("AGNUV3", "version 3 19 november 2007"),
-    ("APACHEV2", "(?:apache license )?version 2.0 january 2004(?: http.*)?"),
-    ("APACHENAME", "apache license"),
-    ("SPDX", "spdx license identifier(?: .*)?"),
-    *[(f"SPDX{k}", f"{tag}{WITH}{AFTER}") for k, (_, tag) in enumerate(TAGS)],
-    ("COPYRIGHT", "copyright (?:c )?[0-9]{4}.*"),
-    ("ALLRIGHTS", "all rights reserved"),
-]
+# Licences and the names that they go by, without articles and the words version and license.
+NAMES = {
+    "MIT": "mit, expat, mit x11, x11 mit, mit expat",
+    "MIT-0": "mit 0, mit no attribution",
+    "X11": "x11",
+    "Apache-1.1": "apache 1.1, apache software 1.1, asl 1.1",
+    "Apache-2.0": "apache 2.0, apache 2, asl 2.0, apache software 2.0, apache software 2, asf 2.0",
+    "Apache": "apache, apache software",
+    "BSD-3-Clause": "bsd 3 clause, 3 clause bsd, bsd 3, bsd3, new bsd, modified bsd, revised bsd, bsd new, bsd 3 clause new, bsd 3 clause new or revised",
+    "BSD-2-Clause": "bsd 2 clause, 2 clause bsd, bsd 2, bsd2, simplified bsd, freebsd, bsd 2 clause simplified",
+    "BSD-4-Clause": "bsd 4 clause, 4 clause bsd, original bsd, old bsd",
+    "BSD-1-Clause": "bsd 1 clause, 1 clause bsd",
+    "0BSD": "0bsd, bsd 0 clause, 0 clause bsd, zero clause bsd, bsd zero clause",
+    "BSD": "bsd, bsd style, berkeley software distribution",
+    "MPL-1.0": "mpl 1.0, mozilla public 1.0",
+    "MPL-1.1": "mpl 1.1, mozilla public 1.1",
+    "MPL-2.0": "mpl 2.0, mpl 2, mozilla public 2.0, mozilla public 2",
+    "MPL": "mpl, mozilla public",
+    "EPL-1.0": "epl 1.0, eclipse public 1.0",
+    "EPL-2.0": "epl 2.0, epl 2, eclipse public 2.0, eclipse public 2",
+    "EPL": "epl, eclipse public",
+    "CDDL-1.0": "cddl 1.0, cddl 1",
+    "CDDL-1.1": "cddl 1.1",
+    "CDDL": "cddl",
+    "EUPL-1.1": "eupl 1.1, european union public 1.1",
+    "EUPL-1.2": "eupl 1.2, european union public 1.2",
+    "EUPL": "eupl, european union public",
+    "BSL-1.0": "bsl 1.0, boost software 1.0, boost 1.0, boost software, boost",
+    "BUSL-1.1": "busl 1.1, business source 1.1",
+    "WTFPL": "wtfpl, wtfpl 2, wtfpl 2.0",
+    "ISC": "isc",
+    "Zlib": "zlib, zlib libpng",
+    "Unlicense": "unlicense",
+    "CC0-1.0": "cc0 1.0, cc0, cc zero 1.0, cc zero, cc cc0 1.0, cc cc0",
+    "Artistic-1.0": "artistic 1.0, artistic 1.0 perl",
+    "Artistic-2.0": "artistic 2.0, artistic 2",
+    "Artistic": "artistic",
+    "Perl": "perl",
+    "PostgreSQL": "postgresql",
+    "Python-2.0": "python 2.0, psf 2.0, python software foundation, psf, python software foundation 2",
+    "NCSA": "ncsa, university illinois ncsa open source",
+    "OFL-1.1": "ofl 1.1, sil open font 1.1, sil ofl 1.1, ofl, sil open font",
+    "AFL-3.0": "afl 3.0, academic free 3.0",
+    "MS-PL": "ms pl, microsoft public",
+    "MS-RL": "ms rl, microsoft reciprocal",
+    "OSL-3.0": "osl 3.0, open software 3.0",
+    "PHP-3.01": "php 3.01",
+    "Ruby": "ruby",
+    "Vim": "vim",
+    "W3C": "w3c",
+    "curl": "curl",
+    "ODbL-1.0": "odbl 1.0, open database 1.0, open data commons open database 1.0",
+}
+GNU = {
+    "GPL": "gpl, gnu gpl, gnu general public, general public",
+    "LGPL": "lgpl, gnu lgpl, gnu lesser general public, lesser general public, gnu library general public, library general public",
+    "AGPL": "agpl, gnu agpl, gnu affero general public, affero general public",
+}
+GNU_VERSIONS, CC_VERSIONS = ("1.0", "2.0", "2.1", "3.0"), ("1.0", "2.0", "2.5", "3.0", "4.0")
+CC_KINDS = ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd")
 
-# Licence rules over identifiers, tried in this order. 'All rights reserved' in the heading of a licence belongs to that licence.
+# Opening words of licence sentences, normalised. The longest that a sentence begins with counts.
+OPENINGS = {
+    "MITGRANT": "permission is hereby granted free of charge to any",
+    "NOTICE": "above copyright notice and this permission notice",
+    "ASIS": "software is provided as is without warranty; software is provided as is",
+    "LIABLE": "in no event shall",
+    "LIABLE2": "in no event will",
+    "BSDGRANT": "redistribution and use in source and binary forms",
+    "BSDSOURCE": "redistributions of source code must retain",
+    "BSDBINARY": "redistributions in binary form must reproduce",
+    "BSDENDORSE": "neither name of; names of",
+    "BSDADVERT": "all advertising materials mentioning features or use",
+    "BSDASIS": "this software is provided by",
+    "APACHECOPY": "you may obtain copy of",
+    "APACHEASIS": "unless required by applicable law or agreed to",
+    "MPLCOPY": "if copy of mpl was not distributed",
+    "NOWARRANTY": "this program is distributed in hope that it",
+    "NOWARRANTY2": "this library is distributed in hope that it",
+    "RECEIVED": "you should have received copy of",
+    "ISCGRANT": "permission to use copy modify and or distribute; permission to use copy modify and distribute",
+    "BOOSTGRANT": "permission is hereby granted free of charge to any person or organization",
+    "ZLIBASIS": "this software is provided as is without any",
+    "ZLIBGRANT": "permission is granted to anyone to use this",
+    "UNLICENSE": "this is free and unencumbered software released into",
+    "CC0": "dedicated to public domain; released to public domain; released into public domain; released under public domain; placed in public domain",
+    "WTFPLTEXT": "do what fuck you want to public",
+    "APACHETITLE": "apache 2.0 january 2004",
+    "GPL2TITLE": "gnu general public 2 june 1991",
+    "GPL3TITLE": "gnu general public 3 29 june 2007",
+    "LGPL21TITLE": "gnu lesser general public 2.1 february 1999",
+    "LGPL3TITLE": "gnu lesser general public 3 29 june 2007",
+    "AGPL3TITLE": "gnu affero general public 3 19 november 2007",
+    "MPL2TITLE": "mozilla public 2.0 1; mozilla public 2.0 definitions",
+    "BOOSTTITLE": "boost software 1.0 august 17th 2003",
+    "RIGHTS": "all rights reserved",
+    "COPYRIGHT": "copyright",
+}
+# Licence rules over identifiers, tried in this order; <=X> is a licence's name. What stands in a licence's heading belongs to it.
+HEAD = "(?:<COPYRIGHT>)*(?:<RIGHTS>)?"
 RULES = [
-    ("MIT", "(?:<ALLRIGHTS>)?<MITGRANT>(?:<NOTICE>)?(?:<ASIS>)?(?:<LIABLE>)?"),
-    ("BSD-3-Clause", "(?:<ALLRIGHTS>)?<BSDGRANT><BSDSOURCE><BSDBINARY><BSDENDORSE>(?:<BSDASIS>)?(?:<LIABLE>)?"),
-    ("BSD-2-Clause", "(?:<ALLRIGHTS>)?<BSDGRANT><BSDSOURCE><BSDBINARY>(?:<BSDASIS>)?(?:<LIABLE>)?"),
-    ("Apache-2.0", "(?:<ALLRIGHTS>)?<APACHEREF>(?:<APACHEFILE>)?(?:<APACHECOPY>)?(?:<APACHEASIS>)?"),
-    ("Apache-2.0", "(?:<APACHENAME>)?<APACHEV2>"),
-    ("ISC", "(?:<ALLRIGHTS>)?<ISCGRANT>(?:<ISCASIS>)?(?:<LIABLE>)?"),
-    ("AGPL-3.0-or-later", "<FREE>(?:<GPLNAME>)*<AGPLNAME>(?:<GPLNAME>|<GPLNAME3>|<LATER3>)*"),
-    ("AGPL-3.0", "<AGPLNAME><AGNUV3>"),
-    ("Artistic-2.0", "(?:<FREE>)?<ARTISTIC2>"),
-    ("Perl", "(?:<FREE>)?<PERL>"),
-    ("GPL-3.0", "<GPLNAME><GNUV3>"),
-    ("GPL-2.0", "<GPLNAME><GNUV2>"),
-    ("LGPL", "<LGPLNAME>(?:<GNUV3>|<GNUV21>)"),
-    ("GPL-3.0-or-later", "<FREE>(?:<GPLNAME>)*(?:<GPLNAME3>|<GPLNAME><LATER3>)"),
-    ("GPL-2.0-or-later", "<FREE>(?:<GPLNAME>)*(?:<GPLNAME2>|<GPLNAME><LATER2>)"),
-    ("GPL-3.0", "<GPLREF3>"),
-    ("GPL-2.0", "<GPLREF2>"),
-    ("LGPL", "<LGPLREF>"),
-    ("LGPL", "<FREE>(?:<GPLNAME>)?<LGPLNAME>(?:<GPLNAME>)*(?:<GPLNAME[23]>|<LATER[23]>)?"),
-    ("MPL-2.0", "<MPLREF>"),
-    ("MPL-1.1", "<MPL11>(?:<APACHEFILE>)?"),
-    ("EPL-2.0", "<EPL2>"),
-    ("EPL-1.0", "<EPL1>"),
+    ("BSL-1.0", f"(?:<BOOSTTITLE>)?{HEAD}<BOOSTGRANT>(?:<NOTICE>)?(?:<ASIS>)?(?:<LIABLE>)?"),
+    ("MIT", f"{HEAD}<MITGRANT>(?:<NOTICE>)?(?:<ASIS>)?(?:<LIABLE>)?"),
+    ("BSD-4-Clause", f"{HEAD}<BSDGRANT><BSDSOURCE><BSDBINARY><BSDADVERT>(?:<BSDENDORSE>)?(?:<BSDASIS>)?(?:<LIABLE>)?"),
+    ("BSD-3-Clause", f"{HEAD}<BSDGRANT><BSDSOURCE><BSDBINARY><BSDENDORSE>(?:<BSDASIS>)?(?:<LIABLE>)?"),
+    ("BSD-2-Clause", f"{HEAD}<BSDGRANT><BSDSOURCE><BSDBINARY>(?:<BSDASIS>)?(?:<LIABLE>)?"),
+    ("BSD", f"{HEAD}<BSDGRANT>(?:<BSDSOURCE>)?(?:<BSDASIS>)?(?:<LIABLE>)?"),
+    ("ISC", f"{HEAD}<ISCGRANT>(?:<ASIS>)?(?:<LIABLE>)?"),
+    ("Zlib", f"{HEAD}(?:<ZLIBASIS>)?(?:<LIABLE2>)?<ZLIBGRANT>"),
+    ("Apache-2.0", "<=Apache-2.0>(?:<APACHECOPY>)?(?:<APACHEASIS>)?"),
+    ("Apache-2.0", "<APACHETITLE>"),
+    ("GPL-2.0", "<GPL2TITLE>(?:<COPYRIGHT>)?"),
+    ("GPL-3.0", "<GPL3TITLE>(?:<COPYRIGHT>)?"),
+    ("LGPL-2.1", "<LGPL21TITLE>(?:<COPYRIGHT>)?"),
+    ("LGPL-3.0", "<LGPL3TITLE>(?:<COPYRIGHT>)?"),
+    ("AGPL-3.0", "<AGPL3TITLE>(?:<COPYRIGHT>)?"),
+    ("MPL-2.0", "<MPL2TITLE>"),
+    ("MPL-2.0", "<=MPL-2.0>(?:<MPLCOPY>)?"),
     ("Unlicense", "<UNLICENSE>"),
-    ("Zlib", "(?:<ZLIBASIS>)?<ZLIBGRANT>"),
-    ("CC-BY-NC-4.0", "<CCBYNC4>"),
-    ("CC-BY-SA-4.0", "<CCBYSA4>"),
-    ("CC-BY-4.0", "<CCBY4>"),
+    ("WTFPL", "<WTFPLTEXT>"),
     ("CC0-1.0", "<CC0>"),
-    ("MIT", "<MITREF>"),
-    ("BSD", "<BSDREF>"),
-    *[(name, f"(?:<SPDX>|#)((?:<SPDX[0-9]+>)*?)<SPDX{k}>") for k, (name, _) in enumerate(TAGS)],
-    ("Proprietary", "(?:<COPYRIGHT>)?<ALLRIGHTS>"),
+    *[(f"{f}-{v}{more}", f"<={f}-{v}{more}>(?:<NOWARRANTY2?>)?(?:<RECEIVED>)?") for f in GNU for v in GNU_VERSIONS for more in ("", "-or-later")],
+    ("Proprietary", "(?:<COPYRIGHT>)?<RIGHTS>"),
 ]
 
-#: Every known sentence has one of these before it is normalised; others needn't be. Between words stands what becomes a space.
-# Terms of an SPDX expression are cut apart where one of these identifiers stands before OR or AND.
-TERM = r"((?:MIT|ISC|Zlib|Unlicense|BSD-[23]-Clause|Apache-2[.]0|[AL]?GPL-[0-9.]+(?:-only|-or-later|[+])?|[ME]PL-[0-9.]+|CC0-1[.]0|CC-BY(?:-NC|-SA)?-4[.]0|Artistic-2[.]0)[)]?)[ \t]+(?:OR|AND)[ \t]+[(]?"
-CLUE = "(?i)licen|unencumbered|^version [123]|permission|redistribut|warrant|copyright|liable|spdx|free[^a-z0-9.+]+software|public[^a-z0-9.+]+domain|rights|endorse|cc0|source[^a-z0-9.+]+code[^a-z0-9.+]+form|provided[^a-z0-9.+]+by[^a-z0-9.+]+the|software[^a-z0-9.+]+foundation|either[^a-z0-9.+]+version|general[^a-z0-9.+]+public|^gnu|lesser|affero|perl itself|^[(]?[al]?gpl-|^[(]?(?:apache|artistic|bsd|[em]pl|cc)-[0-9b]|(?-i:^[(]?(?:MIT|ISC|Zlib|Unlicense)[.)]?[ \\t\\r\\n]*(?:[*]/|-->|\\n|$))"
-CLOSE, CAPITAL = r"([.!?;:])[ \t\r\n]+", r"\n[ \t/*#-]*([A-Z])"
+#: Every known sentence and name has one of these words. Between two words stands anything that isn't a letter or digit.
+CLUE = "(?i)licen[cs]e|spdx|gpl|apache|mozilla|bsd|creative[^a-z0-9]+commons|(?:released|distributed|available|published)[^a-z0-9]+under|copyright|permission|redistribut|all[^a-z0-9]+rights[^a-z0-9]+reserved|public[^a-z0-9]+domain|unencumbered|governed[^a-z0-9]+by|as[^a-z0-9]+perl|creativecommons|opensource[.]org|provided[^a-z0-9]+by|provided[^a-z0-9]+.as[^a-z0-9]+is|in[^a-z0-9]+no[^a-z0-9]+event|fuck[^a-z0-9]+you[^a-z0-9]+want"
 CUT = "\x01"
+#: Steps that make sentences of a text between two line ends, in this order: pattern, what takes its place. $1 is the first group.
+CUTS = [
+    ("\r", ""),
+    (r"(?i)spdx-license-identifier:?[ \t]*([^\n]*)", f"{CUT}spdx $1{CUT}"),
+    (r"(?i)https?://(?:www[.])?creativecommons[.]org/(?:licenses|publicdomain)/(by[a-z-]*|zero)/([0-9.]+)[^ \t\n]*", f"{CUT}under cc $1 $2{CUT}"),
+    (r"(?i)https?://(?:www[.])?opensource[.]org/licenses?/([a-z0-9.+-]*[a-z0-9+])[^ \t\n]*", f"{CUT}under $1{CUT}"),
+    (r"(?i)https?://[^ \t\n]+|<[^<>@ \n]+@[^<>@ \n]+>", " "),
+    (r"\n[^A-Za-z0-9\x01\n]+", "\n"),
+    (r"\n((?i:copyright)[ \t]+(?:[(][cC][)]|©|[0-9]|by )[^\n]*)", f"{CUT}$1{CUT}"),
+    (r"\n\n+", CUT),
+    (r":\n", CUT),
+    (r"\n(?:[0-9]{1,2}|[a-z])[.)][ \t]+", CUT),
+    (r"(?i)all[ \t\n]+rights[ \t\n]+reserved", f"{CUT}all rights reserved{CUT}"),
+    (r"[ \t\n]+", " "),
+    (r"(?i)\b(v|vs|inc|ltd|corp|co|llc|no|st|dr|mr|mrs|ms|[a-z])[.] ", "$1 "),
+    (r"[.!?][\"')\]]* ", CUT),
+]
+#: Steps that take out of a sentence what varies; they see lower-case letters, digits, dots and plus signs between single spaces.
+VARIES = [
+    (r"\b(?:the|a|an|licen[cs]es?|version|ver|v)\b(?: +|$)", ""),
+    (r"\bv([0-9])", "$1"),
+    (r"(gpl)v?([0-9])", "$1 $2"),
+    (r"^(?:[0-9]{1,2}|[a-z])[.]? (redistribut|neither|all adv)", "$1"),
+    (r"^(?:this )?(?:work|file|project|program|package|code|text|module|document|repository|library|software) is (?:hereby )?(dedicated|released|placed)", "$1"),
+    (r"^([a-z ]*)copyright (?:c |[0-9, ]+).*$", "$1copyright"),
+    (r"in no event shall .*$", "in no event shall"),
+]
+#: Steps that make a plain name of what follows "under" and the like.
+PLAIN = [
+    (r" as published by (?:free software foundation|sam hocevar)(?: either)?", ""),
+    (r"do what f[a-z]* you want to public", "wtfpl"),
+    (r"common development and distribution", "cddl"),
+    (r"same terms as perl.*", "perl"),
+    (r" with (?:[a-z0-9.]+ )+?exception(?: [0-9.]+)?", ""),
+    (r"new or revised", "new"),
+    (r"creative commons", "cc"),
+    (r"\bcc attribution\b", "cc by"),
+    (r"\bnon ?commercial\b", "nc"),
+    (r"\bshare ?alike\b", "sa"),
+    (r"\bno ?deriv(?:ative)?s?(?: works)?\b", "nd"),
+    (r"\bthree clause\b", "3 clause"),
+    (r"\btwo clause\b", "2 clause"),
+    (r"\b(?:terms|conditions|of|either|international|unported|generic|universal|itself)\b(?: +|$)", ""),
+    (r"^(?:and )+", ""),
+    (r" or (?:at your option )?(?:any )?(?:later|newer)", "+"),
+    (r" +([+])", "$1"),
+    (r" (?:you|see|which|that|can|for|found|in|is|are|whose|unless|please|included|with|at|available|copyright|text|file|as)(?: .*)?$", ""),
+    (r" (?:or|and)$", ""),
+]
+UNDER, EITHER = "(?:^| )(?:under|governed by|subject to|spdx) ", " (?:or|and) "
+
+
+def names() -> dict[str, str]:
+    """Every plain name, with its licence."""
+    out = {name.strip(): licence for licence, listed in NAMES.items() for name in listed.split(",")}
+    for family, listed in GNU.items():
+        for name in listed.split(", "):
+            out[name] = family
+            for version in GNU_VERSIONS:
+                for form in {version, version.removesuffix(".0")}:
+                    out |= {f"{name} {form}{more}": f"{family}-{version}{kind}" for more, kind in (("", ""), (" only", ""), ("+", "-or-later"))}
+    for kind in CC_KINDS:
+        for version in CC_VERSIONS:
+            out[f"cc {kind} {version}"] = f"CC-{kind.replace(' ', '-').upper()}-{version}"
+    return out
+
+
+def openings() -> dict[str, str]:
+    return {" ".join(x.split()): name for name, listed in OPENINGS.items() for x in listed.split(";")}
+
+
+def by_length() -> dict[int, dict[str, str]]:
+    """Openings by their number of words."""
+    out: dict[int, dict[str, str]] = {}
+    for words, name in openings().items():
+        out.setdefault(len(words.split()), {})[words] = name
+    return out
+
+
+#: Licences in the order in which they are reported.
+LICENCES = [*NAMES, *dict.fromkeys(names().values()), "Proprietary"]
+LICENCES = list(dict.fromkeys(LICENCES))
+
+
+def replaced(c: Column, steps: list[tuple[str, str]]) -> Column:
+    return reduce(lambda x, step: F.regexp_replace(x, step[0], step[1]), steps, c)
 
 
 def sentences(text: Column) -> Column:
-    """Sentences that hold a letter or digit."""
-    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, TERM, f"$1{CUT}"), CLOSE, f"$1{CUT}"), CAPITAL, f"{CUT}$1")
-    return F.filter(F.split(marked, CUT), lambda s: s.rlike("[A-Za-z0-9]"))
+    """Normalised sentences that hold a letter or digit."""
+    cut = F.split(replaced(F.concat(F.lit("\n"), text, F.lit("\n")), CUTS), CUT)
+    plain = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9.+]+", " ")))
+    plain = F.transform(plain, lambda s: F.regexp_replace(replaced(F.regexp_replace(s, "[.]+( |$)", "$1"), VARIES), "^[. ]+|[. ]+$", ""))
+    return F.filter(plain, lambda s: s.rlike("[a-z0-9]"))
 
 
-def normal(sentence: Column) -> Column:
-    kept = F.regexp_replace(F.lower(sentence), "[^a-z0-9.+]+", " ")
-    return F.regexp_replace(F.trim(kept), "[. ]+$", "")
+def _known(table: dict[str, str], key: Column) -> Column:
+    """The table's value. Keys are met by hash first, so that what isn't known costs one look."""
+    listed = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.when(key.isin(list(table)), F.element_at(listed, key))
 
 
-def identifier(sentence: Column) -> Column:
-    found = None
-    for name, pattern in SENTENCES:
-        hit = sentence.rlike(f"^{pattern}$")
-        found = F.when(hit, name) if found is None else found.when(hit, name)
-    return found
+def identifiers(sentence: Column) -> Column:
+    """array<string>: licences that a sentence names (<=X>), or else what its opening words say. An unknown tag is <SPDX>."""
+    pieces = F.slice(F.split(sentence, UNDER), 2, 1000)
+    plain = F.flatten(F.transform(pieces, lambda p: F.split(F.trim(replaced(p, PLAIN)), EITHER)))
+    tag = sentence.rlike("^spdx ")
+    found = F.transform(plain, lambda n: F.coalesce(F.concat(F.lit("="), _known(names(), n)), F.when(tag, "SPDX")))
+    found = F.filter(found, lambda x: x.isNotNull())
+    words, tables = F.split(sentence, " "), by_length()
+    opening = F.coalesce(*[_known(tables[n], F.array_join(F.slice(words, 1, n), " ")) for n in sorted(tables, reverse=True)])
+    return F.when(F.size(found) > 0, found).otherwise(F.array_compact(F.array(opening)))
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_sentences, n_known, sentence_ids, licenses (in rule order, comma-joined), n_unmatched: one row for each input row."""
+    """doc_id, n_known, sentence_ids, licenses (in the order of LICENCES, comma-joined), n_unmatched: one row for each input row."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", sentences(F.col("text")).alias("s"))
-    rows = rows.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.transform(F.filter("s", lambda x: x.rlike(CLUE)), normal).alias("s"))
-    rows = rows.withColumn("ids", F.filter(F.transform("s", identifier), lambda x: x.isNotNull()))
+    rows = rows.select("doc_id", F.when(F.col("text").rlike(CLUE), sentences(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("s"))
+    rows = rows.select("doc_id", F.flatten(F.transform("s", identifiers)).alias("ids"))
     rows = rows.withColumn("left", F.array_join(F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), ""))
     for k, (_, rule) in enumerate(RULES):
-        rows = rows.withColumn(f"hit{k}", F.col("left").rlike(rule)).withColumn("left", F.regexp_replace("left", rule, "#$1" if "#" in rule else "|"))
-    # One mention of each licence, where its first rule stands.
-    names = list(dict.fromkeys(name for name, _ in RULES))
-    hits = {n: [F.col(f"hit{k}") for k, (name, _) in enumerate(RULES) if name == n] for n in names}
-    any_hit = {n: reduce(Column.__or__, h) for n, h in hits.items()}
+        rows = rows.withColumn(f"hit{k}", F.col("left").rlike(rule)).withColumn("left", F.regexp_replace("left", rule, "|"))
+    by_rule = F.array_compact(F.array(*[F.when(F.col(f"hit{k}"), name) for k, (name, _) in enumerate(RULES)]))
+    named = F.regexp_extract_all("left", F.lit("<=([^>]+)>"), 1)
     return rows.select(
         "doc_id",
-        "n_sentences",
         F.size("ids").cast("long").alias("n_known"),
         F.array_join("ids", ",").alias("sentence_ids"),
-        F.concat_ws(",", *[F.when(any_hit[n], n) for n in names]).alias("licenses"),
-        F.length(F.regexp_replace("left", "[^<]", "")).cast("long").alias("n_unmatched"),
+        F.array_join(F.array_intersect(F.array(*[F.lit(x) for x in LICENCES]), F.concat(by_rule, named)), ",").alias("licenses"),
+        F.length(F.regexp_replace(F.regexp_replace("left", "<=[^>]+>", ""), "[^<]", "")).cast("long").alias("n_unmatched"),
     )
 
 
@@ -204,26 +292,34 @@ def oracle(table: str = "documents") -> str:
     """The same as DuckDB SQL."""
 
     def lit(x: str) -> str:
-        return "'" + x.replace("'", "''") + "'"
+        return "'" + x.replace("'", "''").replace(CUT, "' || chr(1) || '") + "'"
+
+    def steps(x: str, listed: list[tuple[str, str]]) -> str:
+        return reduce(lambda held, step: f"regexp_replace({held}, {lit(step[0])}, {lit(re.sub(r'[$]([0-9])', chr(92) + r'\\1', step[1]))}, 'g')", listed, x)
+
+    def known(pairs: dict[str, str], key: str) -> str:
+        return f"MAP {{{', '.join(f'{lit(k)}: {lit(v)}' for k, v in pairs.items())}}}[{key}]"
 
-    cases = " ".join(f"WHEN regexp_matches(x, {lit('^' + p + '$')}) THEN {lit(n)}" for n, p in SENTENCES)
-    steps, columns = [], ""
+    cut = f"string_split({steps("chr(10) || text || chr(10)", CUTS)}, chr(1))"
+    plain = f"list_transform({cut}, lambda s: trim(regexp_replace(lower(s), '[^a-z0-9.+]+', ' ', 'g')))"
+    plain = f"list_transform({plain}, lambda s: regexp_replace({steps("regexp_replace(s, '[.]+( |$)', " + lit(chr(92) + '1') + ", 'g')", VARIES)}, '^[. ]+|[. ]+$', '', 'g'))"
+    pieces = f"flatten(list_transform(string_split_regex(s, {lit(UNDER)})[2:], lambda p: string_split_regex(trim({steps('p', PLAIN)}), {lit(EITHER)})))"
+    found = f"list_filter(list_transform({pieces}, lambda n: coalesce('=' || {known(names(), 'n')}, CASE WHEN starts_with(s, 'spdx ') THEN 'SPDX' END)), lambda x: x IS NOT NULL)"
+    opening = "coalesce(" + ", ".join(known(t, f"array_to_string(string_split(s, ' ')[1:{n}], ' ')") for n, t in sorted(by_length().items(), reverse=True)) + ")"
+    rules, columns = [], ""
     for k, (_, rule) in enumerate(RULES):
-        source = f"step{k - 1}" if k else "joined"
         columns += f", hit{k - 1}" if k else ""
-        steps.append(f"step{k} AS (SELECT doc_id, n_sentences, ids{columns}, regexp_matches(rest, {lit(rule)}) AS hit{k}, regexp_replace(rest, {lit(rule)}, {lit("#" + chr(92) + "1" if "#" in rule else "|")}, 'g') AS rest FROM {source})")
-    names = list(dict.fromkeys(name for name, _ in RULES))
-    shown = ", ".join("CASE WHEN " + " OR ".join(f"hit{k}" for k, (m, _) in enumerate(RULES) if m == n) + f" THEN {lit(n)} END" for n in names)
+        rules.append(f"step{k} AS (SELECT doc_id, ids{columns}, regexp_matches(rest, {lit(rule)}) AS hit{k}, regexp_replace(rest, {lit(rule)}, '|', 'g') AS rest FROM {f'step{k - 1}' if k else 'joined'})")
+    by_rule = ", ".join(f"CASE WHEN hit{k} THEN {lit(name)} END" for k, (name, _) in enumerate(RULES))
     return f"""
-WITH cut AS (
-  SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), {lit(TERM)}, '\\1' || chr(1), 'g'), '([.!?;:])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), '\\n[ \\t/*#-]*([A-Z])', chr(1) || '\\1', 'g'), chr(1)), lambda s: regexp_matches(s, '[A-Za-z0-9]')) AS s FROM {table}
-), plain AS (
-  SELECT doc_id, len(s) AS n_sentences, list_transform(list_filter(s, lambda x: regexp_matches(x, {lit(CLUE)})), lambda x: regexp_replace(trim(regexp_replace(lower(x), '[^a-z0-9.+]+', ' ', 'g')), '[. ]+$', '')) AS s FROM cut
-), named AS (
-  SELECT doc_id, n_sentences, list_filter(list_transform(s, lambda x: CASE {cases} END), lambda x: x IS NOT NULL) AS ids FROM plain
-), joined AS (
-  SELECT doc_id, n_sentences, ids, coalesce(array_to_string(list_transform(ids, lambda x: '<' || x || '>'), ''), '') AS rest FROM named
-), {", ".join(steps)}
-SELECT doc_id, n_sentences::BIGINT AS n_sentences, len(ids)::BIGINT AS n_known, coalesce(array_to_string(ids, ','), '') AS sentence_ids,
-  concat_ws(',', {shown}) AS licenses, length(regexp_replace(rest, '[^<]', '', 'g'))::BIGINT AS n_unmatched
-FROM step{len(RULES) - 1}"""
+WITH source AS (SELECT doc_id, coalesce(text, '') AS text FROM {table}),
+plain AS (SELECT doc_id, list_filter(CASE WHEN regexp_matches(text, {lit(CLUE)}) THEN {plain} ELSE [] END, lambda s: regexp_matches(s, '[a-z0-9]')) AS s FROM source),
+one AS (SELECT row_number() OVER () AS row, doc_id, s AS list FROM plain), each AS (SELECT row, unnest(list) AS s, generate_subscripts(list, 1) AS k FROM one),
+looked AS (SELECT row, k, {found} AS found, {opening} AS opening FROM each),
+held AS (SELECT row, flatten(list(CASE WHEN len(found) > 0 THEN found WHEN opening IS NOT NULL THEN [opening] ELSE [] END ORDER BY k)) AS ids FROM looked GROUP BY row),
+named AS (SELECT doc_id, coalesce(ids, []) AS ids FROM one LEFT JOIN held ON held.row = one.row),
+joined AS (SELECT doc_id, ids, coalesce(array_to_string(list_transform(ids, lambda x: '<' || x || '>'), ''), '') AS rest FROM named),
+{", ".join(rules)},
+got AS (SELECT doc_id, ids, rest, list_concat([{by_rule}], regexp_extract_all(rest, '<=([^>]+)>', 1)) AS l FROM step{len(RULES) - 1})
+SELECT doc_id, len(ids)::BIGINT AS n_known, coalesce(array_to_string(ids, ','), '') AS sentence_ids, coalesce(array_to_string(list_filter({LICENCES}, lambda x: list_contains(l, x)), ','), '') AS licenses,
+  length(regexp_replace(regexp_replace(rest, '<=[^>]+>', '', 'g'), '[^<]', '', 'g'))::BIGINT AS n_unmatched FROM got"""
