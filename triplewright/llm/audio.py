@@ -37,6 +37,8 @@ MULAW_TAG, ALAW_TAG, ADPCM_TAG = 7, 6, 0x11
 BLOCKS_PER_STEP = 16384
 #: Slices in which stored files become PCM, and how hard the PCM is packed: its samples follow few patterns.
 SLICES, PCM_LEVEL = 4, 7
+#: Bytes of files that become PCM at once, and bytes of PCM that a writer holds: PCM has four bytes for one of a file.
+PCM_STEP, PCM_GROUP = 1_000_000, 16 << 20
 
 # Step sizes and index moves of IMA ADPCM.
 STEPS = [
@@ -168,7 +170,7 @@ def decode_audio(df: DataFrame, id_col: str = "doc_id", media_col: str = "media"
             return None, None
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_steps(batches, "media"):
+        for batch in byte_steps(batches, "media", PCM_STEP):
             rates, pcms = zip(*map(decoded, batch.column(1).to_pylist()), strict=True) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rates, pa.int32()), pa.array(pcms, pa.binary())], ["doc_id", "rate", "pcm"])
 
@@ -207,7 +209,7 @@ def to_pcm(stored: DataFrame) -> DataFrame:
     """What ``DIGEST`` says of stored mu-law files (doc_id, n_bytes, media), and pcm: the files as resampled 16-bit PCM."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_steps(batches, "media"):
+        for batch in byte_steps(batches, "media", PCM_STEP):
             if not batch.num_rows:
                 continue
             medias = batch.column(2).to_pylist()
@@ -248,7 +250,7 @@ def audio_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     for k in range(SLICES):
         one = f"{media}/slice={k}"
         if exists(spark, one):
-            paths.append(scratch.put(to_pcm(spark.read.schema(kind).parquet(one)), "pcm", **{"compression": "zstd", "parquet.compression.codec.zstd.level": str(PCM_LEVEL)}))
+            paths.append(scratch.put(to_pcm(spark.read.schema(kind).parquet(one)), "pcm", **{"compression": "zstd", "parquet.compression.codec.zstd.level": str(PCM_LEVEL), "parquet.block.size": str(PCM_GROUP)}))
             scratch.drop(one)
     if not paths:
         return spark.createDataFrame([], DIGEST)
