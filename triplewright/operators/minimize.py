@@ -9,6 +9,8 @@ from triplewright.storage import Scratch
 
 #: Distinct rows that are put in order at the border of a sample; hash digits by which a border range is cut down.
 BORDER_ROWS, DIGITS = 100_000, 4
+#: Keys up to which they are broadcast themselves; with more, a bit filter of at most FILTER_WORDS longs is, of FILTER_BITS bits a key and FILTER_HASHES bits set for each.
+BROADCAST_KEYS, FILTER_WORDS, FILTER_BITS, FILTER_HASHES = 100_000, 1 << 21, 10, 3
 
 
 def portable_hash(c: Column) -> Column:
@@ -56,15 +58,54 @@ def sample_heads(triples: DataFrame, factor: float, seed: int = 0) -> DataFrame:
     return Scratch(triples.sparkSession, "heads").keep(first_by_hash(triples, ["h", "r", "t"], n, seed).select("h").distinct(), "heads")
 
 
+def key_filter(keys: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """One value, a Bloom filter of the first column as array<long>, and its number of longs. Built by one grouping; its size is bounded whatever n is."""
+    words = 1
+    while words < FILTER_WORDS and words * 64 < FILTER_BITS * n:
+        words *= 2
+    bits = keys.select(F.explode(F.array(*_positions(F.col(keys.columns[0]), words))).alias("p")).groupBy(F.floor(F.col("p") / 64).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
+    every = keys.sparkSession.range(words).join(bits, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("x"))
+    return every.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["bits"]).alias("bits")), words
+
+
+def _positions(key: Column, words: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(k)), F.lit(words * 64)) for k in range(FILTER_HASHES)]
+
+
+def maybe_in(df: DataFrame, column: str, keys: DataFrame, n: int) -> DataFrame:
+    """The rows whose key passes the filter of ``keys``: all that are in it, and a few others. Nothing is exchanged but the filter."""
+    held, words = key_filter(keys, n)
+    # A scalar, not a joined row: a join after it would be taken below a joined one, before the filter.
+    bits = held.scalar()
+    for p in _positions(F.col(column), words):
+        df = df.where(F.getbit(F.get(bits, F.floor(p / 64).cast("int")), (p % 64).cast("int")) == 1)
+    return df
+
+
+def kept_by(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows of a large table whose ``column`` is in a written table of distinct keys (of one column).
+
+    Up to BROADCAST_KEYS the keys go to every task, and the table stays where it is. Beyond,
+    a filter of bounded size goes there first, so that the exact join moves little more than what is kept.
+    """
+    n = keys.count()
+    named = keys.select(F.col(keys.columns[0]).alias(column))
+    if n <= BROADCAST_KEYS:
+        return df.join(F.broadcast(named), column, "left_semi").select(*df.columns)
+    return maybe_in(df, column, keys, n).join(named, column, "left_semi").select(*df.columns)
+
+
 def minimize(triples: DataFrame, aliases: DataFrame, relations: DataFrame, descriptions: DataFrame, heads: DataFrame) -> dict[str, DataFrame]:
-    """All triples of the heads; aliases of their heads and tails; their relations; descriptions of the heads. Each by left-semi join."""
-    kept = triples.join(heads, "h", "left_semi")
-    ends = heads.select(F.col("h").alias("entity_id")).union(kept.select("t")).distinct()
+    """All triples of the heads; aliases of their heads and tails; their relations; descriptions of the heads. What is large stays where it is, but for little more than what is kept."""
+    scratch = Scratch(triples.sparkSession, "minimize")
+    heads = scratch.keep(heads.select("h").distinct(), "heads")
+    kept = scratch.keep(kept_by(triples, "h", heads), "kept")
+    ends = scratch.keep(heads.select(F.col("h").alias("entity_id")).union(kept.select("t")).distinct(), "ends")
     return {
         "triples": kept,
-        "aliases": aliases.join(ends, "entity_id", "left_semi"),
+        "aliases": kept_by(aliases, "entity_id", ends),
         "relations": relations.join(kept.select(F.col("r").alias("relation_id")).distinct(), "relation_id", "left_semi"),
-        "descriptions": descriptions.join(heads.select(F.col("h").alias("entity_id")), "entity_id", "left_semi"),
+        "descriptions": kept_by(descriptions, "entity_id", heads),
     }
 
 
@@ -75,15 +116,15 @@ def minimize_two_hops(triples: DataFrame, aliases: DataFrame, relations: DataFra
     eligible = scratch.keep(eligible, "eligible")
     n = -(-int(eligible.count() * share * 1_000_000) // 1_000_000)
     first = scratch.keep(first_by_hash(eligible, ["entity_id"], n, seed), "first")
-    hop = triples.join(first.withColumnRenamed("entity_id", "h"), "h", "left_semi")
+    hop = scratch.keep(kept_by(triples, "h", first), "hop")
     wide = scratch.keep(first.union(hop.select("t")).distinct(), "wide")
-    kept = triples.join(wide.withColumnRenamed("entity_id", "h"), "h", "left_semi")
-    ends = wide.union(kept.select("t")).distinct()
+    kept = scratch.keep(kept_by(triples, "h", wide), "kept")
+    ends = scratch.keep(wide.union(kept.select("t")).distinct(), "ends")
     return {
         "triples": kept,
-        "aliases": aliases.join(ends, "entity_id", "left_semi"),
+        "aliases": kept_by(aliases, "entity_id", ends),
         "relations": relations.join(hop.select(F.col("r").alias("relation_id")).distinct(), "relation_id", "left_semi"),
-        "descriptions": descriptions.join(wide, "entity_id", "left_semi"),
+        "descriptions": kept_by(descriptions, "entity_id", wide),
     }
 
 
