@@ -86,3 +86,9 @@ def evaluation_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFra
 def stop_words(spark: SparkSession, language: str = "english") -> DataFrame:
     """(word): the library's own list of a language."""
     return spark.createDataFrame([(w,) for w in sorted(set(StopWordsRemover.loadDefaultStopWords(language)))], "word string")
+
+
+def word_counts(df: DataFrame, text: str, stops: DataFrame) -> DataFrame:
+    """(word, n, stop): how often each word stands in all texts, and whether it is in ``stops`` (word), a list that every task can hold."""
+    words = df.select(F.explode(F.split(text, " ")).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.join(F.broadcast(stops.select("word").distinct().withColumn("stop", F.lit(True))), "word", "left").select("word", "n", F.coalesce("stop", F.lit(False)).alias("stop"))

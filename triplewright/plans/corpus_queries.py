@@ -60,10 +60,13 @@ def norm_aliases_legacy(spark: SparkSession, d: str) -> DataFrame:
     return _raw_aliases(spark, d).select("p_partkey", F.array_join(T.normalize_aliases_legacy(F.col("aliases"), STOP_WORDS), "|").alias("aliases"))
 
 
-@query()
+#: A list as an argument; the library's own English one is the default elsewhere.
+STOPS = ("the", "of", "and", "to", "in", "a", "is", "der", "die", "und", "zu", "den", "le", "la", "les", "et", "des", "el", "los", "que", "con")
+
+
+@query(f"SELECT word, count(*)::BIGINT AS n, word IN {STOPS!r} AS stop FROM (SELECT unnest(string_split(text, ' ')) AS word FROM ({G.SQL_DESCRIPTIONS})) WHERE word <> '' GROUP BY word")
 def stop_words(spark: SparkSession, d: str) -> DataFrame:
-    """The library's own English list; other lists are arguments of the alias normaliser."""
-    return A.stop_words(spark)
+    return A.word_counts(G.TextGraph(spark, d).descriptions, "text", spark.createDataFrame([(w,) for w in STOPS], "word string"))
 
 
 @query("SELECT sum(CASE WHEN name = '' THEN 0 ELSE len(string_split(name, ' ')) END)::BIGINT AS items FROM (SELECT p_name AS name FROM part)")

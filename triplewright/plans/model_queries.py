@@ -18,7 +18,8 @@ from triplewright.operators import spans as S
 from triplewright.operators import training as TR
 from triplewright.operators import transe as TE
 from triplewright.plans import graph as G
-from triplewright.sources.lines import Graph, read_or_make
+from triplewright.sources.lines import Graph, checked_tables, read_or_make, write_table
+from triplewright.sources.npz import read_matrix, write_matrix
 from triplewright.storage import Scratch
 
 QUERIES: dict = {}
@@ -584,11 +585,65 @@ def cached_table(spark: SparkSession, d: str) -> DataFrame:
     return read_or_make(spark, path, lambda: None)
 
 
-@query("SELECT unnest(['triples_train', 'triples_valid', 'triples_test', 'descriptions', 'aliases', 'relations', 'silver_spans']) AS name")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
+
+
+@query(" UNION ALL ".join([f"SELECT '{t}' AS name, TRUE AS there, count(*)::BIGINT AS n FROM {t}" for t in TABLES] + [f"SELECT '{t}', FALSE, NULL" for t in Graph.NAMES]))
 def preflight(spark: SparkSession, d: str) -> DataFrame:
-    """Tables missing from a folder that has none."""
-    g = Graph(spark, Scratch(spark, "preflight").root)
-    return spark.createDataFrame([(p.rsplit("/", 1)[1],) for p in g.missing()], "name string")
+    """Which of the bundled tables and of a prepared graph's are in the folder, and their rows."""
+    return checked_tables(spark, {t: f"{d}/{t}.parquet" for t in (*TABLES, *Graph.NAMES)})
+
+
+@query("SELECT 'kept' AS mode, r_name FROM region UNION ALL SELECT 'replaced', n_name FROM nation")
+def skip_or_overwrite(spark: SparkSession, d: str) -> DataFrame:
+    """A table that is there is kept when asked to skip, and replaced when asked to overwrite."""
+    path = f"{Scratch(spark, 'modes').root}/names"
+    first, second = G.table(spark, d, "region").select(F.col("r_name").alias("name")), G.table(spark, d, "nation").select(F.col("n_name").alias("name"))
+    write_table(first, path, "skip")
+    kept = Scratch(spark, "modes").keep(write_table(second, path, "skip").select(F.lit("kept").alias("mode"), F.col("name").alias("r_name")), "kept")
+    return kept.unionAll(write_table(second, path, "overwrite").select(F.lit("replaced"), "name"))
+
+
+@query(f"SELECT 'triples_train' AS name, count(*)::BIGINT AS n FROM ({G.SQL_TRIPLES}) UNION ALL SELECT 'descriptions', count(*) FROM documents UNION ALL SELECT 'silver_spans', 0")
+def graph_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Tables of a prepared graph, put into its folder and read strictly; one that is missing counts 0."""
+    g, text = Graph(spark, Scratch(spark, "prepared").root), G.TextGraph(spark, d)
+    g.put("triples_train", text.triples)
+    g.put("descriptions", text.descriptions)
+    missing = {p.rsplit("/", 1)[1] for p in g.missing()}
+    out = None
+    for name in ("triples_train", "descriptions", "silver_spans"):
+        rows = spark.range(0) if name in missing else g.table(name)
+        one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query("SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INT AS k, round(unnest(embedding)::DOUBLE, 6) AS x FROM embeddings")
+def matrix_files(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors written as npz files and read back in ranges of rows."""
+    path = f"{Scratch(spark, 'matrix').root}/arr"
+    write_matrix(G.table(spark, d, "embeddings"), path, "vec_id", "embedding")
+    rows = read_matrix(spark, path, 1000).select(F.col("row").alias("vec_id"), F.posexplode("values").alias("k", "x"))
+    return rows.withColumn("x", F.round(F.col("x").cast("double"), 6))
+
+
+@query(f"{_IDS}, {_EMB} SELECT r.id AS relation_id, (generate_subscripts(v, 1) - 1)::INT AS k, round(unnest(v)::FLOAT::DOUBLE, 6) AS x FROM rr JOIN r ON r.idx = rr.idx")
+def saved_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Relation vectors by id, in single precision, as they are kept for the span model."""
+    _, _, r = _encoded(spark, d)
+    ids, path = r.withColumnRenamed("relation_id", "name"), f"{Scratch(spark, 'saved').root}/relations"
+    saved = TE.save_relations(TE.initial(r, r.count(), DIMS).select("idx", "emb"), ids.withColumnRenamed("name", "relation_id"), path)
+    return saved.select("relation_id", F.posexplode("emb").alias("k", "x")).withColumn("x", F.round(F.col("x").cast("double"), 6))
+
+
+@query(f"""WITH {TOKEN_VECTORS}, {_HEADS}, {_LEGACY}, {_REPS} SELECT entity_id, slot, (generate_subscripts(v, 1) - 1)::INT AS k, round(unnest(v), 6) AS x FROM (SELECT entity_id, slot, v FROM reps
+  UNION ALL SELECT DISTINCT entity_id, 0, list_transform(range(0, {DIMS}), lambda k: 0.0::DOUBLE) FROM tok WHERE entity_id NOT IN (SELECT entity_id FROM slots))""")
+def span_vectors_padded(spark: SparkSession, d: str) -> DataFrame:
+    """A description without a span has one slot of zeros."""
+    tokens = _tokens(spark, d)
+    rows = X.span_vectors(X.extract_spans(_prob_arrays(tokens), threshold=0.6, most=None, strict=True), tokens, compat=True, dims=DIMS)
+    return rows.select("entity_id", "slot", F.posexplode("emb").alias("k", "x")).withColumn("x", F.round("x", 6))
 
 
 # --- losses and measures ---------------------------------------------------------------

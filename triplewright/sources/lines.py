@@ -98,6 +98,16 @@ def missing(spark: SparkSession, paths: list[str]) -> list[str]:
     return [p for p in paths if not exists(spark, p)]
 
 
+def checked_tables(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(name, there, n): preflight of named tables; a missing one has no number of rows."""
+    gone, out = set(missing(spark, list(paths.values()))), None
+    for name, path in paths.items():
+        rows = spark.range(1).select(F.lit(None).cast("long").alias("n")) if path in gone else spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
+        one = rows.select(F.lit(name).alias("name"), F.lit(path not in gone).alias("there"), "n")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 class Graph:
     """The tables of a prepared graph under one folder; ``minimized`` picks the cut-down copies."""
 
