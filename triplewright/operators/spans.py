@@ -30,6 +30,22 @@ def clipped(text: Column, most: int = MAX_TOKENS) -> Column:
     return F.when(F.length(text) > most, kept).otherwise(text)
 
 
+def placed_tokens(text: Column, most: int = MAX_TOKENS) -> Column:
+    """array<struct<tok, start>>: the first tokens with the characters they begin at, found once for a text.
+
+    Tokens and the pieces between them alternate, so lengths give the places.
+    """
+    toks = tokens(text, most)
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<tok:string,start:int>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        return F.struct((start + F.length(x["tok"])).alias("at"), F.concat(acc["out"], F.array(F.struct(x["tok"].alias("tok"), start.alias("start")))).alias("out"))
+
+    both = F.arrays_zip(F.slice(F.split(text, TOKEN, -1), 1, F.size(toks)).alias("gap"), toks.alias("tok"))
+    return F.aggregate(both, begin, step)["out"]
+
+
 def alias_spans(pairs: DataFrame, descriptions: DataFrame, aliases: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
     """(h, entity, alias, pos, start, end, s, e): every match of every alias of ``entity`` in the description of ``h``.
 
@@ -43,12 +59,9 @@ def alias_spans(pairs: DataFrame, descriptions: DataFrame, aliases: DataFrame, m
     again = F.exists(F.sequence(F.lit(1), F.greatest(F.size("toks") - 1, F.lit(1))), lambda k: (k < F.size("toks")) & (F.slice("toks", 1, k) == F.slice("toks", F.size("toks") - k + 1, k)))
     names = names.select("entity", "pos", "alias", F.size("toks").alias("n"), F.get("toks", F.lit(0)).alias("tok"), again.alias("again")).where(F.col("n").between(1, most))
     texts = descriptions.select(F.col("entity_id").alias("h"), clipped(F.col("text"), most).alias("text"))
-    places = texts.select("h", F.posexplode(tokens(F.col("text"), most)).alias("s", "tok"))
-    found = pairs.join(names, "entity").join(places, ["h", "tok"]).where(F.col("s") + F.col("n") <= most).drop("tok").join(texts, "h").where(F.contains("text", F.col("alias")))
-    # Tokens and the pieces between them alternate: what stands before the s-th token is s of the one and s + 1 of the other.
-    before = F.length(F.array_join(F.slice(F.split("text", TOKEN, -1), 1, F.col("s") + 1), "")) + F.length(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(TOKEN), 0), 1, F.col("s")), ""))
-    # Generated, not projected: the filters below would state it anew at each of their places, two regular expressions a time.
-    found = found.select("*", F.explode(F.array(before)).alias("start")).withColumn("end", F.col("start") + F.length("alias"))
+    places = texts.select("h", F.posexplode(placed_tokens(F.col("text"), most)).alias("s", "x")).select("h", "s", "x.tok", "x.start")
+    found = pairs.join(names, "entity").join(places, ["h", "tok"]).where(F.col("s") + F.col("n") <= most).drop("tok").join(texts, "h")
+    found = found.withColumn("end", F.col("start") + F.length("alias"))
     found = found.where(F.substring("text", F.col("start") + 1, F.length("alias")) == F.col("alias"))
     sides = F.concat(F.substring("text", F.col("start"), F.when(F.col("start") > 0, 1).otherwise(0)), F.lit(" "), F.substring("text", F.col("end") + 1, F.lit(1)))
     found = found.where(~sides.rlike(r"\w")).withColumn("e", F.col("s") + F.col("n") - 1)
