@@ -34,6 +34,36 @@ def test_a_hot_bucket_proposes_few_pairs(spark, monkeypatch):
     assert spark.read.parquet(glob.glob(f"{root}/*-second-pairs")[0]).count() < 1000
 
 
+def test_a_hot_bucket_moves_rows_in_proportion(spark, monkeypatch):
+    """Strays of one template, of which none is linked: twice as many spread twice the rows and propose next to nothing."""
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 100_000)
+    moved = []
+    for n in (4_000, 8_000, 16_000):
+        run = minhash._Run(spark.createDataFrame(pages(n, n), "doc_id long, text string").repartition(8), "doc_id", "text")
+        run.labelled().count()
+        root = run.scratch.root.removeprefix("file://")
+        moved.append(spark.read.parquet(glob.glob(f"{root}/*-spread")[0]).count())
+        assert spark.read.parquet(glob.glob(f"{root}/*-possible")[0]).count() < 300
+    assert moved[0] > 10_000 and moved[2] < 2.6 * moved[1] < 6.8 * moved[0]
+
+
+@pytest.mark.parametrize("block", [300, 4_000_000])
+def test_large_buckets_lose_no_link(spark, monkeypatch, block):
+    """Texts around several templates, some linked only with each other, held against all pairs, with lists spread and with lists in blocks."""
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", block)
+    monkeypatch.setattr(minhash, "MOST_GROUPS", 2)
+    r = random.Random(11)
+    rows = []
+    for t in range(3):
+        base = [f"t{t}w{k}" for k in range(60)]
+        for i in range(60):
+            words = [w if r.random() > 0.06 else f"x{r.randint(0, 400)}" for w in base] + [f"o{i // 3}y{k}" for k in range(12)]
+            rows.append((1000 * t + i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in minhash.near_duplicates(df).collect()}
+    assert got == brute_components(rows) and 20 < len({c for _, c in got.values()}) < len(rows)
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_possible_pairs_lose_no_link(seed):
     r = random.Random(seed)

@@ -16,8 +16,10 @@ and then on whole shingle sets; components by alternating stars.
    link between components that a bucket proposes is lost, and a passage that a
    hot bucket shares costs nothing: it is what no text begins its order with.
 
-Lists of rarest shingles are dealt in blocks of bounded bytes, so a bucket of n
-texts copies each n * 1 kB / BLOCK_BYTES times. Pairs just under the similarity
+A bucket whose lists of rarest shingles fit in BLOCK_BYTES is held in one task. The lists
+of a larger one are spread, a row for each shingle, and strays meet members on (hub,
+shingle), where the lengths and the shingle's places in both orders must leave room for a link: what is
+moved grows with the bucket, not with its square. Pairs just under the similarity
 asked for, of more than 0.73 about, may pass and are then told apart on whole sets.
 
 Null or empty texts, and texts without a word, have no shingle and no link. Rows
@@ -48,7 +50,9 @@ MINIMA = BANDS * ROWS
 LEAST_BYTES = 74
 #: Members that one copy of a hub's set is held against.
 FAN = 64
-#: Bytes of rarest shingles on either side of a block; bits of the hash by which shingles are counted, so that the driver holds one count for each.
+#: Groups of one text that a row carries.
+MOST_GROUPS = 256
+#: Bytes of rarest shingles that one task holds; bits of the hash by which shingles are counted, so that the driver holds one count for each.
 BLOCK_BYTES, COUNT_BITS = 4_000_000, 18
 #: Pairs of a block that are counted at once.
 PAIRS_AT_ONCE = 4_000_000
@@ -211,6 +215,23 @@ def possible(strays: list[dict], others: list[dict]) -> tuple[list[int], list[in
     return u, v
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, shingle, stray, doc_id, comp, size, place): a row for each rarest shingle of a text in each large bucket that it is in."""
+    for batch in row_steps(batches):
+        for at in range(batch.num_rows):
+            groups, size = batch.column(1)[at].as_py(), batch.column(2)[at].as_py()
+            mine = [g for g in groups["in"] if g["large"]]
+            shingles = np.frombuffer(batch.column(3)[at].as_py(), np.uint64).view(np.int64)
+            n = len(shingles)
+            if not mine or not n:
+                continue
+            columns = [
+                pa.array(np.repeat([g["a"] for g in mine], n), pa.int64()), pa.array(np.tile(shingles, len(mine))), pa.array(np.repeat([g["stray"] for g in mine], n)),
+                *[pa.array(np.full(n * len(mine), v), pa.int64()) for v in (batch.column(0)[at].as_py(), groups["comp"], size)], pa.array(np.tile(np.arange(n), len(mine)), pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "shingle", "stray", "doc_id", "comp", "size", "place"])
+
+
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b), the lesser first, of each block of strays and other members."""
     for batch in batches:
@@ -282,8 +303,11 @@ class _Run:
         salt = F.pmod(F.xxhash64("b"), F.col("fans")).cast("int")
         dealt = pairs.join(fans, "a").select(F.col("b").alias("doc_id"), F.struct("a", salt.alias("low"), salt.alias("high"), F.lit(False).alias("leads")).alias("group"))
         leads = fans.select(F.col("a").alias("doc_id"), F.struct("a", F.lit(0).alias("low"), (F.col("fans") - 1).alias("high"), F.lit(True).alias("leads")).alias("group"))
-        # Each needed text moves once, with the groups that it is in (a range of salts for a leading text); sets move to their groups after that.
-        wanted = dealt.unionByName(leads).groupBy("doc_id").agg(F.collect_list("group").alias("groups"))
+        # Each needed text moves once, with the groups that it is in (a range of salts for a leading text), or once for MOST_GROUPS of them; sets move to their groups after that.
+        every = dealt.unionByName(leads)
+        many = every.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / MOST_GROUPS).cast("int").alias("parts")).where("parts > 1")
+        every = every.join(many, "doc_id", "left").withColumn("part", F.pmod(F.xxhash64("group.a"), F.coalesce("parts", F.lit(1))))
+        wanted = every.groupBy("doc_id", "part").agg(F.collect_list("group").alias("groups")).drop("part")
         sets = self.sets(wanted, "array<struct<a:long,low:int,high:int,leads:boolean>>")
         dealt = sets.select("doc_id", F.explode("groups").alias("g"), "shingles")
         dealt = dealt.select("g.a", F.explode(F.sequence("g.low", "g.high")).alias("salt"), "g.leads", "doc_id", "shingles")
@@ -303,22 +327,19 @@ class _Run:
         named = named.select("a", F.col("b").alias("doc_id"), (64 + 2 * F.col("n")).alias("bytes"), F.coalesce("b_comp", "b").alias("comp"), F.coalesce("a_comp", "a").alias("hub_comp"))
         named = self.scratch.keep(named.withColumn("stray", F.col("comp") != F.col("hub_comp")), "named")
         hubs = named.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("all"), F.sum(F.when(F.col("stray"), F.col("bytes"))).alias("out"))
-        hubs = hubs.where("out > 0 and n > 1").select("a", F.ceil(F.col("all") / BLOCK_BYTES).cast("int").alias("rows"), F.ceil(F.col("out") / BLOCK_BYTES).cast("int").alias("cols"))
+        hubs = hubs.where("out > 0 and n > 1").select("a", (F.col("all") > BLOCK_BYTES).alias("large"))
         hubs = self.scratch.keep(hubs, "hubs")
         if hubs.isEmpty():
             return None
         open_ = named.join(hubs, "a")
 
         def role(df: DataFrame, stray: bool) -> DataFrame:
-            mine = F.pmod(F.xxhash64("doc_id", F.lit(stray)), F.col("cols" if stray else "rows")).cast("int")
-            ends = [F.lit(0), F.col("rows") - 1, mine, mine] if stray else [mine, mine, F.lit(0), F.col("cols") - 1]
-            names = ("i0", "i1", "j0", "j1")
-            return df.select("doc_id", "comp", F.struct("a", F.lit(stray).alias("stray"), *[e.alias(n) for e, n in zip(ends, names, strict=True)]).alias("group"))
+            return df.select("doc_id", "comp", F.struct("a", F.lit(stray).alias("stray"), "large").alias("group"))
 
         roles = role(open_, False).unionAll(role(open_.where("stray"), True))
         # A text is in as many buckets as there are bands at most.
         wanted = roles.groupBy("doc_id").agg(F.struct(F.first("comp").alias("comp"), F.collect_list("group").alias("in")).alias("groups"))
-        kind = "struct<comp:long,in:array<struct<a:long,stray:boolean,i0:int,i1:int,j0:int,j1:int>>>"
+        kind = "struct<comp:long,in:array<struct<a:long,stray:boolean,large:boolean>>>"
         sets = self.scratch.keep(self.sets(wanted, kind), "open-sets")
         found = map_batches(sets.select("shingles"), _frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
         counts = np.zeros(1 << COUNT_BITS, np.int64)
@@ -331,14 +352,31 @@ class _Run:
                 sizes, rare = pa.array([len(x) for x in lists], pa.int64()), pa.array([rarest(x, held.value).tobytes() for x in lists], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, rare], ["doc_id", "groups", "size", "rare"])
 
-        rare = map_batches(sets, ordered, f"doc_id long, groups {kind}, size long, rare binary")
-        dealt = rare.select("doc_id", F.col("groups.comp").alias("comp"), "size", "rare", F.explode("groups.in").alias("g"))
-        dealt = dealt.select("doc_id", "comp", "size", "rare", "g.a", "g.stray", F.explode(F.sequence("g.i0", "g.i1")).alias("i"), "g.j0", "g.j1")
-        dealt = dealt.select("doc_id", "comp", "size", "rare", "a", "stray", "i", F.explode(F.sequence("j0", "j1")).alias("j"))
-        blocks = dealt.groupBy("a", "i", "j").agg(F.collect_list(F.struct("stray", "doc_id", "comp", "size", "rare")).alias("members"))
-        pairs = self.scratch.keep(map_batches(blocks.select("members"), _possible, "a long, b long").distinct(), "possible")
+        rare = self.scratch.keep(map_batches(sets, ordered, f"doc_id long, groups {kind}, size long, rare binary"), "rarest")
+        dealt = rare.select("doc_id", F.col("groups.comp").alias("comp"), "size", "rare", F.explode(F.filter("groups.in", lambda g: ~g["large"])).alias("g"))
+        blocks = dealt.groupBy("g.a").agg(F.collect_list(F.struct("g.stray", "doc_id", "comp", "size", "rare")).alias("members"))  # BLOCK_BYTES of lists at most
+        pairs = map_batches(blocks.select("members"), _possible, "a long, b long")
+        if not hubs.where("large").isEmpty():
+            pairs = pairs.unionAll(self.met(map_batches(rare, _spread, "a long, shingle long, stray boolean, doc_id long, comp long, size long, place long")))
+        pairs = self.scratch.keep(pairs.distinct(), "possible")
         return self.confirmed(self.agreeing(pairs), "second")
 
+    def met(self, spread: DataFrame) -> DataFrame:
+        """(a, b), the lesser first: strays and members of large buckets with a rarest shingle in common, of different components, if a link may be.
+
+        At the first shingle that two orders share, all that they share is still to come in
+        both, so one of the shingles that bring a linked pair together lets it pass. Both sides are plain exchanges, so that a
+        common shingle is split over tasks.
+        """
+        held = self.scratch.keep(spread, "spread")
+        x = held.where("stray").select("a", "shingle", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "comp", "size", "place")])
+        y = held.where("not stray").select("a", "shingle", *[F.col(c).alias(f"y_{c}") for c in ("doc_id", "comp", "size", "place")])
+        both = F.col("x_size") + F.col("y_size")
+        room = (100 + PERCENT) * F.least(F.col("x_size") - F.col("x_place"), F.col("y_size") - F.col("y_place")) >= PERCENT * both
+        alike = 100 * F.least("x_size", "y_size") >= PERCENT * F.greatest("x_size", "y_size")
+        found = x.join(y, ["a", "shingle"]).where((F.col("x_comp") != F.col("y_comp")) & (F.col("x_doc_id") != F.col("y_doc_id")) & alike & room)
+        return found.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
+
     def sets(self, wanted: DataFrame, kind: str) -> DataFrame:
         """doc_id, groups and shingle sets of the wanted documents: each text moves once."""
         texts = self.source.where("doc_id is not null").join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "groups", "text")
