@@ -147,6 +147,7 @@ def test_every_rule_and_opening_is_hit(spark):
         "Released to the public domain.", "This file is released under public domain.", "The names of the authors are free.", MIT, "Mozilla Public License 2.0 Definitions",
     ]
     every = [f"SPDX-License-Identifier: {f}-{v}{k}" for f in licenses.GNU for v in licenses.GNU_VERSIONS for k in ("", "-or-later")]
+    every += [f"SPDX-License-Identifier: {x}" for x in ("EUPL-1.1", "CDDL-1.1", "MPL-1.1")] + ["Licensed under the EUPL.", "You may not use this work except in compliance with the licence."]
     texts = [text for text, _, _ in CASES.values()] + more + every
     rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     seen = {x for r in rows for x in r["sentence_ids"].split(",")}

@@ -101,6 +101,7 @@ OPENINGS = {
     "BSDENDORSE": "neither name of; names of",
     "BSDADVERT": "all advertising materials mentioning features or use",
     "BSDASIS": "this software is provided by",
+    "INCOMPLIANCE": "you may not use this file except in; you may not use this work except in",
     "APACHECOPY": "you may obtain copy of",
     "APACHEASIS": "unless required by applicable law or agreed to",
     "MPLCOPY": "if copy of mpl was not distributed",
@@ -136,7 +137,7 @@ RULES = [
     ("BSD", f"{HEAD}<BSDGRANT>(?:<BSDSOURCE>)?(?:<BSDASIS>)?(?:<LIABLE>)?"),
     ("ISC", f"{HEAD}<ISCGRANT>(?:<ASIS>)?(?:<LIABLE>)?"),
     ("Zlib", f"{HEAD}(?:<ZLIBASIS>)?(?:<LIABLE2>)?<ZLIBGRANT>"),
-    ("Apache-2.0", "<=Apache-2.0>(?:<APACHECOPY>)?(?:<APACHEASIS>)?"),
+    ("Apache-2.0", "<=Apache-2.0>(?:<INCOMPLIANCE>)?(?:<APACHECOPY>)?(?:<APACHEASIS>)?"),
     ("Apache-2.0", "<APACHETITLE>"),
     ("GPL-2.0", "<GPL2TITLE>(?:<COPYRIGHT>)?"),
     ("GPL-3.0", "<GPL3TITLE>(?:<COPYRIGHT>)?"),
@@ -148,6 +149,7 @@ RULES = [
     ("Unlicense", "<UNLICENSE>"),
     ("WTFPL", "<WTFPLTEXT>"),
     ("CC0-1.0", "<CC0>"),
+    *[(name, f"<={name}>(?:<INCOMPLIANCE>)?(?:<APACHECOPY>)?") for name in ("MPL-1.1", "CDDL", "CDDL-1.0", "CDDL-1.1", "EUPL", "EUPL-1.1", "EUPL-1.2")],
     *[(f"{f}-{v}{more}", f"<={f}-{v}{more}>(?:<NOWARRANTY2?>)?(?:<RECEIVED>)?") for f in GNU for v in GNU_VERSIONS for more in ("", "-or-later")],
     ("Proprietary", "(?:<COPYRIGHT>)?<RIGHTS>"),
 ]
