@@ -54,8 +54,8 @@ FAN = 64
 MOST_GROUPS = 256
 #: Bytes of rarest shingles that one task holds; bits of the hash by which shingles are counted, so that the driver holds one count for each.
 BLOCK_BYTES, COUNT_BITS = 4_000_000, 18
-#: Pairs of a block that are counted at once.
-PAIRS_AT_ONCE = 4_000_000
+#: Pairs of a block that are counted at once, and hits of its shingles.
+PAIRS_AT_ONCE, HITS_AT_ONCE = 1_000_000, 500_000
 #: Characters hashed at once.
 CHARS_AT_ONCE = 1_000_000
 
@@ -201,11 +201,14 @@ def possible(strays: list[dict], others: list[dict]) -> tuple[list[int], list[in
         if not n.sum():
             continue
         shared = np.zeros((min(step, len(doc) - begin), len(doc2)), np.int32)
-        for c in range(a, b, 4096):  # hits of a few shingles at a time
-            k = n[c - a : min(c + 4096, b) - a]
+        past, c = np.cumsum(n), a
+        while c < b:  # a bounded number of hits at a time, those of one shingle at least
+            end = a + max(c - a + 1, int(np.searchsorted(past, past[c - a] - n[c - a] + HITS_AT_ONCE, "right")))
+            k = n[c - a : end - a]
             at = np.cumsum(k) - k
-            hit = owner2[np.repeat(low[c : c + len(k)] - at, k) + np.arange(int(k.sum()))]
-            shared += np.bincount((np.repeat(owner[c : c + len(k)], k) - begin) * len(doc2) + hit, minlength=shared.size).reshape(shared.shape).astype(np.int32)
+            hit = owner2[np.repeat(low[c:end] - at, k) + np.arange(int(k.sum()))]
+            np.add.at(shared.reshape(-1), (np.repeat(owner[c:end], k) - begin) * len(doc2) + hit, 1)
+            c = end
         x, y = np.nonzero(shared)
         most = shared[x, y] + np.maximum(rest[begin + x], rest2[y])
         fits = (100 + PERCENT) * most >= PERCENT * (size[begin + x] + size2[y])
