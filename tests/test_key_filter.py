@@ -48,3 +48,14 @@ def test_minimised_tables_are_the_same_both_ways(spark, toy, monkeypatch):  # no
     plain = run()
     monkeypatch.setattr(minimize, "BROADCAST_KEYS", 0)
     assert run() == plain and len(plain["triples"]) == 4 and len(plain["descriptions"]) == 2
+
+
+def test_no_filter_is_sent_for_more_keys_than_it_tells_apart(spark, large, monkeypatch):
+    """What the driver sends with a plan is bounded: 16 MB for each hash and branch of a union were over its memory."""
+    assert minimize.FILTER_WORDS * 8 <= 1 << 20
+    monkeypatch.setattr(minimize, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(minimize, "FILTER_WORDS", 64)
+    keys = Scratch(spark, "t").keep(spark.range(0, 50_000, 10).select(F.col("id").cast("string").alias("key")), "keys")
+    got = minimize.kept_by(large, "k", keys)
+    assert "getbit(" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"] for r in got.collect()} == {i for i in range(200_000) if i % 50_000 % 10 == 0}
