@@ -59,3 +59,19 @@ def test_no_filter_is_sent_for_more_keys_than_it_tells_apart(spark, large, monke
     got = minimize.kept_by(large, "k", keys)
     assert "getbit(" not in got._jdf.queryExecution().executedPlan().toString()
     assert {r["id"] for r in got.collect()} == {i for i in range(200_000) if i % 50_000 % 10 == 0}
+
+
+def test_sizes_are_the_same_with_and_without_a_filter(spark, toy, monkeypatch):  # noqa: F811
+    triples, descriptions, aliases = toy
+    before = {"triples": triples, "aliases": aliases, "relations": triples.select(F.col("r").alias("relation_id")).distinct(), "descriptions": descriptions}
+    heads = spark.createDataFrame([("Q1",), ("Q3",)], "h string")
+
+    def run():
+        report = minimize.size_report(before, minimize.minimize(*before.values(), heads))
+        return "getbit(" in report._jdf.queryExecution().executedPlan().toString(), sorted(map(str, report.collect()))
+
+    plain = run()[1]
+    monkeypatch.setattr(minimize, "BROADCAST_KEYS", 0)
+    assert run() == (True, plain)
+    monkeypatch.setattr(minimize, "FILTER_BITS", 1 << 40)  # any number of keys is too many for a filter
+    assert run() == (False, plain)
