@@ -206,7 +206,7 @@ def minimize_two_hops(spark: SparkSession, d: str) -> DataFrame:
     g = G.TextGraph(spark, d)
     cut = M.minimize_two_hops(g.triples, g.aliases, g.relations, g.descriptions, 0.05)
     parts = {
-        "aliases": ("entity_id", F.array_join("aliases", "|")), "descriptions": ("entity_id", F.col("text")),
+        "aliases": ("entity_id", F.when(F.size("aliases") > 0, F.array_join("aliases", "|"))), "descriptions": ("entity_id", F.col("text")),
         "relations": ("relation_id", F.array_join("aliases", "|")), "triples": ("h", F.concat_ws("|", "r", "t")),
     }
     out = None
