@@ -19,6 +19,11 @@ def test_tokens_are_not_exchanged(spark, name):
     assert "Exchange" not in plan
 
 
+def test_tiles_are_exchanged_once(spark):
+    plan = entry.queries()["relation_attention_tiled"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "tiles" not in plan
+
+
 def _same(a, b):
     rows = [sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=lambda r: [x for x in r if not isinstance(x, (float, list))]) for df in (a, b)]
     assert len(rows[0]) == len(rows[1]) > 0
