@@ -10,7 +10,7 @@ from triplewright.operators import encode as E
 from triplewright.operators import extract as X
 from triplewright.plans import model_queries as M
 
-NO_EXCHANGE = ["strongest_conditioned", "span_model_backward", "relation_attention_projected", "span_model_forward", "entity_heads"]
+NO_EXCHANGE = ["strongest_conditioned", "span_model_backward", "relation_attention_projected", "span_model_forward", "entity_heads", "relation_attention"]
 
 
 @pytest.mark.parametrize("name", NO_EXCHANGE)
