@@ -360,13 +360,13 @@ def silver_first_alias(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{G.SQL_LABELS} SELECT DISTINCT entity_id FROM labels_ WHERE kind IN ('t_s', 't_e')")
 def silver_any(spark: SparkSession, d: str) -> DataFrame:
     g = G.TextGraph(spark, d)
-    return S.labelled(g.descriptions, _silver(spark, d).where(F.col("kind").isin("t_s", "t_e"))).select("entity_id")
+    return S.labelled(g.descriptions, S.silver_labels(g.triples, g.descriptions, g.aliases).where(F.col("kind").isin("t_s", "t_e"))).select("entity_id")
 
 
 @query(f"{G.SQL_LABELS} SELECT entity_id FROM labels_ GROUP BY entity_id HAVING count(DISTINCT kind) = 4")
 def silver_all(spark: SparkSession, d: str) -> DataFrame:
     g = G.TextGraph(spark, d)
-    return S.labelled(g.descriptions, _silver(spark, d), every_kind=True).select("entity_id")
+    return S.labelled(g.descriptions, S.silver_labels(g.triples, g.descriptions, g.aliases), every_kind=True).select("entity_id")
 
 
 @query(f"""{G.SQL_LABELS}, h AS (SELECT entity_id, list_sort(list(pos) FILTER (kind = 't_s')) AS st, list_sort(list(pos) FILTER (kind = 't_e')) AS en FROM labels_ WHERE kind IN ('t_s', 't_e') GROUP BY 1),
