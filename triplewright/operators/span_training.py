@@ -188,10 +188,14 @@ def summed(parts: DataFrame) -> dict[int, np.ndarray]:
     return {r["stretch"]: np.array(r["values"]) for r in whole.collect()}  # the model's own size
 
 
-def described(tokens: DataFrame, means: DataFrame, labels: DataFrame) -> DataFrame:
-    """(entity_id, x, mean, and for each kind a 0 or 1 for each token): x holds the tokens' vectors one after the other."""
-    toks = tokens.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("pos", V.double(F.col("emb")).alias("emb")))).alias("t"))
+def described(tokens: DataFrame, means: DataFrame | None, labels: DataFrame) -> DataFrame:
+    """(entity_id, x, mean, and for each kind a 0 or 1 for each token): x holds the tokens' vectors one after the other. ``tokens`` may be such rows (entity_id, x, mean), without ``means``."""
     marks = labels.groupBy("entity_id").agg(*[F.collect_set(F.when(F.col("kind") == k, F.col("pos"))).alias(k) for k in KINDS])
+    if "x" in tokens.columns:
+        whole = tokens.select("entity_id", "x", "mean").join(marks, "entity_id", "left")
+        place = F.sequence(F.lit(0), (F.size("x") / F.size("mean")).cast("int") - 1)
+        return whole.select("entity_id", "x", "mean", *[F.transform(place, lambda i: F.coalesce(F.array_contains(F.col(k), i), F.lit(False)).cast("double")).alias(k) for k in KINDS])  # noqa: B023 - called at once
+    toks = tokens.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("pos", V.double(F.col("emb")).alias("emb")))).alias("t"))
     rows = toks.join(means.select("entity_id", V.double(F.col("emb")).alias("mean")), "entity_id").join(marks, "entity_id", "left")
 
     def hot(kind: str) -> Column:
@@ -209,7 +213,7 @@ def _vectors(relations: DataFrame) -> np.ndarray:
 
 
 def train_span_model(
-    tokens: DataFrame, means: DataFrame, labels: DataFrame, semantic: DataFrame, graph: DataFrame, folder: str, attention: int = 256, epochs: int = 100, steps: int = 8,
+    tokens: DataFrame, means: DataFrame | None, labels: DataFrame, semantic: DataFrame, graph: DataFrame, folder: str, attention: int = 256, epochs: int = 100, steps: int = 8,
     rate: float = 1e-4, threshold: float = 0.5, most: int | None = 10, seed: int = 0, until: int | None = None,
 ) -> DataFrame:
     """(epoch, loss, name, weight, m, v) after the last epoch: flat weights and Adam's moments of each parameter.

@@ -119,10 +119,9 @@ l{n + 1} AS MATERIALIZED (SELECT name, k, w - {RATE} * (m / (1 - 0.9 ** {n + 1})
 def train_span_model(spark: SparkSession, d: str) -> DataFrame:
     """All weights after two epochs of one step on silver labels; the production number of epochs is the operator's default."""
     g = G.TextGraph(spark, d)
-    tokens = M.token_vectors(spark, g)
     labels = S.silver_labels(g.triples, g.descriptions, g.aliases)
     folder = Scratch(spark, "span-model").root
-    rows = ST.train_span_model(tokens, M.mean_vectors(tokens), labels, M.semantic_relations(g), M.graph_relations(g), folder, attention=ATTENTION, epochs=EPOCHS, steps=1, rate=RATE, most=MOST)
+    rows = ST.train_span_model(M.held_tokens(g.docs, g.ident), None, labels, M.semantic_relations(g), M.graph_relations(g), folder, attention=ATTENTION, epochs=EPOCHS, steps=1, rate=RATE, most=MOST)
     rows = rows.select("epoch", "name", F.posexplode(F.arrays_zip("weight", "m")).alias("k", "x"))
     return rows.select(F.col("epoch").cast("int").alias("epoch"), "name", "k", F.round("x.weight", 6).alias("weight"), F.round("x.m", 7).alias("m"))
 
