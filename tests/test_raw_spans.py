@@ -7,9 +7,12 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import DATA
 from tests.test_graph import GOLD, TEXTS, TRIPLES, toy  # noqa: F401
 from triplewright.functions import tokenizers as TK
+from triplewright.functions.text import SPACE, strip
 from triplewright.operators import raw_spans, spans
+from triplewright.plans import raw_queries
 
 
 def pattern(alias, legacy):
@@ -113,3 +116,33 @@ def test_blocks_of_aliases_and_odd_rows(spark, monkeypatch):
         ("A", "A", "two three", 4, 14, 1, 2), ("A", "B", "one", 0, 3, 0, 0), ("A", "B", "one", 15, 18, 3, 3),
     ]
     assert TK.token_rows(texts, TK.word_tokens()).where(F.col("entity_id") == "A").count() == 5
+
+
+def test_first_words_are_those_of_the_stripped_text(spark):
+    """They came out of the whole text, stripped by a pattern that met every white space of it, several times."""
+    texts = ["", " ", None, "one", "  one", "one ", " one\ttwo three", "one\u3000\u00a0two", "a  b  c ", "\u0085\n", "x" * 9000 + " y z", "x" + " " * 4000, "x" + " " * 4000 + "y z", " " * 4000 + "x\n\ny"]
+    kept = spark.createDataFrame([(x,) for x in texts], "text string").select(F.split(raw_queries.first_words(F.col("text")), f"[{SPACE}]+", -1).alias("a"), F.slice(F.split(strip(F.col("text")), f"[{SPACE}]+", 3), 1, 2).alias("b"))
+    assert [r["a"] for r in kept.collect()] == [r["b"] for r in kept.collect()]
+    names = raw_queries.raw_graph(spark, f"{DATA}/sf0.001")[2]._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in names
+
+
+@pytest.mark.parametrize("make", [TK.word_tokens(), TK.word_pieces(["un", "##aff", "able", "##able"], 128)])
+def test_only_openings_are_exchanged(spark, make):
+    """Whole texts were exchanged, of which 128 tokens are looked at."""
+    texts = ["one two " * 2000, "unaffable " * 2000, "", None, " \t", "x"]
+    rows = spark.createDataFrame([(f"D{i}", t) for i, t in enumerate(texts)], "entity_id string, text string")
+    got = {r["entity_id"]: r for r in raw_spans.openings(rows, make).collect()}
+    assert sorted(got) == ["D0", "D1", "D5"]
+    for k, r in got.items():
+        text = texts[int(k[1:])]
+        _, starts, ends = make()(text)
+        assert (r["text"], r["starts"], r["ends"]) == (text[: ends[-1] + 1], starts, ends) and len(r["text"]) < 2000
+    names = rows.select("entity_id", F.array(F.lit("one"), F.lit("affable")).alias("aliases"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = raw_spans.raw_alias_spans(rows.select(F.col("entity_id").alias("h"), F.col("entity_id").alias("entity")), rows, names, make)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    below = plan[plan.rindex("Exchange") :]
+    assert "MapInArrow" in below and "text#" in below

@@ -9,7 +9,8 @@ both ends are borders between a word and something else.
 
 Aliases are stripped; empty ones match nothing. Letters are compared by their lower case,
 where that is one letter. Matches of one alias text don't overlap. A description with very
-many aliases is walked once for each BLOCK of them.
+many aliases is walked once for each BLOCK of them. A text is cut to its counted tokens before
+it is exchanged.
 """
 
 from __future__ import annotations
@@ -117,6 +118,21 @@ def matches(text: str, aliases: list[str], legacy: bool = False) -> Iterator[tup
             yield from ((i, start, end) for i in numbers[known[k]])
 
 
+def openings(descriptions: DataFrame, make: Callable[[], Tokenizer]) -> DataFrame:
+    """(entity_id, text, starts, ends): the text up to its last token and one character more, and its tokens' places. Texts without a token are left out."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = make()
+        for batch in batches:
+            found = [(h, text, *split(text)[1:]) for h, text in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True)]
+            found = [(h, text[: ends[-1] + 1], starts, ends) for h, text, starts, ends in found if ends]
+            kinds = [pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)], ["entity_id", "text", "starts", "ends"])
+
+    texts = descriptions.select(F.col("entity_id").cast("string"), F.col("text").cast("string")).where("text is not null")
+    return texts.mapInArrow(kernel, "entity_id string, text string, starts array<int>, ends array<int>")
+
+
 def raw_alias_spans(pairs: DataFrame, descriptions: DataFrame, aliases: DataFrame, make: Callable[[], Tokenizer] | None = None, legacy: bool = False) -> DataFrame:
     """(h, entity, alias, pos, start, end, s, e): every match of every alias of ``entity`` in the text of ``h``.
 
@@ -129,17 +145,13 @@ def raw_alias_spans(pairs: DataFrame, descriptions: DataFrame, aliases: DataFram
     many = named.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
     named = named.join(many, "h", "left").withColumn("block", F.pmod(F.xxhash64("entity", "pos"), F.coalesce("blocks", F.lit(1))))
     held = named.groupBy("h", "block").agg(F.collect_list(F.struct("entity", "alias", "pos")).alias("names"))  # about BLOCK at most
-    rows = held.join(descriptions.select(F.col("entity_id").alias("h"), F.col("text").cast("string").alias("text")), "h").where("text is not null").select("h", "text", "names")
+    rows = held.join(openings(descriptions, make).withColumnRenamed("entity_id", "h"), "h").select("h", "text", "starts", "ends", "names")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = make()
         for batch in batches:
             out: list[tuple] = []
-            for h, text, listed in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                _, starts, ends = split(text)
-                if not ends:
-                    continue
-                for k, start, end in matches(text[: ends[-1] + 1], [x["alias"] for x in listed], legacy):
+            for h, text, starts, ends, listed in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                for k, start, end in matches(text, [x["alias"] for x in listed], legacy):
                     s, e = char_to_token(starts, ends, start), char_to_token(starts, ends, end - 1)
                     if s is not None and e is not None:
                         out.append((h, listed[k]["entity"], listed[k]["alias"], listed[k]["pos"], start, end, s, e))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplewright.functions import tokenizers as TK
-from triplewright.functions.text import MAX_TOKENS, SPACE, strip
+from triplewright.functions.text import MAX_TOKENS, SPACE
 from triplewright.operators import raw_spans as R
 from triplewright.operators import spans as S
 from triplewright.plans import graph as G
@@ -62,11 +62,16 @@ SELECT h, entity, alias, pos::INT AS pos, (p[i] - 1)::INT AS start, p[i + n - 1]
 FROM each WHERE p[i + n - 1] <= last"""
 
 
+def first_words(text: Column) -> Column:
+    """A text's first two words with what is between them; what follows isn't read."""
+    return F.regexp_extract(text, f"^[{SPACE}]*+([^{SPACE}]++(?:[{SPACE}]++[^{SPACE}]++)?)", 1)
+
+
 def raw_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Triples, texts as they are, and each text's first word and first two words as its aliases."""
     g = G.TextGraph(spark, d)
     texts = g.docs.select(g.ident.alias("entity_id"), F.coalesce("text", F.lit("")).alias("text"))
-    w = F.split(strip(F.col("text")), f"[{SPACE}]+", 3)
+    w = F.split(first_words(F.col("text")), f"[{SPACE}]+", -1)
     names = F.filter(F.array(F.get(w, F.lit(0)), F.concat(F.get(w, F.lit(0)), F.lit(" "), F.get(w, F.lit(1)))), lambda a: a.isNotNull() & (a != ""))
     return g.triples, texts, texts.select("entity_id", names.alias("aliases"))
 
