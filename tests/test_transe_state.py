@@ -115,3 +115,14 @@ def test_two_states_on_disk_and_a_manifest(spark, graph, tmp_path, monkeypatch):
 def test_nothing_to_learn_from(graph):
     e, r = transe.train(graph[0].limit(0), graph[1], graph[2], N, R, dims=DIMS, epochs=1, steps=2)
     assert e.count() == N and r.count() == R
+
+
+def test_the_arithmetic_is_not_made_number_by_number(spark, graph):
+    """Slopes, steps and what was missed were folds over each number, read anew for each of a turn's powers."""
+    state = transe.start_state(graph[1], graph[2], N, R, DIMS)
+    sums = transe.slopes(transe.negatives(graph[0], N), transe.named(state))
+    for df in (sums, transe.made_up(state, 3, [0.1] * 3, {"e": 2}), transe.adam(state, sums, 70, 1, 0.1, {"e": 2})):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        top = plan[: plan.rindex("MapInArrow")]
+        assert "zip_with" not in top and "aggregate(" not in top
+    assert {r["turn"] for r in transe.made_up(state, 3, [0.1] * 3, {"e": 2}).collect()} == {3}
