@@ -8,6 +8,7 @@ from tests.conftest import DATA
 from triplewright.functions.aggregates import mean_by
 from triplewright.operators import encode as E
 from triplewright.operators import extract as X
+from triplewright.operators import training as T
 from triplewright.plans import model_queries as M
 
 NO_EXCHANGE = ["strongest_conditioned", "span_model_backward", "relation_attention_projected", "span_model_forward", "entity_heads", "relation_attention"]
@@ -47,3 +48,21 @@ def test_held_rows_give_what_tokens_give(spark, monkeypatch):
             _same(one[part], other[part])
         _same(X.held_strongest(held, relations, M.W, most=3), X.strongest_conditioned(tokens, other["contexts"], other["slots"], M.W["fuse"], *M.W["conditioned"]))
         _same(X.relation_attention_tiled(held, relations, None, M.W["attention"], tile=4), other["contexts"])
+
+
+def test_heads_trained_on_held_rows(spark, tmp_path):
+    """Tokens were exchanged, a row each, to meet their labels, and every number of a slope was a fold."""
+    texts = spark.createDataFrame([(f"D{i}", " ".join(f"w{(i * 7 + k * k) % 50}" for k in range(i * 9))) for i in range(12)] + [("none", None)], "entity_id string, text string")
+    held, tokens = E.described_tokens(texts, E.hash_encoder(M.DIMS)), E.token_embeddings(texts, E.hash_encoder(M.DIMS))
+    labels = M._token_labels(tokens)
+    marks = M._marked(held).select("entity_id", F.explode("marks").alias("m")).select("entity_id", "m.kind", "m.pos")
+    assert sorted(map(tuple, marks.collect())) == sorted(map(tuple, labels.collect()))
+    extra = labels.unionByName(spark.createDataFrame([("D3", "h_s", 2), ("D3", "h_s", 900), ("nobody", "t_e", 0)], labels.schema))
+    runs = {"plain": (tokens, labels), "marked": (M._marked(held), None), "met": (held, labels), "plain2": (tokens, extra), "met2": (held, extra)}
+    got = {k: T.train_heads(*run, M.DIMS, f"file://{tmp_path}/{k}", epochs=2, rate=0.1, pos_weight=3.0) for k, run in runs.items()}
+    _same(got["marked"], got["plain"])
+    _same(got["met"], got["plain"])
+    _same(got["met2"], got["plain2"])
+    assert "Exchange" not in T._marked(M._marked(held), None)._jdf.queryExecution().executedPlan().toString()
+    empty = T.train_heads(M._marked(held).limit(0), None, M.DIMS, f"file://{tmp_path}/empty", epochs=1)
+    assert empty.count() == 0
