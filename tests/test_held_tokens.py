@@ -1,5 +1,7 @@
 """Model queries over a row for each description: nothing is exchanged to gather its tokens, and the results are those of tokens in rows of their own."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from tests.conftest import DATA
 from triplewright.functions.aggregates import mean_by
 from triplewright.operators import encode as E
 from triplewright.operators import extract as X
+from triplewright.operators import losses as L
 from triplewright.operators import training as T
 from triplewright.plans import model_queries as M
 
@@ -66,3 +69,24 @@ def test_heads_trained_on_held_rows(spark, tmp_path):
     assert "Exchange" not in T._marked(M._marked(held), None)._jdf.queryExecution().executedPlan().toString()
     empty = T.train_heads(M._marked(held).limit(0), None, M.DIMS, f"file://{tmp_path}/empty", epochs=1)
     assert empty.count() == 0
+
+
+def test_the_slot_loss_of_lists(spark):
+    """Tokens' logits were exchanged eight times, a row each."""
+    r = random.Random(5)
+    ids = [f"D{i}" for i in range(8)]
+    lists = [(h, k, s, *[[r.uniform(-3, 3) for _ in range(3 + i)] for _ in "se"]) for i, h in enumerate(ids[:-1]) for k in ("a", "b") for s in (0, 1)]
+    tails = spark.createDataFrame(lists, "entity_id string, relation_id string, slot int, start_logit array<double>, end_logit array<double>")
+    heads = tails.where("relation_id = 'a' and slot = 0").drop("relation_id", "slot").unionByName(spark.createDataFrame([("empty", [], [])], "entity_id string, start_logit array<double>, end_logit array<double>"))
+    slots = spark.createDataFrame([(h, s, s + i, s + 1) for h in ids for s in (0, 1) for i in (0, 0, 1)], "entity_id string, slot int, s long, e long")
+    gold = spark.createDataFrame([(r.choice([*ids, "empty"]), r.choice("abc"), "t", r.randrange(3), r.randrange(1, 3), r.randrange(9), r.choice([-1, 2, 1 << 40])) for _ in range(80)], "h string, r string, t string, hs long, he long, ts long, te long")
+
+    def rows(df):
+        keys = [c for c in df.columns if not c.endswith("logit")]
+        return df.select(*keys, F.posexplode(F.arrays_zip("start_logit", "end_logit")).alias("pos", "x")).select(*keys, "pos", "x.*")
+
+    want = L.slot_triple_loss(rows(heads), rows(tails), slots, gold).first()["loss"]
+    assert L.slot_triple_loss(heads, tails, slots, gold).first()["loss"] == pytest.approx(want, rel=1e-9) and want > 0
+    assert L.slot_triple_loss(heads, tails, slots, gold.limit(0)).first()["loss"] == 0
+    plan = L.slot_triple_loss(heads, tails, slots, gold)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 3

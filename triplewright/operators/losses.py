@@ -39,7 +39,10 @@ def slot_triple_loss(heads: DataFrame, tails: DataFrame, slots: DataFrame, gold:
     """(loss): the draft loss for each gold triple: head terms, and tail terms under its relation and the slot of its head span, if there is one.
 
     ``heads``: (entity_id, pos, start_logit, end_logit). ``tails``: the same under (relation_id, slot). ``slots``: (entity_id, slot, s, e).
+    Rows of a description each, without pos, hold their logits as lists over tokens; these are exchanged once, and looked up in the row.
     """
+    if "pos" not in heads.columns:
+        return _held_slot_loss(heads, tails, slots, gold)
 
     def base(df: DataFrame, keys: list[str], name: str) -> DataFrame:
         terms = F.sum(bce(F.col("start_logit"), F.lit(0.0)) + bce(F.col("end_logit"), F.lit(0.0)))
@@ -62,6 +65,25 @@ def slot_triple_loss(heads: DataFrame, tails: DataFrame, slots: DataFrame, gold:
     return rows.agg((F.coalesce(F.sum(head + tail), zero) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("loss"))
 
 
+def _held_slot_loss(heads: DataFrame, tails: DataFrame, slots: DataFrame, gold: DataFrame) -> DataFrame:
+    """``slot_triple_loss`` of logits in lists."""
+    zero, under = F.lit(0.0), ["entity_id", "relation_id", "slot"]
+
+    def summed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        terms = sum((V.total(F.transform(c, lambda z: bce(z, zero))) for c in ("start_logit", "end_logit")), zero)
+        return df.where(F.size("start_logit") > 0).select(*keys, F.size("start_logit").alias(f"{name}_n"), terms.alias(f"{name}_base"), F.col("start_logit").alias(f"{name}_s"), F.col("end_logit").alias(f"{name}_e"))
+
+    def at(logits: str, pos: str) -> Column:
+        return F.coalesce(F.get(logits, F.when(F.col(pos).between(0, F.size(logits) - 1), F.col(pos)).cast("int")), zero)
+
+    rows = gold.select(F.col("h").alias("entity_id"), F.col("r").alias("relation_id"), "hs", "he", "ts", "te").join(summed(heads, ["entity_id"], "h"), "entity_id")
+    rows = rows.select("entity_id", "relation_id", "hs", "he", "ts", "te", ((F.col("h_base") - at("h_s", "hs") - at("h_e", "he")) / (F.col("h_n") + 1e-8)).alias("head"))
+    first = slots.groupBy("entity_id", F.col("s").alias("hs"), F.col("e").alias("he")).agg(F.min("slot").alias("slot"))
+    rows = rows.join(first, ["entity_id", "hs", "he"], "left").join(summed(tails, under, "t"), under, "left")
+    tail = F.coalesce((F.col("t_base") - at("t_s", "ts") - at("t_e", "te")) / (F.col("t_n") + 1e-8), zero)
+    return rows.agg((F.coalesce(F.sum(F.col("head") + tail), zero) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("loss"))
+
+
 def entity_loss(rows: DataFrame, name: str) -> DataFrame:
     """(name): mean cross-entropy of start plus that of end probabilities; rows (start_prob, end_prob, start, end) exist for real tokens only."""
 
