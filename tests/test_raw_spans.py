@@ -149,3 +149,36 @@ def test_only_openings_are_exchanged(spark, make):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     below = plan[plan.rindex("Exchange") :]
     assert "MapInArrow" in below and "text#" in below
+
+
+@pytest.mark.parametrize("query", [raw_queries.raw_alias_spans, raw_queries.raw_alias_spans_legacy])
+def test_first_words_are_found_once_a_scan(spark, query):
+    """They were found again for each word, and for filters that Spark infers, in whole texts."""
+    plan = query(spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == plan.count("posexplode(") == 2
+
+
+@pytest.mark.parametrize("legacy", [False, True])
+def test_no_trie_of_aliases_that_a_text_lacks(monkeypatch, legacy):
+    """A trie of all aliases was made for each text, and walked letter by letter."""
+    made, walk = [], raw_spans.Automaton
+    monkeypatch.setattr(raw_spans, "Automaton", lambda patterns: made.append(len(patterns)) or walk(patterns))
+    many = [f"some{i} thing{i}" for i in range(200)]
+    assert not list(raw_spans.matches("not a thing of theirs", many, legacy)) and not sum(made)
+    assert sorted(raw_spans.matches("Some 7 some7  thing7", many, legacy)) == [(7, 7, 20)] and sum(made) < 3
+    made.clear()
+    assert sorted(raw_spans.matches("A b", ["a", "B", "c"], legacy)) == [(0, 0, 1), (1, 2, 3)] and sum(made) == (0 if legacy else 2)
+
+
+def test_few_and_many_aliases_give_the_same_matches(monkeypatch):
+    r = random.Random(7)
+    for _ in range(2000):
+        letters = r.choice(["ab ", "aB .-", "ΣσςΑα ", "İiI ıſsKk", "a \u0085　b,"])
+        text = "".join(r.choice(letters) for _ in range(r.randrange(1, 50)))
+        aliases = ["".join(r.choice(letters) for _ in range(r.randrange(6))) for _ in range(6)] + [text[3:9], text[:4]]
+        got = []
+        for few in (0, 1024):
+            monkeypatch.setattr(raw_spans, "FEW", few)
+            got.append(sorted(raw_spans.matches(text, aliases, True)))
+        assert got[0] == got[1], (text, aliases)
+        assert list(raw_spans.letters_of(text)) == [raw_spans.folded(c) for c in text if not c.isspace()]

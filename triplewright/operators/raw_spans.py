@@ -7,6 +7,9 @@ space stands for one or more white spaces, and no word goes on at either end. Th
 ones are made of letters: a space stands for any number of white spaces, none too, and
 both ends are borders between a word and something else.
 
+Aliases of which a text lacks a word (or, for the older pattern, the letters) are left out before
+a trie is made; a few short ones are looked for one by one in its joined letters.
+
 Aliases are stripped; empty ones match nothing. Letters are compared by their lower case,
 where that is one letter. Matches of one alias text don't overlap. A description with very
 many aliases is walked once for each BLOCK of them. A text is cut to its counted tokens before
@@ -15,8 +18,10 @@ it is exchanged.
 
 from __future__ import annotations
 
+import re
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,12 +32,15 @@ from triplewright.functions.tokenizers import WORDS, Tokenizer, char_to_token, w
 
 #: Aliases of one trie.
 BLOCK = 4096
+#: Letters of all aliases up to which each is looked for by itself: what a place costs has this bound too.
+FEW = 1024
+RUNS = re.compile(r"\S+")
 
 
 class Automaton:
     """Sequences of units, found wherever they end in a stream: a trie whose nodes know the longest other beginning that ends there too."""
 
-    def __init__(self, patterns: list[list[str]]):
+    def __init__(self, patterns: Sequence[Sequence[str]]):
         self.goes: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
         for k, units in enumerate(patterns):
@@ -57,7 +65,7 @@ class Automaton:
                 self.above[child] = self.fails[child] if self.ends[self.fails[child]] else self.above[self.fails[child]]
                 queue.append(child)
 
-    def hits(self, stream: list[str]) -> Iterator[tuple[int, int]]:
+    def hits(self, stream: Sequence[str]) -> Iterator[tuple[int, int]]:
         """(pattern, place of its last unit), by places."""
         node = 0
         for at, u in enumerate(stream):
@@ -76,11 +84,18 @@ def folded(x: str) -> str:
     return low if len(low) == len(x) else "".join(c.lower() if len(c.lower()) == 1 else c for c in x)
 
 
-def units_of(text: str, letters: bool) -> tuple[list[str], list[int], list[int]]:
+def letters_of(text: str) -> str:
+    """Letters without white space, each folded by itself (so that a final sigma is no other letter)."""
+    joined = "".join(text.split())
+    low = joined.replace("Σ", "σ").lower()
+    return low if len(low) == len(joined) else "".join(map(folded, joined))
+
+
+def units_of(text: str, letters: bool) -> tuple[Sequence[str], list[int], list[int]]:
     """Units, folded, with their starts and ends: words and signs, or letters without white space."""
     if letters:
-        at = [i for i, c in enumerate(text) if not c.isspace()]
-        return [folded(text[i]) for i in at], at, [i + 1 for i in at]
+        at = list(chain.from_iterable(range(*m.span()) for m in RUNS.finditer(text)))
+        return letters_of(text), at, [i + 1 for i in at]
     found = list(WORDS.finditer(text))
     return [folded(m[0]) for m in found], [m.start() for m in found], [m.end() for m in found]
 
@@ -89,31 +104,45 @@ def _is_word(text: str, at: int) -> bool:
     return 0 <= at < len(text) and (text[at].isalnum() or text[at] == "_")
 
 
+def places(stream: str, patterns: list[str]) -> Iterator[tuple[int, int]]:
+    """What ``Automaton.hits`` finds, one pattern after another."""
+    for k, letters in enumerate(patterns):
+        at = stream.find(letters)
+        while at >= 0:
+            yield k, at + len(letters) - 1
+            at = stream.find(letters, at + 1)
+
+
 def matches(text: str, aliases: list[str], legacy: bool = False) -> Iterator[tuple[int, int, int]]:
     """(number of the alias, start, end) of every match; of one alias text those that don't overlap, from left to right."""
     numbers: dict[str, list[int]] = {}
     for k, alias in enumerate(aliases):
         if alias.strip():
             numbers.setdefault(alias.strip(), []).append(k)
-    known, patterns, gaps = list(numbers), [], []
-    for alias in known:
-        units, starts, ends = units_of(alias, legacy)
-        patterns.append(units)
-        gaps.append([0] + [b - a for a, b in zip(ends[:-1], starts[1:], strict=True)])
+    few = legacy and sum(map(len, numbers)) <= FEW
     stream, starts, ends = units_of(text, legacy)
+    there = set() if few else set(stream)
+    known, patterns, gaps = [], [], []
+    for alias in numbers:
+        if few and letters_of(alias) not in stream:
+            continue
+        units, begin, end = units_of(alias, legacy)
+        if few or there.issuperset(units):
+            known.append(alias)
+            patterns.append(units)
+            gaps.append([0] + [b - a for a, b in zip(end[:-1], begin[1:], strict=True)])
     past = [0] * len(known)
-    for k, last in Automaton(patterns).hits(stream):
+    for k, last in places(stream, patterns) if few else Automaton(patterns).hits(stream) if known else ():
         first, spaces = last - len(patterns[k]) + 1, gaps[k]
         start, end = starts[first], ends[last]
         if start < past[k]:
             continue
-        between = (starts[first + i] - ends[first + i - 1] for i in range(1, len(spaces)))
-        fits = all(b == 0 if not s else legacy or b >= s for b, s in zip(between, spaces[1:], strict=True))
         if legacy:
-            fits = fits and _is_word(text, start - 1) != _is_word(text, start) and _is_word(text, end - 1) != _is_word(text, end)
+            fits = _is_word(text, start - 1) != _is_word(text, start) and _is_word(text, end - 1) != _is_word(text, end)
         else:
-            fits = fits and not _is_word(text, start - 1) and not _is_word(text, end)
-        if fits:
+            fits = not _is_word(text, start - 1) and not _is_word(text, end)
+        between = (starts[first + i] - ends[first + i - 1] for i in range(1, len(spaces)))
+        if fits and all(b == 0 if not s else legacy or b >= s for b, s in zip(between, spaces[1:], strict=True)):
             past[k] = end
             yield from ((i, start, end) for i in numbers[known[k]])
 
@@ -140,7 +169,7 @@ def raw_alias_spans(pairs: DataFrame, descriptions: DataFrame, aliases: DataFram
     first and the last letter of the match; matches past the last token fall away.
     """
     make = make or word_tokens(MAX_TOKENS)
-    names = aliases.select(F.col("entity_id").alias("entity"), F.posexplode("aliases").alias("pos", "alias")).where("alias is not null")
+    names = aliases.select(F.col("entity_id").alias("entity"), F.posexplode_outer("aliases").alias("pos", "alias")).where("alias is not null")  # outer: no filter makes the lists once more
     named = pairs.join(names, "entity")
     many = named.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
     named = named.join(many, "h", "left").withColumn("block", F.pmod(F.xxhash64("entity", "pos"), F.coalesce("blocks", F.lit(1))))
@@ -149,12 +178,20 @@ def raw_alias_spans(pairs: DataFrame, descriptions: DataFrame, aliases: DataFram
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             out: list[tuple] = []
-            for h, text, starts, ends, listed in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                for k, start, end in matches(text, [x["alias"] for x in listed], legacy):
+            begins, finishes, listed = (batch.column(k) for k in (2, 3, 4))
+            tokens, firsts, lasts = (x.to_numpy(zero_copy_only=False).tolist() for x in (begins.offsets, begins.values, finishes.values))
+            ends_at, held = finishes.offsets[0].as_py(), listed.offsets.to_numpy().tolist()
+            entities, names, numbers = (listed.values.field(k).to_pylist() for k in range(3))
+            for i, (h, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True)):
+                a, b, own = tokens[i], tokens[i + 1], held[i]
+                starts, ends = firsts[a:b], lasts[a - tokens[0] + ends_at : b - tokens[0] + ends_at]
+                for k, start, end in matches(text, names[own : held[i + 1]], legacy):
                     s, e = char_to_token(starts, ends, start), char_to_token(starts, ends, end - 1)
                     if s is not None and e is not None:
-                        out.append((h, listed[k]["entity"], listed[k]["alias"], listed[k]["pos"], start, end, s, e))
+                        out.append((h, entities[own + k], names[own + k], numbers[own + k], start, end, s, e))
             kinds = [pa.string()] * 3 + [pa.int32()] * 5
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], ["h", "entity", "alias", "pos", "start", "end", "s", "e"])
 

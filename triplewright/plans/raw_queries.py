@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplewright.functions import tokenizers as TK
+from triplewright.functions import vectors as V
 from triplewright.functions.text import MAX_TOKENS, SPACE
 from triplewright.operators import raw_spans as R
 from triplewright.operators import spans as S
@@ -71,9 +72,8 @@ def raw_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
     """Triples, texts as they are, and each text's first word and first two words as its aliases."""
     g = G.TextGraph(spark, d)
     texts = g.docs.select(g.ident.alias("entity_id"), F.coalesce("text", F.lit("")).alias("text"))
-    w = F.split(first_words(F.col("text")), f"[{SPACE}]+", -1)
-    names = F.filter(F.array(F.get(w, F.lit(0)), F.concat(F.get(w, F.lit(0)), F.lit(" "), F.get(w, F.lit(1)))), lambda a: a.isNotNull() & (a != ""))
-    return g.triples, texts, texts.select("entity_id", names.alias("aliases"))
+    w = V.bound(F.split(first_words(F.col("text")), f"[{SPACE}]+", -1), lambda w: F.array(F.get(w, F.lit(0)), F.concat(F.get(w, F.lit(0)), F.lit(" "), F.get(w, F.lit(1)))))
+    return g.triples, texts, texts.select("entity_id", F.filter(w, lambda a: a.isNotNull() & (a != "")).alias("aliases"))
 
 
 def raw_alias_spans(spark: SparkSession, d: str) -> DataFrame:
